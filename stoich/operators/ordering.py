@@ -56,3 +56,34 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
 def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank") -> DataFrame:
     """0-based global ordinal under ``order``, plus ``<out>_n`` = row count."""
     return rank_within(df, [], order, out)
+
+
+def running_max(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
+                value: str, out: str = "running_max") -> DataFrame:
+    """``max(value) over (partition by group order by order rows unbounded
+    preceding)`` without putting a whole group in one task.
+
+    Rows are range-sorted (a hot group spans many partitions), each
+    (partition, group) slice takes its running max with a window bounded by
+    the partition, and the max of all earlier slices of the same group (a
+    small table: one row per slice) is folded in with ``greatest``.
+    """
+    group = list(group)
+    tagged = _tag_sorted(df, [*(F.col(g) for g in group), *order])
+    slices = tagged.groupBy(_PID, *group).agg(F.max(value).alias("_o_smax"))
+    w = Window.partitionBy(*group).orderBy(_PID) if group else Window.orderBy(_PID)
+    prior = slices.select(_PID, *group, F.max("_o_smax").over(
+        w.rowsBetween(Window.unboundedPreceding, -1)).alias("_o_prior"))
+    local = Window.partitionBy(_PID, *group).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
+    res = tagged.withColumn("_o_local", F.max(value).over(local)).join(prior, [_PID, *group])
+    return res.withColumn(out, F.greatest(F.col("_o_local"), F.col("_o_prior"))) \
+        .drop(_PID, _MID, "_o_local", "_o_prior")
+
+
+def top_n_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
+                 n: Column | int, out: str = "rank") -> DataFrame:
+    """Rows whose 0-based rank within the group is below ``n`` (a column
+    allowed, e.g. a per-group count), via :func:`rank_within`."""
+    ranked = rank_within(df, group, order, out)
+    limit = n if isinstance(n, Column) else F.lit(n)
+    return ranked.where(F.col(out) < limit)
