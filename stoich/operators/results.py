@@ -119,13 +119,19 @@ def fittest(dom: DataFrame, generation: str = "generation", keys: Sequence[str]
 
 
 def elitism(pop: DataFrame, keys: Sequence[str], is_offspring: str = "is_offspring",
-            fitness: str = "fitness", order: str = "rec_id") -> DataFrame:
+            fitness: str = "fitness", order: str = "rec_id", bounded: bool = False) -> DataFrame:
     """L3: parents and offspring together; keep the best (number of parents)
-    per population, parents first on equal fitness (stable)."""
+    per population, parents first on equal fitness (stable).  ``bounded``:
+    a population is bounded by a parameter, so a plain window suffices."""
     keys = list(keys)
     n_par = pop.groupBy(*keys).agg(F.count_if(~F.col(is_offspring)).alias("_n_par"))
-    ranked = rank_within(pop, keys, [F.col(fitness).desc(), F.col(is_offspring), F.col(order)], out="_e_rank")
-    return (ranked.join(n_par, keys).where(F.col("_e_rank") < F.col("_n_par"))
+    order_by = [F.col(fitness).desc(), F.col(is_offspring), F.col(order)]
+    if bounded:
+        from pyspark.sql import Window
+        ranked = pop.withColumn("_e_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)) - 1)
+    else:
+        ranked = rank_within(pop, keys, order_by, out="_e_rank")
+    return (ranked.join(F.broadcast(n_par), keys).where(F.col("_e_rank") < F.col("_n_par"))
             .drop("_e_rank", "_e_rank_n", "_n_par"))
 
 

@@ -166,10 +166,18 @@ def cross_over(a: Column, b: Column, key: Column, prob: float, seed="cx",
 
 
 def roulette_select(pop: DataFrame, prob: str, k: int, keys: Sequence[str], id_col: str,
-                    seed="sel") -> DataFrame:
+                    seed="sel", bounded: bool = False) -> DataFrame:
     """K individuals per population without replacement with
     probability proportional to ``prob`` (weighted sampling keys
-    -ln(u) / p, smallest k; Efraimidis & Spirakis 2006)."""
+    -ln(u) / p, smallest k; Efraimidis & Spirakis 2006).  ``_sel_rank`` is
+    the selection order.  ``bounded=True`` states that a population is
+    bounded by a parameter (e.g. the search's n_pop), so a plain window per
+    population is used instead of the distributed rank."""
     kcol = -F.log(uniform(seed, *[F.col(c) for c in keys], F.col(id_col)) + F.lit(1e-300)) / F.col(prob)
-    return rank_within(pop.withColumn("_sel_key", kcol), keys, [F.col("_sel_key"), F.col(id_col)], out="_sel_rank") \
+    d = pop.withColumn("_sel_key", kcol)
+    if bounded:
+        w = Window.partitionBy(*keys).orderBy("_sel_key", id_col)
+        return d.withColumn("_sel_rank", (F.row_number().over(w) - 1).cast("bigint")) \
+            .where(F.col("_sel_rank") < k).drop("_sel_key")
+    return rank_within(d, keys, [F.col("_sel_key"), F.col(id_col)], out="_sel_rank") \
         .where(F.col("_sel_rank") < k).drop("_sel_key", "_sel_rank_n")

@@ -1 +1,261 @@
-"""(filled in below)"""
+"""Model queries: ridge CV from Gram statistics (M6, M11), subset fitness
+and search (M12, M13), feature-set comparison (M24), Bayesian ridge (M7),
+PLS (M9), kernel ridge by random Fourier features (M10), kNN (J8)."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stoich.functions.rng import sql_uniform, uniform
+from stoich.operators import composition as C
+from stoich.operators import linear as L
+from stoich.operators import metrics as M
+from stoich.operators import sampling as S
+from stoich.operators import scaling as N
+from stoich.operators import subset as SS
+from stoich.operators.neighbors import knn_predict
+from stoich.plans.catalog import query
+from stoich.plans.q_results import WF_SQL, _records, _wf_rounded
+from stoich.plans.q_sampling import _fold_sql
+from stoich.session import cut_lineage
+from stoich.sources import fixtures as FX
+
+D = FX.N_FEATURES
+FIT_SEEDS = [0, 1, 2, 3]          # 4 repeats of 10-fold CV inside the fitness
+EVAL_SEEDS = list(range(8))       # outer evaluation seeds
+SEL2 = [17, 3]                    # two chosen features for the closed-form ridge check
+
+
+def _model_rows(spark, sf_dir, robust: bool = False):
+    """(sample_id, features array<double>[64], y): weighted features of each
+    order's composition and its total price."""
+    wf = _wf_rounded(spark, sf_dir)
+    if robust:
+        wf = N.robust_scale(wf).select("sample_id", "feature_id", F.col("scaled").alias("value"))
+    arr = C.feature_array(wf)
+    t = FX.targets(spark, sf_dir).select("sample_id", "y")
+    # the training table is read many times (counts, statistics, folds,
+    # predictions): materialise it once in the shared checkpoint folder
+    return cut_lineage(arr.join(t, "sample_id"))
+
+
+def _r(c, p):
+    return F.round(c, p) + F.lit(0.0)
+
+
+RIDGE2_SQL = WF_SQL + f""",
+x AS (SELECT sample_id, max(CASE WHEN feature_id = {SEL2[0]} THEN value END) AS x1,
+             max(CASE WHEN feature_id = {SEL2[1]} THEN value END) AS x2 FROM wf GROUP BY 1),
+dd AS (SELECT x.sample_id, x1, x2, o_totalprice AS y FROM x JOIN orders ON x.sample_id = o_orderkey),
+rr AS (SELECT *, row_number() OVER (ORDER BY {sql_uniform('kf', 'sample_id')}, sample_id) - 1 AS rk,
+       count(*) OVER () AS n FROM dd),
+f AS (SELECT sample_id, x1, x2, y, {_fold_sql('rk', 'n', 10)} AS fold FROM rr),
+fs AS (SELECT fold, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11,
+       sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y FROM f GROUP BY fold),
+tot AS (SELECT sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(sy) AS sy, sum(s11) AS s11, sum(s12) AS s12,
+        sum(s22) AS s22, sum(s1y) AS s1y, sum(s2y) AS s2y FROM fs),
+tr AS (SELECT fs.fold, tot.n - fs.n AS n, tot.s1 - fs.s1 AS s1, tot.s2 - fs.s2 AS s2, tot.sy - fs.sy AS sy,
+       tot.s11 - fs.s11 AS s11, tot.s12 - fs.s12 AS s12, tot.s22 - fs.s22 AS s22,
+       tot.s1y - fs.s1y AS s1y, tot.s2y - fs.s2y AS s2y FROM fs CROSS JOIN tot),
+c AS (SELECT fold, s1 / n AS m1, s2 / n AS m2, sy / n AS my,
+       s11 - n * (s1 / n) * (s1 / n) + 1.0 AS a11, s12 - n * (s1 / n) * (s2 / n) AS a12,
+       s22 - n * (s2 / n) * (s2 / n) + 1.0 AS a22,
+       s1y - n * (s1 / n) * (sy / n) AS c1, s2y - n * (s2 / n) * (sy / n) AS c2 FROM tr),
+b AS (SELECT fold, (a22 * c1 - a12 * c2) / (a11 * a22 - a12 * a12) AS b1,
+       (a11 * c2 - a12 * c1) / (a11 * a22 - a12 * a12) AS b2, m1, m2, my FROM c),
+b2 AS (SELECT fold, b1, b2, my - m1 * b1 - m2 * b2 AS b0 FROM b),
+p AS (SELECT f.fold, f.y, b2.b0 + b2.b1 * f.x1 + b2.b2 * f.x2 AS pred FROM f JOIN b2 ON f.fold = b2.fold)
+"""
+
+
+def _ridge2(spark, sf_dir):
+    rows = C.select_features(_model_rows(spark, sf_dir), SEL2, out="x").select("sample_id", "x", "y")
+    folds = S.kfold(rows, 10, "kf", "sample_id")
+    st = L.collect_stats(L.gram_stats(folds, "x", "y", ["fold"], 2), ["fold"], 2)
+    coefs = L.cv_coefficients(st, 0, alpha=1.0)
+    cdf = spark.createDataFrame(coefs, T.StructType([
+        T.StructField("fold", T.LongType()), T.StructField("coef", T.ArrayType(T.DoubleType())),
+        T.StructField("intercept", T.DoubleType())]))
+    return folds, cdf
+
+
+@query("m6_ridge_cv", RIDGE2_SQL + """
+SELECT b2.fold, count(*) AS n, round(b1, 2) + 0.0 AS b1, round(b2.b2, 2) + 0.0 AS b2, round(b0, 2) + 0.0 AS b0,
+       round(avg(abs(p.y - p.pred)), 2) + 0.0 AS mae
+FROM b2 JOIN p ON b2.fold = p.fold GROUP BY b2.fold, b1, b2.b2, b0""")
+def m6_ridge_cv(spark, sf_dir):
+    """M6 + M11: ridge (alpha 1, intercept) on two weighted features, fitted
+    per fold from Gram statistics (train = total - fold); per-fold
+    coefficients and out-of-fold MAE."""
+    folds, cdf = _ridge2(spark, sf_dir)
+    pred = L.predict_with(folds, cdf, ["fold"], features="x")
+    met = pred.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"))
+    c = cdf.select("fold", F.col("coef")[0].alias("b1"), F.col("coef")[1].alias("b2"), F.col("intercept").alias("b0"))
+    return met.join(c, "fold").select("fold", "n", _r(F.col("b1"), 2).alias("b1"), _r(F.col("b2"), 2).alias("b2"),
+                                      _r(F.col("b0"), 2).alias("b0"), _r(F.col("mae"), 2).alias("mae"))
+
+
+@query("m11_pooled_metrics", RIDGE2_SQL + """
+SELECT count(*) AS n, round(avg(abs(y - pred)), 2) + 0.0 AS mae,
+       round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) + 0.0 AS r2 FROM p""")
+def m11_pooled_metrics(spark, sf_dir):
+    """M11 + A13: pooled out-of-fold MAE and R^2."""
+    folds, cdf = _ridge2(spark, sf_dir)
+    pred = L.predict_with(folds, cdf, ["fold"], features="x")
+    m = M.regression_metrics(pred)
+    return m.select("n", _r(F.col("mae"), 2).alias("mae"), _r(F.col("r2"), 6).alias("r2"))
+
+
+@query("m11_cross_validate")
+def m11_cross_validate(spark, sf_dir):
+    """M11 (G4): 64 robust-scaled features (scaler fitted on all rows, as the
+    reference's fitness does), 8 seeds x 10 folds; pooled out-of-fold R^2
+    and MAE per seed.  Coefficients from fold Gram statistics; predictions
+    row-level by a broadcast coefficient join."""
+    rows = _model_rows(spark, sf_dir, robust=True)
+    rf = S.repeated_kfold(rows, 10, EVAL_SEEDS, "sample_id")
+    st = L.collect_stats(L.gram_stats(rf, "features", "y", ["seed", "fold"], D), ["seed", "fold"], D)
+    coefs = L.cv_coefficients(st, 1, alpha=1.0)
+    cdf = spark.createDataFrame(coefs, T.StructType([
+        T.StructField("seed", T.IntegerType()), T.StructField("fold", T.LongType()),
+        T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType())]))
+    pred = L.predict_with(rf, cdf, ["seed", "fold"])
+    return M.regression_metrics(pred, ["seed"])
+
+
+def _fit_stats(spark, sf_dir):
+    rows = _model_rows(spark, sf_dir, robust=True)
+    return SS.split_stats(SS.fold_stats(rows, "features", "y", D, 10, FIT_SEEDS, "sample_id"))
+
+
+@query("m12_subset_fitness")
+def m12_subset_fitness(spark, sf_dir):
+    """Every selection record's index subset scored (mean over 4
+    repeats of pooled 10-fold ridge R^2), from broadcast fold statistics."""
+    totals, folds = _fit_stats(spark, sf_dir)
+    recs = _records(spark, sf_dir).select("rec_id", "indices")
+    return SS.subset_fitness(recs, totals, folds).select("rec_id", "fitness")
+
+
+@query("m13_subset_search")
+def m13_subset_search(spark, sf_dir):
+    """The subset search (population 192, crossover 0.8, mutation 0.1)
+    for 4 features; the dominant of every generation.  The number of
+    generations is 10 here (the reference runs 100; pass ngen to match)."""
+    totals, folds = _fit_stats(spark, sf_dir)
+    pop, dom = SS.subset_search(spark, totals, folds, D, 4, n_pop=192, cxpb=0.8, mutpb=0.1, ngen=10)
+    return dom.select("generation", "key", "fitness")
+
+
+@query("m24_feature_set_comparison")
+def m24_feature_set_comparison(spark, sf_dir):
+    """The same rows, folds and seeds scored with each feature set
+    (empirical, embedding, composition); pooled R^2 per (kind, seed) and the
+    paired difference to the composition baseline."""
+    shares = C.normalise_rows(FX.composition(spark, sf_dir))
+    wf = C.weighted_features(shares, FX.all_features(spark, sf_dir), by_kind=True)
+    comp = shares.select("sample_id", F.lit("composition").alias("kind"),
+                         F.regexp_extract("element", "(\\d+)", 1).cast("bigint").alias("feature_id"),
+                         F.col("share").alias("value"))
+    long = wf.unionByName(comp)
+    t = FX.targets(spark, sf_dir).select("sample_id", "y")
+    dims = {"empirical": 4, "embedding": D, "composition": 26}
+    out = []
+    for kind, d in dims.items():
+        part = long.where(F.col("kind") == kind)
+        if kind == "composition":
+            # absent elements are 0: dense array over brand numbers 0..25
+            m = part.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("m"))
+            arr = m.select("sample_id", F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
+                                                    lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("features"))
+        else:
+            arr = C.feature_array(part.drop("kind"))
+        rows = arr.join(t, "sample_id")
+        rf = S.repeated_kfold(rows, 10, FIT_SEEDS, "sample_id")
+        st = L.collect_stats(L.gram_stats(rf, "features", "y", ["seed", "fold"], d), ["seed", "fold"], d)
+        totals, folds = SS.split_stats(st)
+        for seed in totals:
+            out.append((kind, int(seed), float(L.pooled_r2(totals[seed], folds[seed], 1.0, standardise=True))))
+    df = spark.createDataFrame(out, "kind string, seed int, r2 double")
+    base = df.where(F.col("kind") == "composition").select("seed", F.col("r2").alias("r2_base"))
+    return df.join(base, "seed").select("kind", "seed", "r2", (F.col("r2") - F.col("r2_base")).alias("r2_gain"))
+
+
+def _all_stats(spark, sf_dir):
+    rows = _model_rows(spark, sf_dir)
+    return L.collect_stats(L.gram_stats(rows.withColumn("g", F.lit(0)), "features", "y", ["g"], D), ["g"], D)[(0,)]
+
+
+def _coef_frame(spark, name, coef, b0, extra=None):
+    rows = [(name, int(i), float(c)) for i, c in enumerate(coef)] + [(name, -1, float(b0))]
+    return spark.createDataFrame(rows, "model string, feature_id int, coef double")
+
+
+@query("m7_bayesian_ridge")
+def m7_bayesian_ridge(spark, sf_dir):
+    """M7: evidence-maximising ridge from one pass of statistics; the
+    coefficients (feature_id -1 = intercept)."""
+    coef, b0, _, _ = L.bayesian_ridge(_all_stats(spark, sf_dir))
+    return _coef_frame(spark, "bayesian_ridge", coef, b0)
+
+
+@query("m9_pls")
+def m9_pls(spark, sf_dir):
+    """M9: two-component PLS from the covariance statistics."""
+    coef, b0 = L.pls_fit(_all_stats(spark, sf_dir), 2)
+    return _coef_frame(spark, "pls", coef, b0)
+
+
+@query("m10_kernel_ridge_rff")
+def m10_kernel_ridge_rff(spark, sf_dir):
+    """RBF kernel ridge (gamma = 1/d, alpha = 1) approximated by 256
+    random Fourier features (Rahimi & Recht 2007) + ridge from Gram
+    statistics; pooled 10-fold R^2 and MAE.  Approximate by construction."""
+    n_rff = 256
+    rng = np.random.default_rng(43)
+    gamma = 1.0 / D
+    w = rng.normal(0.0, np.sqrt(2 * gamma), size=(n_rff, D))
+    b = rng.uniform(0, 2 * np.pi, size=n_rff)
+    rows = _model_rows(spark, sf_dir, robust=True)
+    bc = spark.sparkContext.broadcast((w, b))
+    schema = T.StructType([T.StructField("sample_id", T.LongType()), T.StructField("y", T.DoubleType()),
+                           T.StructField("features", T.ArrayType(T.DoubleType()))])
+
+    def rff(it):
+        ww, bb = bc.value
+        for pdf in it:
+            x = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+            z = np.sqrt(2.0 / len(bb)) * np.cos(x @ ww.T + bb)
+            yield pdf[["sample_id", "y"]].assign(features=list(z))
+    z = rows.select("sample_id", "y", "features").mapInPandas(rff, schema)
+    zf = S.kfold(z, 10, "kf", "sample_id")
+    st = L.collect_stats(L.gram_stats(zf, "features", "y", ["fold"], n_rff), ["fold"], n_rff)
+    coefs = L.cv_coefficients(st, 0, alpha=1.0)
+    cdf = spark.createDataFrame(coefs, "fold bigint, coef array<double>, intercept double")
+    pred = L.predict_with(zf, cdf, ["fold"])
+    return M.regression_metrics(pred)
+
+
+KNN_SQL = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS DOUBLE) AS y,
+                  {sql_uniform('knn', 'vec_id')} < 0.8 AS is_train FROM embeddings),
+pairs AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.y, list_distance(q.x, t.x) AS d
+          FROM v q JOIN v t ON NOT q.is_train AND t.is_train),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, tid) AS rn FROM pairs) WHERE rn <= 5)
+SELECT qid AS vec_id, round(CASE WHEN count_if(d = 0) > 0 THEN sum(CASE WHEN d = 0 THEN y END) / count_if(d = 0)
+       ELSE sum(y / d) / sum(1.0 / d) END, 6) + 0.0 AS pred
+FROM top GROUP BY qid"""
+
+
+@query("j8_knn_predict", KNN_SQL)
+def j8_knn_predict(spark, sf_dir):
+    """Label of each held-out embedding predicted from its 5 nearest
+    training embeddings (inverse-distance weights)."""
+    v = FX.vectors(spark, sf_dir).withColumn("is_train", uniform("knn", F.col("vec_id")) < 0.8)
+    train = v.where("is_train").select("vec_id", "features", F.col("label").cast("double").alias("y"))
+    q = v.where(~F.col("is_train")).select("vec_id", "features")
+    p = knn_predict(q, train, k=5, id_col="vec_id")
+    return p.select("vec_id", _r(F.col("pred"), 6).alias("pred"))
+
