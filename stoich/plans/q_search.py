@@ -1 +1,302 @@
-"""(filled in below)"""
+"""Candidate-search queries: X11, X13, X14, X17-X20, J7, G6, G7, U1, F8,
+M20, L4, M22."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stoich.functions.numeric import round_bin, sql_round_bin
+from stoich.functions.rng import sql_uniform, uniform
+from stoich.operators import candidates as CA
+from stoich.operators import composition as C
+from stoich.operators import sampling as S
+from stoich.operators.gp import gp_score
+from stoich.plans.catalog import query, with_ctes
+from stoich.plans.q_composition import SHARES_SQL
+from stoich.session import cut_lineage
+from stoich.sources import fixtures as FX
+from stoich.sources.tables import table
+
+# The six elements of the candidate space and their bounds.
+ELEMS6 = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6"]
+LO6 = [0.20, 0.20, 0.0, 0.0, 0.0, 0.0]
+HI6 = [0.55, 0.55, 0.20, 0.20, 0.10, 0.20]
+# Element constraints for the bounds table (one reversed, one
+# outside [0, 1]).
+CONSTRAINTS = [("Brand#1", 0.20, 0.55), ("Brand#2", 0.20, 0.55), ("Brand#3", 0.0, 0.20),
+               ("Brand#7", 0.30, 0.10), ("Brand#8", -0.20, 1.50)]
+W_TARGET = [0.9, -0.4, 1.3, 0.2, -1.1, 0.6]   # linear stand-in target over a composition
+
+
+def _r6(c):
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def _comp6(spark, sf_dir):
+    """(sample_id, comp array<double>[6]): the six brands' shares of each
+    order, renormalised over those six (orders holding none are dropped)."""
+    wide = C.select_labels(FX.composition(spark, sf_dir), ELEMS6)
+    cols = [F.col(C.safe_name(e)) for e in ELEMS6]
+    tot = sum(cols[1:], cols[0])
+    return wide.where(tot > 0).select("sample_id", F.array(*[c / tot for c in cols]).alias("comp"))
+
+
+COMP6_SQL = with_ctes(FX.C1_SQL) + """,
+w6 AS (SELECT sample_id, """ + ", ".join(
+    f"coalesce(sum(CASE WHEN element = '{e}' THEN amount END), 0.0) AS e{i}" for i, e in enumerate(ELEMS6)) + """
+  FROM composition GROUP BY sample_id),
+comp6 AS (SELECT sample_id, [""" + ", ".join(f"e{i} / (e0 + e1 + e2 + e3 + e4 + e5)" for i in range(6)) + """] AS comp
+  FROM w6 WHERE e0 + e1 + e2 + e3 + e4 + e5 > 0)"""
+
+
+def _key(arr):
+    return C.composition_key(arr, 4)
+
+
+def _sql_key(arr):
+    return f"array_to_string(list_transform({arr}, lambda v: printf('%.4f', round_even(v, 4) + 0.0)), '*')"
+
+
+@query("x11_multi_objective", f"""
+SELECT l_orderkey, l_linenumber, l_partkey,
+  round((l_quantity / 35.0 + (50.0 - abs(l_extendedprice / 100 - l_extendedprice * l_discount)) / 50.0
+        + (50.0 - abs(300.0 - (l_extendedprice * l_discount + l_extendedprice / 100) / 2)) / 50.0) / 3.0, 6) + 0.0 AS score
+FROM lineitem""")
+def x11_multi_objective(spark, sf_dir):
+    """X11 with en = quantity, ap = price / 100, mp = price x discount."""
+    li = table(spark, sf_dir, "lineitem")
+    s = CA.multi_objective(F.col("l_quantity"), F.col("l_extendedprice") / 100,
+                           F.col("l_extendedprice") * F.col("l_discount"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", _r6(s).alias("score"))
+
+
+EI_SQL = """ei_in AS (SELECT o_orderkey, o_orderstatus, o_totalprice / 1e5 AS mean, (o_custkey % 7) / 10.0 AS std FROM orders),
+ymax AS (SELECT max(mean) AS y_max FROM ei_in WHERE o_orderstatus = 'F'),
+ei_t AS (SELECT o_orderkey, mean, std, mean - y_max AS a, (mean - y_max) / std AS z FROM ei_in, ymax
+         WHERE o_orderstatus <> 'F'),
+erf_t AS (SELECT *, 1.0 / (1.0 + 0.3275911 * abs(z / sqrt(2.0))) AS t FROM ei_t),
+erf_v AS (SELECT *, sign(z) * (1.0 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027
+          + t * 1.061405429)))) * exp(-(z / sqrt(2.0)) * (z / sqrt(2.0)))) AS e FROM erf_t)"""
+
+
+def _ei_input(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") / 1e5).alias("mean"),
+                                              ((F.col("o_custkey") % 7) / 10.0).alias("std"))
+    ymax = o.where(F.col("o_orderstatus") == "F").agg(F.max("mean").alias("y_max")).withColumn("_k", F.lit(1))
+    return o.where(F.col("o_orderstatus") != "F").withColumn("_k", F.lit(1)).join(F.broadcast(ymax), "_k").drop("_k")
+
+
+@query("x13_expected_improvement", f"""WITH {EI_SQL}
+SELECT o_orderkey, round(CASE WHEN std > 1e-6 THEN a * 0.5 * (1.0 + CASE WHEN z >= 0 THEN abs(e) ELSE -abs(e) END)
+  + std * exp(-0.5 * z * z) / sqrt(2 * pi()) ELSE 0.0 END, 6) + 0.0 AS ei FROM erf_v""")
+def x13_expected_improvement(spark, sf_dir):
+    """EI of open orders against the best filled one (std 0 -> 0)."""
+    d = _ei_input(spark, sf_dir)
+    return d.select("o_orderkey", _r6(CA.expected_improvement(F.col("mean"), F.col("std"), F.col("y_max"))).alias("ei"))
+
+
+@query("x14_ucb", f"""
+SELECT o_orderkey, {sql_round_bin('o_totalprice / 1e5 + 1.92 * ((o_custkey % 7) / 10.0)', 6)} + 0.0 AS ucb FROM orders""")
+def x14_ucb(spark, sf_dir):
+    """Mean + 1.92 std (values with exact 7-digit decimal ties, so the
+    output rounding is done on the binary value in both engines)."""
+    o = table(spark, sf_dir, "orders")
+    u = CA.ucb(F.col("o_totalprice") / 1e5, (F.col("o_custkey") % 7) / 10.0)
+    return o.select("o_orderkey", (round_bin(u, 6) + F.lit(0.0)).alias("ucb"))
+
+
+def _lit_list(xs):
+    """A DOUBLE list literal (a bare [0.1, ...] literal is DECIMAL in DuckDB)."""
+    return "CAST([" + ", ".join(repr(float(x)) for x in xs) + "] AS DOUBLE[])"
+
+
+def _sql_opts():
+    return (f"list_transform(comp, lambda c, i: list_sort(list_distinct(["
+            f"least(greatest(floor(c / 0.001) * 0.001, {_lit_list(LO6)}[i]), {_lit_list(HI6)}[i]), "
+            f"least(greatest(ceil(c / 0.001) * 0.001, {_lit_list(LO6)}[i]), {_lit_list(HI6)}[i])])))")
+
+
+@query("x17_grid_options", COMP6_SQL + f"""
+SELECT sample_id, array_to_string(list_transform({_sql_opts()},
+    lambda o: array_to_string(list_transform(o, lambda v: printf('%.4f', round_even(v, 4) + 0.0)), '/')), ' ') AS options
+FROM comp6""")
+def x17_grid_options(spark, sf_dir):
+    """floor/ceil 0.001-grid neighbours of each share, clipped."""
+    c = _comp6(spark, sf_dir)
+    o = CA.grid_options(F.col("comp"), LO6, HI6)
+    return c.select("sample_id", F.array_join(F.transform(o, lambda a: F.array_join(
+        F.transform(a, lambda v: F.format_string("%.4f", F.bround(v, 4) + F.lit(0.0))), "/")), " ").alias("options"))
+
+
+@query("j7_snap_neighbours", COMP6_SQL + f""",
+o AS (SELECT sample_id, {_sql_opts()} AS opts FROM comp6),
+x AS (SELECT o.sample_id, [a1, a2, a3, a4, a5, a6] AS c FROM o,
+      LATERAL (SELECT unnest(o.opts[1]) AS a1) t1, LATERAL (SELECT unnest(o.opts[2]) AS a2) t2,
+      LATERAL (SELECT unnest(o.opts[3]) AS a3) t3, LATERAL (SELECT unnest(o.opts[4]) AS a4) t4,
+      LATERAL (SELECT unnest(o.opts[5]) AS a5) t5, LATERAL (SELECT unnest(o.opts[6]) AS a6) t6)
+SELECT sample_id, {_sql_key('c')} AS comp_key FROM x
+WHERE abs(list_reduce(c, lambda a, b: a + b) - 1.0) < 1e-6""")
+def j7_snap_neighbours(spark, sf_dir):
+    """Grid neighbour combinations summing to 1 (<= 64 per order)."""
+    c = _comp6(spark, sf_dir)
+    s = c.select("sample_id", F.explode(CA.snap_neighbours(F.col("comp"), LO6, HI6)).alias("c"))
+    return s.select("sample_id", _key(F.col("c")).alias("comp_key"))
+
+
+def _constraints(spark):
+    return spark.createDataFrame(CONSTRAINTS, "element string, lo double, hi double")
+
+
+@query("x18_bounds_table", """
+WITH c AS (SELECT * FROM (VALUES """ + ", ".join(f"('{e}', {lo}, {hi})" for e, lo, hi in CONSTRAINTS) + """) t(element, lo, hi)),
+l AS (SELECT DISTINCT p_brand AS element FROM part),
+b AS (SELECT l.element, least(greatest(coalesce(CAST(c.lo AS DOUBLE), 0.0), 0.0), 1.0) AS lo,
+             least(greatest(coalesce(CAST(c.hi AS DOUBLE), 1.0), 0.0), 1.0) AS hi FROM l LEFT JOIN c ON l.element = c.element)
+SELECT element, least(lo, hi) AS lo, greatest(lo, hi) AS hi FROM b""")
+def x18_bounds_table(spark, sf_dir):
+    """Bounds for every element present in ``part``."""
+    labels = table(spark, sf_dir, "part").select(F.col("p_brand").alias("element")).distinct()
+    return CA.bounds_table(labels, _constraints(spark))
+
+
+def _perturbed(spark, sf_dir):
+    c = _comp6(spark, sf_dir)
+    return c.select("sample_id", F.transform("comp", lambda v, i: v + F.lit(0.05) * (
+        uniform("perturb", F.col("sample_id"), i) - F.lit(0.5))).alias("x"))
+
+
+@query("x19_project_simplex")
+def x19_project_simplex(spark, sf_dir):
+    """Perturbed compositions projected back onto the bounded simplex
+    (bisection as a higher-order aggregate, 100 steps); the sum is 1 and
+    every component within its bounds.  Checked by invariants and against a
+    numpy bisection in the tests."""
+    p = _perturbed(spark, sf_dir)
+    proj = CA.project_capped_simplex(F.col("x"), LO6, HI6)
+    return p.select("sample_id", F.array_join(F.transform(proj, lambda v: F.format_string("%.6f", F.bround(v, 6) + F.lit(0.0))), "*").alias("proj"),
+                    _r6(F.aggregate(proj, F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
+def _seq_sum(lst):
+    """Left-to-right sum (the order the Spark aggregate uses); 0 if empty."""
+    return f"(CASE WHEN len({lst}) = 0 THEN 0.0 ELSE list_reduce({lst}, lambda a, b: a + b) END)"
+
+
+@query("x20_feasible_interval", COMP6_SQL + f""",
+l AS (SELECT sample_id, unnest(range(6)) AS i, comp FROM comp6)
+SELECT sample_id, CAST(i AS INTEGER) AS i,
+  {sql_round_bin(f"greatest({_lit_list(LO6)}[i + 1], 1.0 - {_seq_sum('comp[1:i]')} - {_seq_sum(_lit_list(HI6) + '[i + 2:6]')})", 4)} + 0.0 AS lo,
+  {sql_round_bin(f"least({_lit_list(HI6)}[i + 1], 1.0 - {_seq_sum('comp[1:i]')})", 4)} + 0.0 AS hi
+FROM l""")
+def x20_feasible_interval(spark, sf_dir):
+    """The feasible interval of each component given the ones before."""
+    c = _comp6(spark, sf_dir)
+    iv = CA.feasible_interval(F.col("comp"), LO6, HI6)
+    return c.select("sample_id", F.posexplode(iv).alias("i", "iv")).select(
+        "sample_id", "i", (F.col("iv.lo") + F.lit(0.0)).alias("lo"), (F.col("iv.hi") + F.lit(0.0)).alias("hi"))
+
+
+def _g6_sql(n=100):
+    grids = [CA.grid_values(LO6[i], HI6[i], 0.001) for i in range(5)]
+    picks = ", ".join(f"{_lit_list(g)}[CAST(floor({sql_uniform('rej', 'o_orderkey', i)} * {len(g)}) AS BIGINT) + 1]"
+                      for i, g in enumerate(grids))
+    return f"""WITH p AS (SELECT o_orderkey, [{picks}] AS c FROM orders),
+q AS (SELECT o_orderkey, c, list_reduce(list_transform(c, lambda v, i: {{'s': list_sum(c[1:i]), 'ok': list_sum(c[1:i]) <= 1.0 + 1e-6}}),
+        lambda a, b: {{'s': b.s, 'ok': a.ok AND b.ok}}) AS r FROM p),
+acc AS (SELECT o_orderkey, list_append(c, round(1.0 - list_sum(c), 4)) AS comp FROM q
+        WHERE r.ok AND round(1.0 - list_sum(c), 4) >= {LO6[-1]} AND round(1.0 - list_sum(c), 4) <= {HI6[-1]}),
+k AS (SELECT DISTINCT {_sql_key('comp')} AS comp_key FROM acc)
+SELECT comp_key FROM k ORDER BY {sql_uniform('g6', 'comp_key')}, comp_key LIMIT {n}"""
+
+
+@query("g6_reject_sample", _g6_sql())
+def g6_reject_sample(spark, sf_dir):
+    """One rejection-sampling attempt per order, distinct keys, the
+    first 100 in hash order (sampling is the feature)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    acc = CA.reject_sample(o, "o_orderkey", LO6, HI6)
+    keys = acc.select(_key(F.col("comp")).alias("comp_key")).distinct()
+    return S.exact_sample(keys, 100, "g6", "comp_key")
+
+
+@query("g7_feasible_sample")
+def g7_feasible_sample(spark, sf_dir):
+    """One always-feasible composition per order (sequential picks in
+    the X20 interval); invariants: sum 1, within bounds."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    s = CA.feasible_sample(o, "o_orderkey", LO6, HI6)
+    return s.select("o_orderkey", _key(F.col("comp")).alias("comp_key"),
+                    _r6(F.aggregate("comp", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
+def _target(comp):
+    return F.aggregate(F.zip_with(comp, F.array(*[F.lit(w) for w in W_TARGET]), lambda a, b: a * b),
+                       F.lit(0.0), lambda s, v: s + v)
+
+
+@query("u1_union_points", COMP6_SQL + f""",
+f AS (SELECT sample_id, comp, o_orderstatus AS st FROM comp6 JOIN orders ON sample_id = o_orderkey),
+pts AS (SELECT CASE WHEN st = 'F' THEN 'external' ELSE 'local' END AS set, sample_id,
+               list_sum(list_transform(comp, lambda v, i: v * {_lit_list(W_TARGET)}[i])) AS pred FROM f)
+SELECT set, sample_id, round(pred, 6) + 0.0 AS pred FROM pts WHERE set = 'external' OR pred >= 0.2""")
+def u1_union_points(spark, sf_dir):
+    """U1 + F8: local points (open orders) and external points (filled
+    orders) in one table with a set tag; local points below the threshold
+    are dropped, external ones always kept."""
+    c = _comp6(spark, sf_dir).join(table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("sample_id"), "o_orderstatus"), "sample_id")
+    ext = c.where(F.col("o_orderstatus") == "F").select(F.lit("external").alias("set"), "sample_id",
+                                                           _target(F.col("comp")).alias("pred"))
+    loc = c.where(F.col("o_orderstatus") != "F").select(F.lit("local").alias("set"), "sample_id",
+                                                           _target(F.col("comp")).alias("pred"))
+    u = ext.unionByName(loc)
+    return u.where((F.col("set") == "external") | (F.col("pred") >= 0.2)).select(
+        "set", "sample_id", _r6(F.col("pred")).alias("pred"))
+
+
+def _history(spark, sf_dir, n=40):
+    c = _comp6(spark, sf_dir).join(table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("sample_id"), "o_orderstatus"), "sample_id")
+    h = S.exact_sample(c.where(F.col("o_orderstatus") == "F"), n, "hist", "sample_id")
+    return h.select("sample_id", "comp", _target(F.col("comp")).alias("y"))
+
+
+@query("m20_gp_score")
+def m20_gp_score(spark, sf_dir):
+    """M20 + X13 + L4: a GP (Matern 5/2) fitted on 40 observed compositions
+    scores every feasible candidate (G7, one per order); EI against the best
+    observed; the 5 best untried candidates."""
+    hist = _history(spark, sf_dir)
+    cands = CA.feasible_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", LO6, HI6)
+    cands = cands.withColumn("comp_key", _key(F.col("comp")))
+    scored = gp_score(cands, hist, "comp", "y", length_scale=0.2)
+    y_max = hist.agg(F.max("y").alias("y_max")).withColumn("_k", F.lit(1))
+    scored = scored.withColumn("_k", F.lit(1)).join(F.broadcast(y_max), "_k").withColumn(
+        "ei", CA.expected_improvement(F.col("mean"), F.col("std"), F.col("y_max")))
+    known = hist.select(_key(F.col("comp")).alias("comp_key"))
+    top = CA.rank_by_acquisition(scored, known, "comp_key", "ei", 5)
+    return top.select("comp_key", _r6(F.col("mean")).alias("mean"), _r6(F.col("std")).alias("std"),
+                      _r6(F.col("ei")).alias("ei"))
+
+
+@query("m22_search_rounds")
+def m22_search_rounds(spark, sf_dir):
+    """M22 (+M21, J4, J5, W1): 5 rounds of a batch of 2 proposals: GP on the
+    history, EI over the candidate table, untried best q (each proposal gets
+    its predicted mean as an imagined target before the next), then the
+    true targets (a column expression) are registered; best-so-far per
+    round.  Only the history (hundreds of rows) crosses rounds."""
+    from stoich.operators.gp import propose_batch
+    hist = cut_lineage(_history(spark, sf_dir).withColumn("round", F.lit(0)))
+    cands = cut_lineage(CA.feasible_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey",
+                                           LO6, HI6).withColumn("comp_key", _key(F.col("comp"))))
+    for rnd in range(1, 6):
+        picks = propose_batch(cands, hist, "comp", "y", q=2, key="comp_key", length_scale=0.2)
+        new = picks.select("comp", _target(F.col("comp")).alias("y"), F.lit(rnd).alias("round"))
+        hist = cut_lineage(hist.select("comp", "y", "round").unionByName(new))
+    w = hist.groupBy("round").agg(F.max("y").alias("round_best"))
+    from pyspark.sql import Window
+    # rounds are few (a parameter): a window over the per-round table
+    return w.select("round", _r6(F.max("round_best").over(Window.orderBy("round").rowsBetween(
+        Window.unboundedPreceding, 0))).alias("best_so_far"))
+
