@@ -27,6 +27,9 @@ PY_SPACE_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000
 # Whitespace for clean_text - tab, LF, CR, category Zs, and the
 # line / paragraph separators.
 WS_CLASS = r"[\t\n\r\p{Zs}\x{2028}\x{2029}]"
+# The same set without U+0020 (category Zs enumerated: U+00A0, U+1680,
+# U+2000-U+200A, U+202F, U+205F, U+3000).
+WS_NON_SPACE = r"[\t\n\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{2028}\x{2029}]"
 # Removed by clean_text - NUL, U+FFFD and every "other"
 # category character (Cc, Cf, Co, Cn); tab/LF/CR were turned into spaces first.
 DROP_CLASS = r"[\x{0}\x{FFFD}\p{C}]"
@@ -46,14 +49,22 @@ def strip_py(text: Column) -> Column:
     return F.regexp_replace(text, f"^{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+$", "")
 
 
+def _guarded(text: Column, pattern: str, replacement: str) -> Column:
+    """regexp_replace only on rows that contain a match: a find is cheaper
+    than a replace (no copy), and most rows have nothing to replace."""
+    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, replacement)).otherwise(text)
+
+
 def clean_text(text: Column) -> Column:
-    """Whitespace -> one space each; drop NUL, U+FFFD, control/format."""
-    return F.regexp_replace(F.regexp_replace(text, WS_CLASS, " "), DROP_CLASS, "")
+    """Whitespace -> one space each; drop NUL, U+FFFD, control/format.
+    The plain space maps to itself, so only the other whitespace characters
+    (WS_NON_SPACE, the same set as WS_CLASS) trigger a replace."""
+    return _guarded(_guarded(text, WS_NON_SPACE, " "), DROP_CLASS, "")
 
 
 def pad_cjk(text: Column) -> Column:
     """A space on each side of every CJK ideograph."""
-    return F.regexp_replace(text, CJK_CLASS, " $0 ")
+    return _guarded(text, CJK_CLASS, " $0 ")
 
 
 @functools.lru_cache(maxsize=1)
@@ -105,11 +116,16 @@ def strip_accents(text: Column) -> Column:
     """Canonical decomposition, then drop non-spacing marks (Mn); no
     recomposition.  translate() covers one-to-one results, a regex drops
     marks already decomposed, and the rare rows with a multi-character
-    decomposition go through the pandas UDF."""
+    decomposition go through the pandas UDF.  Cheap single-range tests skip
+    the work for rows that cannot change: nothing below U+00C0 decomposes,
+    and every Mn mark and multi-character case is at or above U+0300."""
     src, dst, multi_cls = _accent_maps()
-    native = F.regexp_replace(F.translate(text, src, dst), r"\p{Mn}", "")
-    needs = text.rlike(multi_cls)
-    return F.when(needs, _strip_udf(F.when(needs, text))).otherwise(native)
+    base = F.translate(text, src, dst)
+    high = text.rlike(r"[^\x{0}-\x{2FF}]")
+    needs = high & text.rlike(multi_cls)
+    with_marks = F.when(needs, _strip_udf(F.when(needs, text))).otherwise(
+        F.regexp_replace(base, r"\p{Mn}", ""))
+    return F.when(text.rlike(r"[^\x{0}-\x{BF}]"), F.when(high, with_marks).otherwise(base)).otherwise(text)
 
 
 def normalise_text(text: Column, lowercase: bool = False, strip: bool = True,

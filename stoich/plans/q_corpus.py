@@ -14,6 +14,7 @@ from stoich.functions.rng import sql_uniform
 from stoich.operators import corpus as K
 from stoich.operators import sampling as S
 from stoich.plans.catalog import query
+from stoich.session import cut_lineage
 from stoich.sources.tables import table
 
 SPLIT_NAMES = {"train": "train", "eval": "val"}
@@ -72,8 +73,10 @@ def _vocab(spark, sf_dir):
 
 
 def _ids(spark, sf_dir):
-    n = _norm(spark, sf_dir)
-    return n, K.token_rows(n, K.vocabulary(n.where(F.col("split") == "train")))
+    """Normalised lines and their token rows, each materialised once in the
+    shared checkpoint folder (both are read several times downstream)."""
+    n = cut_lineage(_norm(spark, sf_dir))
+    return n, cut_lineage(K.token_rows(n, K.vocabulary(n.where(F.col("split") == "train"))))
 
 
 @query("s1_read_lines", f"WITH {LINES_SQL}\nSELECT doc_id, line_no, text FROM lines1")
