@@ -8,6 +8,7 @@ from stoich.operators import composition as C
 from stoich.operators.ordering import global_rank
 from stoich.plans.catalog import query, with_ctes
 from stoich.sources import fixtures as FX
+from stoich.sources.tables import table
 
 # The label lists used by the composition queries.
 ALL_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
@@ -259,3 +260,96 @@ def u2_distinct_compositions(spark, sf_dir):
     """Distinct compositions by rounded key, first-seen id kept."""
     return _sig(spark, sf_dir).groupBy("signature").agg(
         F.min("sample_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+
+
+# -- loaders' filters on the process / target table (F4-F6) -----------------
+
+PROC_SQL = """proc AS (SELECT sample_id, y, proc_1, proc_2, CAST(floor(y) % 3 AS BIGINT) AS proc_3 FROM targets)"""
+
+
+def _proc(spark, sf_dir):
+    return FX.targets(spark, sf_dir).withColumn("proc_3", (F.floor("y") % 3).cast("bigint"))
+
+
+@query("f4_drop_zero_process", with_ctes(FX.C4_SQL, PROC_SQL) + """
+SELECT sample_id FROM proc WHERE NOT (proc_2 = 0 AND proc_3 = 0)""")
+def f4_drop_zero_process(spark, sf_dir):
+    """drop rows whose process values (after the first) are all zero."""
+    p = _proc(spark, sf_dir)
+    return p.where(~((F.col("proc_2") == 0) & (F.col("proc_3") == 0))).select("sample_id")
+
+
+@query("f5_standard_process", with_ctes(FX.C4_SQL, PROC_SQL) + """
+SELECT sample_id FROM proc WHERE proc_1 = 'O' AND proc_2 = 3 AND proc_3 = 1""")
+def f5_standard_process(spark, sf_dir):
+    """the standard process only (three equality tests)."""
+    p = _proc(spark, sf_dir)
+    return p.where((F.col("proc_1") == "O") & (F.col("proc_2") == 3) & (F.col("proc_3") == 1)).select("sample_id")
+
+
+@query("f6_modal_process", with_ctes(FX.C4_SQL, PROC_SQL) + """,
+c AS (SELECT proc_1, proc_2, count(*) AS n, min(sample_id) AS first_id FROM proc GROUP BY 1, 2),
+m AS (SELECT proc_1, proc_2 FROM c ORDER BY n DESC, first_id LIMIT 1)
+SELECT p.sample_id, p.proc_1, p.proc_2 FROM proc p JOIN m ON p.proc_1 = m.proc_1 AND p.proc_2 = m.proc_2""")
+def f6_modal_process(spark, sf_dir):
+    """keep the rows with the most common condition vector (ties: the
+    vector seen first).  Counting is a partial aggregate; the modal vector
+    is one row, joined back by broadcast."""
+    p = _proc(spark, sf_dir)
+    c = p.groupBy("proc_1", "proc_2").agg(F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first_id"))
+    m = c.orderBy(F.col("n").desc(), F.col("first_id")).limit(1).select("proc_1", "proc_2")
+    return p.join(F.broadcast(m), ["proc_1", "proc_2"], "left_semi").select("sample_id", "proc_1", "proc_2")
+
+
+@query("s6_element_features", with_ctes(FX.C2_SQL) + """,
+l AS (SELECT element, list(value ORDER BY feature_id) AS v FROM efeat GROUP BY element)
+SELECT element, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS pos, unnest(v) AS value FROM l""")
+def s6_element_features(spark, sf_dir):
+    """Per element, its features as an array in feature order (one
+    bounded list per element), exploded back with positions."""
+    arr = C.feature_array(FX.embedding_features(spark, sf_dir), key="element")
+    return arr.select("element", F.posexplode("features").alias("pos", "value")).select(
+        "element", F.col("pos").cast("bigint").alias("pos"), "value")
+
+
+def _messy_wide(spark, sf_dir):
+    """A wide composition table with the headers an external sheet might
+    have (spaces, case, '%'), one label (Brand#11) absent."""
+    w = C.select_labels(FX.composition(spark, sf_dir), LABELS_11[:10])
+    return w.select("sample_id", *[F.col(C.safe_name(lab)).alias(f" {lab.lower()}%") for lab in LABELS_11[:10]])
+
+
+def _s8_sql():
+    tot = " + ".join(f"coalesce(sum(CASE WHEN element = '{lab}' THEN amount END), 0.0)" for lab in LABELS_11[:10])
+    parts = ", ".join(
+        f"printf('%.4f', round_even(coalesce(sum(CASE WHEN element = '{lab}' THEN amount END), 0.0) / ({tot}), 4) + 0.0)"
+        for lab in LABELS_11[:10])
+    return with_ctes(FX.C1_SQL) + f"""
+SELECT sample_id AS row_id, concat_ws('*', {parts}, '0.0000') AS comp_key FROM composition GROUP BY sample_id
+HAVING {tot} > 0"""
+
+
+@query("s8_external_compositions", _s8_sql())
+def s8_external_compositions(spark, sf_dir):
+    """Messy headers normalised (X5), an absent element filled with 0,
+    rows normalised to sum 1, zero-sum rows dropped."""
+    from stoich.sources import io as IO
+    e = IO.external_compositions(_messy_wide(spark, sf_dir), LABELS_11, id_col="sample_id")
+    return e.select("row_id", C.composition_key(F.col("comp"), 4).alias("comp_key"))
+
+
+@query("x10_half_even_round", f"""
+SELECT l_orderkey, l_linenumber, l_partkey,
+  {'{}'.format('(round_even((l_extendedprice * l_discount) * 10000.0, 0) / 10000.0)')} + 0.0 AS r4,
+  (round_even((l_extendedprice * l_discount) * 1000.0, 0) / 1000.0) + 0.0 AS r3,
+  (round_even((l_quantity / 7.0) * 100000000.0, 0) / 100000000.0) + 0.0 AS r8
+FROM lineitem""")
+def x10_half_even_round(spark, sf_dir):
+    """Half-even rounding of the binary value to 4, 3 and 8 places
+    (the semantics of Python's round; ties like 0.0005 are exact here)."""
+    from stoich.functions.numeric import round_bin
+    li = table(spark, sf_dir, "lineitem")
+    v = F.col("l_extendedprice") * F.col("l_discount")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", (round_bin(v, 4) + F.lit(0.0)).alias("r4"),
+                     (round_bin(v, 3) + F.lit(0.0)).alias("r3"),
+                     (round_bin(F.col("l_quantity") / 7.0, 8) + F.lit(0.0)).alias("r8"))

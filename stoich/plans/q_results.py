@@ -457,3 +457,34 @@ def a5_split_counts(spark, sf_dir):
     return t.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(a).alias("n_after_status"),
                  F.count_if(b).alias("n_after_proc"), F.count_if(~b).alias("n_deleted"))
 
+
+
+def _written_scores(spark, sf_dir):
+    """K3 then S9: scores written as prop_id=/f_n= folders in the shared
+    checkpoint folder, then read back with partition discovery."""
+    import uuid
+
+    from stoich.session import ensure_checkpoint_dir
+    from stoich.sources import io as IO
+    path = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    IO.partition_results(_scores(spark, sf_dir), path)
+    return IO.read_results(spark, path)
+
+
+@query("s9_read_results", with_ctes(FX.C6_SQL) + """
+SELECT exp_id, prop_id, f_n, traj_id, kind, model, seed, score FROM scores""")
+def s9_read_results(spark, sf_dir):
+    """K3 + S9: experiment scores round-tripped through key=value folders."""
+    r = _written_scores(spark, sf_dir)
+    return r.select("exp_id", F.col("prop_id").cast("bigint").alias("prop_id"), F.col("f_n").cast("bigint").alias("f_n"),
+                    "traj_id", "kind", "model", "seed", "score")
+
+
+@query("s10_lookup", with_ctes(FX.C6_SQL) + """
+SELECT exp_id, traj_id, kind, score FROM scores WHERE prop_id = 1 AND f_n = 3""")
+def s10_lookup(spark, sf_dir):
+    """The records of one (prop_id, f_n) - partition pruning on the
+    written folders (error if none)."""
+    from stoich.sources import io as IO
+    r = IO.lookup(_written_scores(spark, sf_dir), 1, 3)
+    return r.select("exp_id", "traj_id", "kind", "score")
