@@ -300,3 +300,95 @@ def m22_search_rounds(spark, sf_dir):
     return w.select("round", _r6(F.max("round_best").over(Window.orderBy("round").rowsBetween(
         Window.unboundedPreceding, 0))).alias("best_so_far"))
 
+
+
+# Which base element each further element substitutes (the
+# third and fifth of the six take from the first, the others from the
+# second) and the range of the first element.
+SUB_OF = [0, 1, 1, 0, 1, 0]
+FIRST_RANGE = (1.0 - 0.55, 0.55)
+
+
+@query("g8_substitution_sample")
+def g8_substitution_sample(spark, sf_dir):
+    """One substitution-sampling attempt per order; the accepted
+    compositions sum to 1 (rounding aside) and respect the bounds."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    s = CA.substitution_sample(o, "o_orderkey", LO6, HI6, SUB_OF, FIRST_RANGE)
+    return s.select("o_orderkey", _key(F.col("comp")).alias("comp_key"),
+                    _r6(F.aggregate("comp", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
+def _walk_points(spark, sf_dir):
+    c = _comp6(spark, sf_dir).join(table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("sample_id"), "o_orderstatus"), "sample_id")
+    return c.where(F.col("o_orderstatus") == "F").select("sample_id", "comp")
+
+
+def _local_samples(spark, sf_dir, per_point=1000):
+    w = CA.local_grid_walk(_walk_points(spark, sf_dir), "sample_id", "comp", LO6, HI6, step=0.01,
+                           per_point=per_point, radius=3)
+    u = w.select("units").distinct()
+    return u.select(CA.project_capped_simplex(F.transform("units", lambda x: x / 100.0), LO6, HI6).alias("comp"))
+
+
+@query("g9_local_grid_walk")
+def g9_local_grid_walk(spark, sf_dir):
+    """G9 + X19: 1000 walks of up to 3 unit moves (step 0.01) around every
+    filled order's composition, de-duplicated over all points, projected;
+    invariants: sum 1, inside the bounds."""
+    s = _local_samples(spark, sf_dir)
+    return s.select(_key(F.col("comp")).alias("comp_key"),
+                    _r6(F.aggregate("comp", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
+@query("m19_local_scatter_table")
+def m19_local_scatter_table(spark, sf_dir):
+    """Local samples (G9) and external points (filled orders) scored by
+    a ridge model on weighted features (J1 over the six brands, fitted from
+    Gram statistics on all orders), projected to two PCA axes fitted on the
+    local samples (M18), local points below the threshold dropped (F8), the
+    two sets unioned with a tag (U1)."""
+    from stoich.operators import linear as L
+    from stoich.operators import models as ML
+    feats = FX.embedding_features(spark, sf_dir).where(F.col("element").isin(ELEMS6))
+    fmat = [r["f"] for r in feats.groupBy("element").agg(F.array_sort(F.collect_list(
+        F.struct("feature_id", "value"))).alias("fv")).select(
+        "element", F.transform("fv", lambda s: s["value"]).alias("f")).orderBy(
+        F.expr("cast(substring(element, 7) as int)")).collect()]
+
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    fm = np.asarray(fmat, dtype=float)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def wf_udf(s: pd.Series) -> pd.Series:
+        # weighted features of six-brand compositions: comp @ F, per Arrow batch
+        if s.empty:
+            return s
+        return pd.Series(list(np.stack(s.to_numpy()).astype(float) @ fm))
+
+    def wf(comp):
+        return wf_udf(comp)
+
+    train = _comp6(spark, sf_dir).join(FX.targets(spark, sf_dir).select("sample_id", "y"), "sample_id") \
+        .select("sample_id", wf(F.col("comp")).alias("features"), "y")
+    st = L.collect_stats(L.gram_stats(train.withColumn("g", F.lit(0)), "features", "y", ["g"], len(fmat[0])),
+                         ["g"], len(fmat[0]))[(0,)]
+    beta, b0 = L.ridge_fit(st, 1.0, standardise=True)
+    coef = F.array(*[F.lit(float(b)) for b in beta])
+
+    def score(df):
+        f = wf(F.col("comp"))
+        return df.withColumn("features", f).withColumn("pred", F.aggregate(
+            F.zip_with("features", coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.lit(b0))
+
+    local = score(_local_samples(spark, sf_dir)).withColumn("set", F.lit("local"))
+    ext = score(_walk_points(spark, sf_dir).select("comp")).withColumn("set", F.lit("external"))
+    local_v = ML.as_ml(local, label=None)
+    both = ML.as_ml(local.unionByName(ext), label=None)
+    pc = ML.pca_2d(both, fit_on=local_v)
+    thr = 0.0
+    return pc.where((F.col("set") == "external") | (F.col("pred") >= thr)).select(
+        "set", _key(F.col("comp")).alias("comp_key"), "pred", "pc1", "pc2")
