@@ -3,7 +3,10 @@ M20, L4, M22."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stoich.functions.numeric import round_bin, sql_round_bin
 from stoich.functions.rng import sql_uniform, uniform
@@ -357,9 +360,6 @@ def m19_local_scatter_table(spark, sf_dir):
         "element", F.transform("fv", lambda s: s["value"]).alias("f")).orderBy(
         F.expr("cast(substring(element, 7) as int)")).collect()]
 
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
     fm = np.asarray(fmat, dtype=float)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
