@@ -384,7 +384,8 @@ def m19_local_scatter_table(spark, sf_dir):
         return df.withColumn("features", f).withColumn("pred", F.aggregate(
             F.zip_with("features", coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.lit(b0))
 
-    local = score(_local_samples(spark, sf_dir)).withColumn("set", F.lit("local"))
+    # the walk output feeds the PCA fit and the final union: materialise once
+    local = cut_lineage(score(_local_samples(spark, sf_dir)).withColumn("set", F.lit("local")))
     ext = score(_walk_points(spark, sf_dir).select("comp")).withColumn("set", F.lit("external"))
     local_v = ML.as_ml(local, label=None)
     both = ML.as_ml(local.unionByName(ext), label=None)
