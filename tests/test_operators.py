@@ -200,3 +200,78 @@ def test_register_known_rejects_duplicates(spark):
     with pytest.raises(ValueError):
         register_known(h, spark.createDataFrame([("b",)], "comp_key string"))
     assert register_known(h, spark.createDataFrame([("c",)], "comp_key string")).count() == 3
+
+
+# -- group folds, candidates --------------------------------------------------
+
+def _greedy_group_folds(sizes: dict, k: int) -> dict:
+    """Direct restatement: groups by descending size (ties: descending id),
+    each into the lightest fold (ties: lowest fold)."""
+    kk = max(2, min(k, len(sizes)))
+    loads = [0] * kk
+    out = {}
+    for g, s in sorted(sizes.items(), key=lambda t: (-t[1], -t[0])):
+        f = min(range(kk), key=lambda i: (loads[i], i))
+        loads[f] += s
+        out[g] = f
+    return out
+
+
+def test_group_kfold_matches_greedy(spark):
+    from stoich.operators.folds import group_kfold
+    rng = np.random.default_rng(7)
+    groups = np.concatenate([np.full(300, 0), rng.integers(1, 120, 700)])  # one hot group
+    pdf = pd.DataFrame({"rid": np.arange(len(groups)), "g": groups})
+    got = group_kfold(spark.createDataFrame(pdf), "g", 10, "rid").toPandas()
+    assert got.groupby("g")["fold"].nunique().max() == 1          # a group never spans folds
+    want = _greedy_group_folds(pdf.groupby("g").size().to_dict(), 10)
+    assert {int(g): int(f) for g, f in got.groupby("g")["fold"].first().items()} == want
+
+
+def test_projection_matches_numpy_bisection(spark):
+    from stoich.operators.candidates import project_capped_simplex
+    lo, hi = [0.2, 0.2, 0.0, 0.0], [0.55, 0.55, 0.2, 0.2]
+    rng = np.random.default_rng(8)
+    xs = rng.uniform(0, 0.6, size=(200, 4))
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(200), "x": list(xs)}))
+    got = df.select("i", project_capped_simplex(F.col("x"), lo, hi).alias("p")).toPandas().sort_values("i")
+    for x, p in zip(xs, got["p"]):
+        low, high = float(np.min(x - np.array(hi))), float(np.max(x - np.array(lo)))
+        for _ in range(100):
+            mid = 0.5 * (low + high)
+            s = np.clip(x - mid, lo, hi).sum()
+            if abs(s - 1.0) <= 1e-12:
+                break
+            low, high = (mid, high) if s > 1.0 else (low, mid)
+        else:
+            mid = 0.5 * (low + high)
+        assert np.allclose(np.asarray(p), np.clip(x - mid, lo, hi), atol=1e-12)
+        assert abs(sum(p) - 1) < 1e-9
+
+
+def test_generated_compositions_feasible(spark):
+    from stoich.operators import candidates as CA
+    lo, hi = [0.20, 0.20, 0.0, 0.0, 0.0, 0.0], [0.55, 0.55, 0.20, 0.20, 0.10, 0.20]
+    rows = spark.range(3000).withColumnRenamed("id", "k")
+    for df in (CA.feasible_sample(rows, "k", lo, hi), CA.reject_sample(rows, "k", lo, hi),
+               CA.substitution_sample(rows, "k", lo, hi, [0, 1, 1, 0, 1, 0], (0.45, 0.55))):
+        comps = np.array([r.comp for r in df.collect()])
+        assert len(comps) > 0
+        assert np.all(np.abs(comps.sum(1) - 1) < 1e-3)
+        assert np.all(comps >= np.array(lo) - 1e-9) and np.all(comps <= np.array(hi) + 1e-9)
+
+
+def test_subset_fitness_matches_direct_solve(spark):
+    from stoich.operators import subset as SS
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6))
+    y = x[:, 0] * 2 - x[:, 3] + rng.normal(size=300)
+    pdf = pd.DataFrame({"k": np.arange(300), "features": list(x), "y": y})
+    st = SS.fold_stats(spark.createDataFrame(pdf), "features", "y", 6, 5, [0, 1], "k")
+    totals, folds = SS.split_stats(st)
+    subs = spark.createDataFrame([(0, [0, 3]), (1, [1, 2, 5])], "sid int, indices array<long>")
+    got = {r.sid: r.fitness for r in SS.subset_fitness(subs, totals, folds).collect()}
+    for sid, idx in [(0, [0, 3]), (1, [1, 2, 5])]:
+        exp = np.mean([L.pooled_r2(totals[r].select(idx), {f: s.select(idx) for f, s in folds[r].items()}, 1.0)
+                       for r in totals])
+        assert abs(got[sid] - exp) < 1e-10
