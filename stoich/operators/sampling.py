@@ -126,12 +126,38 @@ def hash_shuffle(arr: Column, seed, *key) -> Column:
         lambda s: s["x"])
 
 
+def random_subset(key: Column, total: int, f_n: Column, seed="7") -> Column:
+    """f_n distinct indices of 0..total-1 in draw order: a partial
+    Fisher-Yates draw, step j picks position floor(u(seed, key, j) * size)
+    of the remaining pool (f_n hashes per row, not one per index)."""
+    pool0 = F.sequence(F.lit(0), F.lit(total - 1)).cast("array<bigint>")
+    init = F.struct(pool0.alias("pool"), F.array().cast("array<bigint>").alias("picked"))
+
+    def step(acc, j):
+        r = F.floor(uniform(seed, key, j) * F.size(acc["pool"])).cast("int")
+        return F.struct(F.filter(acc["pool"], lambda _x, i: i != r).alias("pool"),
+                        F.concat(acc["picked"], F.array(F.element_at(acc["pool"], r + 1))).alias("picked"))
+
+    steps = F.sequence(F.lit(0), F.greatest(f_n.cast("int") - 1, F.lit(-1)), F.lit(1))
+    return F.aggregate(F.when(f_n > 0, steps).otherwise(F.array().cast("array<int>")), init, step)["picked"]
+
+
+def sql_random_subset(key: str, total: int, f_n: str, seed="7") -> str:
+    """DuckDB spelling of :func:`random_subset`."""
+    from stoich.functions.rng import sql_uniform
+    u = sql_uniform(seed, key, "acc.j")
+    return (f"(list_reduce(list_transform(range(({f_n}) + 1), lambda k: {{'pool': range({total}), "
+            f"'picked': CAST([] AS BIGINT[]), 'j': CAST(0 AS BIGINT)}}), lambda acc, z: {{"
+            f"'pool': list_filter(acc.pool, lambda x, i: i != CAST(floor({u} * len(acc.pool)) AS BIGINT) + 1), "
+            f"'picked': list_append(acc.picked, acc.pool[CAST(floor({u} * len(acc.pool)) AS BIGINT) + 1]), "
+            f"'j': acc.j + 1}})).picked")
+
+
 def init_population(ids: DataFrame, id_col: str, total: int, f_n: Column | int, seed="7",
                     out: str = "indices") -> DataFrame:
     """A random distinct index subset of size f_n per row."""
     f = f_n if isinstance(f_n, Column) else F.lit(f_n)
-    seq = F.sequence(F.lit(0), F.lit(total - 1)).cast("array<bigint>")
-    return ids.withColumn(out, F.slice(hash_shuffle(seq, seed, F.col(id_col)), 1, f.cast("int")))
+    return ids.withColumn(out, random_subset(F.col(id_col), total, f, seed))
 
 
 def mutate(indices: Column, key: Column, prob: float, total: int, seed="mut") -> Column:

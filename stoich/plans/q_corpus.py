@@ -17,13 +17,6 @@ from stoich.plans.catalog import query
 from stoich.session import cut_lineage
 from stoich.sources.tables import table
 
-SPLIT_NAMES = {"train": "train", "eval": "val"}
-
-
-def _sql_re(p: str) -> str:
-    return p.replace("'", "''")
-
-
 LINES_SQL = f"""raw AS (
   SELECT doc_id, CAST(generate_subscripts(string_split_regex(text, '{K.LINE_BREAK}'), 1) - 1 AS BIGINT) AS line_no,
          unnest(string_split_regex(text, '{K.LINE_BREAK}')) AS text FROM documents),

@@ -69,7 +69,6 @@ def m4_bagged_trees(spark, sf_dir):
 def m5_boosted_trees(spark, sf_dir):
     """M5: gradient-boosted trees with the parameters of each wrapper."""
     train, test = _split(spark, sf_dir)
-    train = train.cache()
     out = None
     for kind in ML.BOOSTING_PARAMS:
         m = _test_metrics(ML.boosted_trees(kind).fit(train), test, kind)
@@ -88,7 +87,6 @@ def m15_compare_models(spark, sf_dir):
     """Every model of the registry on the same split (a failing model
     is skipped), one row per model."""
     train, test = _split(spark, sf_dir)
-    train = train.cache()
     out = None
     for name, factory in ML.registry().items():
         try:
@@ -133,7 +131,6 @@ def m23_hyperparameter_search(spark, sf_dir):
     cross-validation (MLlib CrossValidator, trials evaluated in parallel);
     the best trial by R^2 with its MAE."""
     train, test = _split(spark, sf_dir)
-    train = train.cache()
     rf = ML.random_forest()
     trials = ML.trial_grid(4, seed=1, grid={"numTrees": [20, 50], "maxDepth": [3, 5, 8]})
     maps = []

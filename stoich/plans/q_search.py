@@ -15,7 +15,6 @@ from stoich.operators import composition as C
 from stoich.operators import sampling as S
 from stoich.operators.gp import gp_score
 from stoich.plans.catalog import query, with_ctes
-from stoich.plans.q_composition import SHARES_SQL
 from stoich.session import cut_lineage
 from stoich.sources import fixtures as FX
 from stoich.sources.tables import table

@@ -158,22 +158,14 @@ C6_SQL = """scores AS (
 
 
 def hash_indices(id_col, f_n_col, total: int = N_FEATURES, seed: str = "7"):
-    """First ``f_n`` of 0..total-1 ordered by md5(seed|id|pos): a random
-    distinct index subset per row (G10), as an expression."""
-    ordered = F.transform(
-        F.array_sort(F.transform(
-            F.sequence(F.lit(0), F.lit(total - 1)),
-            lambda i: F.struct(F.md5(F.concat_ws("|", F.lit(seed), id_col.cast("string"),
-                                                 i.cast("string"))).alias("h"),
-                               i.cast("bigint").alias("i")))),
-        lambda s: s["i"])
-    return F.slice(ordered, 1, f_n_col.cast("int"))
+    """A random distinct index subset of size f_n per row (G10's draw)."""
+    from stoich.operators.sampling import random_subset
+    return random_subset(id_col, total, f_n_col, seed)
 
 
 def sql_hash_indices(id_expr: str, f_n_expr: str, total: int = N_FEATURES, seed: str = "7") -> str:
-    return (f"list_slice(list_transform(list_sort(list_transform(range({total}), "
-            f"lambda i: {{'h': md5(concat_ws('|', '{seed}', CAST({id_expr} AS VARCHAR), CAST(i AS VARCHAR))), "
-            f"'i': CAST(i AS BIGINT)}})), lambda s: s.i), 1, {f_n_expr})")
+    from stoich.operators.sampling import sql_random_subset
+    return sql_random_subset(id_expr, total, f_n_expr, seed)
 
 
 def selection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
