@@ -142,15 +142,26 @@ def population_review(pop: DataFrame, keys: Sequence[str], fitness: str = "fitne
 
 
 def softmax_probs(pop: DataFrame, keys: Sequence[str], fitness: str = "fitness",
-                  negative_sum: str = "fitness", out: str = "prob") -> DataFrame:
+                  negative_sum: str = "fitness", out: str = "prob", bounded: bool = False) -> DataFrame:
     """Selection probability = softmax of fitness / sum(fitness), shifted
     by the max.  When the sum is negative the ratio flips the order, so by
     default the softmax of the fitness itself is used; ``negative_sum=
     'reproduce'`` keeps the ratio.  Two small aggregates joined back."""
     keys = list(keys)
+    use_ratio = F.col("_s") > 0 if negative_sum != "reproduce" else F.lit(True)
+    if bounded:
+        # a population bounded by a parameter: windows instead of joins
+        from pyspark.sql import Window
+        w = Window.partitionBy(*keys)
+        d = pop.withColumn("_s", F.sum(fitness).over(w)).withColumn("_fmax", F.max(fitness).over(w)) \
+            .withColumn("_fmin", F.min(fitness).over(w))
+        p = F.when(use_ratio, F.col(fitness) / F.col("_s")).otherwise(F.col(fitness))
+        pmax = F.when(use_ratio, F.when(F.col("_s") > 0, F.col("_fmax") / F.col("_s"))
+                      .otherwise(F.col("_fmin") / F.col("_s"))).otherwise(F.col("_fmax"))
+        d = d.withColumn("_e", F.exp(p - pmax))
+        return d.withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_s", "_fmax", "_fmin", "_e")
     s = pop.groupBy(*keys).agg(F.sum(fitness).alias("_s"), F.max(fitness).alias("_fmax"),
                                F.min(fitness).alias("_fmin"))
-    use_ratio = F.col("_s") > 0 if negative_sum != "reproduce" else F.lit(True)
     p = F.when(use_ratio, F.col(fitness) / F.col("_s")).otherwise(F.col(fitness))
     pmax = F.when(use_ratio, F.when(F.col("_s") > 0, F.col("_fmax") / F.col("_s"))
                   .otherwise(F.col("_fmin") / F.col("_s"))).otherwise(F.col("_fmax"))

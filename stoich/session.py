@@ -56,10 +56,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (reliable
-    checkpoint: survives executor loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and read it back.
+
+    Like a reliable checkpoint it survives executor loss (unlike a local
+    checkpoint) and cuts the lineage; unlike ``Dataset.checkpoint`` the
+    re-read relation carries its real size, so the optimiser's size
+    estimates do not compound over iterations (a checkpointed plan keeps the
+    estimate of the plan it came from, and products of those estimates over
+    many joined generations become astronomically large)."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
