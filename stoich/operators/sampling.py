@@ -128,29 +128,29 @@ def hash_shuffle(arr: Column, seed, *key) -> Column:
 
 def random_subset(key: Column, total: int, f_n: Column, seed="7") -> Column:
     """f_n distinct indices of 0..total-1 in draw order: a partial
-    Fisher-Yates draw, step j picks position floor(u(seed, key, j) * size)
-    of the remaining pool (f_n hashes per row, not one per index)."""
-    pool0 = F.sequence(F.lit(0), F.lit(total - 1)).cast("array<bigint>")
-    init = F.struct(pool0.alias("pool"), F.array().cast("array<bigint>").alias("picked"))
-
+    Fisher-Yates draw.  Step j draws r = floor(u(seed, key, j) * (total - j))
+    and takes the r-th index not drawn yet (in ascending order):
+    v = r + #{m : p_(m) - m <= r} over the drawn indices sorted ascending
+    (0-based m) - f_n hashes and arrays of at most f_n per row."""
     def step(acc, j):
-        r = F.floor(uniform(seed, key, j) * F.size(acc["pool"])).cast("int")
-        return F.struct(F.filter(acc["pool"], lambda _x, i: i != r).alias("pool"),
-                        F.concat(acc["picked"], F.array(F.element_at(acc["pool"], r + 1))).alias("picked"))
+        r = F.floor(uniform(seed, key, j) * (F.lit(total) - j)).cast("bigint")
+        skips = F.size(F.filter(F.transform(F.array_sort(acc), lambda p, m: p - m), lambda x: x <= r))
+        return F.concat(acc, F.array(r + skips))
 
     steps = F.sequence(F.lit(0), F.greatest(f_n.cast("int") - 1, F.lit(-1)), F.lit(1))
-    return F.aggregate(F.when(f_n > 0, steps).otherwise(F.array().cast("array<int>")), init, step)["picked"]
+    return F.aggregate(F.when(f_n > 0, steps).otherwise(F.array().cast("array<int>")),
+                       F.array().cast("array<bigint>"), step)
 
 
 def sql_random_subset(key: str, total: int, f_n: str, seed="7") -> str:
     """DuckDB spelling of :func:`random_subset`."""
     from stoich.functions.rng import sql_uniform
     u = sql_uniform(seed, key, "acc.j")
-    return (f"(list_reduce(list_transform(range(({f_n}) + 1), lambda k: {{'pool': range({total}), "
+    r = f"CAST(floor({u} * ({total} - acc.j)) AS BIGINT)"
+    skips = f"len(list_filter(list_transform(list_sort(acc.picked), lambda p, m: p - (m - 1)), lambda x: x <= {r}))"
+    return (f"(list_reduce(list_transform(range(({f_n}) + 1), lambda k: {{"
             f"'picked': CAST([] AS BIGINT[]), 'j': CAST(0 AS BIGINT)}}), lambda acc, z: {{"
-            f"'pool': list_filter(acc.pool, lambda x, i: i != CAST(floor({u} * len(acc.pool)) AS BIGINT) + 1), "
-            f"'picked': list_append(acc.picked, acc.pool[CAST(floor({u} * len(acc.pool)) AS BIGINT) + 1]), "
-            f"'j': acc.j + 1}})).picked")
+            f"'picked': list_append(acc.picked, {r} + {skips}), 'j': acc.j + 1}})).picked")
 
 
 def init_population(ids: DataFrame, id_col: str, total: int, f_n: Column | int, seed="7",
