@@ -24,6 +24,14 @@ ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 1 << 22
 
 
+def n_buckets_for(n_rows: int | None) -> int:
+    """Bucket count for hash ranks: MAX_BUCKETS unless a row count is known
+    (then enough buckets for ~ROWS_PER_BUCKET rows each)."""
+    if n_rows is None:
+        return MAX_BUCKETS
+    return int(min(MAX_BUCKETS, max(1, n_rows // ROWS_PER_BUCKET)))
+
+
 def hash_rank(df: DataFrame, u: Column, id_col: str | Sequence[str], group: Sequence[str] = (),
               out: str = "rank") -> DataFrame:
     """Exact 0-based rank by (u, id) inside each group, plus ``<out>_n``.
@@ -33,8 +41,10 @@ def hash_rank(df: DataFrame, u: Column, id_col: str | Sequence[str], group: Sequ
     group = list(group)
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     d = df.withColumn("_h_u", u)
-    n_total = d.count()
-    n_buckets = int(min(MAX_BUCKETS, max(1, n_total // ROWS_PER_BUCKET)))
+    # a fixed bucket count: no counting pass over the input; the histogram
+    # has at most min(rows, MAX_BUCKETS) rows per group and a bucket holds
+    # rows / MAX_BUCKETS rows on average (u is uniform)
+    n_buckets = n_buckets_for(None)
     d = d.withColumn("_h_b", F.least(F.floor(F.col("_h_u") * n_buckets), F.lit(n_buckets - 1)))
     hist = d.groupBy(*group, "_h_b").agg(F.count(F.lit(1)).alias("_h_c"))
     wg = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
