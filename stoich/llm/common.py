@@ -33,7 +33,7 @@ def is_crc_fold(id_col: Column, remainder: int, modulus: int = 5) -> Column:
 
 
 def running_offset(df: DataFrame, key: str, order: list[str], value: str, out: str,
-                   rows_per_chunk: int = 50_000) -> DataFrame:
+                   rows_per_chunk: int = 4_096) -> DataFrame:
     """Exclusive running sum of ``value`` within ``key``, in a fixed order.
 
     A key may hold a third of all rows, so no window spans a whole key: rows
@@ -43,14 +43,9 @@ def running_offset(df: DataFrame, key: str, order: list[str], value: str, out: s
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(
         F.col(key).alias("_k"), F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_chunk)).alias("_c"))
-    most = sizes.agg(F.max("_c")).first()[0] or 1
-    if most == 1:
-        parts = df.withColumn("_chunk", F.lit(0).cast("bigint"))
-    else:
-        parts = (df.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes,
-                         F.col(key).eqNullSafe(F.col("_k")), "left")
-                 .withColumn("_chunk", F.pmod(F.xxhash64(*order), F.col("_c")))
-                 .drop("_k", "_c"))
+    small = sizes.limit(10_001).count() <= 10_000
+    parts = (df.join(F.broadcast(sizes) if small else sizes, F.col(key).eqNullSafe(F.col("_k")), "left")
+             .withColumn("_chunk", F.pmod(F.xxhash64(*order), F.col("_c"))).drop("_k", "_c"))
     totals = parts.groupBy(key, "_chunk").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col(key).alias("_k"), F.col("_chunk").alias("_ch"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stoich.llm import bpe, mixing
+from stoich.llm import bpe, language, mixing, ngram_join
+from stoich.llm.common import is_crc_fold
 from stoich.sources.tables import table
 
 
@@ -20,18 +22,33 @@ def tokenizer_file() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    held_out = is_crc_fold(F.col("doc_id"), 0)
+    return language.identify(docs, ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document."""
     return bpe.encode_documents(_docs(spark, sf_dir), tokenizer_file(), with_ids=False)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy component of every document."""
+    return ngram_join.near_copies(_docs(spark, sf_dir))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents at 150 % of their words."""
     return mixing.mix(_docs(spark, sf_dir)).drop("source")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op4_bpe": op4_bpe,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_mix_sources": op9_mix_sources,
 }
 ORACLES: dict[str, str] = {}
