@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoich.llm import bpe, language, mixing, ngram_join
+from stoich.llm import bpe, host_quality, language, mixing, ngram_join
 from stoich.llm.common import is_crc_fold
 from stoich.sources.tables import table
 
@@ -22,6 +22,49 @@ def tokenizer_file() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base rules and host verdict of every document."""
+    return host_quality.judge(_docs(spark, sf_dir))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+wins AS (
+  SELECT doc_id, i, list_slice(w, i, i + 4) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM wins) WHERE c > 1),
+rep AS (
+  SELECT doc_id, count(*) AS r FROM (
+    SELECT DISTINCT doc_id, i + k AS p FROM dup CROSS JOIN (SELECT unnest(range(0, 5)) AS k)) GROUP BY 1),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (
+    SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (
+  SELECT d.doc_id, d.source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.r, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+hosts AS (
+  SELECT source AS host, count(*) AS host_docs, CAST(sum(CAST(base_failed AS BIGINT)) AS BIGINT) AS host_failures
+  FROM b WHERE source IS NOT NULL GROUP BY 1),
+fit AS (
+  SELECT sum(host_failures) / sum(host_docs) AS mu, var_pop(host_failures / host_docs) AS v FROM hosts),
+prior AS (
+  SELECT mu, CASE WHEN v > 0 THEN greatest(1.0, mu * (1 - mu) / v - 1) ELSE 1.0 END AS strength FROM fit),
+verdict AS (
+  SELECT hosts.*, (host_failures + mu * strength) / (host_docs + strength) > 0.5 AS bad FROM hosts, prior)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(bad, false) AS kept, coalesce(bad, false) AS host_failed,
+       coalesce(host_docs, 0) AS host_docs, coalesce(host_failures, 0) AS host_failures
+FROM b LEFT JOIN verdict ON b.source = verdict.host"""
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
     docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
@@ -46,9 +89,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_quality": op1_host_quality,
     "op2_language": op2_language,
     "op4_bpe": op4_bpe,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_mix_sources": op9_mix_sources,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_host_quality": OP1_SQL.strip()}
