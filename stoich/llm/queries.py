@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoich.llm import bpe, host_quality, language, mixing, ngram_join
+from stoich.llm import bpe, host_quality, language, mixing, ngram_join, warc
 from stoich.llm.common import is_crc_fold
 from stoich.sources.tables import table
 
@@ -78,6 +78,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_docs(spark, sf_dir), tokenizer_file(), with_ids=False)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC and WARC and back."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy component of every document."""
     return ngram_join.near_copies(_docs(spark, sf_dir))
@@ -92,7 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_language": op2_language,
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_mix_sources": op9_mix_sources,
 }
-ORACLES: dict[str, str] = {"op1_host_quality": OP1_SQL.strip()}
+ORACLES: dict[str, str] = {"op1_host_quality": OP1_SQL.strip(), "op5_warc": OP5_SQL.strip()}
