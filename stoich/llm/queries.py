@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoich.llm import bpe, host_quality, language, mixing, ngram_join, warc
+from stoich.llm import bpe, host_quality, language, lm, mixing, ngram_join, warc
 from stoich.llm.common import is_crc_fold
 from stoich.sources.tables import table
 
@@ -100,6 +100,14 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_docs(spark, sf_dir))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learned outside the held-out fold."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    scored = lm.score(docs, ~is_crc_fold(F.col("doc_id"), 1))
+    return scored.select("doc_id", is_crc_fold(F.col("doc_id"), 1).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents at 150 % of their words."""
     return mixing.mix(_docs(spark, sf_dir)).drop("source")
@@ -111,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_lm_score": op7_lm_score,
     "op9_mix_sources": op9_mix_sources,
 }
 ORACLES: dict[str, str] = {"op1_host_quality": OP1_SQL.strip(), "op5_warc": OP5_SQL.strip()}
