@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoich.llm import bpe, host_quality, language, lm, mixing, ngram_join, warc
+from stoich.llm import bpe, host_quality, html, language, lm, mixing, ngram_join, warc
 from stoich.llm.common import is_crc_fold
 from stoich.sources.tables import table
 
@@ -108,6 +108,11 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "train_tokens", "base_score", "score")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents at 150 % of their words."""
     return mixing.mix(_docs(spark, sf_dir)).drop("source")
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_lm_score": op7_lm_score,
+    "op8_html_text": op8_html_text,
     "op9_mix_sources": op9_mix_sources,
 }
 ORACLES: dict[str, str] = {"op1_host_quality": OP1_SQL.strip(), "op5_warc": OP5_SQL.strip()}
