@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoich.llm import bpe, host_quality, html, language, lm, mixing, ngram_join, warc
+from stoich.llm import bpe, embedding_dups, host_quality, html, language, lm, mixing, ngram_join, warc
 from stoich.llm.common import is_crc_fold
 from stoich.sources.tables import table
 
@@ -118,6 +118,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).drop("source")
 
 
+def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy component of every embedding."""
+    return embedding_dups.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_language": op2_language,
@@ -127,5 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_score": op7_lm_score,
     "op8_html_text": op8_html_text,
     "op9_mix_sources": op9_mix_sources,
+    "op10_embedding_dups": op10_embedding_dups,
 }
 ORACLES: dict[str, str] = {"op1_host_quality": OP1_SQL.strip(), "op5_warc": OP5_SQL.strip()}
