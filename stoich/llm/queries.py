@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoich.llm import bpe, embedding_dups, host_quality, html, language, lm, mixing, ngram_join, warc
+from stoich.llm import bpe, embedding_dups, host_quality, html, language, lm, mixing, ngram_join, privacy, warc
 from stoich.llm.common import is_crc_fold
 from stoich.sources.tables import table
 
@@ -73,6 +73,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it, in every document."""
+    return privacy.find(_docs(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document."""
     return bpe.encode_documents(_docs(spark, sf_dir), tokenizer_file(), with_ids=False)
@@ -126,6 +131,7 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_language": op2_language,
+    "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op6_ngram_jaccard": op6_ngram_jaccard,
