@@ -22,9 +22,11 @@ reaches ``T = ceil(3 (|x| + |y|) / 7)``.
    lists of its candidates, in parts of bounded size: DivideSkip sets the
    longest lists aside, heap-merges the short ones, and probes the long ones by
    binary search for the candidates that can still reach T.
-6. **Rest of the long lists.** Entries of a long list that are not yet in one
-   component are joined with the entries of the other components there, so
-   every admissible pair is either searched or already connected.
+6. **Rest of the long lists.** A long list's entries outside its largest
+   component are searched, the same way, among all entries of the lists with
+   that largest component, dealt in blocks: every set travels once per block,
+   no pair is ever a row.  So every pair that shares a list is either searched
+   or already connected.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with
 nothing and are their own component; with one to four words the whole sequence
@@ -51,6 +53,7 @@ from stoich.llm.words import Words, mix64, shingle_sets, text_chunks
 WORDS = 5
 SHORT_LIST = 8
 PART = 128
+BLOCK = 256
 CLASS_BITS = 24          # entries of the list-length table (bytes)
 REPEAT_BITS = 27         # entries of the occurs-twice table (bits)
 SLOT_BITS = 28           # hash bits that a range tells apart
@@ -154,7 +157,7 @@ def document_sets(texts: DataFrame, lengths, n: int = WORDS) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = lengths.value
         for batch in batches:
-            for part in text_chunks(batch, limit=2 << 20):
+            for part in text_chunks(batch):
                 size, sig, free, sets = [], [], [], []
                 for s in shingle_sets(Words(part.column(1)), n):
                     k = len(s) - int(table.alone(s).sum())
@@ -217,14 +220,12 @@ def _pairs_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     list's first SHORT_LIST + 1 entries are held."""
 
     def out(x, y, rows=None) -> pa.RecordBatch:
-        none = pa.nulls(len(x), pa.int64())
         if rows is None:
             pair = np.unique(np.stack([x, y]), axis=1)
-            none = pa.nulls(pair.shape[1], pa.int64())
-            cols = [pa.array(pair[0]), pa.array(pair[1]), none, none, none, none]
+            cols = [pa.array(pair[0]), pa.array(pair[1]), pa.nulls(pair.shape[1], pa.int64())]
         else:
-            cols = [pa.array(x), none, *(pa.array(rows[:, c]) for c in (0, 2, 3, 4))]
-        return pa.RecordBatch.from_arrays(cols, names=["x", "y", "shingle", "n", "free", "idx"])
+            cols = [pa.array(x), pa.nulls(len(x), pa.int64()), pa.array(rows[:, 0])]
+        return pa.RecordBatch.from_arrays(cols, names=["x", "y", "shingle"])
 
     held = np.zeros((0, 5), np.int64)   # rows of the open list: shingle, node, n, free, idx
     is_long = False                     # whether the open list's entries were already emitted
@@ -282,68 +283,72 @@ def _pairs_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 # -- 5. search ----------------------------------------------------------------------
 
-def t_occurrence(query: np.ndarray, members: list[np.ndarray], mu: float = 0.0085) -> list[tuple[int, int]]:
-    """(member, overlap) of the members that reach T with the query, by
-    DivideSkip over the inverted lists of the query's shingles."""
-    sizes = np.array([len(m) for m in members])
-    need = -(-3 * (len(query) + sizes) // 7)
-    possible = need <= np.minimum(len(query), sizes)
-    if not possible.any():
-        return []
-    flat = np.concatenate(members)
-    owner = np.repeat(np.arange(len(members)), sizes)
-    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    hit = query[at] == flat
-    lists, entry = at[hit], owner[hit]
-    length = np.bincount(lists, minlength=len(query))
-    least = int(need[possible].min())
-    longest = max(2, int(length.max(initial=0)))
-    aside = min(least - 1, int(least / (mu * np.log2(longest) + 1)))
-    by_length = np.argsort(-length, kind="stable")
-    long_lists, is_long = by_length[:aside], np.zeros(len(query), dtype=bool)
-    is_long[long_lists] = True
-    short = ~is_long[lists]
-    order = np.lexsort((entry[short], lists[short]))
-    entries, ids = entry[short][order], lists[short][order]
-    cuts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else []
-    runs = np.split(entries, cuts[1:]) if len(ids) else []
-    seen: dict[int, int] = {}
-    for member in heapq.merge(*(r.tolist() for r in runs)):
-        seen[member] = seen.get(member, 0) + 1
-    probes = np.sort(query[long_lists])
-    found = []
-    for member, times in seen.items():
-        if not possible[member] or times < need[member] - aside:
-            continue
-        own = members[member]
-        where = np.minimum(np.searchsorted(own, probes), len(own) - 1)
-        overlap = times + int((own[where] == probes).sum())
-        if overlap >= need[member]:
-            found.append((member, overlap))
-    return found
+class InvertedLists:
+    """Per shingle the sorted list of the members that hold it."""
+
+    def __init__(self, members: list[np.ndarray]):
+        self.sizes = np.array([len(m) for m in members])
+        flat = np.concatenate(members)
+        order = np.argsort(flat, kind="stable")
+        self.shingle = flat[order]
+        self.entry = np.repeat(np.arange(len(members)), self.sizes)[order]
+
+    def search(self, query: np.ndarray, mu: float = 0.0085) -> list[tuple[int, int]]:
+        """(member, overlap) of the members that reach T with the query, by
+        DivideSkip: the longest lists are set aside, the others heap-merged,
+        and what may still reach T is probed in the long ones."""
+        need = -(-3 * (len(query) + self.sizes) // 7)
+        possible = need <= np.minimum(len(query), self.sizes)
+        if not possible.any():
+            return []
+        start = np.searchsorted(self.shingle, query, "left")
+        length = np.searchsorted(self.shingle, query, "right") - start
+        least = int(need[possible].min())
+        longest = max(2, int(length.max()))
+        aside = min(least - 1, int(least / (mu * np.log2(longest) + 1)))
+        by_length = np.argsort(-length, kind="stable")
+        by_length = by_length[:np.count_nonzero(length)]
+        lists = [self.entry[start[k]:start[k] + length[k]] for k in by_length]
+        seen: dict[int, int] = {}
+        for member in heapq.merge(*(x.tolist() for x in lists[aside:])):
+            seen[member] = seen.get(member, 0) + 1
+        left = np.array([m for m, t in seen.items() if possible[m] and t >= need[m] - aside], np.int64)
+        if not len(left):
+            return []
+        times = np.array([seen[m] for m in left.tolist()])
+        for x in lists[:aside]:
+            at = np.minimum(np.searchsorted(x, left), len(x) - 1)
+            times += x[at] == left
+        reached = times >= need[left]
+        return list(zip(left[reached].tolist(), times[reached].tolist()))
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come part by part, the query (y null) first."""
-    query: tuple | None = None
-    ids: list[int] = []
-    sets: list[np.ndarray] = []
+    """Rows (group, part, node, is_member, is_query, shingles) come group part
+    by group part: every query is searched among the part's members."""
+    at: tuple | None = None
+    queries: list[tuple[int, np.ndarray]] = []
+    members: list[tuple[int, np.ndarray]] = []
 
     def close() -> list[tuple[int, int, int]]:
-        if query is None or not sets:
+        if not queries or not members:
             return []
-        return [(query[0], ids[m], o) for m, o in t_occurrence(query[2], sets)]
+        lists = InvertedLists([s for _, s in members])
+        return [(q, members[m][0], overlap) for q, s in queries
+                for m, overlap in lists.search(s) if members[m][0] != q]
 
     for batch in batches:
         links = []
-        for x, part, y, s in zip(*(batch.column(i) for i in range(4))):
-            x, part, h = x.as_py(), part.as_py(), s.values.to_numpy().view(np.uint64)
-            if query is None or (x, part) != query[:2]:
+        keys = zip(*(batch.column(i).to_pylist() for i in range(5)))
+        for (group, part, node, is_member, is_query), s in zip(keys, batch.column(5)):
+            if at != (group, part):
                 links += close()
-                query, ids, sets = (x, part, h.copy()), [], []
-            if y.is_valid:
-                ids.append(y.as_py())
-                sets.append(h.copy())
+                at, queries, members = (group, part), [], []
+            h = s.values.to_numpy().view(np.uint64).copy()
+            if is_member:
+                members.append((node, h))
+            if is_query:
+                queries.append((node, h))
         if links:
             yield _links(links)
     if links := close():
@@ -354,20 +359,56 @@ def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "overlap"])
 
 
-def search_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b, overlap) among candidate pairs (x, y) of nodes."""
-    parts = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_c"))
-    dealt = pairs.join(parts, "x").select(
-        "x", F.pmod(F.xxhash64("y"), F.ceil(F.col("_c") / PART)).alias("part"), "y")
-    wanted = materialise(dealt.select("x", "part", "y", F.col("y").alias("_node")).unionAll(
-        dealt.select("x", "part").distinct().select("x", "part", F.lit(None).cast("long").alias("y"),
-                                                    F.col("x").alias("_node"))))
+def _search_groups(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b, overlap) found in the groups ``wanted`` (group, part, node,
+    is_member, is_query)."""
+    wanted = materialise(wanted)
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = sets.select("node", "shingles").join(F.broadcast(wanted) if few else wanted,
-                                                F.col("node") == F.col("_node"))
-    return (rows.select("x", "part", "y", "shingles").repartition("x", "part")
-            .sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
-            .mapInArrow(_search, "a long, b long, overlap long"))
+    rows = sets.select(F.col("node").alias("_n"), "shingles").join(
+        F.broadcast(wanted) if few else wanted, F.col("node") == F.col("_n"))
+    return (rows.select("group", "part", "node", "is_member", "is_query", "shingles").repartition("group", "part")
+            .sortWithinPartitions("group", "part").mapInArrow(_search, "a long, b long, overlap long"))
+
+
+def search_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among candidate pairs (x, y): x is searched among its y, in parts
+    of about PART."""
+    parts = pairs.groupBy(F.col("x").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = pairs.join(parts, F.col("x") == F.col("_x")).select(
+        F.col("x").alias("group"), F.pmod(F.xxhash64("y"), F.ceil(F.col("_c") / PART)).alias("part"), "y")
+    yes, no = F.lit(True), F.lit(False)
+    return _search_groups(
+        dealt.select("group", "part", F.col("y").alias("node"), yes.alias("is_member"), no.alias("is_query"))
+        .unionAll(dealt.select("group", "part").distinct().select(
+            "group", "part", F.col("group").alias("node"), no.alias("is_member"), yes.alias("is_query"))), sets)
+
+
+def search_rest(entries: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links of long-list entries (shingle, node) outside their list's largest
+    component with the entries of all lists that have this component."""
+    placed = materialise(entries.join(roots, "node", "left")
+                         .select("shingle", "node", F.coalesce("root", "node").alias("root")))
+    sizes = placed.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("_c"))
+    main = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("_c", "root")).alias("group"),
+                                        F.count(F.lit(1)).alias("_parts")).where("_parts > 1").drop("_parts")
+    nodes = materialise(placed.join(main, "shingle").groupBy("group", "node").agg(
+        F.max(F.col("root") != F.col("group")).alias("is_query")))
+    if nodes.isEmpty():
+        return None
+    blocks = nodes.groupBy("group").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("_m"),
+        F.greatest(F.lit(1), F.ceil(F.sum(F.col("is_query").cast("int")) / BLOCK)).alias("_q"))
+    dealt = nodes.join(blocks, "group").withColumn("_h", F.xxhash64("node"))
+    m, q = F.pmod("_h", F.col("_m")), F.pmod("_h", F.col("_q"))
+    zero = F.lit(0).cast("bigint")
+    # part = member block * query blocks + query block
+    member = dealt.withColumn("_o", F.explode(F.sequence(zero, F.col("_q") - 1))).select(
+        "group", (m * F.col("_q") + F.col("_o")).alias("part"), "node", F.lit(True).alias("is_member"),
+        F.lit(False).alias("is_query"))
+    query = dealt.where("is_query").withColumn("_o", F.explode(F.sequence(zero, F.col("_m") - 1))).select(
+        "group", (F.col("_o") * F.col("_q") + q).alias("part"), "node", F.lit(False).alias("is_member"),
+        F.lit(True).alias("is_query"))
+    return _search_groups(member.unionAll(query), sets)
 
 
 # -- the join ------------------------------------------------------------------------
@@ -385,12 +426,13 @@ def near_copies(docs: DataFrame, n: int = WORDS) -> DataFrame:
     found = materialise(
         entries.select("shingle", "node", "n", "free", "idx").repartition("shingle")
         .sortWithinPartitions("shingle", F.col("n") - F.col("free"), "n", "node")
-        .mapInArrow(_pairs_of_lists, "x long, y long, shingle long, n long, free long, idx long"))
+        .mapInArrow(_pairs_of_lists, "x long, y long, shingle long"))
     pairs = materialise(found.where("y IS NOT NULL").select("x", "y").distinct())
     links = materialise(search_pairs(pairs, live).select("a", "b"))
-    rest = _rest_of_long_lists(found.where("y IS NULL"), connected_components(links), pairs)
-    if not rest.isEmpty():
-        links = links.unionAll(materialise(search_pairs(rest, live).select("a", "b")))
+    rest = search_rest(found.where("y IS NULL").select("shingle", F.col("x").alias("node")),
+                       connected_components(links), live)
+    if rest is not None:
+        links = links.unionAll(materialise(rest.select("a", "b")))
     roots = connected_components(links).withColumnRenamed("node", "rep")
     member = (live.select("doc_id", "n", "sig").join(classes, ["sig", "n"])
               .join(roots, "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("root")))
@@ -400,26 +442,3 @@ def near_copies(docs: DataFrame, n: int = WORDS) -> DataFrame:
     single = sets.where("shingles IS NULL").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionAll(single)
-
-
-def _rest_of_long_lists(entries: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """Admissible pairs of long-list entries in different components: entries
-    outside a list's largest component, against the others of the list."""
-    placed = materialise(
-        entries.select("shingle", F.col("x").alias("node"), "n", "free", "idx").join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node")))
-    sizes = placed.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("_c"))
-    main = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("_c", "root")).alias("main"),
-                                        F.count(F.lit(1)).alias("_parts")).where("_parts > 1").drop("_parts")
-    split = materialise(placed.join(main, "shingle"))
-    a = split.where("root <> main").select(
-        "shingle", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "free", "idx", "root")])
-    b = split.select("shingle", "main", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "free", "idx", "root")])
-    most = F.least("free1", "free2", F.least("idx1", "idx2") + 1 + F.least(
-        F.col("free1") - F.col("idx1") - 1, F.col("free2") - F.col("idx2") - 1))
-    pairs = (a.join(b, "shingle").where((F.col("root1") != F.col("root2"))
-                                        & ((F.col("root2") == F.col("main")) | (F.col("node1") < F.col("node2")))
-                                        & (7 * most >= 3 * (F.col("n1") + F.col("n2"))))
-             .select(F.col("node1").alias("x"), F.col("node2").alias("y")).distinct())
-    either = done.select("x", "y").unionAll(done.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    return materialise(pairs.join(either, ["x", "y"], "left_anti"))
