@@ -1,24 +1,60 @@
-"""Corpus pipeline: the stages, each over what its predecessor kept."""
+"""Corpus pipeline: raw documents to token ids of a clean, mixed corpus.
+
+Every stage is a function (spark, docs, sf_dir) -> DataFrame; ``run`` writes
+each stage's result as Parquet and reads it again for the next one.  All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stoich.llm import mixing
+from stoich.llm import bpe, language, mixing, ngram_join, privacy
+from stoich.llm.common import is_crc_fold, materialise
+from stoich.llm.queries import tokenizer_file
 from stoich.sources.tables import table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is determined; lang becomes that language."""
+    return language.reject_undetermined(docs, ~is_crc_fold(F.col("doc_id"), 0))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and revealing terms replaced."""
+    return privacy.sanitised(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats of a document by the words that the mix takes of it."""
-    return mixing.mix(docs)
+    """The mix of the sources at their target weights, repeats included."""
+    return mixing.mixed_texts(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix."""
+    return bpe.encode_documents(docs, tokenizer_file())
+
 
+STAGES = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("privacy", sanitise),
+    ("mix", mix_sources),
+    ("encode", encode),
+]
 
-STAGES = [("mix", mix_sources)]
+#: Automata, rotations of slots and tokens are beyond SQL; see tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,3 +56,16 @@ def running_offset(df: DataFrame, key: str, order: list[str], value: str, out: s
             .join(totals, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_ch")))
             .withColumn(out, F.col("_in") + F.col("_before"))
             .drop("_in", "_before", "_k", "_ch", "_chunk"))
+
+
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """All columns of ``df`` in one struct ``whole``, and some beside it, so
+    that no name of the input can clash with a name of an operator."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"),
+                     *[F.col(f"`{c}`") for c in columns])
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the struct again, some of them replaced."""
+    return df.select([changed[c].alias(c) if c in changed else F.col("whole").getField(c).alias(c)
+                      for c in columns])

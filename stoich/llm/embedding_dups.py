@@ -181,7 +181,7 @@ def _reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _solve(group: list[tuple], threshold: float) -> list[tuple]:
     """Link counts (x, n, null) and connections (x, null, y) within one pair of
     blocks of a bucket."""
-    _, table, _, a, z = group[0][0]
+    _, _, table, _, a, z = group[0][0]
     group.sort(key=lambda r: r[1])
     rep = [r[1] for r in group]
     mult = np.array([r[2] for r in group])
@@ -210,8 +210,8 @@ def _solve(group: list[tuple], threshold: float) -> list[tuple]:
 
 
 def _blocks(threshold: float):
-    """Rows come block pair by block pair: label, tab, key, a, z, rep, mult,
-    own block, keys, vec."""
+    """Rows come block pair by block pair: label, dim, tab, key, a, z, rep,
+    mult, own block, keys, vec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -253,12 +253,13 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = F.pmod(F.xxhash64("rep"), F.col("_blocks"))
     dealt = (slots.join(full, ["label", "dim", "tab", "key"]).withColumn("block", own)
              .withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
-             .select("label", "tab", "key", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("z"),
+             .select("label", "dim", "tab", "key", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("z"),
                      "rep", "block"))
+    group = ["label", "dim", "tab", "key", "a", "z"]
     found = materialise(
         dealt.join(entries.select("rep", "mult", "keys", "vec"), "rep")
-        .select("label", "tab", "key", "a", "z", "rep", "mult", "block", "keys", "vec")
-        .repartition("label", "tab", "key", "a", "z").sortWithinPartitions("label", "tab", "key", "a", "z")
+        .select(*group, "rep", "mult", "block", "keys", "vec")
+        .repartition(*group).sortWithinPartitions(*group)
         .mapInArrow(_blocks(threshold), "x long, n long, y long"))
     degree = found.where("n IS NOT NULL").groupBy(F.col("x").alias("rep")).agg(F.sum("n").alias("_deg"))
     roots = connected_components(found.where("y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b")))

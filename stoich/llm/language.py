@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stoich.llm.common import packed, unpacked
 from stoich.llm.words import text_chunks
 
 SAMPLE_ROWS = 120
@@ -110,17 +111,19 @@ class CrossParser:
         for name in self.names:
             sym = self.squeeze(self.symbol[code_points(texts[name])])[:limit]
             step = suffix_automaton([0, *sym.tolist(), 0])
-            t = np.full((len(step), width), -1, np.int32)
+            # the last row follows a symbol that the sample lacks, and starts a
+            # text: whatever comes begins a phrase
+            t = np.full((len(step) + 1, width), -1, np.int32)
             for row, moves in zip(t, step):
                 for c, to in moves.items():
                     row[c] = to
             miss = t < 0
-            root = np.where(t[0] < 0, 0, t[0])
+            root = np.where(t[0] < 0, len(step), t[0])
             t = np.where(miss, root[None, :], t)
             tables.append(((base + t) * width * 2 + miss).ravel().astype(np.int32))
-            self.start.append(base * width)
+            self.start.append((base + len(step)) * width)
             self.bits.append(np.log2(len(sym) + 2))
-            base += len(step)
+            base += len(step) + 1
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     @staticmethod
@@ -152,7 +155,7 @@ class CrossParser:
         begin, length, owner = begin[order], length[order], owner[order]
         live = np.searchsorted(-length, -np.arange(RUN), side="left")
         row = np.repeat(np.array(self.start, np.int32)[:, None], len(begin), 1)
-        count = np.ones(row.shape, np.int32)
+        count = np.zeros(row.shape, np.int32)
         for t in range(int(length[0]) if len(length) else 0):
             k = int(live[t])
             v = self.table[row[:, :k] + sym[begin[:k] + t]]
@@ -229,5 +232,6 @@ def identify(docs: DataFrame, may_learn: Column) -> DataFrame:
 
 def reject_undetermined(docs: DataFrame, may_learn: Column) -> DataFrame:
     """Documents whose language was determined, with that language in lang."""
-    found = identify(docs, may_learn).where(F.col("lang_pred") != UNDETERMINED)
-    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    rows = packed(docs.withColumn("lang", F.col("lang").cast("string")), "doc_id", "lang", "text")
+    found = identify(rows, may_learn).where(F.col("lang_pred") != UNDETERMINED)
+    return unpacked(found, docs.columns, lang=F.col("lang_pred"))

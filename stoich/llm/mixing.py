@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stoich.llm.common import materialise, running_offset
+from stoich.llm.common import materialise, packed, running_offset, unpacked
 from stoich.llm.words import Words, text_chunks
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -146,14 +146,14 @@ def _slots(plan: list[tuple[int, int, float]], block_words: int, shard_slots: in
     return spread.select("src", "first", "n").mapInArrow(place, "src long, block long, turn long")
 
 
-def _mixed(docs: DataFrame, share: float, most: float, block_words: int, shard_slots: int,
+def _mixed(sizes: DataFrame, share: float, most: float, block_words: int, shard_slots: int,
            seed: int) -> tuple[DataFrame, DataFrame]:
-    """(known, taken): one row per document that carries ``_row``, and one row
+    """From (doc_id, source, size, _row): one row per document with its source's
+    figures, and one row
     (_row, turn, lo, words) per piece of a document in an output slot, ``lo``
     being the piece's first word in the document."""
-    spark = docs.sparkSession
-    sizes = materialise(docs if "_row" in docs.columns else
-                        document_sizes(docs).withColumn("_row", F.monotonically_increasing_id()))
+    spark = sizes.sparkSession
+    sizes = materialise(sizes)
     totals = [(r[0], int(r[1])) for r in sizes.groupBy("source").agg(F.sum("size")).collect()]
     plan = targets(totals, share, most)
     table = spark.createDataFrame(
@@ -180,7 +180,8 @@ def _mixed(docs: DataFrame, share: float, most: float, block_words: int, shard_s
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS,
         shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken."""
-    known, pieces = _mixed(docs, share, most, block_words, shard_slots, seed)
+    sized = document_sizes(docs).withColumn("_row", F.monotonically_increasing_id())
+    known, pieces = _mixed(sized, share, most, block_words, shard_slots, seed)
     taken = pieces.groupBy(F.col("_row").alias("_r")).agg(F.sum("words").alias("_t"))
     return known.join(taken, F.col("_row") == F.col("_r"), "left").select(
         "doc_id", "source", "size", "source_size", "target",
@@ -196,19 +197,21 @@ def mixed_texts(docs: DataFrame, share: float = 1.5, most: float = 2.0, block_wo
     the taken runs of words, each with its inner white space, are joined by a
     line break.  Documents of which nothing is taken give no row.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    sized = document_sizes(rows, "_row")
-    _, pieces = _mixed(sized, share, most, block_words, shard_slots, seed)
+    rows = materialise(packed(docs, "doc_id", "source", "text")
+                       .withColumn("_row", F.monotonically_increasing_id()))
+    _, pieces = _mixed(document_sizes(rows, "_row"), share, most, block_words, shard_slots, seed)
     runs = pieces.groupBy(F.col("_row").alias("_r"), "turn").agg(
         F.sort_array(F.collect_list(F.struct("lo", "words"))).alias("_runs"))
-    inner = rows.select([F.col(f"`{c}`") for c in docs.columns if c != "text"] + ["text", "_row"])
-    joined = inner.join(runs, F.col("_row") == F.col("_r")).drop("_r", "_row", "turn")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, r) for t, r in zip(text, runs)], dtype=object)
 
-    return joined.withColumn("text", cut("text", "_runs")).select(docs.columns)
+    mixed = rows.join(runs, F.col("_row") == F.col("_r")).select("whole", cut("text", "_runs").alias("_text"))
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return unpacked(mixed, docs.columns, **changed)
 
 
 def _cut(text: str, runs) -> str:

@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -150,7 +151,7 @@ def list_lengths(texts: DataFrame, n: int = WORDS) -> ListLengths:
 # -- 2. sets ------------------------------------------------------------------
 
 def document_sets(texts: DataFrame, lengths, n: int = WORDS) -> DataFrame:
-    """Per row doc_id, n_shingles, a hash of the set, how many of its shingles
+    """Per row doc_id, a hash of the text, n_shingles, a hash of the set, how many of its shingles
     other documents hold too (``free``), and the set itself where these can
     reach 3/4 of it."""
 
@@ -159,6 +160,9 @@ def document_sets(texts: DataFrame, lengths, n: int = WORDS) -> DataFrame:
         for batch in batches:
             for part in text_chunks(batch):
                 size, sig, free, sets = [], [], [], []
+                keys = [0 if t is None else int.from_bytes(blake2b(t.encode("utf-8"), digest_size=8).digest(),
+                                                           "little", signed=True)
+                        for t in part.column(1).to_pylist()]
                 for s in shingle_sets(Words(part.column(1)), n):
                     k = len(s) - int(table.alone(s).sum())
                     size.append(len(s))
@@ -166,12 +170,12 @@ def document_sets(texts: DataFrame, lengths, n: int = WORDS) -> DataFrame:
                     sig.append(mix64(np.array([mix64(s).sum(dtype=np.uint64)])).view(np.int64)[0])
                     sets.append(s.view(np.int64) if len(s) and 4 * k >= 3 * len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.int64()),
-                     pa.array(free, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "sig", "free", "shingles"])
+                    [part.column(0), pa.array(keys, pa.int64()), pa.array(size, pa.int64()),
+                     pa.array(sig, pa.int64()), pa.array(free, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "n", "sig", "free", "shingles"])
 
     return texts.select("doc_id", "text").mapInArrow(
-        scan, "doc_id long, n long, sig long, free long, shingles array<long>")
+        scan, "doc_id long, text_key long, n long, sig long, free long, shingles array<long>")
 
 
 # -- 4. candidates --------------------------------------------------------------
@@ -362,10 +366,8 @@ def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 def _search_groups(wanted: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b, overlap) found in the groups ``wanted`` (group, part, node,
     is_member, is_query)."""
-    wanted = materialise(wanted)
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = sets.select(F.col("node").alias("_n"), "shingles").join(
-        F.broadcast(wanted) if few else wanted, F.col("node") == F.col("_n"))
+        _few(materialise(wanted)), F.col("node") == F.col("_n"))
     return (rows.select("group", "part", "node", "is_member", "is_query", "shingles").repartition("group", "part")
             .sortWithinPartitions("group", "part").mapInArrow(_search, "a long, b long, overlap long"))
 
@@ -414,7 +416,8 @@ def search_rest(entries: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFr
 # -- the join ------------------------------------------------------------------------
 
 def near_copies(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+    """One row per document: doc_id, n_shingles, component_id, a hash of the
+    text, and whether the document is its component's first."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     lengths = spark.sparkContext.broadcast(list_lengths(texts, n))
@@ -434,11 +437,61 @@ def near_copies(docs: DataFrame, n: int = WORDS) -> DataFrame:
     if rest is not None:
         links = links.unionAll(materialise(rest.select("a", "b")))
     roots = connected_components(links).withColumnRenamed("node", "rep")
-    member = (live.select("doc_id", "n", "sig").join(classes, ["sig", "n"])
-              .join(roots, "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("root")))
+    member = (live.select("doc_id", "text_key", "n", "sig").join(classes, ["sig", "n"])
+              .join(roots, "rep", "left").select("doc_id", "text_key", "n", F.coalesce("root", "rep").alias("root")))
     member = materialise(member)
-    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = member.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    first = member.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    linked = member.join(first, "root").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), "text_key",
+        F.col("first").eqNullSafe(F.struct("doc_id", "text_key")).alias("kept"))
     single = sets.where("shingles IS NULL").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key",
+        F.lit(True).alias("kept"))
     return linked.unionAll(single)
+
+
+def one_of_each(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """``docs`` with one document of every component: the one with the smallest
+    doc_id (rows that repeat it: the smallest hash of the text, once).
+
+    Only the few rows that go, or stand more than once, travel back to the
+    texts: by broadcast while they are few, else by a join on doc_id."""
+    verdict = materialise(near_copies(docs, n).select("doc_id", "text_key", "kept", "n_shingles"))
+    ids = F.col("doc_id").cast("bigint")
+    key = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")]
+    dropped = verdict.where("NOT kept").select(*key).distinct()
+    again = (verdict.where("kept AND n_shingles > 0").groupBy(*key)
+             .agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    special = materialise(dropped.withColumn("_keep", F.lit(False)).unionAll(again.withColumn("_keep", F.lit(True))))
+    repeated = materialise(verdict.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("_n"))
+                           .where("_n > 1").select("__id"))
+    # an id that stands once needs no text to be told apart
+    alone = special.where("NOT _keep").join(repeated, "__id", "left_anti").select("__id")
+    rows = docs.join(_few(alone), ids.eqNullSafe(F.col("__id")), "left_anti")
+    if repeated.isEmpty():
+        return rows
+    twins = rows.join(_few(repeated), ids.eqNullSafe(F.col("__id")), "left_semi").withColumn(
+        "__own_key", _text_key("text"))
+    gone = special.where("NOT _keep").select("__id", "__text_key")
+    keep_once = special.where("_keep").select("__id", "__text_key")
+    match = ids.eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__text_key"))
+    twins = twins.join(gone, match, "left_anti")
+    once = twins.join(keep_once, match, "left_semi").dropDuplicates(["doc_id", "__own_key"])
+    rest = twins.join(keep_once, match, "left_anti")
+    return (rows.join(_few(repeated), ids.eqNullSafe(F.col("__id")), "left_anti")
+            .unionByName(once.unionByName(rest).drop("__own_key")))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _text_key(column: str):
+    """The hash that ``document_sets`` gives a text."""
+
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: 0 if t is None else int.from_bytes(
+            blake2b(t.encode("utf-8"), digest_size=8).digest(), "little", signed=True)).astype("int64")
+
+    return key(F.col(column))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stoich.llm.common import materialise
+from stoich.llm.common import materialise, packed
 from stoich.llm.words import Words, mix64, text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -238,27 +238,24 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced in text (and n_chars brought up to
     date): patterns and generalised terms by a placeholder, removed terms by
     nothing."""
-    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()))
+    rows = materialise(packed(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
     terms = (revealing_terms(materialise(scan(rows))).groupBy(F.col("row").alias("_r"))
-             .agg(F.collect_list(F.struct("start", "end", "removed")).alias("_t")))
-    joined = rows.join(_few(materialise(terms)), F.col("row") == F.col("_r"), "left").drop("row", "_r")
-    names = joined.columns
-    text_at, term_at = names.index("text"), names.index("_t")
-    chars_at = names.index("n_chars") if "n_chars" in names else None
+             .agg(F.collect_list(F.struct("start", "end", "removed")).alias("terms")))
+    joined = rows.join(_few(materialise(terms)), F.col("row") == F.col("_r"), "left").select("whole", "text", "terms")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
                 out = [None if t is None else _replace(t, extra or [])
-                       for t, extra in zip(part.column(text_at).to_pylist(), part.column(term_at).to_pylist())]
-                cols = list(part.columns)
-                cols[text_at] = pa.array(out, part.column(text_at).type)
-                if chars_at is not None:
-                    cols[chars_at] = pa.array([None if t is None else len(t) for t in out], cols[chars_at].type)
-                del cols[term_at]
-                yield pa.RecordBatch.from_arrays(cols, names=[c for c in names if c != "_t"])
-
-    return joined.mapInArrow(run, joined.drop("_t").schema)
+                       for t, extra in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                cols = dict(zip(names, part.column(0).flatten()))
+                cols["text"] = pa.array(out, cols["text"].type)
+                if "n_chars" in cols:
+                    cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], cols["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def _replace(text: str, terms: list[dict]) -> str:

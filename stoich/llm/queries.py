@@ -102,7 +102,7 @@ FROM f"""
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy component of every document."""
-    return ngram_join.near_copies(_docs(spark, sf_dir))
+    return ngram_join.near_copies(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
