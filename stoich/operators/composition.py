@@ -63,9 +63,9 @@ def weighted_features(comp: DataFrame, features: DataFrame, share: str = "share"
 
     The feature table is bounded (elements x features) and broadcast after a
     size check; the aggregate keeps the sample partitioning of ``comp``.
-    ``exact_sum=True`` sums each term in fixed point (units of 1e-12) as a
-    64-bit integer, so the result does not depend on the order of addition
-    (bit-identical across partitionings and engines) at plain-sum speed.
+    ``exact_sum=True`` sums each term in fixed point (units of 1e-12) with
+    wide integers, so the result does not depend on the order of addition
+    (bit-identical across partitionings and engines).
     """
     keys = ["kind"] if by_kind else []
     f = bounded_broadcast(features.select("element", *keys, "feature_id", "value"),
@@ -80,12 +80,18 @@ FIXED_POINT_SCALE = 1e12
 
 
 def fixed_point_sum(x: Column, scale: float = FIXED_POINT_SCALE) -> Column:
-    """Order-independent sum: each term rounded to 1/scale as a bigint."""
-    return F.sum(F.floor(x * F.lit(scale) + F.lit(0.5))) / F.lit(scale)
+    """Order-independent sum: whole parts and fractions (rounded to 1/scale)
+    are added as integers of up to 38 digits, so neither large terms nor many
+    terms overflow."""
+    whole = F.floor(x)
+    part = F.floor((x - whole) * F.lit(scale) + F.lit(0.5))
+    wide = "decimal(20,0)"
+    return F.sum(whole.cast(wide)).cast("double") + F.sum(part.cast(wide)).cast("double") / F.lit(scale)
 
 
 def sql_fixed_point_sum(expr: str, scale: float = FIXED_POINT_SCALE) -> str:
-    return f"(sum(CAST(floor(({expr}) * {scale!r} + 0.5) AS BIGINT)) / {scale!r})"
+    return (f"(CAST(sum(CAST(floor({expr}) AS BIGINT)) AS DOUBLE)"
+            f" + CAST(sum(CAST(floor((({expr}) - floor({expr})) * {scale!r} + 0.5) AS BIGINT)) AS DOUBLE) / {scale!r})")
 
 
 def feature_array(long: DataFrame, key: str = "sample_id", extra: Sequence[str] = ()) -> DataFrame:

@@ -32,6 +32,7 @@ VOCAB_SIZE = 128_100
 MAX_SEQ_LEN = 512
 LINE_BREAK = "\r\n|\r|\n"
 # Sentences per chunk of the packing scan (bounds the memory of one task).
+TREE_WIDTH = 256
 PACK_CHUNK_ROWS = 1_000_000
 
 
@@ -51,11 +52,6 @@ def read_lines_files(spark, path: str, keep_blank: bool = True) -> DataFrame:
     return read_lines(raw, text="value", key="file", keep_blank=keep_blank)
 
 
-def tagged_corpus(train: DataFrame, val: DataFrame) -> DataFrame:
-    """S3: two datasets as one with a ``split`` column."""
-    return train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
-
-
 def normalise_lines(lines: DataFrame, lowercase: bool = False) -> DataFrame:
     """X4 over a line table (blank lines dropped first, as S2 loads them)."""
     return lines.where(F.length("text") > 0).withColumn("text", normalise_text(F.col("text"), lowercase=lowercase))
@@ -73,37 +69,35 @@ def vocabulary(train_lines: DataFrame, vocab_size: int = VOCAB_SIZE) -> DataFram
         "token", (F.col("_rk") + N_SPECIAL).alias("id"), "count")
 
 
-def token_rows(lines: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("split", "doc_id", "line_no"),
-               vocab_max_rows: int = VOCAB_SIZE) -> DataFrame:
-    """T1 (long form): one row per token occurrence (keys..., pos, id);
-    unknown tokens get UNK.  The vocabulary is bounded by its size
-    parameter and broadcast after a check."""
-    keys = list(keys)
-    toks = lines.select(*keys, F.posexplode(word_tokens(F.col("text"))).alias("pos", "token"))
-    v = bounded_broadcast(vocab.select("token", "id"), vocab_max_rows)
-    return toks.join(v, "token", "left").select(
-        *keys, F.col("pos").cast("bigint").alias("pos"),
-        F.coalesce(F.col("id"), F.lit(UNK_ID)).cast("int").alias("id"))
+def encode_lines(lines: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("split", "doc_id", "line_no"),
+                 vocab_max_rows: int = VOCAB_SIZE) -> DataFrame:
+    """Per line the ids of its tokens as one array (keys..., ids); unknown
+    tokens get UNK.  The vocabulary is bounded by its size parameter and
+    travels as one dictionary, so tokens never become rows."""
+    words = vocab.select("token", "id").limit(vocab_max_rows + 1).collect()
+    if len(words) > vocab_max_rows:
+        raise ValueError(f"the vocabulary has more than {vocab_max_rows} entries")
+    known = lines.sparkSession.sparkContext.broadcast({r["token"]: int(r["id"]) for r in words})
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def ids(tokens: pd.Series) -> pd.Series:
+        get = known.value.get
+        return pd.Series([[get(t, UNK_ID) for t in row] for row in tokens], dtype=object)
+
+    return lines.select(*keys, ids(word_tokens(F.col("text"))).alias("ids"))
 
 
 def encode_tokens(lines: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("split", "doc_id", "line_no")) -> DataFrame:
     """Ids per line - tokens, then the trailing SEP (the leading CLS is
-    dropped, as the reference pops it).  A line's list is bounded by its
-    own length."""
-    keys = list(keys)
-    t = token_rows(lines, vocab, keys)
-    ids = t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p")) \
-        .select(*keys, F.transform("_p", lambda s: s["id"]).alias("ids"))
-    empty = lines.select(*keys).join(ids.select(*keys), keys, "left_anti").withColumn(
-        "ids", F.array().cast("array<int>"))
-    return ids.unionByName(empty).withColumn("ids", F.concat(F.col("ids"), F.array(F.lit(SEP_ID))))
+    dropped, as the reference pops it)."""
+    return encode_lines(lines, vocab, keys).withColumn("ids", F.concat("ids", F.array(F.lit(SEP_ID))))
 
 
-def coverage(tokens: DataFrame, by: str = "split") -> DataFrame:
-    """Known-token share per split (1 - UNK share)."""
-    return tokens.groupBy(by).agg(F.count(F.lit(1)).alias("n_tokens"),
-                                  F.count_if(F.col("id") == UNK_ID).alias("n_unknown"),
-                                  (1 - F.count_if(F.col("id") == UNK_ID) / F.count(F.lit(1))).alias("known_share"))
+def coverage(encoded: DataFrame, by: str = "split") -> DataFrame:
+    """Known-token share per split (1 - UNK share) of encoded lines."""
+    unknown = F.sum(F.size(F.filter("ids", lambda i: i == UNK_ID)))
+    return encoded.groupBy(by).agg(F.sum(F.size("ids")).alias("n_tokens"), unknown.alias("n_unknown")) \
+        .where("n_tokens > 0").withColumn("known_share", 1 - F.col("n_unknown") / F.col("n_tokens"))
 
 
 # -- T4: packing ---------------------------------------------------------------
@@ -125,7 +119,7 @@ def _compose(first: np.ndarray, second: np.ndarray, w: int) -> np.ndarray:
     return a1 + second[(rho + a1) % w]
 
 
-def pack_sequences(sent_len: DataFrame, tokens: DataFrame, max_len: int = MAX_SEQ_LEN,
+def pack_sequences(encoded: DataFrame, max_len: int = MAX_SEQ_LEN,
                    keys: Sequence[str] = ("doc_id", "line_no"), split: str = "split",
                    pad_ids: bool = True) -> DataFrame:
     """T4: greedy packing into blocks of ``max_len``: CLS, then sentence
@@ -142,19 +136,18 @@ def pack_sequences(sent_len: DataFrame, tokens: DataFrame, max_len: int = MAX_SE
     1. the sentence-length table is range-sorted by (split, key) and cut into
        chunks of at most PACK_CHUNK_ROWS (partition, position // chunk);
     2. per chunk, the W-entry advance table (Arrow batch, numpy);
-    3. chunk tables are composed per partition, partition tables scanned in
-       order on the driver (partitions x W integers), then start offsets are
-       pushed back down: partition -> chunk -> sentence;
-    4. every token gets (block, slot) by expression; blocks (<= max_len
-       items) are assembled by a group-by.
-
-    ``sent_len``: (split, keys..., r) with r = content tokens (no SEP).
-    ``tokens``: (split, keys..., pos, id).
+    3. chunk tables are composed per partition, then per TREE_WIDTH
+       partitions; the driver scans one table per such group, and the start
+       offsets are pushed back down: group -> partition -> chunk -> sentence;
+    4. every sentence is cut into one slice per block, and the slices of a
+       block (<= max_len ids) are put together by a group-by.
+
+    ``encoded``: (split, keys..., ids) with the content ids (no SEP).
     Returns (split, block_no, input_ids, attention_mask).
     """
     keys = list(keys)
     w = max_len - 2
-    s = sent_len.where(F.col("r") > 0).select(split, *keys, F.col("r").cast("bigint").alias("r"))
+    s = encoded.where(F.size("ids") > 0).select(split, *keys, F.size("ids").cast("bigint").alias("r"))
     tagged = _tag_sorted(s, [F.col(split), *[F.col(k) for k in keys]])
     # slice = (partition, split); position inside the slice from the tag
     sl = tagged.groupBy(_PID, split).agg(F.min(_MID).alias("_min"))
@@ -187,24 +180,44 @@ def pack_sequences(sent_len: DataFrame, tokens: DataFrame, max_len: int = MAX_SE
         return pd.DataFrame({_PID: [pdf[_PID].iloc[0]], split: [pdf[split].iloc[0]],
                              "adv": [total.tolist()], "chunk_adv": [[t.tolist() for t in tabs]]})
 
-    # small (partitions x W integers); materialised once, read twice
-    slices = cut_lineage(chunks.groupBy(_PID, split).applyInPandas(slice_fn, slice_schema))
-    # driver scan: one W-entry table per (split, partition) - bounded by the
-    # partition count, independent of the number of sentences
-    rows = slices.select(_PID, split, "adv").collect()
-    starts = []
-    by_split: dict[str, list] = {}
-    for r in rows:
-        by_split.setdefault(r[split], []).append((r[_PID], np.asarray(r["adv"], dtype=np.int64)))
-    for sp, lst in by_split.items():
-        e = 0
-        for pid, adv in sorted(lst, key=lambda x: x[0]):
-            starts.append((pid, sp, int(e)))
+    # one row per (partition, split); materialised once, read three times
+    slices = cut_lineage(chunks.groupBy(_PID, split).applyInPandas(slice_fn, slice_schema)
+                         .withColumn("_grp", F.floor(F.col(_PID) / TREE_WIDTH).cast("bigint")))
+    group_schema = T.StructType([T.StructField("_grp", T.LongType()), T.StructField(split, T.StringType()),
+                                 T.StructField("adv", T.ArrayType(T.LongType()))])
+
+    def group_fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        tabs = [np.asarray(a, dtype=np.int64) for a in pdf.sort_values(_PID)["adv"]]
+        total = tabs[0]
+        for t in tabs[1:]:
+            total = _compose(total, t, w)
+        return pd.DataFrame({"_grp": [pdf["_grp"].iloc[0]], split: [pdf[split].iloc[0]], "adv": [total.tolist()]})
+
+    # the driver sees one W-entry table per split and TREE_WIDTH partitions
+    rows = slices.select(_PID, split, "adv", "_grp").groupBy("_grp", split) \
+        .applyInPandas(group_fn, group_schema).collect()
+    spark = encoded.sparkSession
+    starts, at = [], {}
+    for r in sorted(rows, key=lambda r: r["_grp"]):
+        e = at.get(r[split], 0)
+        starts.append((r["_grp"], r[split], e))
+        at[r[split]] = e + int(r["adv"][e % w])
+    group_starts = spark.createDataFrame(starts, T.StructType([
+        T.StructField("_grp", T.LongType()), T.StructField(split, T.StringType()),
+        T.StructField("_gstart", T.LongType())]))
+    start_schema = T.StructType([T.StructField(_PID, T.IntegerType()), T.StructField(split, T.StringType()),
+                                 T.StructField("_sstart", T.LongType())])
+
+    def partition_starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(_PID)
+        e, out = int(pdf["_gstart"].iloc[0]), []
+        for adv in pdf["adv"]:
+            out.append(e)
             e += int(adv[e % w])
-    spark = sent_len.sparkSession
-    start_df = spark.createDataFrame(starts, T.StructType([
-        T.StructField(_PID, T.IntegerType()), T.StructField(split, T.StringType()),
-        T.StructField("_sstart", T.LongType())]))
+        return pd.DataFrame({_PID: pdf[_PID], split: pdf[split], "_sstart": out})
+
+    start_df = slices.select(_PID, split, "adv", "_grp").join(F.broadcast(group_starts), ["_grp", split]) \
+        .groupBy("_grp", split).applyInPandas(partition_starts, start_schema)
 
     chunk_start_schema = T.StructType([T.StructField(_PID, T.IntegerType()), T.StructField(split, T.StringType()),
                                        T.StructField("_chunk", T.LongType()), T.StructField("_cstart", T.LongType())])
@@ -218,7 +231,7 @@ def pack_sequences(sent_len: DataFrame, tokens: DataFrame, max_len: int = MAX_SE
             e += int(tab[e % w])
         return pd.DataFrame(out, columns=[_PID, split, "_chunk", "_cstart"])
 
-    cstarts = slices.join(F.broadcast(start_df), [_PID, split]).select(_PID, split, "_sstart", "chunk_adv") \
+    cstarts = slices.join(start_df, [_PID, split]).select(_PID, split, "_sstart", "chunk_adv") \
         .groupBy(_PID, split).applyInPandas(chunk_starts, chunk_start_schema)
 
     sent_schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in s.schema.fields if f.name != "r"],
@@ -238,31 +251,27 @@ def pack_sequences(sent_len: DataFrame, tokens: DataFrame, max_len: int = MAX_SE
         pdf = pdf.assign(e=es)
         return pdf[names]
 
-    sent = tagged.join(F.broadcast(cstarts), [_PID, split, "_chunk"]) \
+    sent = tagged.join(cstarts, [_PID, split, "_chunk"]) \
         .groupBy(_PID, split, "_chunk").applyInPandas(sentence_starts, sent_schema)
 
-    # token and end-SEP placements
-    pos = F.col("e") + F.col("pos")
-    tok = tokens.join(sent.select(split, *keys, "e"), [split, *keys]).select(
-        split, (F.floor(pos / w)).cast("bigint").alias("block_no"),
-        (F.lit(1) + pos % w).cast("int").alias("slot"), F.col("id").cast("int").alias("id"))
-    end = F.col("e") + F.col("r")
-    seps = sent.select(split, F.when(end % w != 0, F.floor(end / w)).otherwise(F.floor(end / w) - 1)
-                       .cast("bigint").alias("block_no"),
-                       F.when(end % w != 0, F.lit(1) + end % w).otherwise(F.lit(w + 1)).cast("int").alias("slot"),
-                       F.lit(SEP_ID).alias("id"))
-    items = tok.unionByName(seps)
-    blocks = items.groupBy(split, "block_no").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "id"))).alias("_items"),
-        F.max("slot").alias("_maxslot"))
+    # one piece per (sentence, block), SEP behind it
+    b, e = F.col("block_no"), F.col("e")
+    lo = F.greatest(F.lit(0), b * w - e)
+    hi = F.least(F.col("r"), (b + 1) * w - e)
+    pieces = (encoded.join(sent.select(split, *keys, "e", "r"), [split, *keys])
+              .withColumn("block_no", F.explode(F.sequence(F.floor(e / w), F.floor((e + F.col("r") - 1) / w))))
+              .select(split, "block_no", (1 + (e + lo) % w).alias("slot"),
+                      F.concat(F.slice("ids", (lo + 1).cast("int"), (hi - lo).cast("int")),
+                               F.array(F.lit(SEP_ID))).alias("piece")))
+    blocks = pieces.groupBy(split, "block_no").agg(
+        F.array_sort(F.collect_list(F.struct("slot", "piece"))).alias("_items"))
     last = blocks.groupBy(split).agg(F.max("block_no").alias("_last"))
     blocks = blocks.join(F.broadcast(last), split)
-    body = F.transform("_items", lambda it: it["id"])
-    full = F.col("block_no") < F.col("_last")
-    # a non-final block is full: slot 511 is a SEP (piece, end or filler)
+    body = F.flatten(F.transform("_items", lambda it: it["piece"]))
+    # a block before the last is full: one free slot gets a filler SEP
+    filler = (F.col("block_no") < F.col("_last")) & (F.size(body) < w + 1)
     ids = F.concat(F.array(F.lit(CLS_ID)), body,
-                   F.when(full & (F.col("_maxslot") < w + 1), F.array(F.lit(SEP_ID)))
-                   .otherwise(F.array().cast("array<int>")))
+                   F.when(filler, F.array(F.lit(SEP_ID))).otherwise(F.array().cast("array<int>")))
     blocks = blocks.select(split, "block_no", ids.alias("input_ids"))
     blocks = blocks.withColumn("attention_mask", attention_mask(F.size("input_ids"), max_len))
     if pad_ids:
@@ -276,9 +285,9 @@ def attention_mask(n, max_len: int = MAX_SEQ_LEN):
     return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n))
 
 
-def mlm_mask(blocks: DataFrame, seed="mlm", prob: float = 0.15, vocab_size: int = VOCAB_SIZE,
+def mlm_mask(blocks: DataFrame, vocab_size: int, seed="mlm", prob: float = 0.15,
              split: str = "split") -> DataFrame:
-    """T5: each non-special token chosen with probability 0.15; of those 80 %
+    """T5 (``vocab_size``: ids in use, special ones included): each non-special token chosen with probability 0.15; of those 80 %
     become MASK, 10 % a random id, 10 % stay; labels are the original id
     where chosen, -100 elsewhere.  Hash randomness per (split, block, slot)."""
     def draw(tag, i):

@@ -1,12 +1,13 @@
 """Exact quantiles per group without collecting a group into one task.
 
 ``percentile`` keeps a value->count map per group; one group holding a third
-of the rows would sit in one task.  Here the rows are range-sorted by (group,
-value) - a hot group is spread over many partitions - and tagged with
-(partition, position); a small table of per-slice counts locates the rows at
-the wanted ranks, which are picked with a broadcast semi-join on
-(partition, position).  Interpolation is linear between the two closest
-ranks (``quantile_cont`` / ``percentile`` semantics).
+of the rows would sit in one task.  Here the rows are first reduced to
+(group, value, count) - a partial aggregate, so repeated values cost nothing -
+and these pairs are range-sorted, which spreads a hot group over many
+partitions.  Each (partition, group) slice gets its offset from a small table
+of slice totals, and the pairs that cover a wanted rank are kept.  There is no
+bound on group sizes, distinct values or ties.  Interpolation is linear between
+the two closest ranks (``quantile_cont`` / ``percentile`` semantics).
 """
 
 from __future__ import annotations
@@ -17,119 +18,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stoich.operators.ordering import _MID, _PID, _tag_sorted
-from stoich.session import bounded_broadcast, cut_lineage
+from stoich.session import bounded_broadcast
 
 
-def exact_quantiles_sorted(df: DataFrame, group: Sequence[str], value: str,
-                           qs: Sequence[float]) -> DataFrame:
-    """Sort-based variant: rows (group..., q, quantile); nulls ignored."""
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """Rows (group..., q, quantile); nulls ignored."""
     group = list(group)
-    data = df.select(*group, F.col(value).cast("double").alias("_q_v")).where(F.col("_q_v").isNotNull())
-    tagged = _tag_sorted(data, [*(F.col(g) for g in group), F.col("_q_v")])
-    sl = tagged.groupBy(_PID, *group).agg(F.count(F.lit(1)).alias("_q_cnt"), F.min(_MID).alias("_q_min"))
-    w = Window.partitionBy(*group).orderBy(_PID) if group else Window.orderBy(_PID)
-    sl = sl.select(_PID, *group, "_q_cnt", "_q_min",
-                   F.coalesce(F.sum("_q_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                              F.lit(0)).alias("_q_off"),
-                   F.sum("_q_cnt").over(w.rowsBetween(Window.unboundedPreceding,
-                                                      Window.unboundedFollowing)).alias("_q_n"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    # wanted ranks per slice: floor and ceil of (n - 1) * q that fall inside it
-    want = (sl.select("*", F.explode(qarr).alias("q"))
-            .withColumn("_q_h", (F.col("_q_n") - 1) * F.col("q"))
-            .select("*", F.explode(F.array(F.floor("_q_h"), F.ceil("_q_h"))).alias("_q_rank"))
-            .where((F.col("_q_rank") >= F.col("_q_off")) & (F.col("_q_rank") < F.col("_q_off") + F.col("_q_cnt")))
-            .select(_PID, (F.col("_q_min") + F.col("_q_rank") - F.col("_q_off")).alias(_MID),
-                    "q", "_q_h", "_q_rank"))
-    picked = tagged.join(bounded_broadcast(want), [_PID, _MID])
-    res = picked.groupBy(*group, "q").agg(
-        F.first("_q_h").alias("_q_h"),
-        F.min_by("_q_v", "_q_rank").alias("_q_lo"),
-        F.max_by("_q_v", "_q_rank").alias("_q_hi"))
-    d = F.col("_q_h") - F.floor("_q_h")
-    return res.select(*group, "q", (F.col("_q_lo") + d * (F.col("_q_hi") - F.col("_q_lo"))).alias("quantile"))
-
-
-HIST_BUCKETS = 1 << 16
-MAX_BUCKET_VALUES = 2_000_000
-
-
-def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, qs: Sequence[float],
-                    buckets: int = HIST_BUCKETS) -> DataFrame:
-    """Exact quantiles by histogram selection - no sort of the data.
-
-    1. per group: n, min, max (one aggregate);
-    2. per (group, bucket) counts over ``buckets`` equal-width buckets (a
-       partial aggregate: a hot group is pre-aggregated per task);
-    3. the buckets holding the wanted ranks floor/ceil((n-1) q) (a few per
-       group) are located from the cumulative counts;
-    4. only rows in those buckets are kept and reduced to (value, count)
-       pairs; the wanted ranks are read off their cumulative counts.  A
-       bucket with more than MAX_BUCKET_VALUES distinct values is refined by
-       repeating 2-4 on its range (rare: needs heavy concentration).
-    Linear interpolation between the two ranks (quantile_cont semantics).
-    """
-    group = list(group)
-    g = group if group else ["_q_all"]
+    g = group or ["_q_all"]
     data = df.select(*[F.col(c) for c in group], F.col(value).cast("double").alias("_q_v")) \
         .where(F.col("_q_v").isNotNull())
     if not group:
         data = data.withColumn("_q_all", F.lit(0))
-    # the (group, value) pairs are read three times: materialise them once
-    data = cut_lineage(data)
-    stats = data.groupBy(*g).agg(F.count(F.lit(1)).alias("_q_n"), F.min("_q_v").alias("_q_lo"),
-                                 F.max("_q_v").alias("_q_hi"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    want = (stats.select("*", F.explode(qarr).alias("q"))
-            .withColumn("_q_h", (F.col("_q_n") - 1) * F.col("q"))
-            .select("*", F.explode(F.array(F.floor("_q_h"), F.ceil("_q_h"))).alias("_q_rank")))
-    # ranges to search, per group: start with [min, max], offset 0
-    rng = stats.select(*g, F.col("_q_lo").alias("_r_lo"), F.col("_q_hi").alias("_r_hi"),
-                       F.lit(0).cast("bigint").alias("_r_off"), F.col("_q_n").alias("_r_cnt"))
-    pending = want.select(*g, "q", "_q_h", "_q_rank")
-    found = None
-    for _level in range(4):
-        r = bounded_broadcast(rng)
-        width = (F.col("_r_hi") - F.col("_r_lo")) / buckets
-        inr = data.join(r, g).where((F.col("_q_v") >= F.col("_r_lo")) & (F.col("_q_v") <= F.col("_r_hi")))
-        b = F.when(width > 0, F.least(F.floor((F.col("_q_v") - F.col("_r_lo")) / width), F.lit(buckets - 1))) \
-            .otherwise(F.lit(0)).cast("bigint")
-        hist = inr.withColumn("_b", b).groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_c"))
-        w = Window.partitionBy(*g).orderBy("_b")
-        hist = hist.select(*g, "_b", "_c", (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("_cb"))
-        hist = hist.fillna(0, subset=["_cb"]).join(F.broadcast(rng.select(*g, "_r_off", "_r_lo", "_r_hi")), g)
-        hist = hist.withColumn("_cb", F.col("_cb") + F.col("_r_off"))
-        tgt = pending.join(hist, g).where((F.col("_q_rank") >= F.col("_cb")) & (F.col("_q_rank") < F.col("_cb") + F.col("_c")))
-        tgt = cut_lineage(tgt)
-        tb = tgt.select(*g, "_b", "_cb", "_r_lo", "_r_hi").distinct()
-        vals = (inr.withColumn("_b", b).join(F.broadcast(tb.select(*g, "_b")), [*g, "_b"])
-                .groupBy(*g, "_b", "_q_v").agg(F.count(F.lit(1)).alias("_vc")))
-        ndist = vals.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_nd"))
-        big = [tuple(x) for x in ndist.where(F.col("_nd") > MAX_BUCKET_VALUES).select(*g, "_b").collect()]
-        wv = Window.partitionBy(*g, "_b").orderBy("_q_v")
-        cum = vals.join(F.broadcast(tb), [*g, "_b"]).select(
-            *g, "_b", "_q_v", "_vc",
-            (F.col("_cb") + F.coalesce(F.sum("_vc").over(wv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_vs"))
-        hit = tgt.join(cum, [*g, "_b"]).where((F.col("_q_rank") >= F.col("_vs")) & (F.col("_q_rank") < F.col("_vs") + F.col("_vc")))
-        hit = hit.select(*g, "q", "_q_h", "_q_rank", "_q_v")
-        if big:
-            keyset = F.struct(*[F.col(c) for c in g], F.col("_b"))
-            bigs = F.array(*[F.struct(*[F.lit(v) for v in t]) for t in big])
-            hit = hit.join(tgt.select(*g, "q", "_q_rank", "_b"), [*g, "q", "_q_rank"]).where(
-                ~F.array_contains(bigs, keyset)).drop("_b")
-        found = hit if found is None else found.unionByName(hit)
-        if not big:
-            break
-        # refine the crowded buckets: their range becomes the next search range
-        sub = tgt.join(ndist.where(F.col("_nd") > MAX_BUCKET_VALUES).select(*g, "_b"), [*g, "_b"])
-        pending = sub.select(*g, "q", "_q_h", "_q_rank")
-        rng = sub.select(*g, (F.col("_r_lo") + F.col("_b") * (F.col("_r_hi") - F.col("_r_lo")) / buckets).alias("_r_lo"),
-                         (F.col("_r_lo") + (F.col("_b") + 1) * (F.col("_r_hi") - F.col("_r_lo")) / buckets).alias("_r_hi"),
-                         F.col("_cb").alias("_r_off"), F.col("_c").alias("_r_cnt")).distinct()
-    res = found.groupBy(*g, "q").agg(F.first("_q_h").alias("_q_h"), F.min_by("_q_v", "_q_rank").alias("_lo"),
-                                     F.max_by("_q_v", "_q_rank").alias("_hi"))
-    d = F.col("_q_h") - F.floor("_q_h")
-    return res.select(*group, "q", (F.col("_lo") + d * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
+    pairs = data.groupBy(*g, "_q_v").agg(F.count(F.lit(1)).alias("_q_c"))
+    tagged = _tag_sorted(pairs, [*(F.col(c) for c in g), F.col("_q_v")])
+    # slices: one row per (partition, group)
+    slices = tagged.groupBy(_PID, *g).agg(F.sum("_q_c").alias("_s"))
+    w = Window.partitionBy(*g).orderBy(_PID)
+    slices = slices.select(
+        F.col(_PID).alias("_p"), *[F.col(c).alias(f"_g_{i}") for i, c in enumerate(g)],
+        F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_s").over(Window.partitionBy(*g)).alias("_n"))
+    inside = Window.partitionBy(_PID, *g).orderBy(_MID).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col(_PID) == F.col("_p")
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{i}"))
+    placed = (tagged.withColumn("_in", F.coalesce(F.sum("_q_c").over(inside), F.lit(0)))
+              .join(bounded_broadcast(slices), same)
+              .withColumn("_from", F.col("_off") + F.col("_in")))
+    ranks = F.array(*[F.struct(F.lit(float(q)).alias("q"), ((F.col("_n") - 1) * F.lit(float(q))).alias("h")) for q in qs])
+    covers = lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_q_c"))
+    hits = (placed.select(*g, "_q_v", "_from", "_q_c", F.explode(ranks).alias("_r"))
+            .select(*g, "_q_v", F.col("_r.q").alias("q"), F.col("_r.h").alias("_h"),
+                    covers(F.floor("_r.h")).alias("_lo"), covers(F.ceil("_r.h")).alias("_hi"))
+            .where("_lo OR _hi"))
+    res = hits.groupBy(*g, "q").agg(F.first("_h").alias("_h"), F.max(F.when(F.col("_lo"), F.col("_q_v"))).alias("_a"),
+                                    F.max(F.when(F.col("_hi"), F.col("_q_v"))).alias("_z"))
+    d = F.col("_h") - F.floor("_h")
+    return res.select(*group, "q", F.when(d == 0, F.col("_a")).otherwise(
+        F.col("_a") + d * (F.col("_z") - F.col("_a"))).alias("quantile"))
 
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str = "median") -> DataFrame:

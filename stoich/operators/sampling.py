@@ -1,17 +1,17 @@
 """Exact, repeatable sampling, splits and folds driven by hash randomness.
 
-The shuffle order of a row is its hash uniform ``u(seed, id)`` (ties broken
-by id).  Exact ranks in that order come from :func:`hash_rank`: rows are
-bucketed by ``floor(u * B)`` - uniform by construction, so buckets are
-balanced and no key can be hot - a bucket histogram (a small table) gives
-each bucket its offset, and a window *inside a bucket* (bounded rows) gives
-the position within it.  No global sort, no single-task window, and the
-result does not depend on partitioning.
+The shuffle order of a row is its hash uniform ``u(seed, id)`` (ties broken by
+id).  A split or fold needs no ranks, only the rows at a few ranks: the cut
+points.  :func:`hash_cuts` finds them from the ids alone - a histogram of u (a
+partial aggregate), then the order inside the few histogram steps that hold a
+wanted rank - and :func:`tag_by_cuts` compares every row with them.  The rows
+themselves, however wide, are neither shuffled nor sorted, no task sees all
+rows, and the result does not depend on partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,67 +20,84 @@ from stoich.functions.rng import uniform
 from stoich.operators.ordering import rank_within
 from stoich.session import bounded_broadcast
 
-ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 1 << 22
-
-
-def n_buckets_for(n_rows: int | None) -> int:
-    """Bucket count for hash ranks: MAX_BUCKETS unless a row count is known
-    (then enough buckets for ~ROWS_PER_BUCKET rows each)."""
-    if n_rows is None:
-        return MAX_BUCKETS
-    return int(min(MAX_BUCKETS, max(1, n_rows // ROWS_PER_BUCKET)))
-
-
-def hash_rank(df: DataFrame, u: Column, id_col: str | Sequence[str], group: Sequence[str] = (),
-              out: str = "rank") -> DataFrame:
-    """Exact 0-based rank by (u, id) inside each group, plus ``<out>_n``.
-
-    ``id_col`` (one or several columns) must be unique within a group: it is
-    the row key the hash was drawn from."""
+STEPS = 1 << 13
+
+
+def hash_cuts(df: DataFrame, u: Column, id_col: str | Sequence[str], ranks: Callable[[Column], list[Column]],
+              group: Sequence[str] = ()) -> DataFrame:
+    """One row per group: its size ``_n`` and ``_cuts``, for each rank r of
+    ``ranks(_n)`` the key (u, ids) of the row at the 0-based rank r in hash
+    order; null where the group has no such row.
+
+    ``id_col`` (one or several columns) must be unique within a group.  Per
+    group at most STEPS histogram rows are windowed; a step holds a
+    STEPS-th of the group, and only steps with a wanted rank are sorted."""
+    group, ids = list(group), _ids(id_col)
+    keys = df.select(*group, F.lit(0).alias("_all"), u.alias("_u"), *[c for c in ids if c not in group])
+    keys = keys.withColumn("_step", F.least(F.floor(F.col("_u") * STEPS), F.lit(STEPS - 1)))
+    g = group or ["_all"]
+    hist = keys.groupBy(*g, "_step").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*g)
+    hist = hist.select(*g, "_step", "_c", F.sum("_c").over(w).alias("_n"), (
+        F.sum("_c").over(w.orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_from"))
+    r = F.array(*[x.cast("bigint") for x in ranks(F.col("_n"))])
+    inside = F.filter(F.transform(r, lambda x, j: F.struct(j.alias("j"), (x - F.col("_from")).alias("at"))),
+                      lambda x: (x["at"] >= 0) & (x["at"] < F.col("_c")))
+    hist = hist.select(*g, "_step", "_n", inside.alias("_want"))
+    wanted = bounded_broadcast(hist.where((F.size("_want") > 0) | (F.col("_step") >= 0)).groupBy(*g).agg(
+        F.first("_n").alias("_n"), F.collect_list(F.when(F.size("_want") > 0, F.struct("_step", "_want"))).alias("_w")))
+    steps = wanted.select(*g, F.explode("_w").alias("_x")).select(*g, F.col("_x._step").alias("_step"),
+                                                                 F.col("_x._want").alias("_want"))
+    inner = Window.partitionBy(*g, "_step").orderBy("_u", *ids)
+    found = (keys.join(F.broadcast(steps), [*g, "_step"])
+             .withColumn("_at", F.row_number().over(inner) - 1)
+             .select(*g, "_u", *[c for c in ids if c not in g], F.explode("_want").alias("_x"), "_at")
+             .where(F.col("_at") == F.col("_x.at"))
+             .groupBy(*g).agg(F.collect_list(F.struct(F.col("_x.j").alias("j"), F.struct("_u", *ids).alias("key")))
+                              .alias("_found")))
+    n_cuts = len(ranks(F.lit(1)))
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(n_cuts - 1)), lambda j: F.get(
+        F.filter("_found", lambda x: x["j"] == j), F.lit(0))["key"])
+    return wanted.join(found, g, "left").select(*group, "_n", cuts.alias("_cuts"))
+
+
+def tag_by_cuts(df: DataFrame, u: Column, id_col: str | Sequence[str], cuts: DataFrame, value: Callable,
+                out: str, group: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``out = value(passed)``, where ``passed(j)`` says whether a
+    row's rank reaches the j-th wanted rank (false where no row has it)."""
     group = list(group)
-    ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    d = df.withColumn("_h_u", u)
-    # a fixed bucket count: no counting pass over the input; the histogram
-    # has at most min(rows, MAX_BUCKETS) rows per group and a bucket holds
-    # rows / MAX_BUCKETS rows on average (u is uniform)
-    n_buckets = n_buckets_for(None)
-    d = d.withColumn("_h_b", F.least(F.floor(F.col("_h_u") * n_buckets), F.lit(n_buckets - 1)))
-    hist = d.groupBy(*group, "_h_b").agg(F.count(F.lit(1)).alias("_h_c"))
-    wg = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    hist = hist.select(*group, "_h_b",
-                       F.coalesce(F.sum("_h_c").over(wg.orderBy("_h_b").rowsBetween(Window.unboundedPreceding, -1)),
-                                  F.lit(0)).alias("_h_off"),
-                       F.sum("_h_c").over(wg).alias(f"{out}_n"))
-    inner = Window.partitionBy(*group, "_h_b").orderBy("_h_u", *ids)
-    ranked = d.withColumn("_h_pos", F.row_number().over(inner) - 1).join(
-        bounded_broadcast(hist), [*group, "_h_b"])
-    return ranked.withColumn(out, (F.col("_h_off") + F.col("_h_pos")).cast("bigint")) \
-        .drop("_h_u", "_h_b", "_h_off", "_h_pos")
+    key = F.struct(u.alias("_u"), *[F.col(c) for c in _ids(id_col)])
+    if group:
+        cuts = bounded_broadcast(cuts.drop("_n"))
+        joined = df.join(cuts, group)
+    else:                               # one row: its few keys become literals
+        joined = df.join(F.broadcast(cuts.select("_cuts")))
+    passed = lambda j: F.coalesce(key >= F.get("_cuts", F.lit(j)), F.lit(False))
+    return joined.withColumn(out, value(passed)).drop("_cuts")
 
 
 def _ids(id_col):
     return [id_col] if isinstance(id_col, str) else list(id_col)
 
 
-def exact_sample(df: DataFrame, n: int, seed, id_col: str | Sequence[str]) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows without replacement."""
-    r = hash_rank(df, uniform(seed, *[F.col(c) for c in _ids(id_col)]), id_col)
-    return r.where(F.col("rank") < n).drop("rank", "rank_n")
+def _u_of(seed, id_col):
+    return uniform(seed, *[F.col(c) for c in _ids(id_col)])
 
 
-def round_half_even(x: float) -> int:
-    return int(round(x))
+def exact_sample(df: DataFrame, n: int, seed, id_col: str | Sequence[str]) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows without replacement: the first n in
+    hash order (a top-n per task, merged)."""
+    return df.withColumn("_u", _u_of(seed, id_col)).orderBy("_u", *_ids(id_col)).limit(n).drop("_u")
 
 
 def train_eval_split(df: DataFrame, seed, id_col: str | Sequence[str], eval_ratio: float = 0.10,
                      out: str = "split") -> DataFrame:
     """G1: exactly round_half_even(n * eval_ratio) rows tagged 'eval', the
     rest 'train'; row order (the id) is kept."""
-    r = hash_rank(df, uniform(seed, *[F.col(c) for c in _ids(id_col)]), id_col)
-    n_eval = F.bround(F.col("rank_n") * F.lit(eval_ratio), 0)
-    return r.withColumn(out, F.when(F.col("rank") < n_eval, F.lit("eval")).otherwise(F.lit("train"))) \
-        .drop("rank", "rank_n")
+    u = _u_of(seed, id_col)
+    cuts = hash_cuts(df, u, id_col, lambda n: [F.bround(n * F.lit(eval_ratio), 0)])
+    return tag_by_cuts(df, u, id_col, cuts, lambda passed: F.when(passed(0), F.lit("train")).otherwise(F.lit("eval")),
+                       out)
 
 
 def three_way_split(df: DataFrame, seed, id_col: str, ratios=(0.8, 0.1, 0.1),
@@ -91,30 +108,33 @@ def three_way_split(df: DataFrame, seed, id_col: str, ratios=(0.8, 0.1, 0.1),
     tot = float(sum(ratios))
     f1 = (ratios[1] + ratios[2]) / tot
     f2 = ratios[2] / (ratios[1] + ratios[2])
-    r = hash_rank(df, uniform(seed, F.col(id_col)), id_col)
-    held = F.ceil(F.col("rank_n") * F.lit(f1))
-    v2 = F.ceil(held * F.lit(f2))
-    return r.withColumn(out, F.when(F.col("rank") < v2, F.lit("val_2"))
-                        .when(F.col("rank") < held, F.lit("val_1")).otherwise(F.lit("train"))) \
-        .drop("rank", "rank_n")
+    u = _u_of(seed, id_col)
+    held = lambda n: F.ceil(n * F.lit(f1))
+    cuts = hash_cuts(df, u, id_col, lambda n: [F.ceil(held(n) * F.lit(f2)), held(n)])
+    return tag_by_cuts(df, u, id_col, cuts, lambda passed: F.when(passed(1), F.lit("train"))
+                       .when(passed(0), F.lit("val_1")).otherwise(F.lit("val_2")), out)
 
 
-def fold_of_rank(rank: Column, n: Column, k: int) -> Column:
-    """Fold (0-based) of a position in a shuffled order of n rows: the first
+def fold_starts(n: Column, k: int) -> list[Column]:
+    """First rank of folds 1..k-1 in a shuffled order of n rows: the first
     n % k folds are one row larger."""
     q = F.floor(n / F.lit(k))
-    rem = n - q * F.lit(k)
-    big = rem * (q + 1)
-    return F.when(rank < big, F.floor(rank / (q + 1))) \
-        .otherwise(rem + F.floor((rank - big) / F.greatest(q, F.lit(1)))).cast("bigint")
+    return [F.lit(f) * q + F.least(F.lit(f), n - q * F.lit(k)) for f in range(1, k)]
 
 
 def kfold(df: DataFrame, k: int, seed, id_col: str, group: Sequence[str] = (),
           out: str = "fold") -> DataFrame:
     """Shuffled k folds of sizes n//k (+1 for the first n % k)."""
-    parts = [F.col(g) for g in group]
-    r = hash_rank(df, uniform(seed, *parts, F.col(id_col)), id_col, group)
-    return r.withColumn(out, fold_of_rank(F.col("rank"), F.col("rank_n"), k)).drop("rank", "rank_n")
+    u = uniform(seed, *[F.col(g) for g in group], F.col(id_col))
+    cuts = hash_cuts(df, u, id_col, lambda n: fold_starts(n, k), group)
+
+    def fold(passed):
+        value = F.lit(0).cast("bigint")
+        for f in range(1, k):
+            value = value + passed(f - 1).cast("bigint")
+        return value
+
+    return tag_by_cuts(df, u, id_col, cuts, fold, out, group)
 
 
 def repeated_kfold(df: DataFrame, k: int, seeds: Sequence[int], id_col: str,

@@ -46,14 +46,14 @@ def j1_weighted_features(spark, sf_dir):
 @query("j1_weighted_features_by_kind", with_ctes(FX.C1_SQL, FX.C2_SQL, FX.C3_SQL, SHARES_SQL) + f""",
 feats AS (SELECT 'empirical' AS kind, * FROM pfeat UNION ALL SELECT 'embedding', * FROM efeat)
 SELECT s.sample_id, f.kind, f.feature_id,
-       round({C.sql_fixed_point_sum('s.share * f.value')}, 6) + 0.0 AS value
+       floor(({C.sql_fixed_point_sum('s.share * f.value')}) * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE AS value
 FROM shares s JOIN feats f ON s.element = f.element
 GROUP BY s.sample_id, f.kind, f.feature_id""")
 def j1_weighted_features_by_kind(spark, sf_dir):
     """S7 + J1: every feature kind in one job (no loop over kinds)."""
     wf = C.weighted_features(_shares(spark, sf_dir), FX.all_features(spark, sf_dir), by_kind=True,
                              exact_sum=True)
-    return wf.select("sample_id", "kind", "feature_id", _r6(F.col("value")).alias("value"))
+    return wf.select("sample_id", "kind", "feature_id", (F.floor(F.col("value") * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)).alias("value"))
 
 
 @query("j2_select_features", with_ctes(FX.C1_SQL, FX.C2_SQL, SHARES_SQL) + """,
@@ -108,19 +108,22 @@ def _inlist(xs):
     return ", ".join(f"'{x}'" for x in xs)
 
 
-@query("f1_reject_unwanted", with_ctes(FX.C1_SQL) + f"""
-SELECT sample_id, element, amount FROM composition
-WHERE sample_id NOT IN (SELECT sample_id FROM composition
-                       WHERE element IN ({_inlist(UNWANTED)}) AND (amount IS NULL OR amount <> 0))""")
+_C1_ONCE = FX.C1_SQL.replace("composition AS (", "composition AS MATERIALIZED (", 1)
+
+
+@query("f1_reject_unwanted", with_ctes(_C1_ONCE, f"""bad AS MATERIALIZED (
+  SELECT DISTINCT sample_id FROM composition
+  WHERE element IN ({_inlist(UNWANTED)}) AND (amount IS NULL OR amount <> 0))""") + """
+SELECT sample_id, element, amount FROM composition ANTI JOIN bad USING (sample_id)""")
 def f1_reject_unwanted(spark, sf_dir):
     return C.reject_unwanted(FX.composition(spark, sf_dir), UNWANTED).select("sample_id", "element", "amount")
 
 
-@query("f2_reject_other_columns", with_ctes(FX.C1_SQL) + f"""
-SELECT sample_id, element, amount FROM composition
-WHERE element IN ({_inlist(ALLOWED)})
-  AND sample_id NOT IN (SELECT sample_id FROM composition
-                        WHERE element NOT IN ({_inlist(ALLOWED)}) AND (amount IS NULL OR amount <> 0))""")
+@query("f2_reject_other_columns", with_ctes(_C1_ONCE, f"""bad AS MATERIALIZED (
+  SELECT DISTINCT sample_id FROM composition
+  WHERE element NOT IN ({_inlist(ALLOWED)}) AND (amount IS NULL OR amount <> 0))""") + f"""
+SELECT sample_id, element, amount FROM composition ANTI JOIN bad USING (sample_id)
+WHERE element IN ({_inlist(ALLOWED)})""")
 def f2_reject_other_columns(spark, sf_dir):
     return C.reject_other_columns(FX.composition(spark, sf_dir), ALLOWED).select("sample_id", "element", "amount")
 

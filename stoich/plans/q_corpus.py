@@ -65,11 +65,12 @@ def _vocab(spark, sf_dir):
     return K.vocabulary(_norm(spark, sf_dir).where(F.col("split") == "train"))
 
 
-def _ids(spark, sf_dir):
-    """Normalised lines and their token rows, each materialised once in the
-    shared checkpoint folder (both are read several times downstream)."""
+def _encoded(spark, sf_dir):
+    """(encoded lines, number of ids in use); the normalised lines and the
+    vocabulary are materialised once, both are read several times."""
     n = cut_lineage(_norm(spark, sf_dir))
-    return n, cut_lineage(K.token_rows(n, K.vocabulary(n.where(F.col("split") == "train"))))
+    vocab = cut_lineage(K.vocabulary(n.where(F.col("split") == "train")))
+    return K.encode_lines(n, vocab), vocab.count() + K.N_SPECIAL
 
 
 @query("s1_read_lines", f"WITH {LINES_SQL}\nSELECT doc_id, line_no, text FROM lines1")
@@ -138,7 +139,7 @@ SELECT n.split, n.doc_id, n.line_no, array_to_string(coalesce(e.ids, []) || [{K.
 FROM norm n LEFT JOIN enc e ON n.split = e.split AND n.doc_id = e.doc_id AND n.line_no = e.line_no""")
 def t1_encode_tokens(spark, sf_dir):
     """Ids per line with the trailing SEP."""
-    n = _norm(spark, sf_dir)
+    n = cut_lineage(_norm(spark, sf_dir))
     enc = K.encode_tokens(n, K.vocabulary(n.where(F.col("split") == "train")))
     return enc.select("split", "doc_id", "line_no", F.array_join("ids", " ").alias("ids"))
 
@@ -149,8 +150,8 @@ SELECT split, count(*) AS n_tokens, count_if(id = {K.UNK_ID}) AS n_unknown,
 def t3_coverage(spark, sf_dir):
     """Share of known tokens per split (the validation split has words
     never seen in training)."""
-    _, ids = _ids(spark, sf_dir)
-    c = K.coverage(ids)
+    enc, _ = _encoded(spark, sf_dir)
+    c = K.coverage(enc)
     return c.select("split", "n_tokens", "n_unknown", (F.round("known_share", 6) + F.lit(0.0)).alias("known_share"))
 
 
@@ -183,11 +184,8 @@ padded AS (SELECT split, block_no, len(ids) AS n_ids, ids || list_transform(rang
 
 
 def _packed(spark, sf_dir):
-    n, ids = _ids(spark, sf_dir)
-    lens = n.select("split", "doc_id", "line_no").join(
-        ids.groupBy("split", "doc_id", "line_no").agg(F.count(F.lit(1)).alias("r")),
-        ["split", "doc_id", "line_no"], "left").fillna(0, subset=["r"])
-    return K.pack_sequences(lens, ids)
+    enc, n_ids = _encoded(spark, sf_dir)
+    return K.pack_sequences(cut_lineage(enc)), n_ids
 
 
 @query("t4_pack_sequences", f"""WITH RECURSIVE {LINES_SQL},\n{TAG_SQL},\n{NORM_SQL},\n{TOK_SQL},\n{PACK_SQL}
@@ -195,7 +193,7 @@ SELECT split, block_no, n_ids, array_to_string(input_ids, ' ') AS input_ids FROM
 def t4_pack_sequences(spark, sf_dir):
     """T4 + X21: 512-id blocks per split (ids padded with PAD; n_ids = the
     attention-mask length)."""
-    b = _packed(spark, sf_dir)
+    b, _ = _packed(spark, sf_dir)
     return b.select("split", "block_no", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
                     .cast("bigint").alias("n_ids"), F.array_join("input_ids", " ").alias("input_ids"))
 
@@ -206,16 +204,16 @@ def _mask_sql():
     chosen = f"(x NOT IN ({K.PAD_ID}, {K.CLS_ID}, {K.SEP_ID}) AND {u('p')} < 0.15)"
     masked = (f"list_transform(input_ids, lambda x, i: CASE WHEN {chosen} THEN "
               f"(CASE WHEN {u('k')} < 0.8 THEN {K.MASK_ID} WHEN {u('k')} < 0.9 "
-              f"THEN CAST(floor({u('r')} * {K.VOCAB_SIZE}) AS INTEGER) ELSE x END) ELSE x END)")
+              f"THEN CAST(floor({u('r')} * n_vocab) AS INTEGER) ELSE x END) ELSE x END)")
     labels = f"list_transform(input_ids, lambda x, i: CASE WHEN {chosen} THEN x ELSE -100 END)"
     return f"""WITH RECURSIVE {LINES_SQL},\n{TAG_SQL},\n{NORM_SQL},\n{TOK_SQL},\n{PACK_SQL}
 SELECT split, block_no, array_to_string({masked}, ' ') AS masked_ids, array_to_string({labels}, ' ') AS labels
-FROM padded"""
+FROM padded CROSS JOIN (SELECT count(*) + {K.N_SPECIAL} AS n_vocab FROM vocab)"""
 
 
 @query("t5_mlm_mask", _mask_sql())
 def t5_mlm_mask(spark, sf_dir):
     """T5: 15 % of the non-special tokens chosen; 80/10/10 mask/random/keep."""
-    m = K.mlm_mask(_packed(spark, sf_dir))
+    m = K.mlm_mask(*_packed(spark, sf_dir))
     return m.select("split", "block_no", F.array_join("masked_ids", " ").alias("masked_ids"),
                     F.array_join("labels", " ").alias("labels"))

@@ -59,6 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+_WRITTEN: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
     and read it back.
@@ -68,20 +71,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     re-read relation carries its real size, so the optimiser's size
     estimates do not compound over iterations (a checkpointed plan keeps the
     estimate of the plan it came from, and products of those estimates over
-    many joined generations become astronomically large)."""
+    many joined generations become astronomically large).  The tables stay
+    until :func:`remove_tables` is called: later plans read them."""
     import uuid
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession) -> None:
+    """Delete the tables written by :func:`cut_lineage`, once no DataFrame
+    that reads them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
 
-    The check is ``limit(max_rows + 1).count()``: it stops reading once the
-    bound is exceeded.  Beyond the bound the plain DataFrame is returned and
-    the planner uses a shuffle join instead.
+    The table is written once and its rows are counted there, so the plan
+    behind it runs once, not once for the count and once for the join.  Beyond
+    the bound the written table is returned as is and the planner uses a
+    shuffle join instead.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    table = cut_lineage(df)
+    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table

@@ -59,20 +59,23 @@ def _by_sample():
 
 
 def embedding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(element, feature_id, value), brand n <-> vec_id n, n in 1..25."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id").between(1, 25))
-    return e.select(
-        F.concat(F.lit("Brand#"), F.col("vec_id").cast("string")).alias("element"),
-        F.posexplode("embedding").alias("feature_id", "value"),
-    ).select("element", F.col("feature_id").cast("bigint").alias("feature_id"),
-             F.col("value").cast("double").alias("value"))
+    """(element, feature_id, value): brand n takes all vectors with
+    vec_id % 25 = n - 1, averaged per position.  Components are added as
+    integers of 1e-9, so the mean does not depend on the order of rows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("feature_id", "x"))
+    units = F.floor(F.col("x").cast("double") * F.lit(1e9) + F.lit(0.5))
+    return (e.groupBy((F.pmod("vec_id", F.lit(25)) + 1).alias("n"), "feature_id")
+            .agg((F.sum(units).cast("double") / F.lit(1e9) / F.count(F.lit(1))).alias("value"))
+            .select(F.concat(F.lit("Brand#"), F.col("n").cast("string")).alias("element"),
+                    F.col("feature_id").cast("bigint").alias("feature_id"), "value"))
 
 
 C2_SQL = """efeat AS (
-  SELECT 'Brand#' || CAST(vec_id AS VARCHAR) AS element,
-         CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS feature_id,
-         CAST(unnest(embedding) AS DOUBLE) AS value
-  FROM embeddings WHERE vec_id BETWEEN 1 AND 25)"""
+  SELECT 'Brand#' || CAST(n AS VARCHAR) AS element, feature_id,
+         CAST(sum(CAST(floor(x * 1e9 + 0.5) AS BIGINT)) AS DOUBLE) / 1e9 / count(*) AS value
+  FROM (SELECT vec_id % 25 + 1 AS n, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS feature_id,
+               CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+  GROUP BY n, feature_id)"""
 
 
 def empirical_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,43 +59,49 @@ def test_element_name(spark):
 
 # -- packing ------------------------------------------------------------------
 
-def _reference_pack(sents, max_len=512, cls=1, sep=2):
-    """A direct restatement of the greedy loop (sentences include the
-    trailing SEP)."""
-    seqs = [[]]
-    cur = 0
-    for sent in sents:
-        pos = 0
-        while pos < len(sent) - 1:
-            if cur == 0:
-                seqs[-1].append(cls)
-                cur = 1
-            end = min(len(sent), pos + max_len - cur) - 1
-            seqs[-1].extend(sent[pos:end] + [sep])
-            pos = end
-            if len(seqs[-1]) == max_len:
-                seqs.append([])
-            cur = len(seqs[-1])
-    return [s for s in seqs if s]
+def _blocks_by_rule(lengths, tokens, full=512):
+    """The packing rule, one token at a time: a block opens with CLS; a slot
+    is kept for the SEP that ends every piece of a line; a line that does not
+    fit goes on in the next block; empty lines leave no trace."""
+    blocks, block = [], []
+
+    def close():
+        blocks.append(list(block))
+        block.clear()
+
+    token = iter(tokens)
+    for n in lengths:
+        for _ in range(n):
+            if len(block) == full - 1:
+                block.append(K.SEP_ID)
+                close()
+            if not block:
+                block.append(K.CLS_ID)
+            block.append(next(token))
+        if n:
+            block.append(K.SEP_ID)
+            if len(block) == full:
+                close()
+    if block:
+        close()
+    return blocks
 
 
 @pytest.mark.parametrize("lengths", [[0, 1, 509, 510, 511, 1100], [509, 1, 3], [510, 510, 2],
                                      [1] * 700, [1100, 0, 0, 5, 509, 509, 1]])
 def test_pack_matches_greedy_loop(spark, lengths):
-    sents, rows, toks = [], [], []
+    rows, toks = [], []
     tid = 10
     for k, r in enumerate(lengths):
-        ids = list(range(tid, tid + r))
+        rows.append(("train", 0, k, list(range(tid, tid + r))))
+        toks += rows[-1][3]
         tid += r
-        sents.append(ids + [K.SEP_ID])
-        rows.append(("train", 0, k, r))
-        toks += [("train", 0, k, j, v) for j, v in enumerate(ids)]
-    lens = spark.createDataFrame(rows, "split string, doc_id long, line_no long, r long")
-    tokens = spark.createDataFrame(toks, "split string, doc_id long, line_no long, pos long, id int") if toks else \
-        spark.createDataFrame([], "split string, doc_id long, line_no long, pos long, id int")
-    got = K.pack_sequences(lens, tokens, pad_ids=False).orderBy("block_no").collect()
-    want = _reference_pack(sents)
-    assert [list(r.input_ids) for r in got] == want
+    encoded = spark.createDataFrame(rows, "split string, doc_id long, line_no long, ids array<int>")
+    got = K.pack_sequences(encoded, pad_ids=False).orderBy("block_no").collect()
+    assert [list(r.input_ids) for r in got] == _blocks_by_rule(lengths, toks)
+    assert [i for r in got for i in r.input_ids if i >= 10] == toks
+    assert all(r.input_ids[0] == K.CLS_ID and r.input_ids[-1] == K.SEP_ID for r in got)
+    assert all(len(r.input_ids) == 512 for r in got[:-1])
     for r in got:
         assert sum(r.attention_mask) == len(r.input_ids) and len(r.attention_mask) == 512
 
@@ -117,9 +123,29 @@ def test_ranks_are_exact_with_a_hot_group(spark):
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"g": ["a"] * 1001 + ["b"] * 10, "v": rng.normal(size=1011)})
-    q = exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", [0.25, 0.5, 0.75]).toPandas()
-    for (g, qq), val in q.set_index(["g", "q"])["quantile"].items():
-        assert abs(val - np.quantile(pdf[pdf.g == g].v, qq)) < 1e-12
+    ties = pd.DataFrame({"g": "ties", "v": rng.integers(0, 5, 3000).astype(float)})
+    hot = pd.DataFrame({"g": "hot", "v": [7.0] * 2000 + [1e300, -1e300] + rng.normal(7, 1e-9, 500).tolist()})
+    one = pd.DataFrame({"g": ["one", None, None, None], "v": [3.5, -0.0, 0.0, None]})
+    pdf = pd.concat([pdf, ties, hot, one], ignore_index=True)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    df = spark.createDataFrame([(r.g, None if pd.isna(r.v) else r.v) for r in pdf.itertuples()], "g string, v double")
+    got = {(r.g, r.q): r.quantile for r in exact_quantiles(df.repartition(7), ["g"], "v", qs).collect()}
+    want = {(g, q): np.quantile(v.dropna(), q) for g, v in [
+        (None if pd.isna(k) else k, x.v) for k, x in pdf.groupby("g", dropna=False)] for q in qs}
+    assert got.keys() == want.keys()
+    assert all(np.isclose(got[k], want[k], rtol=1e-12, atol=1e-12) for k in want)
+    whole = exact_quantiles(df, [], "v", [0.5]).collect()
+    assert len(whole) == 1 and whole[0].quantile == np.quantile(pdf.v.dropna(), 0.5)
+    assert exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_fixed_point_sum_of_large_and_many_terms(spark):
+    from stoich.operators.composition import fixed_point_sum
+    df = spark.createDataFrame([(1, 1.5e7), (2, 1e8), (2, 1e15), (3, -2.25), (3, 0.5), (4, 9e18)], "k int, x double")
+    got = {r.k: r.s for r in df.groupBy("k").agg(fixed_point_sum(F.col("x")).alias("s")).collect()}
+    assert got == {1: 1.5e7, 2: 1e15 + 1e8, 3: -1.75, 4: 9e18}
+    many = spark.range(200_000).select(fixed_point_sum(F.lit(1e8) + 0.25).alias("s")).first().s
+    assert many == 200_000 * (1e8 + 0.25)
 
 
 def test_running_max_matches_pandas(spark):
@@ -228,25 +254,23 @@ def test_group_kfold_matches_greedy(spark):
     assert {int(g): int(f) for g, f in got.groupby("g")["fold"].first().items()} == want
 
 
-def test_projection_matches_numpy_bisection(spark):
+def test_projection_is_optimal(spark):
+    """Feasible, and the distance to x is one number on free entries, at most
+    that at a lower bound and at least that at an upper bound."""
     from stoich.operators.candidates import project_capped_simplex
-    lo, hi = [0.2, 0.2, 0.0, 0.0], [0.55, 0.55, 0.2, 0.2]
+    lo, hi = np.array([0.2, 0.2, 0.0, 0.0]), np.array([0.55, 0.55, 0.2, 0.2])
     rng = np.random.default_rng(8)
     xs = rng.uniform(0, 0.6, size=(200, 4))
     df = spark.createDataFrame(pd.DataFrame({"i": np.arange(200), "x": list(xs)}))
     got = df.select("i", project_capped_simplex(F.col("x"), lo, hi).alias("p")).toPandas().sort_values("i")
-    for x, p in zip(xs, got["p"]):
-        low, high = float(np.min(x - np.array(hi))), float(np.max(x - np.array(lo)))
-        for _ in range(100):
-            mid = 0.5 * (low + high)
-            s = np.clip(x - mid, lo, hi).sum()
-            if abs(s - 1.0) <= 1e-12:
-                break
-            low, high = (mid, high) if s > 1.0 else (low, mid)
-        else:
-            mid = 0.5 * (low + high)
-        assert np.allclose(np.asarray(p), np.clip(x - mid, lo, hi), atol=1e-12)
-        assert abs(sum(p) - 1) < 1e-9
+    for x, p in zip(xs, np.stack(got["p"])):
+        assert abs(p.sum() - 1) < 1e-9 and (p >= lo).all() and (p <= hi).all()
+        gap = x - p
+        at_lo, at_hi = p <= lo + 1e-12, p >= hi - 1e-12
+        free = ~at_lo & ~at_hi
+        lam = gap[free].mean() if free.any() else (gap[at_lo].max() if at_lo.any() else gap[at_hi].min())
+        assert np.allclose(gap[free], lam, atol=1e-9)
+        assert (gap[at_lo & ~at_hi] <= lam + 1e-9).all() and (gap[at_hi & ~at_lo] >= lam - 1e-9).all()
 
 
 def test_generated_compositions_feasible(spark):
