@@ -167,12 +167,29 @@ def _perturbed(spark, sf_dir):
         uniform("perturb", F.col("sample_id"), i) - F.lit(0.5))).alias("x"))
 
 
-@query("x19_project_simplex")
+def _x19_sql():
+    lo, hi = _lit_list(LO6), _lit_list(HI6)
+    at = f"list_transform(x, lambda v, i: least(greatest(v - b, {lo}[i]), {hi}[i]))"
+    x = ", ".join(f"comp[{i + 1}] + 0.05::DOUBLE * ({sql_uniform('perturb', 'sample_id', i)} - 0.5)" for i in range(6))
+    return COMP6_SQL + f""",
+p AS (SELECT sample_id, [{x}] AS x FROM comp6),
+k AS (SELECT sample_id, x, unnest(list_concat(list_transform(x, lambda v, i: v - {lo}[i]),
+                                               list_transform(x, lambda v, i: v - {hi}[i]))) AS b FROM p),
+f AS (SELECT sample_id, x, b, list_sum({at}) AS s FROM k),
+o AS (SELECT *, row_number() OVER w AS rn, lead(b) OVER w AS z, lead(s) OVER w AS sz,
+        least(greatest(count_if(s >= 1.0) OVER (PARTITION BY sample_id), 1), 11) AS pick
+      FROM f WINDOW w AS (PARTITION BY sample_id ORDER BY b, s DESC)),
+l AS (SELECT sample_id, x, b + CASE WHEN s > sz THEN least(greatest((s - 1.0) / (s - sz), 0.0), 1.0) ELSE 0.0 END * (z - b) AS b
+      FROM o WHERE rn = pick),
+r AS (SELECT sample_id, {at} AS proj FROM l)
+SELECT sample_id, array_to_string(list_transform(proj, lambda v: printf('%.6f', round_even(v, 6) + 0.0)), '*') AS proj,
+       round(list_sum(proj), 6) + 0.0 AS total FROM r"""
+
+
+@query("x19_project_simplex", _x19_sql())
 def x19_project_simplex(spark, sf_dir):
-    """Perturbed compositions projected back onto the bounded simplex
-    (bisection as a higher-order aggregate, 100 steps); the sum is 1 and
-    every component within its bounds.  Checked by invariants and against a
-    numpy bisection in the tests."""
+    """Perturbed compositions projected back onto the bounded simplex;
+    the sum is 1 and every component within its bounds."""
     p = _perturbed(spark, sf_dir)
     proj = CA.project_capped_simplex(F.col("x"), LO6, HI6)
     return p.select("sample_id", F.array_join(F.transform(proj, lambda v: F.format_string("%.6f", F.bround(v, 6) + F.lit(0.0))), "*").alias("proj"),
@@ -198,30 +215,55 @@ def x20_feasible_interval(spark, sf_dir):
         "sample_id", "i", (F.col("iv.lo") + F.lit(0.0)).alias("lo"), (F.col("iv.hi") + F.lit(0.0)).alias("hi"))
 
 
+# attempts that the oracles enumerate; rows need a few of them
+SQL_ATTEMPTS = 64
+
+
 def _g6_sql(n=100):
     grids = [CA.grid_values(LO6[i], HI6[i], 0.001) for i in range(5)]
-    picks = ", ".join(f"{_lit_list(g)}[CAST(floor({sql_uniform('rej', 'o_orderkey', i)} * {len(g)}) AS BIGINT) + 1]"
+    picks = ", ".join(f"{_lit_list(g)}[CAST(floor({sql_uniform('rej', 'o_orderkey', 'a', i)} * {len(g)}) AS BIGINT) + 1]"
                       for i, g in enumerate(grids))
-    return f"""WITH p AS (SELECT o_orderkey, [{picks}] AS c FROM orders),
-q AS (SELECT o_orderkey, c, list_reduce(list_transform(c, lambda v, i: {{'s': list_sum(c[1:i]), 'ok': list_sum(c[1:i]) <= 1.0 + 1e-6}}),
-        lambda a, b: {{'s': b.s, 'ok': a.ok AND b.ok}}) AS r FROM p),
-acc AS (SELECT o_orderkey, list_append(c, round(1.0 - list_sum(c), 4)) AS comp FROM q
-        WHERE r.ok AND round(1.0 - list_sum(c), 4) >= {LO6[-1]} AND round(1.0 - list_sum(c), 4) <= {HI6[-1]}),
+    return f"""WITH p AS (SELECT o_orderkey, a, [{picks}] AS c
+  FROM orders CROSS JOIN (SELECT unnest(range({SQL_ATTEMPTS})) AS a)),
+q AS (SELECT o_orderkey, a, c, list_reduce(c, lambda x, y: x + y) AS s FROM p),
+acc AS (SELECT o_orderkey, arg_min(list_append(c, round(1.0 - s, 4)), a) AS comp FROM q
+        WHERE s <= 1.0 + 1e-6 AND round(1.0 - s, 4) BETWEEN {LO6[-1]} AND {HI6[-1]} GROUP BY o_orderkey),
 k AS (SELECT DISTINCT {_sql_key('comp')} AS comp_key FROM acc)
 SELECT comp_key FROM k ORDER BY {sql_uniform('g6', 'comp_key')}, comp_key LIMIT {n}"""
 
 
 @query("g6_reject_sample", _g6_sql())
 def g6_reject_sample(spark, sf_dir):
-    """One rejection-sampling attempt per order, distinct keys, the
-    first 100 in hash order (sampling is the feature)."""
+    """One accepted composition per order, distinct keys, the first 100
+    in hash order (sampling is the feature)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     acc = CA.reject_sample(o, "o_orderkey", LO6, HI6)
     keys = acc.select(_key(F.col("comp")).alias("comp_key")).distinct()
     return S.exact_sample(keys, 100, "g6", "comp_key")
 
 
-@query("g7_feasible_sample")
+def _g7_sql():
+    n = len(LO6)
+    ctes, cols = ["s0 AS (SELECT o_orderkey, 0.0::DOUBLE AS prev0 FROM orders)"], []
+    for i in range(n):
+        keep = ", ".join(["o_orderkey", *cols, f"prev{i}"])
+        if i == n - 1:
+            ctes.append(f"s{i + 1} AS (SELECT {keep}, round(1.0 - prev{i}, 4) AS c{i} FROM s{i})")
+        else:
+            lo = f"round_even(greatest({LO6[i]}::DOUBLE, 1.0 - prev{i} - {float(sum(HI6[i + 1:]))!r}::DOUBLE), 4)"
+            hi = f"round_even(least({HI6[i]}::DOUBLE, 1.0 - prev{i}), 4)"
+            ctes.append(f"b{i} AS (SELECT {keep}, round({lo} / 0.001::DOUBLE) AS kl, round({hi} / 0.001::DOUBLE) AS kh FROM s{i})")
+            ctes.append(f"p{i} AS (SELECT {keep}, round((kl + floor({sql_uniform('feas', 'o_orderkey', i)} * (kh - kl + 1)))"
+                        f" * 0.001::DOUBLE, 4) AS c{i} FROM b{i})")
+            ctes.append(f"s{i + 1} AS (SELECT {', '.join(['o_orderkey', *cols, f'c{i}'])}, prev{i} + c{i} AS prev{i + 1} FROM p{i})")
+        cols.append(f"c{i}")
+    comp = "[" + ", ".join(cols) + "]"
+    return ("WITH " + ",\n".join(ctes) + f",\nr AS (SELECT o_orderkey, {comp} AS comp FROM s{n})\n"
+            f"SELECT o_orderkey, {_sql_key('comp')} AS comp_key, "
+            "round(list_reduce(comp, lambda a, b: a + b), 6) + 0.0 AS total FROM r")
+
+
+@query("g7_feasible_sample", _g7_sql())
 def g7_feasible_sample(spark, sf_dir):
     """One always-feasible composition per order (sequential picks in
     the X20 interval); invariants: sum 1, within bounds."""
@@ -311,10 +353,28 @@ SUB_OF = [0, 1, 1, 0, 1, 0]
 FIRST_RANGE = (1.0 - 0.55, 0.55)
 
 
-@query("g8_substitution_sample")
+def _g8_sql():
+    def draw(i, lo, hi):
+        return f"round({lo!r}::DOUBLE + {sql_uniform('subst', 'o_orderkey', 'a', i)} * {hi - lo!r}::DOUBLE, 4)"
+
+    first = f"{draw(0, *FIRST_RANGE)} AS x0, " + ", ".join(f"{draw(i, LO6[i], HI6[i])} AS v{i}" for i in range(2, 6))
+    ctes, last = [f"d AS (SELECT o_orderkey, a, {first} FROM orders CROSS JOIN (SELECT unnest(range({SQL_ATTEMPTS})) AS a))",
+                  "t2 AS (SELECT *, x0 AS e0, round(1.0 - x0, 4) AS e1, true AS ok FROM d)"], "t2"
+    for i in range(2, 6):
+        b = SUB_OF[i]
+        ctes.append(f"u{i} AS (SELECT * REPLACE (round(e{b} - v{i}, 4) AS e{b}) FROM {last})")
+        ctes.append(f"t{i + 1} AS (SELECT * REPLACE (ok AND v{i} BETWEEN {LO6[i]} AND {HI6[i]}"
+                    f" AND e{b} BETWEEN {LO6[b]} AND {HI6[b]} AS ok) FROM u{i})")
+        last = f"t{i + 1}"
+    return ("WITH " + ",\n".join(ctes) + f",\nr AS (SELECT o_orderkey, arg_min([e0, e1, v2, v3, v4, v5], a) AS comp "
+            f"FROM {last} WHERE ok GROUP BY 1)\nSELECT o_orderkey, {_sql_key('comp')} AS comp_key, "
+            "round(list_reduce(comp, lambda a, b: a + b), 6) + 0.0 AS total FROM r")
+
+
+@query("g8_substitution_sample", _g8_sql())
 def g8_substitution_sample(spark, sf_dir):
-    """One substitution-sampling attempt per order; the accepted
-    compositions sum to 1 (rounding aside) and respect the bounds."""
+    """The accepted composition of every order; it sums to 1 (rounding
+    aside) and respects the bounds."""
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     s = CA.substitution_sample(o, "o_orderkey", LO6, HI6, SUB_OF, FIRST_RANGE)
     return s.select("o_orderkey", _key(F.col("comp")).alias("comp_key"),
