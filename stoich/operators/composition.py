@@ -188,8 +188,3 @@ def nonzero_counts(comp: DataFrame, amount: str = "amount") -> DataFrame:
     """A1: rows with a non-zero amount per element, only elements with > 0."""
     return (comp.groupBy("element").agg(F.count_if(F.col(amount) != 0).alias("n_nonzero"))
             .where(F.col("n_nonzero") > 0))
-
-
-def grid_units(share: Column, step: float = 0.001) -> Column:
-    """Share in integer grid units (avoids float noise in keys)."""
-    return F.round(share / F.lit(step)).cast("bigint")

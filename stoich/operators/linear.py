@@ -203,19 +203,3 @@ def pls_fit(st: Stats, n_components: int = 2):
         q.append(qk)
     coef = r_mat @ np.asarray(q) if q else np.zeros(d)
     return coef, float(my - mx @ coef)
-
-
-def subset_r2_table(total: dict, folds: dict, subsets: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    """Mean over repeats of the pooled out-of-fold R^2 of ridge on each
-    feature subset (rows of ``subsets``), using only the statistics.
-
-    ``total[rep]``: Stats over all rows; ``folds[rep][fold]``: Stats."""
-    res = np.empty(len(subsets))
-    for i, idx in enumerate(subsets):
-        vals = []
-        for rep, tot in total.items():
-            t = tot.select(idx)
-            fs = {f: st.select(idx) for f, st in folds[rep].items()}
-            vals.append(pooled_r2(t, fs, alpha))
-        res[i] = float(np.mean(vals))
-    return res

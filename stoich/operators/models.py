@@ -18,6 +18,8 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stoich.functions.rng import uniform
+
 SEED = 43
 
 
@@ -43,18 +45,20 @@ def bagged_trees(n_trees: int = 200) -> RandomForestRegressor:
 
 
 # Parameter sets of the boosting wrappers (iterations, step
-# size, depth, row subsampling), one entry per wrapper.
+# size, depth, row subsampling), one entry per wrapper.  MLlib's depth limit
+# is 30, its way to say "no limit".
 BOOSTING_PARAMS = {
     "gradient_boosting": dict(maxIter=100, stepSize=0.1, maxDepth=3, subsamplingRate=1.0),
     "hist_gradient_boosting": dict(maxIter=100, stepSize=0.1, maxDepth=5, subsamplingRate=1.0),
-    "xgb": dict(maxIter=100, stepSize=0.3, maxDepth=6, subsamplingRate=1.0),
-    "lgbm": dict(maxIter=100, stepSize=0.1, maxDepth=5, subsamplingRate=1.0),
-    "catboost": dict(maxIter=100, stepSize=0.03, maxDepth=6, subsamplingRate=1.0),
+    "xgb": dict(maxIter=500, stepSize=0.05, maxDepth=6, subsamplingRate=0.8),
+    "xgb_tuned": dict(maxIter=242, stepSize=0.15, maxDepth=10, subsamplingRate=0.87),
+    "lgbm": dict(maxIter=1000, stepSize=0.03, maxDepth=5, subsamplingRate=0.8),
+    "catboost": dict(maxIter=2000, stepSize=0.03, maxDepth=6, subsamplingRate=1.0),
 }
 
 
 def boosted_trees(kind: str = "gradient_boosting") -> GBTRegressor:
-    """M5: one operator with the parameter sets of the five wrappers."""
+    """M5: one operator with the parameter sets of the wrappers."""
     return GBTRegressor(seed=SEED, featuresCol="features", labelCol="label", **BOOSTING_PARAMS[kind])
 
 
@@ -63,13 +67,6 @@ def huber() -> LinearRegression:
     return LinearRegression(loss="huber", epsilon=1.35, maxIter=1000, featuresCol="features", labelCol="label")
 
 
-def ridge(alpha: float, n_rows: int) -> LinearRegression:
-    """M6 via MLlib: the penalty alpha on the sum of squares is
-    regParam = alpha / n with MLlib's mean-squared loss."""
-    return LinearRegression(regParam=alpha / n_rows, elasticNetParam=0.0, standardization=False,
-                            featuresCol="features", labelCol="label")
-
-
 def registry() -> dict[str, Callable]:
     """Model name -> estimator factory."""
     return {"random_forest": random_forest, "decision_tree": decision_tree, "bagging": bagged_trees,
@@ -117,16 +114,23 @@ def save_load(model: PipelineModel, path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def trial_table(ids: DataFrame, key: str, grid: dict[str, Sequence], seed="trial") -> DataFrame:
+    """One random hyperparameter trial per row: every parameter takes a
+    value of its list by a hash of (seed, key, name)."""
+    return ids.select(key, *[
+        F.element_at(F.array(*[F.lit(v) for v in values]),
+                     (F.floor(uniform(seed, F.col(key), F.lit(name)) * len(values)) + 1).cast("int")).alias(name)
+        for name, values in grid.items()])
+
+
 def trial_grid(n_trials: int, seed: int = 0, grid: dict[str, Sequence] | None = None) -> list[dict]:
-    """Random hyperparameter trials drawn by hash from lists (a small
-    parameter table; the evaluation of each trial is distributed)."""
+    """G12 for a search on the driver: ``n_trials`` parameter sets drawn by
+    hash from lists (the evaluation of each trial is distributed)."""
     import hashlib
     grid = grid or {"numTrees": [50, 100, 200], "maxDepth": [3, 5, 8, 12], "minInstancesPerNode": [1, 2, 4]}
-    out = []
-    for t in range(n_trials):
-        trial = {}
-        for name, vals in grid.items():
-            h = int(hashlib.md5(f"{seed}|{t}|{name}".encode()).hexdigest()[:8], 16)
-            trial[name] = vals[h % len(vals)]
-        out.append(trial)
-    return out
+
+    def pick(t: int, name: str):
+        h = int(hashlib.md5(f"{seed}|{t}|{name}".encode()).hexdigest()[:8], 16)
+        return grid[name][h % len(grid[name])]
+
+    return [{name: pick(t, name) for name in grid} for t in range(n_trials)]

@@ -78,12 +78,3 @@ def running_max(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     res = tagged.withColumn("_o_local", F.max(value).over(local)).join(prior, [_PID, *group])
     return res.withColumn(out, F.greatest(F.col("_o_local"), F.col("_o_prior"))) \
         .drop(_PID, _MID, "_o_local", "_o_prior")
-
-
-def top_n_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-                 n: Column | int, out: str = "rank") -> DataFrame:
-    """Rows whose 0-based rank within the group is below ``n`` (a column
-    allowed, e.g. a per-group count), via :func:`rank_within`."""
-    ranked = rank_within(df, group, order, out)
-    limit = n if isinstance(n, Column) else F.lit(n)
-    return ranked.where(F.col(out) < limit)

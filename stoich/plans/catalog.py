@@ -34,5 +34,5 @@ def with_ctes(*ctes: str) -> str:
 
 def load_all() -> None:
     """Import every query module (they register on import)."""
-    from stoich.plans import (q_composition, q_corpus, q_ml, q_models,  # noqa: F401
+    from stoich.plans import (q_composition, q_corpus, q_io, q_ml, q_models,  # noqa: F401
                               q_results, q_sampling, q_search)

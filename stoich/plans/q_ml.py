@@ -5,6 +5,7 @@ evaluation (G5, M14).  These are checked by row counts and invariants
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator
@@ -111,8 +112,8 @@ def m17_predict_compositions(spark, sf_dir):
     checkpoint folder, loaded back, and applied to every composition's
     weighted features."""
     train, _ = _split(spark, sf_dir)
-    model = ML.scaled_pipeline(ML.random_forest(50)).fit(train)
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", "m17_pipeline")
+    model = ML.scaled_pipeline(ML.random_forest(100)).fit(train)
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", f"m17-{uuid.uuid4().hex}")
     loaded = ML.save_load(model, path)
     rows = ML.as_ml(_model_rows(spark, sf_dir))
     return loaded.transform(rows).select("sample_id", F.col("prediction").alias("pred"))

@@ -22,18 +22,28 @@ def read_property_csv(spark: SparkSession, path: str, schema: T.StructType) -> D
 
 
 def read_skipping_unit_row(spark: SparkSession, path: str, numeric: Sequence[str]) -> DataFrame:
-    """The row under the header holds units: read everything as
-    strings, drop rows where a numeric column does not parse, cast."""
+    """The row under a file's header holds units.  The first record of the
+    input tells the units; rows equal to it in every column are left out if a
+    numeric column of it is no number.  All other rows stay: a number that
+    does not parse becomes null."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
-    ok = None
-    for c in numeric:
-        cond = F.expr(f"try_cast(`{c}` AS DOUBLE)").isNotNull() | F.col(c).isNull()
-        ok = cond if ok is None else ok & cond
-    bad_unit = F.lit(True) if ok is None else ok
-    out = raw.where(bad_unit)
-    for c in numeric:
-        out = out.withColumn(c, F.expr(f"try_cast(`{c}` AS DOUBLE)"))
-    return out
+    units = raw.first()
+    rows = raw
+    if units is not None and any(units[c] is not None and not _is_number(units[c]) for c in numeric):
+        is_units = F.lit(True)
+        for c in raw.columns:
+            is_units = is_units & F.col(f"`{c}`").eqNullSafe(F.lit(units[c]))
+        rows = raw.where(~is_units)
+    return rows.select([F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) if c in numeric else F.col(f"`{c}`")
+                        for c in raw.columns])
+
+
+def _is_number(text: str) -> bool:
+    try:
+        float(text)
+    except ValueError:
+        return False
+    return True
 
 
 def py_element_name(name: str) -> str:
@@ -58,10 +68,11 @@ def external_compositions(df: DataFrame, labels: Sequence[str], id_col: str | No
 
 
 def write_lines(df: DataFrame, path: str, text: str = "text", order: Sequence[str] = ()) -> None:
-    """K1: one line per row, UTF-8 (sorted by ``order`` when it matters)."""
+    """K1: one line per row, UTF-8; with ``order`` the part files in name
+    order hold the lines in that order (a range sort, no single task)."""
     d = df.select(*order, text)
     if order:
-        d = d.sortWithinPartitions(*order)
+        d = d.orderBy(*order)
     d.select(text).write.mode("overwrite").text(path)
 
 
@@ -98,10 +109,12 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
 
 
-def name_key(file_col: str, token: int, sep: str = "-") -> F.Column:
-    """X9 on a file path: the token-th (0-based) ``sep`` field of the name."""
-    base = F.element_at(F.split(F.col(file_col), "/"), -1)
-    return F.split_part(base, F.lit(sep), F.lit(token + 1))
+def read_evolution(spark: SparkSession, path: str, prop_id: int, f_n: int, kind: str | None = None) -> DataFrame:
+    """The selection history of a property and feature count (and feature
+    kind, if the table has one) from key=value folders; an empty match is an
+    error.  The best record is A11's argmax over it."""
+    rows = lookup(spark.read.parquet(path), prop_id, f_n)
+    return rows if kind is None else rows.where(F.col("kind") == kind)
 
 
 def lookup(results: DataFrame, prop_id: int, f_n: int, traj_id: int | None = None,
