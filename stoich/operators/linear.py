@@ -44,15 +44,21 @@ class Stats:
         return Stats(self.n, self.sy, self.syy, self.sx[ix], self.xty[ix], self.xtx[np.ix_(ix, ix)])
 
 
+TREE_WIDTH = 64
+
+
 def gram_stats(df: DataFrame, features: str, y: str, group: Sequence[str], d: int) -> DataFrame:
-    """Long table (group..., k, v) of summed statistics; k indexes
-    [n, sy, syy, sx(d), xty(d), xtx(d*d)]."""
+    """(group..., vec): per group one array [n, sy, syy, sx(d), xty(d),
+    xtx(d*d)].  A task emits one array per group that it saw; arrays are added
+    in two steps, so no task adds more than its share of them."""
     group = list(group)
     gschema = [f for f in df.schema.fields if f.name in group]
-    out_schema = T.StructType([*gschema, T.StructField("k", T.IntegerType()),
-                               T.StructField("v", T.DoubleType())])
+    vec_field = T.StructField("vec", T.BinaryType())
+    out_schema = T.StructType([*gschema, T.StructField("_part", T.IntegerType()), vec_field])
 
     def part(it):
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() % TREE_WIDTH
         acc: dict = {}
         for pdf in it:
             if pdf.empty:
@@ -64,27 +70,25 @@ def gram_stats(df: DataFrame, features: str, y: str, group: Sequence[str], d: in
                 vec = np.concatenate([[len(g), yy.sum(), yy @ yy], x.sum(axis=0), x.T @ yy, (x.T @ x).ravel()])
                 acc[key] = acc[key] + vec if key in acc else vec
         for key, vec in acc.items():
-            frame = pd.DataFrame({"k": np.arange(len(vec), dtype=np.int32), "v": vec})
-            for name, val in zip(group, key):
-                frame[name] = val
-            yield frame[[*group, "k", "v"]]
+            yield pd.DataFrame([[*key, number, vec.tobytes()]], columns=[*group, "_part", "vec"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a fixed order of addition: results do not depend on arrival
+        total = sum(np.frombuffer(v, np.float64) for v in sorted(pdf["vec"]))
+        return pdf.iloc[:1].assign(vec=[total.tobytes()])
 
     partial = df.select(*group, features, y).mapInPandas(part, out_schema)
-    return partial.groupBy(*group, "k").agg(F.sum("v").alias("v"))
+    partial = partial.groupBy(*group, "_part").applyInPandas(add, out_schema).withColumn("_part", F.lit(0))
+    return partial.groupBy(*group, "_part").applyInPandas(add, out_schema).drop("_part")
 
 
-def collect_stats(long: DataFrame, group: Sequence[str], d: int) -> dict[tuple, Stats]:
+def collect_stats(stats: DataFrame, group: Sequence[str], d: int) -> dict[tuple, Stats]:
     """Bring the (small) statistics table to the driver as Stats objects."""
-    group = list(group)
-    size = 3 + 2 * d + d * d
-    vecs: dict[tuple, np.ndarray] = {}
-    for r in long.collect():
-        key = tuple(r[g] for g in group)
-        vecs.setdefault(key, np.zeros(size))[r["k"]] = r["v"]
     out = {}
-    for key, v in vecs.items():
-        out[key] = Stats(v[0], v[1], v[2], v[3:3 + d], v[3 + d:3 + 2 * d],
-                         v[3 + 2 * d:].reshape(d, d))
+    for r in stats.collect():
+        v = np.frombuffer(r["vec"], np.float64)
+        out[tuple(r[g] for g in group)] = Stats(v[0], v[1], v[2], v[3:3 + d], v[3 + d:3 + 2 * d],
+                                                v[3 + 2 * d:].reshape(d, d))
     return out
 
 
@@ -109,6 +113,31 @@ def ridge_fit(train: Stats, alpha: float = 1.0, standardise: bool = False) -> tu
     return beta, float(my - mx @ beta)
 
 
+def elastic_net_fit(train: Stats, alpha: float = 1.0, l1_ratio: float = 0.5, tol: float = 1e-8,
+                    max_iter: int = 10_000) -> tuple[np.ndarray, float]:
+    """M6: minimises ||y - Xb - c||^2 / (2n) + alpha (l1_ratio |b|_1 +
+    (1 - l1_ratio) |b|^2 / 2) by coordinate descent on the centred Gram
+    matrix; ``l1_ratio=1`` is the lasso.  No pass over the rows."""
+    n, mx, my = train.n, train.sx / train.n, train.sy / train.n
+    a = train.xtx / n - np.outer(mx, mx)
+    c = train.xty / n - mx * my
+    scale = np.diag(a) + alpha * (1 - l1_ratio)
+    beta = np.zeros(len(c))
+    slope = np.zeros(len(c))            # a @ beta
+    for _ in range(max_iter):
+        moved = 0.0
+        for j in np.flatnonzero(scale > 0):
+            pull = c[j] - slope[j] + a[j, j] * beta[j]
+            new = np.sign(pull) * max(abs(pull) - alpha * l1_ratio, 0.0) / scale[j]
+            if new != beta[j]:
+                slope += a[:, j] * (new - beta[j])
+                moved = max(moved, abs(new - beta[j]))
+                beta[j] = new
+        if moved <= tol * max(1.0, np.abs(beta).max(initial=0.0)):
+            break
+    return beta, float(my - mx @ beta)
+
+
 def sse(test: Stats, beta: np.ndarray, b0: float) -> float:
     """Sum of squared residuals of (beta, b0) on the rows behind ``test``."""
     return float(test.syy - 2 * (beta @ test.xty + b0 * test.sy) + beta @ test.xtx @ beta
@@ -126,9 +155,10 @@ def pooled_r2(total: Stats, folds: dict, alpha: float = 1.0, standardise: bool =
 
 
 def cv_coefficients(stats: dict[tuple, Stats], fold_pos: int, alpha: float = 1.0,
-                    standardise: bool = False) -> list[tuple]:
+                    standardise: bool = False, fit=None) -> list[tuple]:
     """Per (group..., fold) coefficients fitted on all other folds of the
-    same group.  ``fold_pos`` is the index of the fold in the key tuple."""
+    same group, by ridge or by ``fit(stats)``.  ``fold_pos`` is the index of
+    the fold in the key tuple."""
     totals: dict[tuple, Stats] = {}
     for key, st in stats.items():
         g = key[:fold_pos] + key[fold_pos + 1:]
@@ -136,7 +166,7 @@ def cv_coefficients(stats: dict[tuple, Stats], fold_pos: int, alpha: float = 1.0
     rows = []
     for key, st in stats.items():
         g = key[:fold_pos] + key[fold_pos + 1:]
-        beta, b0 = ridge_fit(totals[g] - st, alpha, standardise)
+        beta, b0 = fit(totals[g] - st) if fit else ridge_fit(totals[g] - st, alpha, standardise)
         rows.append((*key, [float(x) for x in beta], b0))
     return rows
 

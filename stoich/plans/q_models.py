@@ -97,6 +97,21 @@ def m6_ridge_cv(spark, sf_dir):
                                       _r(F.col("b0"), 2).alias("b0"), _r(F.col("mae"), 2).alias("mae"))
 
 
+@query("m6_elastic_net_cv")
+def m6_elastic_net_cv(spark, sf_dir):
+    """M6: lasso and elastic net per fold from Gram statistics, out-of-fold
+    metrics per model (optimality conditions are tested)."""
+    rows = _model_rows(spark, sf_dir, robust=True)
+    folds = S.kfold(rows, 10, 43, "sample_id")
+    st = L.collect_stats(L.gram_stats(folds, "features", "y", ["fold"], D), ["fold"], D)
+    coefs = [(name, *row) for name, ratio in (("lasso", 1.0), ("elastic_net", 0.5))
+             for row in L.cv_coefficients(st, 0, fit=lambda t, q=ratio: L.elastic_net_fit(t, 0.1, q))]
+    cdf = spark.createDataFrame(coefs, T.StructType([
+        T.StructField("model", T.StringType()), T.StructField("fold", T.LongType()),
+        T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType())]))
+    return M.regression_metrics(L.predict_with(folds, cdf, ["fold"]), ["model"])
+
+
 @query("m11_pooled_metrics", RIDGE2_SQL + """
 SELECT count(*) AS n, round(avg(abs(y - pred)), 2) + 0.0 AS mae,
        round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) + 0.0 AS r2 FROM p""")

@@ -299,3 +299,26 @@ def test_subset_fitness_matches_direct_solve(spark):
         exp = np.mean([L.pooled_r2(totals[r].select(idx), {f: s.select(idx) for f, s in folds[r].items()}, 1.0)
                        for r in totals])
         assert abs(got[sid] - exp) < 1e-10
+
+
+def test_elastic_net_is_optimal(spark):
+    """At the minimum the residual's correlation with a feature is alpha
+    l1_ratio sign(b) + alpha (1 - l1_ratio) b, or within alpha l1_ratio at 0."""
+    from stoich.operators import linear as L
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6)) * [1, 2, 3, 1, 1, 0] + 5
+    y = x @ np.array([1.5, 0.0, -2.0, 0.05, 0.0, 0.0]) + rng.normal(size=400)
+    df = spark.createDataFrame([(int(i % 2), [float(v) for v in a], float(b)) for i, (a, b) in enumerate(zip(x, y))],
+                               "g int, features array<double>, y double").repartition(5)
+    stats = L.collect_stats(L.gram_stats(df, "features", "y", ["g"], 6), ["g"], 6)
+    total = stats[(0,)] + stats[(1,)]
+    assert total.n == 400 and np.allclose(total.xtx, x.T @ x) and np.allclose(total.xty, x.T @ y)
+    for alpha, ratio in ((0.1, 1.0), (0.3, 0.5), (1e9, 1.0)):
+        beta, b0 = L.elastic_net_fit(total, alpha, ratio)
+        pull = (x - x.mean(0)).T @ (y - x @ beta - b0) / 400 - alpha * (1 - ratio) * beta
+        assert (np.abs(pull) <= alpha * ratio + 1e-7).all()
+        assert np.allclose(pull[beta != 0], alpha * ratio * np.sign(beta[beta != 0]), atol=1e-7)
+    ols, c0 = L.elastic_net_fit(total, 0.0, 1.0)
+    assert np.allclose(x[:, :5] @ ols[:5] + c0, x[:, :5] @ np.linalg.lstsq(
+        np.c_[x[:, :5], np.ones(400)], y, rcond=None)[0][:5] + np.linalg.lstsq(
+        np.c_[x[:, :5], np.ones(400)], y, rcond=None)[0][5], atol=1e-6)
