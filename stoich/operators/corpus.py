@@ -151,7 +151,7 @@ def pack_sequences(encoded: DataFrame, max_len: int = MAX_SEQ_LEN,
     tagged = _tag_sorted(s, [F.col(split), *[F.col(k) for k in keys]])
     # slice = (partition, split); position inside the slice from the tag
     sl = tagged.groupBy(_PID, split).agg(F.min(_MID).alias("_min"))
-    tagged = tagged.join(F.broadcast(sl), [_PID, split]).withColumn(
+    tagged = tagged.join(bounded_broadcast(sl), [_PID, split]).withColumn(
         "_chunk", F.floor((F.col(_MID) - F.col("_min")) / PACK_CHUNK_ROWS).cast("bigint"))
 
     adv_schema = T.StructType([T.StructField(_PID, T.IntegerType()), T.StructField(split, T.StringType()),

@@ -131,7 +131,7 @@ def elitism(pop: DataFrame, keys: Sequence[str], is_offspring: str = "is_offspri
         ranked = pop.withColumn("_e_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)) - 1)
     else:
         ranked = rank_within(pop, keys, order_by, out="_e_rank")
-    return (ranked.join(F.broadcast(n_par), keys).where(F.col("_e_rank") < F.col("_n_par"))
+    return (ranked.join(bounded_broadcast(n_par), keys).where(F.col("_e_rank") < F.col("_n_par"))
             .drop("_e_rank", "_e_rank_n", "_n_par"))
 
 
