@@ -23,24 +23,31 @@ from stoich.functions.rng import uniform
 SEED = 43
 
 
-def random_forest(n_trees: int = 100) -> RandomForestRegressor:
-    """M1: 100 trees, seed 43."""
-    return RandomForestRegressor(numTrees=n_trees, seed=SEED, featuresCol="features", labelCol="label")
+# Depth of the registered forests and trees.  The reference grows trees without
+# a limit; MLlib allows up to 30 (a level of all nodes is one Spark job).
+MAX_DEPTH = 5
 
 
-def random_forest_classifier(n_trees: int = 100) -> RandomForestClassifier:
-    """M2."""
-    return RandomForestClassifier(numTrees=n_trees, seed=SEED, featuresCol="features", labelCol="label")
+def random_forest(n_trees: int = 100, max_depth: int = MAX_DEPTH) -> RandomForestRegressor:
+    """M1: 100 trees, every feature at each split, seed 43."""
+    return RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="all", seed=SEED,
+                                 featuresCol="features", labelCol="label")
+
+
+def random_forest_classifier(n_trees: int = 100, max_depth: int = MAX_DEPTH) -> RandomForestClassifier:
+    """M2: the square root of the features at each split."""
+    return RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=SEED,
+                                  featuresCol="features", labelCol="label")
 
 
-def decision_tree() -> DecisionTreeRegressor:
+def decision_tree(max_depth: int = MAX_DEPTH) -> DecisionTreeRegressor:
     """M3."""
-    return DecisionTreeRegressor(seed=SEED, featuresCol="features", labelCol="label")
+    return DecisionTreeRegressor(maxDepth=max_depth, seed=SEED, featuresCol="features", labelCol="label")
 
 
-def bagged_trees(n_trees: int = 200) -> RandomForestRegressor:
+def bagged_trees(n_trees: int = 200, max_depth: int = MAX_DEPTH) -> RandomForestRegressor:
     """M4: bagging = a forest that considers every feature at each split."""
-    return RandomForestRegressor(numTrees=n_trees, featureSubsetStrategy="all", seed=SEED,
+    return RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="all", seed=SEED,
                                  featuresCol="features", labelCol="label")
 
 

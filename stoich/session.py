@@ -81,13 +81,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_tables(spark: SparkSession) -> None:
-    """Delete the tables written by :func:`cut_lineage`, once no DataFrame
-    that reads them is needed any more."""
+def written_tables() -> list[str]:
+    """Folders of the tables written by :func:`cut_lineage` and not removed."""
+    return list(_WRITTEN)
+
+
+def remove_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables written by :func:`cut_lineage` (all by default), once no
+    DataFrame that reads them is needed any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for p in written_tables() if paths is None else paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        if p in _WRITTEN:
+            _WRITTEN.remove(p)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
