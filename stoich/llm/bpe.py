@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stoich.llm.common import bounded_batches
 from stoich.llm.words import text_chunks
 
 # The byte-level word pattern of the vocabulary, with white
@@ -32,7 +33,7 @@ from stoich.llm.words import text_chunks
 _S = r"\t-\r \x85\xa0  -     　"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|[" + _S + r"]+(?![^" + _S
            + r"])|[" + _S + r"]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -204,12 +205,13 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     """Per row doc_id, n_tokens, the ids (array<int>, if ``with_ids``), the
     SHA-256 of the ids as little-endian 32-bit numbers, and the decoded text's
     SHA-256.  The file at ``path`` must exist on every executor."""
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            for part in text_chunks(batch, limit=2 << 20):
+            for part in text_chunks(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids, n = bpe.encode(texts)
                 to = np.cumsum(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stoich.session import cut_lineage
@@ -13,18 +13,24 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows that travel to a Python worker at once, at most: texts may be long.
+BATCH_ROWS = 2_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS if it is larger, so
+    that a batch of whole texts stays small beside an executor's memory."""
+    now = int(spark.conf.get(_BATCH_CONF))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back."""
     return cut_lineage(df)
 
 
-def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """``df`` with a row number that stays fixed: it is written out, so later
-    reads (and recomputation after a lost executor) see the same numbers.
-    Rows that repeat every value, ids included, stay apart."""
-    return materialise(df.withColumn(name, F.monotonically_increasing_id()))
-
-
 def is_crc_fold(id_col: Column, remainder: int, modulus: int = 5) -> Column:
     """Whether crc32 of the id written as text leaves ``remainder``; a null id
     counts as the empty text."""

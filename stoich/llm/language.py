@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stoich.llm.common import packed, unpacked
+from stoich.llm.common import bounded_batches
 from stoich.llm.words import text_chunks
 
 SAMPLE_ROWS = 120
@@ -206,32 +207,46 @@ def labelled_sample(rows: DataFrame, n_rows: int = SAMPLE_ROWS, longest: int = 2
     return out
 
 
-def identify(docs: DataFrame, may_learn: Column) -> DataFrame:
-    """``docs`` with lang_pred and score; samples come only from rows where
-    ``may_learn`` holds."""
+def _parser(docs: DataFrame, may_learn: Column):
+    """The automata of all learned languages, sent to every worker."""
+    bounded_batches(docs.sparkSession)
     learn = docs.where(may_learn).select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    parser = docs.sparkSession.sparkContext.broadcast(CrossParser(labelled_sample(learn)))
+    return docs.sparkSession.sparkContext.broadcast(CrossParser(labelled_sample(learn)))
+
+
+def identify(docs: DataFrame, may_learn: Column) -> DataFrame:
+    """``docs`` with lang_pred and score (columns of these names are
+    replaced); samples come only from rows where ``may_learn`` holds."""
+    parser = _parser(docs, may_learn)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    at = names.index("text")
     plain = docs.select([F.col(f"`{c}`") for c in names])
+    at = names.index("text")
+    schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                lang, score = parser.value.predict(texts)
+                lang, score = parser.value.predict([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                    names=[*part.schema.names, "lang_pred", "score"])
+                    [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    from pyspark.sql import types as T
-    schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
     return plain.mapInArrow(run, schema)
 
 
 def reject_undetermined(docs: DataFrame, may_learn: Column) -> DataFrame:
     """Documents whose language was determined, with that language in lang."""
-    rows = packed(docs.withColumn("lang", F.col("lang").cast("string")), "doc_id", "lang", "text")
-    found = identify(rows, may_learn).where(F.col("lang_pred") != UNDETERMINED)
-    return unpacked(found, docs.columns, lang=F.col("lang_pred"))
+    parser = _parser(docs, may_learn)
+    at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
+    schema = T.StructType([T.StructField("lang", T.StringType()) if f.name == "lang" else f for f in docs.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_chunks(batch):
+                lang, _ = parser.value.predict([t or "" for t in part.column(at).to_pylist()])
+                cols = list(part.columns)
+                cols[lang_at] = pa.array(lang, pa.string())
+                found = pa.array([x != UNDETERMINED for x in lang], pa.bool_())
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(found)
+
+    return docs.mapInArrow(run, schema)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stoich.llm.common import materialise
+from stoich.llm.common import bounded_batches, materialise
 from stoich.llm.words import Words, text_chunks
 
 CLASSES = 128
@@ -262,6 +262,7 @@ def _hot_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np
 def score(docs: DataFrame, may_learn: Column, hot_words: int = HOT_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """Per row doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     training = docs.where(may_learn).select(F.col("text").cast("string"))
     ends = docs.where(may_learn).count()

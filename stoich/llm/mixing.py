@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stoich.llm.common import materialise, packed, running_offset, unpacked
+from stoich.llm.common import bounded_batches, materialise, packed, running_offset, unpacked
 from stoich.llm.words import Words, text_chunks
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -90,6 +90,7 @@ def document_sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
     """(doc_id, source, size) per row, counted over whole texts, and the row's
     number ``row`` if there is one."""
     names = ["doc_id", "source", "size"] + ["_row"] * bool(row)
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,9 +198,9 @@ def mixed_texts(docs: DataFrame, share: float = 1.5, most: float = 2.0, block_wo
     the taken runs of words, each with its inner white space, are joined by a
     line break.  Documents of which nothing is taken give no row.
     """
-    rows = materialise(packed(docs, "doc_id", "source", "text")
-                       .withColumn("_row", F.monotonically_increasing_id()))
-    _, pieces = _mixed(document_sizes(rows, "_row"), share, most, block_words, shard_slots, seed)
+    rows = materialise(packed(docs).withColumn("_row", F.monotonically_increasing_id()))
+    own = rows.select("_row", "whole.doc_id", "whole.source", "whole.text")
+    _, pieces = _mixed(document_sizes(own, "_row"), share, most, block_words, shard_slots, seed)
     runs = pieces.groupBy(F.col("_row").alias("_r"), "turn").agg(
         F.sort_array(F.collect_list(F.struct("lo", "words"))).alias("_runs"))
 
@@ -207,7 +208,8 @@ def mixed_texts(docs: DataFrame, share: float = 1.5, most: float = 2.0, block_wo
     def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, r) for t, r in zip(text, runs)], dtype=object)
 
-    mixed = rows.join(runs, F.col("_row") == F.col("_r")).select("whole", cut("text", "_runs").alias("_text"))
+    mixed = rows.join(runs, F.col("_row") == F.col("_r")).select(
+        "whole", cut("whole.text", "_runs").alias("_text"))
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)

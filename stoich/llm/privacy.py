@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stoich.llm.common import materialise, packed
+from stoich.llm.common import bounded_batches, materialise, packed
 from stoich.llm.words import Words, mix64, text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -184,6 +184,7 @@ def scan(rows: DataFrame) -> DataFrame:
         if size:
             yield counts()
 
+    bounded_batches(rows.sparkSession)
     return rows.select("row", F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _SCAN)
 
 
@@ -238,18 +239,19 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced in text (and n_chars brought up to
     date): patterns and generalised terms by a placeholder, removed terms by
     nothing."""
-    rows = materialise(packed(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
-    terms = (revealing_terms(materialise(scan(rows))).groupBy(F.col("row").alias("_r"))
+    rows = materialise(packed(docs).withColumn("row", F.monotonically_increasing_id()))
+    terms = (revealing_terms(materialise(scan(rows.select("row", "whole.doc_id", "whole.text")))).groupBy(F.col("row").alias("_r"))
              .agg(F.collect_list(F.struct("start", "end", "removed")).alias("terms")))
-    joined = rows.join(_few(materialise(terms)), F.col("row") == F.col("_r"), "left").select("whole", "text", "terms")
+    joined = rows.join(_few(materialise(terms)), F.col("row") == F.col("_r"), "left").select("whole", "terms")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            whole = pa.RecordBatch.from_arrays([*batch.column(0).flatten(), batch.column(1)], names=[*names, ""])
+            for part in text_chunks(whole):
+                cols = dict(zip(names, part.columns))
                 out = [None if t is None else _replace(t, extra or [])
-                       for t, extra in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-                cols = dict(zip(names, part.column(0).flatten()))
+                       for t, extra in zip(cols["text"].to_pylist(), part.columns[-1].to_pylist())]
                 cols["text"] = pa.array(out, cols["text"].type)
                 if "n_chars" in cols:
                     cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], cols["n_chars"].type)

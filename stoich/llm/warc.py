@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoich.llm.common import materialise
+from stoich.llm.common import bounded_batches, materialise
 from stoich.llm.words import text_chunks
 from stoich.session import ensure_checkpoint_dir
 
@@ -222,6 +222,7 @@ def repeated_payloads(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str) -> None:
     """Convert every page's ARC record and write gzip-compressed WARC files."""
+    bounded_batches(pages.sparkSession)
     again = materialise(repeated_payloads(pages))
     few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = as_arc(pages).join(F.broadcast(again) if few else again, "digest", "left")
