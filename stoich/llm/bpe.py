@@ -81,10 +81,24 @@ class ByteBPE:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.store = np.zeros(1 << 16, np.uint32)
+        self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.at: list[int] = []
-        self.length: list[int] = []
+        self.at = np.zeros(1 << 14, np.int64)
+        self.length = np.zeros(1 << 14, np.int64)
+
+    def _store(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        """Append encoded words to the cache."""
+        base = len(self.known)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while base + len(words) > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.at[base:base + len(words)] = self.used + np.cumsum(n) - n
+        self.length[base:base + len(words)] = n
+        self.known.update(zip(words, range(base, base + len(words))))
+        self.used += len(ids)
 
     def merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one flat array, and each word's id count."""
@@ -133,15 +147,7 @@ class ByteBPE:
     def _learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > CACHE_WORDS:
             self._forget()
-        ids, n = self.merge_rounds(words)
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        self.store[self.used:self.used + len(ids)] = ids
-        base = len(self.at)
-        self.at.extend((self.used + np.cumsum(n) - n).tolist())
-        self.length.extend(n.tolist())
-        self.known.update(zip(words, range(base, base + len(words))))
-        self.used += len(ids)
+        self._store(words, *self.merge_rounds(words))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one flat array, and each text's id count."""
@@ -165,18 +171,11 @@ class ByteBPE:
                 new = [w for w in new if w not in self.known]
             self._learn(new)
             marks = [w for w in special if w not in self.known]
-            for w in marks:
-                self.known[w] = len(self.at)
-                self.at.append(self.used)
-                self.length.append(1)
-                if self.used == len(self.store):
-                    self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-                self.store[self.used] = special[w]
-                self.used += 1
+            self._store(marks, np.array([special[w] for w in marks], np.uint32), np.ones(len(marks), np.int64))
             index = [self.known[w] for w in found]
-        at = np.array(self.at, np.int64)[index] if index else np.zeros(0, np.int64)
-        n = np.array(self.length, np.int64)[index] if index else np.zeros(0, np.int64)
-        ids = self.store[_ranges(at, n)]
+        index = np.array(index, np.int64)
+        n = self.length[index]
+        ids = self.ids[_ranges(self.at[index], n)]
         total = np.concatenate(([0], np.cumsum(n)))
         return ids, np.diff(total[np.array([0, *ends])])
 

@@ -14,7 +14,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 #: Rows that travel to a Python worker at once, at most: texts may be long.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -36,7 +36,8 @@ from stoich.llm.words import text_chunks
 SAMPLE_ROWS = 120
 SAMPLE_LETTERS = 32_000
 MAX_SYMBOLS = 60
-RUN = 1024
+RUN = 512
+CHUNK = 1 << 20          # bytes of text whose runs advance together
 UNDETERMINED = "und"
 
 
@@ -139,7 +140,7 @@ class CrossParser:
         low = [t.lower() for t in texts]
         size = np.array([len(t) for t in low], np.int64)
         sym = self.symbol[code_points("".join(low))]
-        doc = np.repeat(np.arange(len(low)), size)
+        doc = np.repeat(np.arange(len(low), dtype=np.int32), size)
         keep = np.ones(len(sym), dtype=bool)
         keep[1:] = (sym[1:] != 0) | (sym[:-1] != 0) | (doc[1:] != doc[:-1])
         sym, doc = sym[keep], doc[keep]
@@ -226,7 +227,7 @@ def identify(docs: DataFrame, may_learn: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, limit=CHUNK):
                 lang, score = parser.value.predict([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
@@ -242,7 +243,7 @@ def reject_undetermined(docs: DataFrame, may_learn: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, limit=CHUNK):
                 lang, _ = parser.value.predict([t or "" for t in part.column(at).to_pylist()])
                 cols = list(part.columns)
                 cols[lang_at] = pa.array(lang, pa.string())

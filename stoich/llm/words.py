@@ -47,7 +47,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up))
+            size = n + n // 4
             for name, base in (("up", _BASE), ("down", _BASE_INV)):
                 p = np.full(size, np.uint64(base))
                 p[0] = 1
@@ -121,7 +121,7 @@ def shingle_sets(words: Words, n: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` text bytes each (a longer
     single text makes a slice of its own), so working memory is bounded by
     the larger of ``limit`` and the longest text."""
