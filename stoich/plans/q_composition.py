@@ -34,26 +34,34 @@ def _r6(c):
     return F.round(c, 6) + F.lit(0.0)
 
 
-@query("j1_weighted_features", with_ctes(FX.C1_SQL, FX.C2_SQL, SHARES_SQL) + """
-SELECT s.sample_id, f.feature_id, round(sum(s.share * f.value), 6) + 0.0 AS value
+# nine places, rounded by the same double arithmetic in both engines
+NINE = f"floor(({C.sql_fixed_point_sum('s.share * f.value')}) * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE"
+
+
+def nine(x):
+    return F.floor(x * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
+
+
+@query("j1_weighted_features", with_ctes(FX.C1_SQL, FX.C2_SQL, SHARES_SQL) + f"""
+SELECT s.sample_id, f.feature_id, {NINE} AS value
 FROM shares s JOIN efeat f ON s.element = f.element
 GROUP BY s.sample_id, f.feature_id""")
 def j1_weighted_features(spark, sf_dir):
-    wf = C.weighted_features(_shares(spark, sf_dir), FX.embedding_features(spark, sf_dir))
-    return wf.select("sample_id", "feature_id", _r6(F.col("value")).alias("value"))
+    wf = C.weighted_features(_shares(spark, sf_dir), FX.embedding_features(spark, sf_dir), exact_sum=True)
+    return wf.select("sample_id", "feature_id", nine(F.col("value")).alias("value"))
 
 
 @query("j1_weighted_features_by_kind", with_ctes(FX.C1_SQL, FX.C2_SQL, FX.C3_SQL, SHARES_SQL) + f""",
 feats AS (SELECT 'empirical' AS kind, * FROM pfeat UNION ALL SELECT 'embedding', * FROM efeat)
 SELECT s.sample_id, f.kind, f.feature_id,
-       floor(({C.sql_fixed_point_sum('s.share * f.value')}) * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE AS value
+       {NINE} AS value
 FROM shares s JOIN feats f ON s.element = f.element
 GROUP BY s.sample_id, f.kind, f.feature_id""")
 def j1_weighted_features_by_kind(spark, sf_dir):
     """S7 + J1: every feature kind in one job (no loop over kinds)."""
     wf = C.weighted_features(_shares(spark, sf_dir), FX.all_features(spark, sf_dir), by_kind=True,
                              exact_sum=True)
-    return wf.select("sample_id", "kind", "feature_id", (F.floor(F.col("value") * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)).alias("value"))
+    return wf.select("sample_id", "kind", "feature_id", nine(F.col("value")).alias("value"))
 
 
 @query("j2_select_features", with_ctes(FX.C1_SQL, FX.C2_SQL, SHARES_SQL) + """,

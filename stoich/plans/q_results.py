@@ -10,7 +10,7 @@ from stoich.operators import metrics as M
 from stoich.operators import results as R
 from stoich.operators.ordering import global_rank, running_max
 from stoich.plans.catalog import query, with_ctes
-from stoich.plans.q_composition import SHARES_SQL
+from stoich.plans.q_composition import NINE, SHARES_SQL
 from stoich.session import bounded_broadcast
 from stoich.sources import fixtures as FX
 from stoich.sources.tables import table
@@ -349,8 +349,8 @@ def _wf_rounded(spark, sf_dir):
     return j1_weighted_features(spark, sf_dir)
 
 
-WF_SQL = with_ctes(FX.C1_SQL, FX.C2_SQL, SHARES_SQL) + """,
-wf AS (SELECT s.sample_id, f.feature_id, round(sum(s.share * f.value), 6) + 0.0 AS value
+WF_SQL = with_ctes(FX.C1_SQL, FX.C2_SQL, SHARES_SQL) + f""",
+wf AS (SELECT s.sample_id, f.feature_id, {NINE} AS value
        FROM shares s JOIN efeat f ON s.element = f.element GROUP BY 1, 2),
 fb AS (SELECT feature_id, min(value) AS lo, CASE WHEN min(value) = max(value) THEN max(value) + 1 ELSE max(value) END AS hi
        FROM wf GROUP BY feature_id)
