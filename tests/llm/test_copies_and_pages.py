@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stoich.llm import bpe, embedding_dups, html, ngram_join, privacy, warc
+from stoich.llm.common import materialise
 from stoich.llm.components import connected_components
 from stoich.llm.queries import tokenizer_file
 
@@ -259,20 +260,20 @@ def test_articles_of_the_pages_table(spark):
 def test_pipeline_against_plain_steps(spark, corpus):
     docs = corpus
     stages = dict(corpus_pipeline.STAGES)
-    spoken = stages["language"](spark, docs, "").cache()
+    spoken = materialise(stages["language"](spark, docs, ""))
     assert spoken.columns == docs.columns
     assert {r.doc_id for r in spoken.collect()} == {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
-    single = stages["near_copies"](spark, spoken, "").cache()
+    single = materialise(stages["near_copies"](spark, spoken, ""))
     rows = [(r.doc_id, r.text) for r in spoken.collect()]
     assert Counter(r.doc_id for r in single.collect()) == Counter(
         {d: 1 for (d, n, c), k in brute_components(rows).items() if n == 0 or d == c})
-    clean = stages["privacy"](spark, single, "").cache()
+    clean = materialise(stages["privacy"](spark, single, ""))
     text = {r.doc_id: r.text for r in single.collect()}
     for r in clean.collect():
         assert not privacy.base_spans(r.text) and r.n_chars == len(r.text)
         if not privacy.base_spans(text[r.doc_id]):
             assert r.text == text[r.doc_id]
-    mixed = stages["mix"](spark, clean, "").cache()
+    mixed = materialise(stages["mix"](spark, clean, ""))
     assert mixed.columns == docs.columns
     ids = stages["encode"](spark, mixed, "").collect()
     want = Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed.collect())
@@ -284,9 +285,18 @@ def test_pipeline_stages_on_awkward_and_empty_tables(spark, awkward, no_docs):
     for docs, rows in ((awkward, 6), (no_docs, 0)):
         now = docs
         for name, stage in corpus_pipeline.STAGES:
-            before, now = now, stage(spark, now, "")
+            now = materialise(stage(spark, now, ""))
             if name != "encode":
                 assert now.columns == docs.columns
             if name == "near_copies":
                 assert now.count() == rows
         assert (now.count() > 0) == (rows > 0)
+
+
+def test_pipeline_run_deletes_working_tables(spark):
+    from stoich.session import written_tables
+    before = set(written_tables())
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    left = [p for p in written_tables() if p not in before]
+    assert rows > 0 and len(left) == 4          # the four stages' results
+    assert not set(corpus_pipeline._working) & set(left)
