@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from stoich.functions.rng import sql_uniform
 from stoich.operators import models as ML
-from stoich.operators import results as R
 from stoich.plans.catalog import ORACLES, query, with_ctes
 from stoich.plans import q_corpus, q_results
 from stoich.session import ensure_checkpoint_dir
