@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b, sha256
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -240,7 +240,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
     date): patterns and generalised terms by a placeholder, removed terms by
     nothing."""
     rows = materialise(packed(docs).withColumn("row", F.monotonically_increasing_id()))
-    terms = (revealing_terms(materialise(scan(rows.select("row", "whole.doc_id", "whole.text")))).groupBy(F.col("row").alias("_r"))
+    scanned = materialise(scan(rows.select("row", "whole.doc_id", "whole.text")))
+    terms = (revealing_terms(scanned).groupBy(F.col("row").alias("_r"))
              .agg(F.collect_list(F.struct("start", "end", "removed")).alias("terms")))
     joined = rows.join(_few(materialise(terms)), F.col("row") == F.col("_r"), "left").select("whole", "terms")
     names = docs.columns
