@@ -6,7 +6,7 @@ the symbols of all new words lie in one flat array, and each round looks up all
 neighbouring pairs by binary search in the sorted pair keys, finds every
 word's lowest rank, and merges that pair wherever it stands in the word, left
 to right.  Rounds end when no word holds a known pair.  Words seen before come
-from a cache per Python worker (bounded; emptying it changes no result).
+from a cache per task (bounded; emptying it changes no result).
 
 Defined cases: a null text encodes as the empty text (no ids); long words take
 more rounds, not more memory than a few numbers per byte; rows are independent,
@@ -33,7 +33,7 @@ from stoich.llm.words import text_chunks
 _S = r"\t-\r \x85\xa0  -     　"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|[" + _S + r"]+(?![^" + _S
            + r"])|[" + _S + r"]+")
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -224,6 +224,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
                                                         pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                                                  + ["ids"] * with_ids)
+        bpe._forget()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 

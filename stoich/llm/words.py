@@ -12,6 +12,7 @@ different words or shingles share a hash with probability about 2^-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,6 +122,17 @@ def shingle_sets(words: Words, n: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and an
+    executor's limit counts what they hold back."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` text bytes each (a longer
     single text makes a slice of its own), so working memory is bounded by
@@ -137,3 +149,4 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 1
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
