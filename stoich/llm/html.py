@@ -6,9 +6,14 @@ word stays with its paragraph).  Per path the text length, the punctuation and
 the text inside links are added up over its nodes.  The ratio of text to path
 is the mean text length per node, fused with the punctuation ratio and lowered
 by the share of links; the ratios are smoothed along the page's nodes, and the
-paths at or above a share of their text-weighted mean are content paths.  The
-content container is the deepest element that holds (nearly) all their text;
-every block in it is kept, so that headings and short lines are not lost.
+paths at or above a share of their text-weighted mean are content paths.
+
+All their text is returned.  So are the headings and short blocks between its
+first and last node and elsewhere in the content container: the deepest element
+that holds all of it, or the article element around that one.  Without such an
+element the title, a heading before the container, is returned with the short
+blocks that follow it.  Only blocks of links on paths below the threshold are
+left out (most of the block's text, and of its run of such blocks, in links).
 
 Elements that are never article text (menus, headers, footers, asides, forms,
 scripts, styles, and elements whose class, id or role says advert, notice,
@@ -55,7 +60,11 @@ NOT_ARTICLE = frozenset(
 NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu "
                               "menubar toolbar".split())
 SHARE = 0.3          # of the weighted mean ratio that makes a content path
-COVER = 0.9          # of the content text that the container must hold
+LINKS = 0.5          # of the text of a block, from which on it is a block of links
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of text, not containers: what stands beside them belongs to the article too.
+TEXTUAL = HEADINGS | frozenset("p li ul ol dl dt dd pre blockquote figure figcaption table caption thead tbody tfoot "
+                               "tr".split())
 SPREAD = 1.0         # width of the smoothing, in text nodes
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)""")
@@ -194,6 +203,67 @@ def content_paths(nodes: list[tuple[tuple, int, int, bool]]) -> set[tuple]:
     return {p for p, s in score.items() if s >= SHARE * mean}
 
 
+def _name(path: tuple) -> str:
+    return path[-1].split(".")[0] if path else ""
+
+
+def _container(paths: set[tuple]) -> tuple:
+    """The deepest element around all of the paths, or the article around it."""
+    low, high = min(paths), max(paths)
+    n = 0
+    while n < min(len(low), len(high)) and low[n] == high[n]:
+        n += 1
+    best = low[:n]
+    # a cell with text of its own is one of many, else it lays out the page
+    while _name(best) in TEXTUAL or _name(best) in ("td", "th") and best in paths:
+        best = best[:-1]
+    for i in range(len(best), 0, -1):
+        if _name(best[:i]) == "article":
+            return best[:i]
+    return best
+
+
+def _link_blocks(nodes: list[tuple[tuple, str, bool, bool, int, int]], chosen: set[tuple]) -> list[bool]:
+    """Whether each node is in a block of links on a path that was not chosen."""
+    block, run, b, r, last = [], [], -1, -1, None
+    for path, _, _, fresh, n, _ in nodes:
+        b += fresh or b < 0
+        if n and path != last:
+            r, last = r + 1, path
+        block.append(b)
+        run.append(max(r, 0))
+    text: list[list[int]] = [[0] * (b + 1), [0] * (max(r, 0) + 1)]
+    linked: list[list[int]] = [[0] * (b + 1), [0] * (max(r, 0) + 1)]
+    for (_, _, link, _, n, _), *at in zip(nodes, block, run):
+        for k, i in enumerate(at):
+            text[k][i] += n
+            linked[k][i] += n * link
+    return [path not in chosen and _name(path) not in HEADINGS
+            and all(linked[k][i] > LINKS * text[k][i] for k, i in enumerate(at))
+            for (path, *_), *at in zip(nodes, block, run)]
+
+
+def _kept(nodes: list[tuple[tuple, str, bool, bool, int, int]], chosen: set[tuple]) -> list[bool]:
+    """Whether the text of each node is returned."""
+    best = _container(chosen)
+    inside = [path[:len(best)] == best for path, *_ in nodes]
+    solid = [i for i, x in enumerate(nodes) if x[4]]
+    content = [i for i in solid if nodes[i][0] in chosen]
+    first, last = next(i for i in solid if inside[i]), content[-1]
+    if _name(best) != "article" and not any(inside[i] and _name(nodes[i][0]) == "h1" for i in solid):
+        before = [i for i in solid if i < first and _name(nodes[i][0]) in HEADINGS]
+        near = [i for i in before if best[:len(nodes[i][0]) - 1] == nodes[i][0][:-1]]
+        title = near or [i for i in before if _name(nodes[i][0]) == "h1"]
+        if title:
+            first = title[-1]
+            at = solid.index(first)
+            while at and _name(nodes[solid[at - 1]][0]) in HEADINGS:
+                at -= 1
+            first = solid[at]
+    links = _link_blocks(nodes, chosen)
+    return [(inside[i] or first <= i <= last) and not links[i] for i in range(len(nodes))]
+
+
 def main_text(page: str | None) -> str:
     """The article's text, blocks joined by one space."""
     if not page:
@@ -206,21 +276,9 @@ def main_text(page: str | None) -> str:
     solid = [(p, n, punct, link) for p, _, link, _, n, punct in nodes if n]
     if not solid:
         return ""
-    chosen = content_paths(solid)
-    size: dict[tuple, int] = {}
-    whole = 0
-    for path, n, _, _ in solid:
-        if path in chosen:
-            whole += n
-            for i in range(len(path) + 1):
-                size[path[:i]] = size.get(path[:i], 0) + n
-    best = max((p for p, n in size.items() if n >= COVER * whole), key=len)
-    # a paragraph is not a container: its neighbours belong to the article too
-    while best and best[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote"):
-        best = best[:-1]
+    kept = _kept(nodes, content_paths(solid))
     parts = []
-    for path, text, _, fresh, _, _ in nodes:
-        inside = path[:len(best)] == best
+    for (_, text, _, fresh, _, _), inside in zip(nodes, kept):
         if fresh or not inside:
             parts.append(" ")
         if inside:

@@ -255,6 +255,32 @@ def test_articles_of_the_pages_table(spark):
         assert r.text == " ".join(lib.unescape(plain).split())
 
 
+BODY = "<p>" + "A long sentence of the article, with commas, and more words. " * 6 + "</p>"
+ITEM = "<li>" + "An item of the list that holds most of the text, item by item. " * 3 + "</li>"
+LINKED = "<ul>" + "<li><a href='/x'>Another page</a></li>" * 9 + "</ul>"
+LAYOUTS = [
+    # a title outside the body, within an article or not
+    f"<article><h1>Title</h1><div class=body>{BODY * 12}</div></article>",
+    f"<div class=page>{LINKED}<h2>Title</h2><p class=by>By me</p><div class=entry>{BODY * 12}</div></div>",
+    # lead, parts with headings and a conclusion in elements of their own
+    f"<div class=lead><p>A lead, in short.</p></div><div class=body>{BODY * 20}</div><div class=end><p>So it ends.</p></div>",
+    f"<section class=a><h2>One</h2>{BODY * 30}</section><section class=b><h2>Two</h2>{BODY}</section>",
+    f"<h2>One</h2><div class=part>{BODY * 9}</div><h2>Two</h2><div class=part>{BODY * 9}</div>",
+    # a long list between paragraphs
+    f"<div><p>Before the list.</p><ul>{ITEM * 60}</ul><p>After it.</p></div>",
+    # a list of links amid the article, and a linked word, heading and item that stay
+    f"<div>{BODY * 4}{LINKED}{BODY * 4}<h2><a href='#s'>Part</a></h2><ul><li>one</li><li><a href='/y'>two</a></li>"
+    f"<li>three and four</li></ul>{BODY * 4}</div>",
+]
+
+
+@pytest.mark.parametrize("k", range(len(LAYOUTS)))
+def test_whole_article_of_usual_layouts(k):
+    page = f"<html><body><nav>Home</nav>{LAYOUTS[k]}<footer>foot</footer></body></html>"
+    plain = re.sub("<[^>]+>", " ", LAYOUTS[k].replace(LINKED, " "))
+    assert html.main_text(page) == " ".join(plain.split())
+
+
 # -- pipeline ----------------------------------------------------------------------------
 
 def test_pipeline_against_plain_steps(spark, corpus):
