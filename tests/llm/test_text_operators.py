@@ -173,6 +173,27 @@ def test_revealing_terms_need_different_contexts(spark, awkward):
     assert {r.doc_id: r.text for r in got.collect()}[5] == awkward.where("doc_id = 5").first().text
 
 
+def test_terms_far_from_the_entity_and_of_rare_entities(spark):
+    filler = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore"
+    rows = [(i, f"Zanzibarian {filler} reach bob@corp.example.com {filler} said (Zanzibarian), and {filler} ZANZIBARIAN.")
+            for i in range(2)]
+    rows[1] = (1, rows[1][1] + " twice dolor")
+    rows += [(2, f"{filler} Quetzal {filler} call +1 (366) 555-9807 {filler} \u00e9t\u00e9 Quetzal!")]
+    rows += [(100 + i, f"{filler} reach said and call twice \u00e9t\u00e9 {i}") for i in range(2000)]
+    rows += [(5000, "Zanzibarians elsewhere"), (5001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in privacy.find(docs).collect()}
+    clean = {r.doc_id: r.text for r in privacy.sanitised(docs).collect()}
+    assert len(out) == len(clean) == len(rows) and clean[5001] is None
+    for i, name, times in ((0, "Zanzibarian", 3), (1, "Zanzibarian", 3), (2, "Quetzal", 2)):
+        text = rows[i][1]
+        told = [s.split(":")[1:] for s in out[i].spans.split(",") if s.startswith("term")]
+        assert [text[int(a):int(z)].lower() for a, z in told] == [name.lower()] * times and out[i].n_term == times
+        want = re.sub(name, "[TERM]", text, flags=re.I).replace("bob@corp.example.com", "[EMAIL]")
+        assert clean[i] == want.replace("+1 (366) 555-9807", "[PHONE]")
+    assert all(clean[i] == t and out[i].spans == "" for i, t in rows[3:-1])
+
+
 # -- BPE --------------------------------------------------------------------------
 
 def test_bpe_matches_the_library(awkward, corpus):
