@@ -9,10 +9,13 @@ letter), is predicted.
 The sample is bounded: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_LETTERS``
 symbols per language, taken from the rows with the smallest hash of doc_id, of
 those that the caller allows.  Everything else covers whole texts: a text is
-cut into runs of ``RUN`` symbols, all runs of a batch advance through a dense
+cut into runs of ``RUN`` symbols, all runs of a batch advance through one
 transition table together, and their phrase counts add up.
 
 Symbols are lower-case letters; everything between letters counts as one space.
+Every letter of the samples is a symbol of its own: transitions by the
+``DENSE_SYMBOLS`` most frequent ones are a dense table, those by all others
+sorted keys that are searched.
 Defined cases: null text, or a text without a letter: ``und`` with score 0;
 letters that no sample holds are phrases of their own; equal figures go to the
 language first by name; without any usable label every row is ``und``; lang,
@@ -35,7 +38,7 @@ from stoich.llm.words import text_chunks
 
 SAMPLE_ROWS = 120
 SAMPLE_LETTERS = 32_000
-MAX_SYMBOLS = 60
+DENSE_SYMBOLS = 60       # letters with a column in the dense table; no bound on letters
 RUN = 512
 CHUNK = 1 << 20          # bytes of text whose runs advance together
 UNDETERMINED = "und"
@@ -86,7 +89,10 @@ class CrossParser:
     """Automata of several languages in one table.
 
     ``table[row + symbol]`` holds ``2 * next row + 1`` where a phrase ends
-    before the symbol, else ``2 * next row``.
+    before the symbol, else ``2 * next row``.  For symbols from ``width`` on,
+    ``values`` holds the same at the place of ``row * others + symbol - width``
+    in ``keys``; where there is no such key a phrase ends, and ``root`` tells
+    the next row.
     """
 
     def __init__(self, samples: dict[str, list[str]], limit: int = SAMPLE_LETTERS):
@@ -103,22 +109,37 @@ class CrossParser:
         every = code_points("".join(texts.values()))
         every = every[_letters()[every]]
         seen, n = np.unique(every, return_counts=True)
-        top = np.sort(seen[np.argsort(-n, kind="stable")[:MAX_SYMBOLS]])
-        #: 0 space, 1 letter outside the alphabet, 2.. the alphabet
-        self.symbol = _letters().astype(np.uint8)
-        self.symbol[top] = np.arange(2, len(top) + 2)
-        width = len(top) + 2
+        often = np.zeros(len(seen), dtype=bool)
+        often[np.argsort(-n, kind="stable")[:DENSE_SYMBOLS]] = True
+        letters = np.concatenate([seen[often], seen[~often]])
+        self.width = width = int(often.sum()) + 2
+        others = len(letters) + 2 - width
+        #: 0 space, 1 letter that no sample holds, 2.. the letters of the samples
+        self.symbol = _letters().astype(np.min_scalar_type(len(letters) + 2))
+        self.symbol[letters] = np.arange(2, len(letters) + 2)
+        self.root = np.zeros((len(self.names), others), np.int32)
+        self.known = np.zeros((len(self.names), others), dtype=bool)
+        keys, values = [], []
         tables, self.start, self.bits = [], [], []
         base = 0
-        for name in self.names:
+        for nth, name in enumerate(self.names):
             sym = self.squeeze(self.symbol[code_points(texts[name])])[:limit]
             step = suffix_automaton([0, *sym.tolist(), 0])
             # the last row follows a symbol that the sample lacks, and starts a
             # text: whatever comes begins a phrase
             t = np.full((len(step) + 1, width), -1, np.int32)
-            for row, moves in zip(t, step):
+            for i, moves in enumerate(step):
                 for c, to in moves.items():
-                    row[c] = to
+                    if c < width:
+                        t[i, c] = to
+                    else:
+                        keys.append((base + i) * width * others + c - width)
+                        values.append((base + to) * width * 2)
+            self.root[nth] = (base + len(step)) * width * 2 + 1
+            for c, to in step[0].items():
+                if c >= width:
+                    self.root[nth, c - width] = (base + to) * width * 2 + 1
+                    self.known[nth, c - width] = True
             miss = t < 0
             root = np.where(t[0] < 0, len(step), t[0])
             t = np.where(miss, root[None, :], t)
@@ -127,6 +148,18 @@ class CrossParser:
             self.bits.append(np.log2(len(sym) + 2))
             base += len(step) + 1
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
+
+    def searched(self, row: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """What ``table`` would hold for the symbols ``width + other``."""
+        v = self.root[:, other]
+        at = np.nonzero(self.known[:, other])       # elsewhere the letter is a phrase of its own
+        key = row[at].astype(np.int64) * self.root.shape[1] + other[at[1]]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[place] == key
+        v[at[0][hit], at[1][hit]] = self.values[place[hit]]
+        return v
 
     @staticmethod
     def squeeze(sym: np.ndarray) -> np.ndarray:
@@ -160,7 +193,14 @@ class CrossParser:
         count = np.zeros(row.shape, np.int32)
         for t in range(int(length[0]) if len(length) else 0):
             k = int(live[t])
-            v = self.table[row[:, :k] + sym[begin[:k] + t]]
+            c = sym[begin[:k] + t]
+            rare = np.flatnonzero(c >= self.width)
+            if len(rare):
+                other = c[rare].astype(np.int64) - self.width
+                c[rare] = 1
+            v = self.table[row[:, :k] + c]
+            if len(rare):
+                v[:, rare] = self.searched(row[:, rare], other)
             count[:, :k] += v & 1
             row[:, :k] = v >> 1
         total = np.zeros((len(self.names), len(low)))

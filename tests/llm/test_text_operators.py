@@ -109,6 +109,32 @@ def test_phrase_counts_match_greedy_parse():
             assert got[li, ti] == total, (name, text)
 
 
+def test_languages_of_many_letters():
+    rng = np.random.default_rng(7)
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyzäöüßéèñç", "абвгдежзийклмнопрстуфхцчшщьюя"
+    pools = {"en": latin, "ru": cyrillic + "ыэъё", "uk": cyrillic + "іїєґ",
+             "ja": "".join(chr(0x5E00 + i) for i in range(400)), "zh": "".join(chr(0x5F00 + i) for i in range(400))}
+    lexicon = {name: ["".join(rng.choice(list(pool), 3)) for _ in range(300)] for name, pool in pools.items()}
+    text = lambda name, n: " ".join(rng.choice(lexicon[name], n))
+    samples = {name: [text(name, 2000 if name == "en" else 700)] for name in pools}
+    parser = language.CrossParser(samples)
+    given = [(name, text(name, 30)) for name in pools for _ in range(20)]
+    assert parser.predict([t for _, t in given])[0] == [name for name, _ in given]
+    mixed = [" ".join(text(name, 3) for name in pools) + " 한국 " + text("zh", 5) for _ in range(10)]
+    got, _ = parser.phrases(mixed)
+    for li, name in enumerate(parser.names):
+        pool = f" {samples[name][0]} "
+        for ti, t in enumerate(mixed):
+            i = total = 0
+            while i < len(t):
+                j = i + 1
+                while j <= len(t) and t[i:j] in pool:
+                    j += 1
+                i, total = max(i + 1, j - 1), total + 1
+            assert got[li, ti] == total
+    assert (parser.phrases(["한국어"])[0] == 3).all()        # letters that no sample holds
+
+
 def test_language_of_held_out_rows_and_awkward_rows(corpus, awkward):
     held = is_crc_fold(F.col("doc_id"), 0)
     out = language.identify(corpus, ~held).where(held).select("lang", "lang_pred").collect()
