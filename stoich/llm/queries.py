@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoich.llm import bpe, embedding_dups, host_quality, html, language, lm, mixing, ngram_join, privacy, warc
+from stoich.llm import (bpe, embedding_dups, host_quality, html, language, lm, mixing, ngram_join, privacy, runs,
+                        substrings, warc, whitening)
 from stoich.llm.common import is_crc_fold
 from stoich.sources.tables import table
 
@@ -128,6 +129,22 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_copies(table(spark, sf_dir, "embeddings"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, its tail planted."""
+    return runs.digests(_docs(spark, sf_dir))
+
+
+def op12_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that start elsewhere too."""
+    return substrings.without_repeats(_docs(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_language": op2_language,
@@ -139,5 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_mix_sources": op9_mix_sources,
     "op10_embedding_dups": op10_embedding_dups,
+    "op11_word_runs": op11_word_runs,
+    "op12_repeated_windows": op12_repeated_windows,
+    "op13_whitened_embeddings": op13_whitened_embeddings,
 }
 ORACLES: dict[str, str] = {"op1_host_quality": OP1_SQL.strip(), "op5_warc": OP5_SQL.strip()}

@@ -150,3 +150,21 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 1
         yield batch.slice(at, to - at)
         at = to
     give_back()
+
+
+def joined(words: Words, keep: np.ndarray) -> pa.Array:
+    """The kept words of every text, joined by one space."""
+    size = np.where(keep, words.end - words.start, 0)
+    owner = np.repeat(np.arange(len(words.first) - 1), words.counts())
+    last = np.full(len(words.first) - 1, -1)
+    kept = np.flatnonzero(keep)
+    last[owner[kept]] = kept
+    gap = keep.copy()                   # a kept word is followed by its separator
+    gap[last[last >= 0]] = False        # unless it is the last one
+    step = np.zeros(len(words.data) + 1, np.int8)
+    step[words.start[kept]] += 1
+    step[(words.end + gap)[kept]] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    data = np.where(WS[words.data], np.uint8(32), words.data)[inside]
+    upto = np.concatenate(([0], np.cumsum(size + gap)))[words.first]
+    return pa.LargeStringArray.from_buffers(len(upto) - 1, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(data))
