@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start."""
     spans = [("email", a, z) for a, z in emails(text)] if "@" in text else []
     spans += [("ip", m.start(), m.end()) for m in _IP.finditer(text)
-              if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+              if all(len(n := x.lstrip("0") or "0") <= 3 and int(n) <= 255 for x in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
