@@ -1,10 +1,13 @@
 """Mixing sources to target weights by blocks.
 
 Every source's words form one stream (documents in row-hash order), cut into
-blocks of ``block_words``.  The output is a list of slots, one block each,
-written shard by shard: each shard draws its source counts from a multinomial
-(the whole part of every expectation is taken, the rest is drawn), the slots
-of a source are numbered through all shards, and slot ``j`` of a source takes
+blocks of ``block_words``; a source of fewer than FINE such blocks has shorter
+ones, so that about FINE of them make up the source (down to one word).  The
+output is a list of slots, one block each, written shard by shard: each shard
+draws its source counts from a multinomial (the whole part of every expectation
+is taken, the rest is drawn), the slots of a source are numbered through all
+shards, and a last shard settles what the draws left open, so a source has as
+many slots as blocks make up its target.  Slot ``j`` of a source takes
 block ``perm(j mod n_blocks)`` of that source, ``perm`` being a keyed
 pseudorandom permutation of its block indices (one key per pass).  Blocks and
 slots meet by an equi-join on (source, block index); nothing but one row per
@@ -38,6 +41,7 @@ from stoich.llm.words import Words, text_chunks
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 64
+FINE = 64
 SHARD_SLOTS = 4096
 SEED = 20240229
 
@@ -105,11 +109,16 @@ def document_sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
         count, "doc_id long, source string, size long" + ", _row long" * bool(row))
 
 
+def _block_size(n: int, block_words: int) -> int:
+    return max(1, min(block_words, n // FINE))
+
+
 def _slots(plan: list[tuple[int, int, float]], block_words: int, shard_slots: int, seed: int,
            spark, most: float) -> DataFrame:
     """(source number, block, pass) per output slot that names a block."""
-    quota = np.array([g / block_words for _, _, g in plan])
-    blocks = np.array([ceil(n / block_words) for _, n, _ in plan], dtype=np.int64)
+    blocks = np.array([ceil(n / _block_size(n, block_words)) for _, n, _ in plan], dtype=np.int64)
+    quota = np.array([g * m / max(n, 1) for (_, n, g), m in zip(plan, blocks)])
+    wanted = np.rint(quota).astype(np.int64)
     shards = max(1, ceil(quota.sum() / shard_slots))
     expect = quota / shards
     base = np.floor(expect).astype(np.int64)
@@ -127,6 +136,10 @@ def _slots(plan: list[tuple[int, int, float]], block_words: int, shard_slots: in
                      pa.array(n[some], pa.int64())], names=["shard", "src", "n"])
 
     counts = materialise(spark.range(shards).mapInArrow(draw, "shard long, src long, n long"))
+    drawn = {r[0]: r[1] for r in counts.groupBy("src").agg(F.sum("n")).collect()}
+    open_ = [(shards, i, int(w) - drawn.get(i, 0)) for i, w in enumerate(wanted) if w > drawn.get(i, 0)]
+    if open_:
+        counts = materialise(counts.unionAll(spark.createDataFrame(open_, counts.schema)))
     spread = running_offset(counts, "src", ["shard"], "n", "first")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +150,7 @@ def _slots(plan: list[tuple[int, int, float]], block_words: int, shard_slots: in
                 s = np.repeat(src[a:a + 64], m)
                 j = np.repeat(first[a:a + 64] - (np.cumsum(m) - m), m) + np.arange(m.sum())
                 turn = j // blocks[s]
-                ok = turn < most
+                ok = (turn < most) & (j < wanted[s])
                 s, j, turn = s[ok], j[ok], turn[ok]
                 key = (s * 1_000_003 + turn * 7_919 + seed) * 0x5851F42D
                 yield pa.RecordBatch.from_arrays(
@@ -158,17 +171,18 @@ def _mixed(sizes: DataFrame, share: float, most: float, block_words: int, shard_
     totals = [(r[0], int(r[1])) for r in sizes.groupBy("source").agg(F.sum("size")).collect()]
     plan = targets(totals, share, most)
     table = spark.createDataFrame(
-        [(i, s, n, g) for i, (s, n, g) in enumerate(plan)],
+        [(i, s, n, g, _block_size(n, block_words)) for i, (s, n, g) in enumerate(plan)],
         T.StructType([T.StructField("src", T.LongType()), T.StructField("_s", T.StringType()),
-                      T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]))
+                      T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
+                      T.StructField("_b", T.LongType())]))
     known = sizes.join(F.broadcast(table) if len(plan) <= 100_000 else table,
                        F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     if not sum(n for _, n, _ in plan):
         none = spark.createDataFrame([], "_row long, turn long, lo long, words long")
         return known, none
-    placed = running_offset(materialise(known.where("size > 0").select("_row", "doc_id", "src", "size")),
+    placed = running_offset(materialise(known.where("size > 0").select("_row", "doc_id", "src", "size", "_b")),
                             "src", ["doc_id", "size", "_row"], "size", "at")
-    b = F.lit(block_words)
+    b = F.col("_b")
     begin = F.greatest(F.col("at"), F.col("block") * b)
     pieces = (placed.withColumn("block", F.explode(F.sequence(
         F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))))
