@@ -178,6 +178,13 @@ def test_spans_match_the_patterns(corpus):
         assert privacy.base_spans(t) == plain_spans(t), t
 
 
+def test_long_runs_of_digits():
+    zeros, nines = "0" * 5000, "9" * 5000
+    assert privacy.base_spans(f"{zeros}.1.1.1") == [("ip", 0, 5006)]
+    assert privacy.base_spans(f"{nines}.1.1.1") == [] and privacy.base_spans(f"{zeros}1.2.3.256") == []
+    assert privacy.base_spans(f"{zeros}7.{zeros}.0.255 {nines}") == [("ip", 0, 10008)]
+
+
 def test_revealing_terms_need_different_contexts(spark, awkward):
     filler = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore"
     rows = [(i, f"{filler} note {i} about Zanzibarian reach bob@corp.example.com at {w} {filler}")
@@ -286,6 +293,20 @@ def test_mix_sizes_targets_and_repeats(corpus, awkward):
     assert len(odd) == 13 and (odd[odd["size"] == 0].taken == 0).all() and odd.source.isna().sum() == 1
 
 
+def test_small_sources_meet_their_targets(spark):
+    """Within two words or two per cent of the target, whatever the size."""
+    for sizes in ({"a": 65, "b": 65, "c": 65, "d": 10}, {"a": 1, "b": 10, "c": 130, None: 65},
+                  {"a": 5_000, "b": 3, "c": 40_000, "d": 700, "e": 1}):
+        rows = [(i, src, " ".join(["w"] * part)) for src, n in sizes.items()
+                for i, part in enumerate([n // 3, n - n // 3])]
+        df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        for slots in (4096, 16):
+            out = mixing.mix(df, shard_slots=slots).toPandas()
+            assert (out.taken <= 2 * out["size"]).all()
+            for _, g in out.groupby("source", dropna=False):
+                assert abs(g.taken.sum() - g.target.iloc[0]) <= max(2, 0.02 * g.target.iloc[0])
+
+
 def test_mixed_texts_hold_what_was_taken(corpus):
     mixed = mixing.mixed_texts(corpus).toPandas()
     taken = mixing.mix(corpus).toPandas().set_index("doc_id").taken
