@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stoich.llm.words import give_back
 from stoich.session import cut_lineage
 
 #: Pattern of a separator between words (a word is ``[^\x20\x09-\x0D]+``).
@@ -26,6 +28,32 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
 
+_shared: list[Broadcast] = []
+
+
+def shared(spark: SparkSession, value) -> Broadcast:
+    """A broadcast variable that :func:`release` can find again."""
+    _shared.append(spark.sparkContext.broadcast(value))
+    return _shared[-1]
+
+
+def shared_values() -> list[Broadcast]:
+    """Broadcast variables of :func:`shared` that were not released."""
+    return list(_shared)
+
+
+def release(spark: SparkSession, values: list[Broadcast]) -> None:
+    """Destroy broadcast variables that no DataFrame needs any more, and let
+    the driver drop plans, broadcast tables and buffers it no longer refers to:
+    a long job otherwise keeps them until its heap is full."""
+    for b in values:
+        if b in _shared:
+            _shared.remove(b)
+            b.destroy()
+    give_back()
+    spark._jvm.System.gc()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back."""
     return cut_lineage(df)

@@ -26,18 +26,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stoich.llm.common import bounded_batches
-from stoich.llm.words import text_chunks
+from stoich.llm.common import bounded_batches, shared
+from stoich.llm.words import give_back, text_chunks
 
-SAMPLE_ROWS = 120
-SAMPLE_LETTERS = 32_000
+SAMPLE_ROWS = 120        # labelled rows per language
+SAMPLE_LETTERS = 32_000  # of them, in equal shares of the rows
+MAX_LABELS = 200         # languages, those with the most labelled rows
 DENSE_SYMBOLS = 60       # letters with a column in the dense table; no bound on letters
 RUN = 512
 CHUNK = 1 << 20          # bytes of text whose runs advance together
@@ -85,6 +88,40 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+class Automaton(NamedTuple):
+    """Suffix automaton of one language's sample as edge arrays; symbols are
+    code points of letters, and 0 for whatever lies between words."""
+
+    state: np.ndarray
+    symbol: np.ndarray
+    to: np.ndarray
+    n_states: int
+    n_symbols: int
+
+
+def sample_automaton(texts: list[str], limit: int = SAMPLE_LETTERS) -> Automaton:
+    """Automaton of ``limit`` letters, equal shares of all texts (a text that
+    is shorter leaves the rest of its share to the longer ones)."""
+    left, parts = limit, []
+    for i, t in enumerate(sorted(texts, key=len)):
+        parts.append(t[:max(1, left // (len(texts) - i))].lower())
+        left -= len(parts[-1])
+    points = code_points(" ".join(parts))
+    sym = squeezed(np.where(_letters()[points], points, 0))[:limit]
+    step = suffix_automaton([0, *sym.tolist(), 0])
+    size = np.array([len(m) for m in step])
+    return Automaton(np.repeat(np.arange(len(step), dtype=np.int32), size),
+                     np.fromiter((c for m in step for c in m), np.uint32, size.sum()),
+                     np.fromiter((to for m in step for to in m.values()), np.int32, size.sum()), len(step), len(sym))
+
+
+def squeezed(sym: np.ndarray) -> np.ndarray:
+    """Runs of spaces become one."""
+    if not len(sym):
+        return sym
+    return sym[np.concatenate(([True], (sym[1:] != 0) | (sym[:-1] != 0)))]
+
+
 class CrossParser:
     """Automata of several languages in one table.
 
@@ -95,20 +132,12 @@ class CrossParser:
     the next row.
     """
 
-    def __init__(self, samples: dict[str, list[str]], limit: int = SAMPLE_LETTERS):
+    def __init__(self, samples: dict[str, list[str] | Automaton], limit: int = SAMPLE_LETTERS):
         self.names = sorted(samples)
-        texts = {}
-        for name in self.names:
-            parts, size = [], 0
-            for t in samples[name]:
-                parts.append(t.lower())
-                size += len(t)
-                if size >= limit:
-                    break
-            texts[name] = " ".join(parts)
-        every = code_points("".join(texts.values()))
-        every = every[_letters()[every]]
-        seen, n = np.unique(every, return_counts=True)
+        automata = [s if isinstance(s, Automaton) else sample_automaton(s, limit)
+                    for s in (samples[name] for name in self.names)]
+        every = np.concatenate([a.symbol for a in automata]) if automata else np.zeros(0, np.uint32)
+        seen, n = np.unique(every[every > 0], return_counts=True)
         often = np.zeros(len(seen), dtype=bool)
         often[np.argsort(-n, kind="stable")[:DENSE_SYMBOLS]] = True
         letters = np.concatenate([seen[often], seen[~often]])
@@ -119,37 +148,35 @@ class CrossParser:
         self.symbol[letters] = np.arange(2, len(letters) + 2)
         self.root = np.zeros((len(self.names), others), np.int32)
         self.known = np.zeros((len(self.names), others), dtype=bool)
-        keys, values = [], []
+        keys, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         tables, self.start, self.bits = [], [], []
         base = 0
-        for nth, name in enumerate(self.names):
-            sym = self.squeeze(self.symbol[code_points(texts[name])])[:limit]
-            step = suffix_automaton([0, *sym.tolist(), 0])
+        for nth, a in enumerate(automata):
+            c = self.symbol[a.symbol].astype(np.int64)
             # the last row follows a symbol that the sample lacks, and starts a
             # text: whatever comes begins a phrase
-            t = np.full((len(step) + 1, width), -1, np.int32)
-            for i, moves in enumerate(step):
-                for c, to in moves.items():
-                    if c < width:
-                        t[i, c] = to
-                    else:
-                        keys.append((base + i) * width * others + c - width)
-                        values.append((base + to) * width * 2)
-            self.root[nth] = (base + len(step)) * width * 2 + 1
-            for c, to in step[0].items():
-                if c >= width:
-                    self.root[nth, c - width] = (base + to) * width * 2 + 1
-                    self.known[nth, c - width] = True
+            t = np.full((a.n_states + 1, width), -1, np.int32)
+            dense = c < width
+            t[a.state[dense], c[dense]] = a.to[dense]
+            keys.append((base + a.state[~dense].astype(np.int64)) * width * others + c[~dense] - width)
+            values.append((base + a.to[~dense].astype(np.int64)) * width * 2)
+            self.root[nth] = (base + a.n_states) * width * 2 + 1
+            first = ~dense & (a.state == 0)
+            self.root[nth, c[first] - width] = (base + a.to[first]) * width * 2 + 1
+            self.known[nth, c[first] - width] = True
             miss = t < 0
-            root = np.where(t[0] < 0, len(step), t[0])
+            root = np.where(t[0] < 0, a.n_states, t[0])
             t = np.where(miss, root[None, :], t)
+            if (base + a.n_states + 1) * width * 2 >= 1 << 31:
+                raise ValueError("the samples of all languages together are too large for one table")
             tables.append(((base + t) * width * 2 + miss).ravel().astype(np.int32))
-            self.start.append((base + len(step)) * width)
-            self.bits.append(np.log2(len(sym) + 2))
-            base += len(step) + 1
+            self.start.append((base + a.n_states) * width)
+            self.bits.append(np.log2(a.n_symbols + 2))
+            base += a.n_states + 1
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype(np.int32)
 
     def searched(self, row: np.ndarray, other: np.ndarray) -> np.ndarray:
         """What ``table`` would hold for the symbols ``width + other``."""
@@ -161,13 +188,6 @@ class CrossParser:
         v[at[0][hit], at[1][hit]] = self.values[place[hit]]
         return v
 
-    @staticmethod
-    def squeeze(sym: np.ndarray) -> np.ndarray:
-        """Runs of spaces become one."""
-        if not len(sym):
-            return sym
-        return sym[np.concatenate(([True], (sym[1:] != 0) | (sym[:-1] != 0)))]
-
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrase counts (languages x texts) and whether each text has a letter."""
         low = [t.lower() for t in texts]
@@ -224,35 +244,47 @@ class CrossParser:
         return ([self.names[b] if h else UNDETERMINED for b, h in zip(best, has)], np.where(has, score, 0.0))
 
 
-def labelled_sample(rows: DataFrame, n_rows: int = SAMPLE_ROWS, longest: int = 20_000) -> dict[str, list[str]]:
-    """Texts per language for the automata: ``n_rows`` rows of each language
-    by hash of doc_id, those of at most ``longest`` characters first.  Two
-    passes: row counts per language, then the rows below a hash bound."""
+def labelled_sample(rows: DataFrame, n_rows: int = SAMPLE_ROWS, longest: int = 20_000,
+                    n_labels: int = MAX_LABELS) -> DataFrame:
+    """(lang, text) for the automata: ``n_rows`` rows of each of the
+    ``n_labels`` most frequent languages by hash of doc_id, those of at most
+    ``longest`` characters first.  Two passes: row counts per language, then
+    the rows below a hash bound."""
     base = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "doc_id", "lang", "text", (F.length("text") > longest).alias("_long"),
         (F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("_u"))
-    counts = {(r[0], r[1]): r[2] for r in
-              base.groupBy("lang", "_long").agg(F.count(F.lit(1))).collect()}
+    counts = {r["lang"]: (r["short"], r["long"]) for r in base.groupBy("lang").agg(
+        F.sum((~F.col("_long")).cast("long")).alias("short"), F.sum(F.col("_long").cast("long")).alias("long"))
+        .orderBy((-F.col("short") - F.col("long")), "lang").limit(n_labels).collect()}
     wanted = F.lit(False)
-    for (lang, is_long), n in counts.items():
-        if is_long and counts.get((lang, False), 0) >= n_rows:
-            continue
-        share = min(1.0, 4.0 * n_rows / n) if n > 4 * n_rows else 1.0
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("_long") == is_long) & (F.col("_u") < share))
+    for lang, (short, long) in counts.items():
+        for n, is_long in ((short, False), (long, True)):
+            if n and not (is_long and short >= n_rows):
+                share = min(1.0, 4.0 * n_rows / n) if n > 4 * n_rows else 1.0
+                wanted = wanted | ((F.col("lang") == lang) & (F.col("_long") == is_long) & (F.col("_u") < share))
     first = Window.partitionBy("lang").orderBy("_long", "_u", "doc_id", "text")
-    picked = (base.where(wanted).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n_rows)
-              .orderBy("lang", "_r").select("lang", "text").collect())
-    out: dict[str, list[str]] = {}
-    for lang, text in picked:
-        out.setdefault(lang, []).append(text)
-    return out
+    return (base.where(wanted).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n_rows)
+            .select("lang", "text"))
 
 
 def _parser(docs: DataFrame, may_learn: Column):
-    """The automata of all learned languages, sent to every worker."""
+    """The automata of all learned languages, each built in a task, sent to
+    every worker as one table."""
     bounded_batches(docs.sparkSession)
     learn = docs.where(may_learn).select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    return docs.sparkSession.sparkContext.broadcast(CrossParser(labelled_sample(learn)))
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a = sample_automaton(rows["text"].tolist())
+        give_back()
+        return pd.DataFrame([[key[0], a.state.tobytes(), a.symbol.tobytes(), a.to.tobytes(), a.n_states, a.n_symbols]],
+                            columns=["lang", "state", "symbol", "to", "states", "symbols"])
+
+    built = (labelled_sample(learn).groupBy("lang").applyInPandas(
+        build, "lang string, state binary, symbol binary, to binary, states long, symbols long"))
+    automata = {r["lang"]: Automaton(
+        np.frombuffer(r["state"], np.int32), np.frombuffer(r["symbol"], np.uint32), np.frombuffer(r["to"], np.int32),
+        r["states"], r["symbols"]) for r in built.toLocalIterator()}
+    return shared(docs.sparkSession, CrossParser(automata))
 
 
 def identify(docs: DataFrame, may_learn: Column) -> DataFrame:

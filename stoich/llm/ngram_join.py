@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stoich.llm.common import bounded_batches, materialise
+from stoich.llm.common import bounded_batches, materialise, shared
 from stoich.llm.components import connected_components
 from stoich.llm.words import Words, mix64, shingle_sets, text_chunks
 
@@ -421,7 +421,7 @@ def near_copies(docs: DataFrame, n: int = WORDS) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    lengths = spark.sparkContext.broadcast(list_lengths(texts, n))
+    lengths = shared(spark, list_lengths(texts, n))
     sets = materialise(document_sets(texts, lengths, n).withColumn("node", F.monotonically_increasing_id()))
     live = sets.where("shingles IS NOT NULL")
     classes = materialise(live.groupBy("sig", "n").agg(F.min("node").alias("rep")))
