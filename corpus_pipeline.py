@@ -4,8 +4,9 @@ Every stage is a function (spark, docs, sf_dir) -> DataFrame; ``run`` writes
 each stage's result as Parquet and reads it again for the next one.  All but
 the last return the columns of documents.
 
-A stage's own working tables are deleted when the next stage begins: by then
-its result has been written, so nothing reads them any more.
+A stage's own working tables and broadcast variables are deleted when the next
+stage begins: by then its result has been written, so nothing reads them any
+more.
 """
 
 from __future__ import annotations
@@ -13,25 +14,29 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stoich.llm import bpe, language, mixing, ngram_join, privacy
-from stoich.llm.common import is_crc_fold, materialise
+from stoich.llm.common import is_crc_fold, materialise, release, shared_values
 from stoich.llm.queries import tokenizer_file
 from stoich.session import remove_tables, written_tables
 from stoich.sources.tables import table
 
 _working: list[str] = []        # working tables of the stage that ran last
+_values: list[Broadcast] = []   # and its broadcast variables
 
 
 def _stage(function: Callable) -> Callable:
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         remove_tables(spark, _working)
-        before = set(written_tables())
+        release(spark, _values)
+        before, known = set(written_tables()), shared_values()
         result = function(spark, docs, sf_dir)
         _working[:] = [p for p in written_tables() if p not in before]
+        _values[:] = [b for b in shared_values() if b not in known]
         return result
 
     return run_stage
