@@ -3,19 +3,24 @@
 A window is SPAN consecutive words of one document.  Its minimiser is the least
 hash of the GRAM-word grams inside it, so equal windows have equal minimisers.
 
-1. **Packing.** Consecutive windows of a document with the same minimiser
+1. **Minimisers.** One pass counts them.  A string whose minimiser occurs once
+   in the corpus holds no repeated window; a bitmap of the repeated minimisers,
+   with at least MIN_BITS bits for each, tells most of these strings apart.  It
+   is broadcast up to BITMAP_BYTES; beyond that all strings travel.
+2. **Packing.** Consecutive windows of a document with the same minimiser
    travel as one packed string, the slice of the text that they cover, to the
    bucket of the minimiser.  A task packs all strings of some megabytes of text
    that go to the same bucket into one compressed row.
-2. **Counting.** A bucket ranks its strings' 2, 4, 8, 16, 32 and SPAN-word
-   grams by sorting pairs of ranks; windows of equal rank are equal.  Positions
-   whose short grams occur once drop out early.
-3. **Frequent minimisers.** A minimiser of more than FREQUENT strings would
+3. **Counting.** A bucket ranks its strings' 2, 4 and 8-word grams by sorting
+   pairs of ranks; positions whose grams occur once drop out, and the ranks of
+   the grams that make up a window are sorted into ranks of windows.  Windows of
+   equal rank are equal.
+4. **Frequent minimisers.** A minimiser of more than FREQUENT strings would
    make its bucket heavy.  Its windows are counted by a plain aggregate of
    their 128-bit hashes instead, which is combined before the shuffle.  The list
    of these minimisers holds at most LIST entries (the bound of strings rises
    if there were more).
-4. **Removal.** Repeated windows come back as word ranges per text (by the
+5. **Removal.** Repeated windows come back as word ranges per text (by the
    128-bit digest of the text, so copies of a text share them) and are joined
    with the documents; every covered word is removed.
 
@@ -37,15 +42,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stoich.llm.common import bounded_batches, materialise
+from stoich.llm.common import bounded_batches, materialise, shared
 from stoich.llm.words import Words, give_back, joined, mix64, text_chunks
 
 SPAN = 35
 GRAM = 8
 FREQUENT = 20_000
 LIST = 1_000_000
-BUCKET_BYTES = 16 << 20
-HELD_BYTES = 16 << 20           # packed strings that a task holds back
+MIN_BITS, BITS = 4, 16          # bits of the bitmap per repeated minimiser
+BITMAP_BYTES = 64 << 20
+BUCKET_BYTES = 24 << 20
+HELD_BYTES = 32 << 20           # packed strings that a task holds back
 OVERLAP = 3.2                   # bytes of packed strings per byte of text
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
@@ -80,18 +87,20 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Strings:
-    """Super-k-mers of a batch: ``first`` word, ``count`` of windows and the
-    ``key`` (minimiser) of every one, in text order."""
+    """Super-k-mers of a batch: ``first`` word, ``count`` of windows, the
+    ``key`` (minimiser) of every one, and how often the minimiser ``stands`` in
+    it, in text order.  (Where it stands twice, a window may be repeated.)"""
 
     def __init__(self, words: Words, span: int, gram: int):
         counts = words.counts()
         n = len(words.start)
         self.hashes = words.hashes(lower=False)
         self.first = self.count = np.zeros(0, np.int64)
-        self.key = np.zeros(0, np.int64)
+        self.key = self.stands = np.zeros(0, np.int64)
         if n < span:
             return
-        least = _least(mix64(_rolled(self.hashes, gram, _ODD[0])), span - gram + 1).view(np.int64)
+        grams = mix64(_rolled(self.hashes, gram, _ODD[0])).view(np.int64)
+        least = _least(grams, span - gram + 1)
         stop = np.repeat(words.first[1:], counts)
         good = np.arange(len(least)) + span <= stop[:len(least)]
         begin = good.copy()
@@ -101,6 +110,9 @@ class Strings:
         ends[:-1] &= begin[1:] | ~good[1:]
         self.count = np.flatnonzero(ends) + 1 - self.first
         self.key = least[self.first]
+        places = self.count + span - gram
+        same = grams[_spread(self.first, places)] == np.repeat(self.key, places)
+        self.stands = np.add.reduceat(same, np.cumsum(places) - places, dtype=np.int64) if len(places) else places
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -109,63 +121,115 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
                                column=f"c{column}", limit=1 << 20)
 
 
-def _frequent(texts: DataFrame, span: int, gram: int, frequent: int) -> np.ndarray:
-    """Sorted minimisers of more than ``frequent`` strings, LIST at most."""
+class Minimisers:
+    """What a task knows of the corpus: which minimisers are frequent (a sorted
+    list), and which are repeated (a bitmap, or none)."""
+
+    def __init__(self, frequent: np.ndarray, bits: int, bitmap: np.ndarray | None):
+        self.frequent, self.bits, self.bitmap = frequent, bits, bitmap
+
+    def is_frequent(self, key: np.ndarray) -> np.ndarray:
+        return np.isin(key, self.frequent)
+
+    def may_repeat(self, key: np.ndarray) -> np.ndarray:
+        if self.bitmap is None:
+            return np.ones(len(key), bool)
+        at = _address(key, self.bits)
+        return (self.bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _address(key: np.ndarray, bits: int) -> np.ndarray:
+    return mix64(key.view(np.uint64) + _ODD[2]) >> np.uint64(64 - bits)
+
+
+def _bitmap(repeated: DataFrame, most_bytes: int) -> tuple[int, np.ndarray | None]:
+    """The bitmap of repeated minimisers, built in slices by tasks."""
+    n = repeated.count()
+    bits = max(13, int(np.ceil(np.log2(max(1, n * BITS)))))
+    bits = min(bits, int(np.log2(most_bytes * 8)))
+    if n * MIN_BITS > 1 << bits:
+        return bits, None
+    slices = min(10, bits - 12)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _address(batch.column(0).to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(bits - slices)).astype(np.int64)),
+                                              pa.array(at.astype(np.int64))], names=["slice", "at"])
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        flags = np.zeros(1 << (bits - slices), np.uint8)
+        flags[table.column("at").to_numpy() - (key[0].as_py() << (bits - slices))] = 1
+        return pa.table({"slice": [key[0].as_py()], "flags": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    step = 1 << (bits - slices - 3)
+    found = (repeated.select("key").mapInArrow(build, "slice long, at long").groupBy("slice")
+             .applyInArrow(fill, "slice long, flags binary"))
+    for i, flags in found.toLocalIterator():
+        out[i * step:(i + 1) * step] = np.frombuffer(flags, np.uint8)
+    return bits, out
+
+
+def minimisers(texts: DataFrame, span: int, gram: int, frequent: int, bitmap_bytes: int) -> Minimisers:
+    """Minimisers that stand in more than ``frequent`` places of strings, LIST
+    at most, and the bitmap of those that stand in two or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 1):
-            keys, n = np.unique(Strings(Words(part.column(1)), span, gram).key, return_counts=True)
+            found = Strings(Words(part.column(1)), span, gram)
+            keys, of = np.unique(found.key, return_inverse=True)
+            n = np.bincount(of, found.stands, len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
-    counts = materialise(texts.mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-                         .where(F.col("n") > frequent))
-    while counts.where(F.col("n") > frequent).limit(LIST + 1).count() > LIST:
-        frequent *= 2
-    return np.sort(np.array([r[0] for r in counts.where(F.col("n") > frequent).select("key").collect()], np.int64))
+    repeated = materialise(texts.mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+                           .where("n > 1"))
+    while repeated.where(F.col("n") > frequent).limit(LIST + 1).count() > LIST:
+        frequent = max(1, 2 * frequent)
+    listed = np.array([r[0] for r in repeated.where(F.col("n") > frequent).select("key").collect()], np.int64)
+    return Minimisers(np.sort(listed), *_bitmap(repeated, bitmap_bytes))
 
 
 def _packed(texts: DataFrame, listed, n_buckets: int, span: int, gram: int) -> DataFrame:
     """Rows (bucket, blob): strings of one task's texts, compressed."""
 
     def ship(held: list[tuple]) -> pa.RecordBatch:
-        bucket = np.concatenate([h[0] for h in held])
+        """One row per bucket; ``low`` and ``high`` are places in ``data``."""
+        bucket, low, high, word, key, data = (np.concatenate([h[i] for h in held]) for i in range(6))
         order = np.argsort(bucket, kind="stable")
-        at = np.concatenate(([0], np.cumsum([len(h[0]) for h in held])))
-        source = np.searchsorted(at, order, side="right") - 1
-        local = order - at[source]
         cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        blobs = []
-        for a, b in zip(cut, np.append(cut[1:], len(order))):
-            text, key, first = [], [], np.empty(b - a, np.uint32)
-            for k in range(a, b):
-                _, low, high, start, owner, keys, data = held[source[k]]
-                j = local[k]
-                text.append(data[low[j]:high[j]])
-                key.append(keys[owner[j]])
-                first[k - a] = start[j]
-            blobs.append(_compressed(text, key, first))
+        parts = [order[a:b] for a, b in zip(cut, np.append(cut[1:], len(order)))]
+        blobs = [_compressed(data[_spread(low[p], high[p] - low[p])], high[p] - low[p], word[p], key[p]) for p in parts]
         return pa.RecordBatch.from_arrays([pa.array(bucket[order][cut]), pa.array(blobs, pa.binary())],
                                           names=["bucket", "blob"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        skip = listed.value
-        held, size = [], 0
+        known = listed.value
+        held, size, n_bytes = [], 0, 0
         for part in _parts(batches, 1):
             words = Words(part.column(1))
             found = Strings(words, span, gram)
-            mine = np.flatnonzero(~np.isin(found.key, skip))
+            mine = np.flatnonzero(known.may_repeat(found.key) & ~known.is_frequent(found.key))
             if not len(mine):
                 continue
             first = found.first[mine]
             low, high = words.start[first], words.end[first + found.count[mine] + span - 2]
             owner = np.searchsorted(words.first, first, side="right") - 1
-            held.append((np.mod(found.key[mine], n_buckets), low.tolist(), high.tolist(),
-                         (first - words.first[owner]).tolist(), owner.tolist(), part.column(0).to_pylist(),
-                         words.data.tobytes()))
+            keys = np.frombuffer(b"".join(part.column(0).to_pylist()), "V16")
+            # of the text only what the strings cover is held
+            inside = np.zeros(len(words.data) + 1, np.int32)
+            np.add.at(inside, low, 1)
+            np.add.at(inside, high, -1)
+            inside = np.cumsum(inside[:-1]) > 0
+            place = np.concatenate(([0], np.cumsum(inside))) + n_bytes
+            held.append((np.mod(found.key[mine], n_buckets), place[low], place[high],
+                         first - words.first[owner], keys[owner], words.data[inside]))
             size += int((high - low).sum())
+            n_bytes += len(held[-1][5])
             if size >= HELD_BYTES:
                 yield ship(held)
-                held, size = [], 0
+                held, size, n_bytes = [], 0, 0
+                give_back()
         if held:
             yield ship(held)
         give_back()
@@ -173,50 +237,81 @@ def _packed(texts: DataFrame, listed, n_buckets: int, span: int, gram: int) -> D
     return texts.mapInArrow(scan, "bucket long, blob binary")
 
 
-def _compressed(text: list[bytes], key: list[bytes], first: np.ndarray) -> bytes:
-    """Strings, digests of their texts and first words as one zstd frame."""
-    parts = [np.array([len(text)], np.uint32).tobytes(), np.array([len(t) for t in text], np.uint32).tobytes(),
-             first.tobytes(), b"".join(key), b"".join(text)]
-    raw = b"".join(parts)
-    return np.array([len(raw)], np.uint64).tobytes() + pa.Codec("zstd").compress(raw, asbytes=True)
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices of all stretches, one after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, all lowest bytes first: the high bytes are mostly zero."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
+
 
+def _compressed(letters: np.ndarray, sizes: np.ndarray, word: np.ndarray, key: np.ndarray) -> bytes:
+    """Strings (bytes and sizes) with the digests of their texts and their
+    first words, as one zstd frame."""
+    raw = b"".join([np.array([len(letters), len(sizes)], np.int64).tobytes(), letters.tobytes(), _planes(sizes),
+                    _planes(word), key.tobytes()])
+    return np.array([len(raw)], np.int64).tobytes() + pa.Codec("zstd").compress(raw, asbytes=True)
 
-def _restored(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """(lengths, first words, digests of 16 bytes, bytes) of _compressed."""
-    raw = pa.Codec("zstd").decompress(blob[8:], int(np.frombuffer(blob[:8], np.uint64)[0]), asbytes=True)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    size, first = (np.frombuffer(raw, np.uint32, n, 4 + 4 * n * k).astype(np.int64) for k in (0, 1))
-    return size, first, np.frombuffer(raw, "V16", n, 4 + 8 * n), raw[4 + 24 * n:]
+
+def _restored(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(hash of every word, words per string, first words, digests)."""
+    raw = pa.Codec("zstd").decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), asbytes=True)
+    n_bytes, n = (int(v) for v in np.frombuffer(raw, np.int64, 2))
+    at = 16 + n_bytes
+    sizes, word = (_from_planes(raw, n, at + 4 * n * i).astype(np.int64) for i in (0, 1))
+    key = np.frombuffer(raw, "V16", n, at + 8 * n)
+    cuts = np.concatenate(([0], np.cumsum(sizes)))
+    hashes, counts = [], []
+    for a, b in _stretches(cuts):       # hashing takes several times the bytes it reads
+        words = Words(pa.LargeStringArray.from_buffers(
+            b - a, pa.py_buffer(cuts[a:b + 1] - cuts[a]), pa.py_buffer(raw[16 + cuts[a]:16 + cuts[b]])))
+        hashes.append(words.hashes(lower=False))
+        counts.append(words.counts())
+    return np.concatenate(hashes), np.concatenate(counts), word, key
+
+
+def _stretches(cuts: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of strings of about ``size`` bytes."""
+    at = 0
+    while at < len(cuts) - 1:
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + size, side="right")) - 1)
+        yield at, to
+        at = to
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dense ranks of pairs of dense ranks."""
-    return np.unique(a * np.int64(b.max(initial=0) + 1) + b, return_inverse=True)[1]
+    return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b,
+                     return_inverse=True)[1].astype(np.int32)
 
 
-def repeated_windows(words: Words, span: int) -> np.ndarray:
-    """Positions (words) where a window starts that starts elsewhere too."""
-    n = len(words.start)
-    stop = np.repeat(words.first[1:], words.counts())
+def repeated_windows(ids: np.ndarray, first: np.ndarray, span: int) -> np.ndarray:
+    """Positions where a window of ``ids`` starts that starts elsewhere too;
+    string ``i`` is ``ids[first[i]:first[i + 1]]``."""
+    n = len(ids)
+    stop = np.repeat(first[1:], np.diff(first))
     at = np.flatnonzero(np.arange(n) + span <= stop)
     if not len(at):
         return at
-    ranks = [np.unique(words.hashes(lower=False), return_inverse=True)[1]]
-    length = 1
+    base, length = ids.astype(np.int32), 1
     while 4 * length < span and length < 8:
-        r = ranks[-1]
-        ranks.append(_pairs(r, np.append(r[length:], np.zeros(length, r.dtype))))
+        base = _pairs(base, np.append(base[length:], np.zeros(length, base.dtype)))
         length *= 2
-    base = ranks[-1]
     lone = np.bincount(base)[base] < 2
     steps = [*range(0, span - length, length), span - length]
     for s in steps:
         at = at[~lone[at + s]]
     if not len(at):
         return at
-    rank = base[at + steps[0]]
-    for s in steps[1:]:
-        rank = _pairs(rank, base[at + s])
+    rank = base[at]
+    for s in steps:
+        rank = _pairs(rank, base[at + s]) if s else rank
         twice = np.bincount(rank)[rank] > 1
         at, rank = at[twice], rank[twice]
         if not len(at):
@@ -235,14 +330,15 @@ def _ranges(text: np.ndarray, word: np.ndarray, span: int) -> tuple[np.ndarray,
 
 def _from_buckets(packed: DataFrame, span: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
-        size, first, key, data = zip(*[_restored(b.as_py()) for b in table.column("blob")])
-        size, first, key = np.concatenate(size), np.concatenate(first), np.concatenate(key)
-        cuts = np.concatenate(([0], np.cumsum(size)))
-        raw = b"".join(data)
-        words = Words(pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(cuts), pa.py_buffer(raw)))
-        at = repeated_windows(words, span)
-        string = np.searchsorted(words.first, at, side="right") - 1
-        string, low, high = _ranges(string, at - words.first[string] + first[string], span)
+        blobs = [_restored(b.as_py()) for b in table.column("blob")]
+        hashes, size, word, key = (np.concatenate([b[i] for b in blobs]) for i in range(4))
+        del blobs
+        ids = np.unique(hashes, return_inverse=True)[1]
+        del hashes
+        first = np.concatenate(([0], np.cumsum(size)))
+        at = repeated_windows(ids, first, span)
+        string = np.searchsorted(first, at, side="right") - 1
+        string, low, high = _ranges(string, at - first[string] + word[string], span)
         out = pa.table({"text_key": pa.array([k.tobytes() for k in key[string]], pa.binary()),
                         "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
         give_back()
@@ -255,11 +351,11 @@ def _from_frequent(texts: DataFrame, listed, span: int, gram: int) -> DataFrame:
     """Ranges of repeated windows whose minimiser is listed."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        skip = listed.value
+        known = listed.value
         for part in _parts(batches, 1):
             words = Words(part.column(1))
             found = Strings(words, span, gram)
-            mine = np.isin(found.key, skip)
+            mine = known.is_frequent(found.key)
             n = found.count[mine]
             if not len(n):
                 continue
@@ -281,7 +377,7 @@ def _text_key() -> Column:
 
 
 def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, frequent: int = FREQUENT,
-                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                    bucket_bytes: int = BUCKET_BYTES, bitmap_bytes: int = BITMAP_BYTES) -> DataFrame:
     """Per text with a repeated window its key (md5) and the word ranges
     [low, high) that repeated windows cover; ranges may overlap."""
     if not 1 <= gram <= span:
@@ -291,16 +387,16 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, frequen
     texts = docs.select(_text_key(), "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, int(np.ceil(total * OVERLAP / bucket_bytes)))
-    minimisers = _frequent(texts, span, gram, frequent)
-    listed = spark.sparkContext.broadcast(minimisers)
+    known = minimisers(texts, span, gram, frequent, bitmap_bytes)
+    listed = shared(spark, known)
     ranges = _from_buckets(_packed(texts, listed, n_buckets, span, gram), span)
-    if len(minimisers):
+    if len(known.frequent):
         ranges = ranges.unionByName(_from_frequent(texts, listed, span, gram))
     return ranges.distinct().groupBy("text_key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, frequent: int = FREQUENT,
-                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                    bucket_bytes: int = BUCKET_BYTES, bitmap_bytes: int = BITMAP_BYTES) -> DataFrame:
     """Per document doc_id, n_words, n_removed and the kept text, its words
     joined by one space."""
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))

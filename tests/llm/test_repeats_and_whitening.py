@@ -141,6 +141,10 @@ def test_windows_brute_force(spark, span, gram, frequent, bucket):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = Counter(tuple(r) for r in substrings.without_repeats(df, span, gram, frequent, bucket).collect())
     assert got == Counter(brute_removal(rows, span))
+    few = substrings.repeated_ranges(df, span, gram, frequent, bucket)
+    every = substrings.repeated_ranges(df, span, gram, frequent, bucket, bitmap_bytes=1)    # no bitmap
+    covered = lambda d: {bytes(r.text_key): {k for x in r.ranges for k in range(x.low, x.high)} for r in d.collect()}
+    assert covered(few) == covered(every)
 
 
 def test_window_query(spark, awkward, no_docs, corpus):
