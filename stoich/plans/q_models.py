@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from stoich.functions.rng import sql_uniform, uniform
 from stoich.operators import composition as C
+from stoich.operators import crossval as CV
 from stoich.operators import linear as L
 from stoich.operators import metrics as M
 from stoich.operators import sampling as S
@@ -24,7 +25,7 @@ from stoich.sources import fixtures as FX
 
 D = FX.N_FEATURES
 FIT_SEEDS = [0, 1, 2, 3]          # 4 repeats of 10-fold CV inside the fitness
-EVAL_SEEDS = list(range(8))       # outer evaluation seeds
+EVAL_SEEDS = list(range(48))      # outer evaluation seeds
 SEL2 = [17, 3]                    # two chosen features for the closed-form ridge check
 
 
@@ -123,35 +124,157 @@ def m11_pooled_metrics(spark, sf_dir):
     return m.select("n", _r(F.col("mae"), 2).alias("mae"), _r(F.col("r2"), 6).alias("r2"))
 
 
-@query("m11_cross_validate")
-def m11_cross_validate(spark, sf_dir):
-    """M11 (G4): 64 robust-scaled features (scaler fitted on all rows, as the
-    reference's fitness does), 8 seeds x 10 folds; pooled out-of-fold R^2
-    and MAE per seed.  Coefficients from fold Gram statistics; predictions
-    row-level by a broadcast coefficient join."""
-    rows = _model_rows(spark, sf_dir, robust=True)
-    rf = S.repeated_kfold(rows, 10, EVAL_SEEDS, "sample_id")
-    st = L.collect_stats(L.gram_stats(rf, "features", "y", ["seed", "fold"], D), ["seed", "fold"], D)
-    coefs = L.cv_coefficients(st, 1, alpha=1.0)
-    cdf = spark.createDataFrame(coefs, T.StructType([
-        T.StructField("seed", T.IntegerType()), T.StructField("fold", T.LongType()),
-        T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType())]))
-    pred = L.predict_with(rf, cdf, ["seed", "fold"])
-    return M.regression_metrics(pred, ["seed"])
+def _folded(spark, sf_dir, seeds):
+    """Weighted features and targets with their folds in every repeat."""
+    return CV.Folded.of(_model_rows(spark, sf_dir), "features", "y", "sample_id", D, 10, seeds)
 
 
-def _fit_stats(spark, sf_dir):
-    rows = _model_rows(spark, sf_dir, robust=True)
-    return SS.split_stats(SS.fold_stats(rows, "features", "y", D, 10, FIT_SEEDS, "sample_id"))
+@query("m11_cross_validate")
+def m11_cross_validate(spark, sf_dir):
+    """M11 (G4, N1): 64 weighted features, 48 seeds x 10 folds, the robust
+    scaler fitted on each training part; pooled out-of-fold R^2 and MAE per
+    seed.  Coefficients from fold sums, one product per Arrow batch."""
+    data = _folded(spark, sf_dir, EVAL_SEEDS)
+    return CV.cv_scores(data, CV.coefficients(data, CV.fold_moments(data), CV.robust_scales(data)))
+
+
+def _train_folds_sql(ids: str, seeds, cv_id: str) -> str:
+    """CTE ``f(seed, id, fold)`` over the ids of a table."""
+    return f"""
+sd AS (SELECT id, seed FROM {ids} CROSS JOIN (SELECT unnest({list(seeds)}) AS seed)),
+rr AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY {sql_uniform('cv', 'seed', 'id')}, id) - 1 AS rk,
+       count(*) OVER (PARTITION BY seed) AS n FROM sd),
+f AS (SELECT seed, id, {_fold_sql('rk', 'n', 10)} AS fold FROM rr),
+g AS (SELECT unnest(range(10)) AS fold)"""
+
+
+N1_SEEDS = [0, 1]
+
+
+@query("n1_train_only_scale", WF_SQL + f""",
+ids AS (SELECT DISTINCT sample_id AS id FROM wf JOIN orders ON sample_id = o_orderkey),
+{_train_folds_sql('ids', N1_SEEDS, 'cv')},
+q AS (SELECT f.seed, g.fold, wf.feature_id, quantile_cont(wf.value, [0.25, 0.5, 0.75]) AS q
+      FROM f JOIN g ON g.fold <> f.fold JOIN wf ON wf.sample_id = f.id GROUP BY 1, 2, 3)
+SELECT CAST(seed AS BIGINT) AS seed, CAST(fold AS BIGINT) AS fold, feature_id, round(q[2], 6) + 0.0 AS median,
+       round(CASE WHEN q[3] = q[1] THEN 1.0 ELSE q[3] - q[1] END, 6) + 0.0 AS scale FROM q""")
+def n1_train_only_scale(spark, sf_dir):
+    """N1 inside M11: exact median and inter-quartile range of every feature
+    over the training part of every fold."""
+    data = _folded(spark, sf_dir, N1_SEEDS)
+    fit = CV.robust_scales(data)
+    rows = [(seed, f, i, float(fit[j, f, 0, i]), float(fit[j, f, 1, i])) for j, seed in enumerate(N1_SEEDS)
+            for f in range(10) for i in range(D)]
+    df = spark.createDataFrame(rows, "seed long, fold long, feature_id long, median double, scale double")
+    return df.select("seed", "fold", "feature_id", _r(F.col("median"), 6).alias("median"), _r(F.col("scale"), 6).alias("scale"))
+
+
+def _ridge_two_sql(value: str) -> str:
+    """CTEs from ``x(id, x1, x2, y, pair)`` and ``f`` to ``p(pair, seed, fold,
+    y, pred)``: ridge (alpha 1) of y on two features that are robust-scaled on
+    each training part; ``value`` names the target."""
+    return f"""
+tx AS (SELECT x.pair, f.seed, g.fold, x1, x2, {value} AS y FROM x JOIN f ON x.id = f.id JOIN g ON g.fold <> f.fold),
+w AS (SELECT pair, seed, fold, quantile_cont(x1, [0.25, 0.75]) AS q1, quantile_cont(x2, [0.25, 0.75]) AS q2 FROM tx GROUP BY ALL),
+ws AS (SELECT pair, seed, fold, CASE WHEN q1[2] = q1[1] THEN 1.0 ELSE q1[2] - q1[1] END AS w1,
+       CASE WHEN q2[2] = q2[1] THEN 1.0 ELSE q2[2] - q2[1] END AS w2 FROM w),
+m AS (SELECT pair, seed, fold, count(*) AS n, avg(x1 / w1) AS m1, avg(x2 / w2) AS m2, avg(y) AS my,
+      count(*) * var_pop(x1 / w1) + 1.0 AS a11, count(*) * covar_pop(x1 / w1, x2 / w2) AS a12,
+      count(*) * var_pop(x2 / w2) + 1.0 AS a22, count(*) * covar_pop(x1 / w1, y) AS c1, count(*) * covar_pop(x2 / w2, y) AS c2
+      FROM tx JOIN ws USING (pair, seed, fold) GROUP BY ALL),
+b AS (SELECT *, (a22 * c1 - a12 * c2) / (a11 * a22 - a12 * a12) AS b1, (a11 * c2 - a12 * c1) / (a11 * a22 - a12 * a12) AS b2 FROM m),
+p AS (SELECT x.pair, f.seed, f.fold, x.id, x.y, my + b1 * (x1 / w1 - m1) + b2 * (x2 / w2 - m2) AS pred
+      FROM x JOIN f ON x.id = f.id JOIN b ON b.pair = x.pair AND b.seed = f.seed AND b.fold = f.fold
+      JOIN ws ON ws.pair = x.pair AND ws.seed = f.seed AND ws.fold = f.fold)"""
+
+
+PAIRS = [(3, 17), (5, 40), (0, 63)]
+PAIRS_SQL = "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}*{b}', {a}, {b})" for a, b in PAIRS) + ") v(pair, i1, i2))"
+
+
+@query("m12_two_feature_fitness", WF_SQL + f""",
+{PAIRS_SQL},
+x AS (SELECT pair, sample_id AS id, max(CASE WHEN feature_id = i1 THEN value END) AS x1,
+             max(CASE WHEN feature_id = i2 THEN value END) AS x2, any_value(o_totalprice) AS y
+      FROM wf JOIN orders ON sample_id = o_orderkey CROSS JOIN pairs GROUP BY 1, 2),
+ids AS (SELECT DISTINCT id FROM x),
+{_train_folds_sql('ids', FIT_SEEDS, 'cv')},
+{_ridge_two_sql('x.y')},
+r AS (SELECT pair, seed, 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) AS r2 FROM p GROUP BY 1, 2)
+SELECT pair AS key, round(avg(r2), 6) + 0.0 AS fitness FROM r GROUP BY 1""")
+def m12_two_feature_fitness(spark, sf_dir):
+    """M12 with the scaler fitted on the training parts, for pairs of features."""
+    totals, folds, scales = _fit_stats(spark, sf_dir)
+    pairs = spark.createDataFrame([(f"{a}*{b}", [a, b]) for a, b in PAIRS], "key string, indices array<long>")
+    out = SS.subset_fitness(pairs, totals, folds, scales=scales)
+    return out.select("key", _r(F.col("fitness"), 6).alias("fitness"))
+
+
+def _class_rows(spark, sf_dir, label, seeds):
+    v = FX.vectors(spark, sf_dir).where("label IS NOT NULL")
+    return CV.Folded.of(v.withColumn("c", label), "features", "c", "vec_id", D, 10, seeds)
+
+
+def _n_classes(spark, sf_dir):
+    """Class labels are numbers from 0 on; their count is checked."""
+    most = FX.vectors(spark, sf_dir).agg(F.max("label")).first()[0]
+    if most is not None and most >= 1_000:
+        raise ValueError("more than 1000 classes")
+    return 0 if most is None else int(most) + 1
+
+
+@query("m11_class_two_features", f"""
+WITH x AS (SELECT '3*17' AS pair, vec_id AS id, CAST(embedding[4] AS DOUBLE) AS x1, CAST(embedding[18] AS DOUBLE) AS x2,
+                  CAST(label % 2 AS DOUBLE) AS y FROM embeddings WHERE label IS NOT NULL),
+ids AS (SELECT id FROM x),
+{_train_folds_sql('ids', FIT_SEEDS, 'cv')},
+{_ridge_two_sql('x.y')},
+t AS (SELECT seed, y = 1 AS is1, pred > 0.5 AS told1 FROM p),
+c AS (SELECT seed, count(*) AS n, count_if(is1) AS n1, count_if(told1) AS t1, count_if(is1 AND told1) AS h1,
+      count_if(NOT is1 AND NOT told1) AS h0 FROM t GROUP BY 1)
+SELECT CAST(seed AS BIGINT) AS seed, round((h1 + h0) / n, 6) + 0.0 AS accuracy,
+       round((n1 * (CASE WHEN n1 + t1 > 0 THEN 2.0 * h1 / (n1 + t1) ELSE 0 END)
+              + (n - n1) * (CASE WHEN 2 * n - n1 - t1 > 0 THEN 2.0 * h0 / (2 * n - n1 - t1) ELSE 0 END)) / n, 6) + 0.0 AS f1_weighted
+FROM c""")
+def m11_class_two_features(spark, sf_dir):
+    """M11 for two classes and two features: out-of-fold accuracy and
+    weighted F1 per repeat, scaler fitted on the training parts."""
+    data = _class_rows(spark, sf_dir, F.col("label") % 2, FIT_SEEDS)
+    models = CV.coefficients(data, CV.fold_moments(data, 2), CV.robust_scales(data), columns=[3, 17])
+    out = CV.class_scores(CV.class_counts(data, models[None]))
+    return out.select("seed", _r(F.col("accuracy"), 6).alias("accuracy"), _r(F.col("f1_weighted"), 6).alias("f1_weighted"))
+
+
+@query("m11_class_cross_validate")
+def m11_class_cross_validate(spark, sf_dir):
+    """M11 with class labels: one-against-rest ridge on all features, 48 seeds
+    x 10 folds, accuracy and weighted F1 per seed."""
+    n = _n_classes(spark, sf_dir)
+    data = _class_rows(spark, sf_dir, F.col("label"), EVAL_SEEDS)
+    models = CV.coefficients(data, CV.fold_moments(data, n), CV.robust_scales(data))
+    return CV.class_scores(CV.class_counts(data, models[None])).drop("model")
+
+
+@query("m12_class_fitness")
+def m12_class_fitness(spark, sf_dir):
+    """M12 with class labels: mean out-of-fold accuracy (and weighted F1) of
+    every distinct selection record's features, 4 repeats of 10 folds."""
+    data = _class_rows(spark, sf_dir, F.col("label"), FIT_SEEDS)
+    return SS.class_fitness(_records(spark, sf_dir).select("key", "indices"), data, _n_classes(spark, sf_dir))
+
+
+def _fit_stats(spark, sf_dir, fit_scope="train"):
+    return SS.folded_stats(_folded(spark, sf_dir, FIT_SEEDS), fit_scope)
 
 
 @query("m12_subset_fitness")
 def m12_subset_fitness(spark, sf_dir):
     """Every selection record's index subset scored (mean over 4
-    repeats of pooled 10-fold ridge R^2), from broadcast fold statistics."""
-    totals, folds = _fit_stats(spark, sf_dir)
+    repeats of pooled 10-fold ridge R^2, the scaler fitted on each training
+    part), from broadcast fold sums."""
+    totals, folds, scales = _fit_stats(spark, sf_dir)
     recs = _records(spark, sf_dir).select("rec_id", "indices")
-    return SS.subset_fitness(recs, totals, folds).select("rec_id", "fitness")
+    return SS.subset_fitness(recs, totals, folds, scales=scales).select("rec_id", "fitness")
 
 
 @query("m13_subset_search")
@@ -159,8 +282,8 @@ def m13_subset_search(spark, sf_dir):
     """The subset search (population 192, crossover 0.8, mutation 0.1)
     for 4 features; the dominant of every generation.  The number of
     generations is 10 here (the reference runs 100; pass ngen to match)."""
-    totals, folds = _fit_stats(spark, sf_dir)
-    pop, dom = SS.subset_search(spark, totals, folds, D, 4, n_pop=192, cxpb=0.8, mutpb=0.1, ngen=10)
+    totals, folds, scales = _fit_stats(spark, sf_dir)
+    pop, dom = SS.subset_search(spark, totals, folds, D, 4, n_pop=192, cxpb=0.8, mutpb=0.1, ngen=10, scales=scales)
     return dom.select("generation", "key", "fitness")
 
 
