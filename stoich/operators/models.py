@@ -1,72 +1,70 @@
-"""MLlib model registry.
+"""Models with the parameter choices of the reference.
 
-Each factory returns an unfitted ``pyspark.ml`` estimator reading a vector
-column ``features`` and a ``label`` column, with the reference's parameter
-choices.  Fitting is distributed by MLlib; nothing here collects rows.
+Trees come from :mod:`stoich.operators.trees`; the others are ``pyspark.ml``
+estimators reading a vector column ``features`` and a ``label`` column.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoich.functions.rng import uniform
+from stoich.operators.trees import Binned, Boosted, Forest, fit_boosting, fit_forest
 
 SEED = 43
 
 
-# Depth of the registered forests and trees.  The reference grows trees without
-# a limit; MLlib allows up to 30 (a level of all nodes is one Spark job).
-MAX_DEPTH = 5
-
-
-def random_forest(n_trees: int = 100, max_depth: int = MAX_DEPTH) -> RandomForestRegressor:
-    """M1: 100 trees, every feature at each split, seed 43."""
+def forest_estimator(n_trees: int = 100, max_depth: int = 5) -> RandomForestRegressor:
+    """An MLlib forest for pipelines that are saved and loaded."""
     return RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="all", seed=SEED,
                                  featuresCol="features", labelCol="label")
 
 
-def random_forest_classifier(n_trees: int = 100, max_depth: int = MAX_DEPTH) -> RandomForestClassifier:
+def random_forest(data: Binned, n_trees: int = 100, **how) -> Forest:
+    """M1: 100 trees without a depth limit, every feature at each split, seed 43."""
+    return fit_forest(data, n_trees, SEED, **how)
+
+
+def random_forest_classifier(data: Binned, n_trees: int = 100, **how) -> Forest:
     """M2: the square root of the features at each split."""
-    return RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=SEED,
-                                  featuresCol="features", labelCol="label")
+    return fit_forest(data, n_trees, SEED, n_features=max(1, int(data.d ** 0.5)), **how)
 
 
-def decision_tree(max_depth: int = MAX_DEPTH) -> DecisionTreeRegressor:
-    """M3."""
-    return DecisionTreeRegressor(maxDepth=max_depth, seed=SEED, featuresCol="features", labelCol="label")
+def decision_tree(data: Binned, **how) -> Forest:
+    """M3: one tree on all rows."""
+    return fit_forest(data, 1, SEED, bootstrap=False, **how)
 
 
-def bagged_trees(n_trees: int = 200, max_depth: int = MAX_DEPTH) -> RandomForestRegressor:
+def bagged_trees(data: Binned, n_trees: int = 200, **how) -> Forest:
     """M4: bagging = a forest that considers every feature at each split."""
-    return RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="all", seed=SEED,
-                                 featuresCol="features", labelCol="label")
+    return fit_forest(data, n_trees, SEED, **how)
 
 
-# Parameter sets of the boosting wrappers (iterations, step
-# size, depth, row subsampling), one entry per wrapper.  MLlib's depth limit
-# is 30, its way to say "no limit".
+# Parameter sets of the boosting wrappers, one entry per wrapper
+# (a limit of 31 leaves is a depth of 5 here, where trees grow level by level).
 BOOSTING_PARAMS = {
-    "gradient_boosting": dict(maxIter=100, stepSize=0.1, maxDepth=3, subsamplingRate=1.0),
-    "hist_gradient_boosting": dict(maxIter=100, stepSize=0.1, maxDepth=5, subsamplingRate=1.0),
-    "xgb": dict(maxIter=500, stepSize=0.05, maxDepth=6, subsamplingRate=0.8),
-    "xgb_tuned": dict(maxIter=242, stepSize=0.15, maxDepth=10, subsamplingRate=0.87),
-    "lgbm": dict(maxIter=1000, stepSize=0.03, maxDepth=5, subsamplingRate=0.8),
-    "catboost": dict(maxIter=2000, stepSize=0.03, maxDepth=6, subsamplingRate=1.0),
+    "gradient_boosting": dict(rounds=100, rate=0.1, max_depth=3),
+    "hist_gradient_boosting": dict(rounds=100, rate=0.1, max_depth=5, min_leaf=20),
+    "xgb": dict(rounds=500, rate=0.05, max_depth=6, subsample=0.8, columns=0.8, l2=1.0),
+    "xgb_tuned": dict(rounds=242, rate=0.15, max_depth=10, subsample=0.87, l2=1.0),
+    "lgbm": dict(rounds=1000, rate=0.03, max_depth=5, subsample=0.8, columns=0.8, l2=1.0, min_leaf=20),
+    "catboost": dict(rounds=2000, rate=0.03, max_depth=6, l2=3.0),
 }
+#: Share of the training rows that decides when boosting stops, and how many
+#: rounds it goes on without a lower loss there.
+EARLY_STOP = dict(validation=0.1, patience=40)
 
 
-def boosted_trees(kind: str = "gradient_boosting") -> GBTRegressor:
+def boosted_trees(data: Binned, kind: str = "gradient_boosting", **changed) -> Boosted:
     """M5: one operator with the parameter sets of the wrappers."""
-    return GBTRegressor(seed=SEED, featuresCol="features", labelCol="label", **BOOSTING_PARAMS[kind])
+    return fit_boosting(data, **{**BOOSTING_PARAMS[kind], "seed": SEED, **changed})
 
 
 def huber() -> LinearRegression:
@@ -74,12 +72,6 @@ def huber() -> LinearRegression:
     return LinearRegression(loss="huber", epsilon=1.35, maxIter=1000, featuresCol="features", labelCol="label")
 
 
-def registry() -> dict[str, Callable]:
-    """Model name -> estimator factory."""
-    return {"random_forest": random_forest, "decision_tree": decision_tree, "bagging": bagged_trees,
-            "gradient_boosting": boosted_trees, "huber": huber}
-
-
 def as_ml(df: DataFrame, features: str = "features", label: str | None = "y") -> DataFrame:
     """array<double> features -> ML vector column ``features`` (+ ``label``)."""
     cols = [array_to_vector(F.col(features)).alias("features")]
@@ -89,10 +81,9 @@ def as_ml(df: DataFrame, features: str = "features", label: str | None = "y") ->
     return df.select(*keep, *cols)
 
 
-def feature_importance(model) -> list[tuple[str, float]]:
-    """(Feature_i, importance) of a fitted tree ensemble; sums to 1."""
-    imp = model.featureImportances.toArray()
-    return [(f"Feature_{i}", float(v)) for i, v in enumerate(imp)]
+def feature_importance(forest: Forest) -> list[tuple[str, float]]:
+    """(Feature_i, importance) of a fitted forest; sums to 1."""
+    return [(f"Feature_{i}", float(v)) for i, v in enumerate(forest.importance())]
 
 
 def scaled_pipeline(estimator) -> Pipeline:

@@ -16,16 +16,19 @@ from stoich.functions.rng import uniform
 from stoich.operators import linear as L
 from stoich.operators import metrics as M
 from stoich.operators import models as ML
+from stoich.operators import registry as RG
+from stoich.operators import trees as TR
 from stoich.operators.folds import group_kfold
 from stoich.plans.catalog import query
 from stoich.plans.q_composition import ALL_BRANDS, _shares
-from stoich.plans.q_models import D, _model_rows
+from stoich.plans.q_models import D, _model_rows, _n_classes
 from stoich.session import ensure_checkpoint_dir
 from stoich.sources import fixtures as FX
 from stoich.operators import composition as C
 
 
 def _split(spark, sf_dir):
+    """Training and test rows as ML vectors."""
     rows = ML.as_ml(_model_rows(spark, sf_dir))
     rows = rows.withColumn("is_test", uniform("holdout", F.col("sample_id")) < 0.2)
     return rows.where(~F.col("is_test")), rows.where("is_test")
@@ -36,45 +39,69 @@ def _test_metrics(model, test, name):
     return M.regression_metrics(p).select(F.lit(name).alias("model"), "n", "mae", "r2")
 
 
+def _holdout(spark, sf_dir) -> RG.Split:
+    """The weighted features with a fifth of the orders held out by hash."""
+    return RG.Split.of(_model_rows(spark, sf_dir), "features", "y", "sample_id", D,
+                       uniform("holdout", F.col("sample_id")) < 0.2)
+
+
+def _figures(spark, sf_dir, name):
+    return RG.models()[name](_holdout(spark, sf_dir)).select(F.lit(name).alias("model"), "n", "mae", "r2")
+
+
 @query("m1_random_forest")
 def m1_random_forest(spark, sf_dir):
-    """M1: 100-tree forest (seed 43) on the 64 weighted features; test MAE, R^2."""
-    train, test = _split(spark, sf_dir)
-    return _test_metrics(ML.random_forest().fit(train), test, "random_forest")
+    """M1: 100-tree forest without a depth limit on the 64 weighted features;
+    test MAE, R^2."""
+    return _figures(spark, sf_dir, "random_forest")
 
 
 @query("m2_random_forest_classifier")
 def m2_random_forest_classifier(spark, sf_dir):
     """M2: forest classifier of the embedding class; accuracy and weighted F1."""
-    v = ML.as_ml(FX.vectors(spark, sf_dir), label="label")
-    v = v.withColumn("is_test", uniform("holdout", F.col("vec_id")) < 0.2)
-    model = ML.random_forest_classifier().fit(v.where(~F.col("is_test")))
-    p = model.transform(v.where("is_test")).select(F.col("label").alias("y"), F.col("prediction").alias("pred"))
-    return M.classification_metrics(p)
+    v = FX.vectors(spark, sf_dir).where("label IS NOT NULL").withColumn(
+        "is_test", uniform("holdout", F.col("vec_id")) < 0.2)
+    n = _n_classes(spark, sf_dir)
+    data = TR.binned(v.where(~F.col("is_test")), "features", "label", "vec_id", D, classes=n)
+    out = ML.random_forest_classifier(data).predict(v.where("is_test"), "features")
+    told = F.array_position("values", F.array_max("values")) - 1
+    return M.classification_metrics(out.select(F.col("label").alias("y"), told.alias("pred")))
 
 
 @query("m3_decision_tree")
 def m3_decision_tree(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    return _test_metrics(ML.decision_tree().fit(train), test, "decision_tree")
+    """M3: one tree grown until its leaves are pure."""
+    return _figures(spark, sf_dir, "decision_tree")
 
 
 @query("m4_bagged_trees")
 def m4_bagged_trees(spark, sf_dir):
     """M4: 200 bagged trees (every feature at every split)."""
-    train, test = _split(spark, sf_dir)
-    return _test_metrics(ML.bagged_trees().fit(train), test, "bagging")
+    return _figures(spark, sf_dir, "bagging")
+
+
+def _boosting(kind):
+    """M5: the full rounds where they are 100; the longer presets stop early
+    on a tenth of the training rows."""
+    def run(spark, sf_dir):
+        split = _holdout(spark, sf_dir)
+        long = ML.BOOSTING_PARAMS[kind]["rounds"] > 100
+        model = ML.boosted_trees(split.binned, kind, **(ML.EARLY_STOP if long else {}))
+        out = M.regression_metrics(model.predict(split.test, "features", "pred"))
+        return out.select(F.lit(kind).alias("model"), F.lit(len(model.trees)).alias("n_trees"), "n", "mae", "r2")
+
+    run.__doc__ = f"M5: boosted trees with the parameters of {kind}; test figures and trees kept."
+    return run
+
+
+for _kind in ML.BOOSTING_PARAMS:
+    query(f"m5_{_kind}")(_boosting(_kind))
 
 
 @query("m5_boosted_trees")
 def m5_boosted_trees(spark, sf_dir):
-    """M5: gradient-boosted trees with the parameters of each wrapper."""
-    train, test = _split(spark, sf_dir)
-    out = None
-    for kind in ML.BOOSTING_PARAMS:
-        m = _test_metrics(ML.boosted_trees(kind).fit(train), test, kind)
-        out = m if out is None else out.unionByName(m)
-    return out
+    """M5: every preset on the same split, all with early stopping."""
+    return RG.compare_models(_holdout(spark, sf_dir), {k: RG.models()[k] for k in ML.BOOSTING_PARAMS}).drop("error")
 
 
 @query("m8_huber")
@@ -87,24 +114,13 @@ def m8_huber(spark, sf_dir):
 def m15_compare_models(spark, sf_dir):
     """Every model of the registry on the same split, one row per model;
     a model that fails has its error instead of figures."""
-    train, test = _split(spark, sf_dir)
-    done, failed = [], []
-    for name, factory in ML.registry().items():
-        try:
-            done.append(_test_metrics(factory().fit(train), test, name))
-        except Exception as e:  # noqa: BLE001 - reported in the result
-            failed.append((name, f"{type(e).__name__}: {e}"[:500]))
-    out = spark.createDataFrame(failed, "model string, error string")
-    for m in done:
-        out = out.unionByName(m, allowMissingColumns=True)
-    return out
+    return RG.compare_models(_holdout(spark, sf_dir))
 
 
 @query("m16_feature_importance")
 def m16_feature_importance(spark, sf_dir):
     """Forest importances named Feature_i (they sum to 1)."""
-    train, _ = _split(spark, sf_dir)
-    imp = ML.feature_importance(ML.random_forest().fit(train))
+    imp = ML.feature_importance(ML.random_forest(_holdout(spark, sf_dir).binned))
     return spark.createDataFrame(imp, "feature string, importance double").orderBy(F.col("importance").desc())
 
 
@@ -114,7 +130,7 @@ def m17_predict_compositions(spark, sf_dir):
     checkpoint folder, loaded back, and applied to every composition's
     weighted features."""
     train, _ = _split(spark, sf_dir)
-    model = ML.scaled_pipeline(ML.random_forest(100)).fit(train)
+    model = ML.scaled_pipeline(ML.forest_estimator(100)).fit(train)
     path = os.path.join(ensure_checkpoint_dir(spark), "models", f"m17-{uuid.uuid4().hex}")
     loaded = ML.save_load(model, path)
     rows = ML.as_ml(_model_rows(spark, sf_dir))
@@ -134,7 +150,7 @@ def m23_hyperparameter_search(spark, sf_dir):
     cross-validation (MLlib CrossValidator, trials evaluated in parallel);
     the best trial by R^2 with its MAE."""
     train, test = _split(spark, sf_dir)
-    rf = ML.random_forest()
+    rf = ML.forest_estimator()
     trials = ML.trial_grid(4, seed=1, grid={"numTrees": [20, 50], "maxDepth": [3, 5, 8]})
     maps = []
     for t in trials:
