@@ -10,12 +10,17 @@ features and are broadcast behind a row-count check.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stoich.session import bounded_broadcast
+from stoich.session import cut_lineage
 
 # Upper bound on an element-feature table we broadcast (elements x features x kinds).
 FEATURE_TABLE_MAX_ROWS = 5_000_000
@@ -64,18 +69,86 @@ def weighted_features(comp: DataFrame, features: DataFrame, share: str = "share"
     The feature table is bounded (elements x features) and broadcast after a
     size check; the aggregate keeps the sample partitioning of ``comp``.
     ``exact_sum=True`` sums each term in fixed point (units of 1e-12) with
-    wide integers, so the result does not depend on the order of addition
-    (bit-identical across partitionings and engines).
+    integers, so the result does not depend on the order of addition
+    (bit-identical across partitionings and engines).  A sample's shares then
+    travel as one array to a matrix of the features, and become one row per
+    feature only at the end.
     """
     keys = ["kind"] if by_kind else []
-    f = bounded_broadcast(features.select("element", *keys, "feature_id", "value"),
-                          FEATURE_TABLE_MAX_ROWS)
-    joined = comp.select(sample, "element", share).join(f, "element")
+    table = cut_lineage(features.select("element", *keys, "feature_id", "value"))
+    n = table.limit(FEATURE_TABLE_MAX_ROWS + 1).count()
+    if exact_sum and n <= FEATURE_MATRIX_MAX_ROWS:
+        known = table.where(F.col("element").isNotNull()).toPandas()
+        if not known.duplicated(["element", *keys, "feature_id"]).any():
+            return _weighted_by_matrix(comp, table.schema, known, share, sample, keys)
+    joined = comp.select(sample, "element", share).join(
+        F.broadcast(table) if n <= FEATURE_TABLE_MAX_ROWS else table, "element")
     prod = F.col(share) * F.col("value")
     agg = fixed_point_sum(prod) if exact_sum else F.sum(prod)
     return joined.groupBy(sample, *keys, "feature_id").agg(agg.alias("value"))
 
 
+# Feature values that travel to the tasks as one dense matrix.
+FEATURE_MATRIX_MAX_ROWS = 200_000
+
+
+def _weighted_by_matrix(comp: DataFrame, types: T.StructType, known: pd.DataFrame, share: str, sample: str,
+                        keys: list[str]) -> DataFrame:
+    """Fixed-point weighted features, one array of shares per sample."""
+    elements = {e: i for i, e in enumerate(sorted(known["element"].unique()))}
+    columns = known[[*keys, "feature_id"]].drop_duplicates().sort_values([*keys, "feature_id"]).reset_index(drop=True)
+    place = {t: i for i, t in enumerate(columns.itertuples(index=False, name=None))}
+    shape = (len(elements), len(columns))
+    matrix, held = np.full(shape, np.nan), np.zeros(shape, bool)
+    row = known["element"].map(elements).to_numpy()
+    col = np.fromiter((place[t] for t in known[[*keys, "feature_id"]].itertuples(index=False, name=None)), int, len(known))
+    matrix[row, col], held[row, col] = known["value"].to_numpy(float), True
+    fields = {f.name: f.dataType for f in types}
+    schema = T.StructType([T.StructField(sample, comp.schema[sample].dataType),
+                           *[T.StructField(k, fields[k]) for k in (*keys, "feature_id")],
+                           T.StructField("value", T.DoubleType())])
+    shared = comp.sparkSession.sparkContext.broadcast((elements, matrix, held, columns))
+    packed = (comp.select(sample, "element", F.col(share).cast("double").alias("_share"))
+              .groupBy(sample).agg(F.collect_list(F.struct("element", "_share")).alias("_parts")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, values, has, names = shared.value
+        ids = pa.array(list(numbers), pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                lists = part.column(1)
+                flat = lists.flatten()
+                which = pc.fill_null(pc.index_in(flat.field(0), ids), -1).to_numpy(zero_copy_only=False)
+                own = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                weight = flat.field(1).to_numpy(zero_copy_only=False)
+                own, weight, which = own[which >= 0], weight[which >= 0], which[which >= 0]
+                some, begin = np.unique(own, return_index=True)
+                if not len(some):
+                    continue
+                term = weight[:, None] * values[which]
+                used = np.add.reduceat(has[which].astype(np.int64), begin, axis=0)
+                real = ~np.isnan(term)
+                whole = np.floor(np.where(real, term, 0.0))
+                rest = np.floor((np.where(real, term, 0.0) - whole) * FIXED_POINT_SCALE + 0.5)
+                if len(term) and np.abs(whole).max() >= WHOLE_LIMIT:
+                    raise OverflowError("a weighted feature is too large for a fixed-point sum")
+                total = (np.add.reduceat(whole.astype(np.int64), begin, axis=0).astype(np.float64)
+                         + np.add.reduceat(rest.astype(np.int64), begin, axis=0).astype(np.float64) / FIXED_POINT_SCALE)
+                r, c = np.nonzero(used > 0)
+                empty = (np.add.reduceat(real.astype(np.int64), begin, axis=0) == 0)[r, c]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(some[r])),
+                     *[pa.Array.from_pandas(names[k]).take(pa.array(c)) for k in names.columns],
+                     pa.array(total[r, c], mask=empty)], names=schema.names)
+
+    return packed.mapInArrow(run, schema)
+
+
+ROWS_AT_ONCE = 2_000
+WHOLE_LIMIT = 2.0 ** 53         # whole parts beyond it are not added exactly
+
+
 FIXED_POINT_SCALE = 1e12
 
 

@@ -127,11 +127,10 @@ def f1_reject_unwanted(spark, sf_dir):
     return C.reject_unwanted(FX.composition(spark, sf_dir), UNWANTED).select("sample_id", "element", "amount")
 
 
-@query("f2_reject_other_columns", with_ctes(_C1_ONCE, f"""bad AS MATERIALIZED (
-  SELECT DISTINCT sample_id FROM composition
-  WHERE element NOT IN ({_inlist(ALLOWED)}) AND (amount IS NULL OR amount <> 0))""") + f"""
-SELECT sample_id, element, amount FROM composition ANTI JOIN bad USING (sample_id)
-WHERE element IN ({_inlist(ALLOWED)})""")
+@query("f2_reject_other_columns", with_ctes(FX.C1_SQL, f"""marked AS (
+  SELECT *, bool_or(element NOT IN ({_inlist(ALLOWED)}) AND (amount IS NULL OR amount <> 0))
+            OVER (PARTITION BY sample_id) AS bad FROM composition)""") + f"""
+SELECT sample_id, element, amount FROM marked WHERE NOT bad AND element IN ({_inlist(ALLOWED)})""")
 def f2_reject_other_columns(spark, sf_dir):
     return C.reject_other_columns(FX.composition(spark, sf_dir), ALLOWED).select("sample_id", "element", "amount")
 

@@ -77,3 +77,21 @@ def test_softmax_negative_sum(spark):
     assert p[2] > p[1] > p[3] and abs(sum(p.values()) - 1) < 1e-12  # better fitness, higher probability
     q = {r.rec_id: r.prob for r in R.softmax_probs(pop, ["g"], negative_sum="reproduce").collect()}
     assert q[3] > q[1] > q[2]                                        # the reference's flipped order
+
+
+def test_weighted_features_by_matrix_is_the_join(spark):
+    """Shares as arrays against the joined rows: unknown elements, null and
+    missing features, null shares, repeated features, large values."""
+    from stoich.operators import composition as C
+    rng = np.random.default_rng(8)
+    comp = [(i, f"e{j}", None if rng.random() < 0.05 else float(rng.random())) for i in range(60)
+            for j in rng.choice(9, int(rng.integers(1, 6)), replace=False)]
+    feats = [(f"e{j}", kind, int(f), None if rng.random() < 0.1 else float(rng.normal(0, 10.0 ** rng.integers(-6, 9))))
+             for j in range(7) for kind in ("a", "b") for f in range(4) if rng.random() < 0.8] + [(None, "a", 0, 1.0)]
+    c = spark.createDataFrame(comp, "sample_id long, element string, share double").repartition(4)
+    for some in (feats, feats + [("e1", "a", 9, 2.0), ("e1", "a", 9, 3.0)]):
+        f = spark.createDataFrame(some, "element string, kind string, feature_id long, value double")
+        got = C.weighted_features(c, f, by_kind=True, exact_sum=True)
+        want = c.join(f, "element").groupBy("sample_id", "kind", "feature_id").agg(
+            C.fixed_point_sum(F.col("share") * F.col("value")).alias("value"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
