@@ -130,7 +130,8 @@ def strip_accents(text: Column) -> Column:
 
 def normalise_text(text: Column, lowercase: bool = False, strip: bool = True,
                    clean: bool = True, cjk: bool = True) -> Column:
-    """X1 -> X2 -> X3 -> optional lowercase, in this order."""
+    """X1 -> X2 -> X3 -> optional lowercase, in this order.  Printable
+    ASCII passes all three unchanged."""
     t = text
     if clean:
         t = clean_text(t)
@@ -138,6 +139,7 @@ def normalise_text(text: Column, lowercase: bool = False, strip: bool = True,
         t = pad_cjk(t)
     if strip:
         t = strip_accents(t)
+    t = F.when(text.rlike(r"[^\x20-\x7E]"), t).otherwise(text)
     if lowercase:
         t = F.lower(t)
     return t

@@ -14,7 +14,7 @@ from stoich.functions.rng import sql_uniform
 from stoich.operators import corpus as K
 from stoich.operators import sampling as S
 from stoich.plans.catalog import query
-from stoich.session import cut_lineage
+from stoich.session import cut_lineage, spread
 from stoich.sources.tables import table
 
 LINES_SQL = f"""raw AS (
@@ -47,12 +47,13 @@ ids AS (SELECT t.split, t.doc_id, t.line_no, t.pos, CAST(coalesce(v.id, {K.UNK_I
 
 
 def _lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return K.read_lines(docs)
 
 
 def _tagged(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
+    # the split reads the lines three times
+    lines = cut_lineage(_lines(spark, sf_dir))
     t = S.train_eval_split(lines, "split", ["doc_id", "line_no"])
     return t.withColumn("split", F.when(F.col("split") == "eval", F.lit("val")).otherwise(F.lit("train")))
 

@@ -59,6 +59,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table over the cores if it has fewer files than
+    cores: a file of one row group is one task otherwise.  Larger inputs are
+    returned as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 _WRITTEN: list[str] = []
 
 
