@@ -13,6 +13,7 @@ from stoich.functions.rng import sql_uniform, uniform
 from stoich.operators import candidates as CA
 from stoich.operators import composition as C
 from stoich.operators import sampling as S
+from stoich.operators import search as SE
 from stoich.operators.gp import gp_score
 from stoich.plans.catalog import query, with_ctes
 from stoich.session import cut_lineage
@@ -346,6 +347,29 @@ def m22_search_rounds(spark, sf_dir):
 
 
 
+# Sums of the two families of elements stay at or below 0.55.
+GROUPS6 = (((1, 2, 4), 0.55), ((0, 3, 5), 0.55))
+
+
+@query("m22_constrained_search")
+def m22_constrained_search(spark, sf_dir):
+    """M20-M22 on weighted features: 40 observed compositions and batches of
+    5 proposals up to 100 in all; every round draws one start per supplier
+    anew (G8), snaps it (J7) and climbs under the element and group limits.
+    Every observation with its target."""
+    limits = SE.Limits(tuple(LO6), tuple(HI6), GROUPS6)
+    rows = {(r["element"], r["feature_id"]): r["value"] for r in FX.empirical_features(spark, sf_dir)
+            .where(F.col("element").isin(ELEMS6)).collect()}
+    features = np.array([[rows[e, f] for f in range(4)] for e in ELEMS6])
+    orders = S.exact_sample(table(spark, sf_dir, "orders").select("o_orderkey"), 40, "hist", "o_orderkey")
+    drawn = CA.substitution_sample(orders, "o_orderkey", LO6, HI6, SUB_OF, FIRST_RANGE)
+    hist = drawn.select(F.element_at(CA.snap_neighbours(F.col("comp"), LO6, HI6), 1).alias("comp"))
+    hist = hist.withColumn("y", _target(F.col("comp"))).orderBy(_key(F.col("comp")))
+    starts = table(spark, sf_dir, "supplier").select("s_suppkey")
+    out = SE.search_rounds(starts, "s_suppkey", hist, _target, features, limits, SUB_OF, FIRST_RANGE, total=100)
+    return out.select("step", "round", "comp_key", _r6(F.col("y")).alias("y"))
+
+
 # Which base element each further element substitutes (the
 # third and fifth of the six take from the first, the others from the
 # second) and the range of the first element.
