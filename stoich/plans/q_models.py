@@ -17,7 +17,7 @@ from stoich.operators import sampling as S
 from stoich.operators import scaling as N
 from stoich.operators import subset as SS
 from stoich.operators.islands import search_islands
-from stoich.operators.neighbors import knn_predict
+from stoich.operators.neighbors import KnnSearch, knn_predict
 from stoich.plans.catalog import query
 from stoich.plans.q_results import WF_SQL, _records, _wf_rounded
 from stoich.plans.q_sampling import _fold_sql
@@ -409,3 +409,14 @@ def j8_knn_predict(spark, sf_dir):
     p = knn_predict(q, train, k=5, id_col="vec_id")
     return p.select("vec_id", _r(F.col("pred"), 6).alias("pred"))
 
+
+@query("j8_knn_meetings")
+def j8_knn_meetings(spark, sf_dir):
+    """How many (queries, block) packs met, and how many query-block
+    meetings, beside all there are, with blocks of 64 rows."""
+    v = FX.vectors(spark, sf_dir).withColumn("is_train", uniform("knn", F.col("vec_id")) < 0.8)
+    train = v.where("is_train").select("vec_id", "features", F.col("label").cast("double").alias("y"))
+    q = v.where(~F.col("is_train")).select("vec_id", "features")
+    search = KnnSearch(train, "vec_id", "features", "y", 64)
+    _, met = search.nearest(q, "vec_id", "features", 5)
+    return met.withColumn("of_all", F.lit(q.count() * search.n_blocks).cast("bigint"))

@@ -10,7 +10,7 @@ from stoich.functions import text as X
 from stoich.operators import corpus as K
 from stoich.operators import linear as L
 from stoich.operators import sampling as S
-from stoich.operators.neighbors import knn_predict
+from stoich.operators.neighbors import KnnSearch, knn_predict
 from stoich.operators.ordering import global_rank, rank_within, running_max
 from stoich.operators.quantiles import exact_quantiles
 
@@ -220,6 +220,32 @@ def test_knn_matches_brute_force(spark):
         assert abs(got[1000 + i] - exp) < 1e-9
 
 
+def test_knn_meets_few_blocks_of_clustered_rows(spark):
+    """Clusters, ties and copies: the same neighbours, a part of the meetings."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(12, 6)) * 20
+    tr = np.round(centre[rng.integers(0, 12, 900)] + rng.normal(size=(900, 6)), 1)
+    tr[100:140] = tr[7]
+    q = np.vstack([np.round(centre[rng.integers(0, 12, 60)] + rng.normal(size=(60, 6)), 1), tr[5:9]])
+    tdf = spark.createDataFrame([(i, [float(v) for v in r], float(i)) for i, r in enumerate(tr)],
+                                "id long, features array<double>, y double").repartition(3)
+    qdf = spark.createDataFrame([(i + 5000, [float(v) for v in r]) for i, r in enumerate(q)],
+                                "id long, features array<double>").repartition(2)
+    search = KnnSearch(tdf, "id", "features", "y", 40)
+    found, met = search.nearest(qdf, "id", "features", 5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r._id, []).append((r._d, r._tid))
+    for i, qq in enumerate(q):
+        d = np.sqrt(((tr - qq) ** 2).sum(1))
+        o = np.lexsort((np.arange(900), d))[:5]
+        assert sorted(got[i + 5000]) == [(d[j], j) for j in o]
+    assert search.n_blocks > 12 and sum(r.queries for r in met.collect()) < 0.5 * len(q) * search.n_blocks
+    none = KnnSearch(tdf.limit(0), "id", "features", "y").nearest(qdf, "id", "features", 5)[0]
+    few = KnnSearch(tdf.limit(3), "id", "features", "y", 1).nearest(qdf.limit(2), "id", "features", 5)[0]
+    assert none.count() == 0 and few.count() == 6
+
+
 def test_register_known_rejects_duplicates(spark):
     from stoich.plans.q_sampling import register_known
     h = spark.createDataFrame([("a",), ("b",)], "comp_key string")
