@@ -7,8 +7,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +16,7 @@ from stoich.operators import metrics as M
 from stoich.operators import models as ML
 from stoich.operators import registry as RG
 from stoich.operators import trees as TR
+from stoich.operators import tuning as TU
 from stoich.operators.folds import group_kfold
 from stoich.plans.catalog import query
 from stoich.plans.q_composition import ALL_BRANDS, _shares
@@ -144,27 +143,24 @@ def m18_pca_2d(spark, sf_dir):
     return ML.pca_2d(rows).select("sample_id", "pc1", "pc2")
 
 
+# The lists that a trial's parameters are drawn from.
+TRIAL_GRID = {"numTrees": [20, 40, 60], "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 2, 4]}
+
+
 @query("m23_hyperparameter_search")
 def m23_hyperparameter_search(spark, sf_dir):
-    """M23 + G12: random trials of forest parameters scored by 3-fold
-    cross-validation (MLlib CrossValidator, trials evaluated in parallel);
-    the best trial by R^2 with its MAE."""
-    train, test = _split(spark, sf_dir)
-    rf = ML.forest_estimator()
-    trials = ML.trial_grid(4, seed=1, grid={"numTrees": [20, 50], "maxDepth": [3, 5, 8]})
-    maps = []
-    for t in trials:
-        pm = {rf.numTrees: t["numTrees"], rf.maxDepth: t["maxDepth"]}
-        if pm not in maps:
-            maps.append(pm)
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="r2"),
-                        numFolds=3, parallelism=4, seed=ML.SEED)
-    m = cv.fit(train)
-    best = int(max(range(len(m.avgMetrics)), key=lambda i: m.avgMetrics[i]))
-    mt = _test_metrics(m.bestModel, test, "random_forest")
-    info = spark.createDataFrame([(int(maps[best][rf.numTrees]), int(maps[best][rf.maxDepth]),
-                                   float(m.avgMetrics[best]))], "num_trees int, max_depth int, cv_r2 double")
-    return mt.withColumn("_k", F.lit(1)).join(F.broadcast(info.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    """M23 + G12: 50 random trials of forest parameters, 10 folds with
+    successive halving; every distinct trial with its pooled out-of-fold R^2
+    and MAE, and the test figures of the best one."""
+    split = _holdout(spark, sf_dir)
+    found = TU.search(split.binned, ML.trial_grid(50, seed=1, grid=TRIAL_GRID))
+    best = found[0]
+    forest = TR.fit_forest(split.binned, best["numTrees"], max_depth=best["maxDepth"], min_leaf=best["minInstancesPerNode"])
+    test = M.regression_metrics(forest.predict(split.test, "features").select("y", F.col("values")[0].alias("pred"))).first()
+    rows = [(i, r["numTrees"], r["maxDepth"], r["minInstancesPerNode"], r["folds"], r["r2"], r["mae"],
+             test["r2"] if not i else None, test["mae"] if not i else None) for i, r in enumerate(found)]
+    return spark.createDataFrame(rows, "place int, num_trees int, max_depth int, min_leaf int, n_folds int, cv_r2 double, "
+                                       "cv_mae double, test_r2 double, test_mae double")
 
 
 def _grouped_rows(spark, sf_dir):
