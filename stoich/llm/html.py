@@ -30,7 +30,9 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import exp
 
 import pyarrow as pa
@@ -68,7 +70,7 @@ TEXTUAL = HEADINGS | frozenset("p li ul ol dl dt dd pre blockquote figure figcap
 SPREAD = 1.0         # width of the smoothing, in text nodes
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)""")
-_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+_ATTR = re.compile(r"""(?<![^\s=/>"'])([^\s=/>"']++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
 _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…。、，；：！？]")
@@ -94,6 +96,48 @@ def _left_out(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     return any(w in NOT_ARTICLE for w in words) or ("header" in words and not in_article)
 
 
+class Paths:
+    """Root-to-leaf paths as numbers: a path is its parent and one element, and
+    equal paths have equal numbers (0 is the root).  Parents come first."""
+
+    def __init__(self):
+        self.parent, self.depth, self.name = [0], [0], [""]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def child(self, parent: int, label: str) -> int:
+        key = (parent, label)
+        if key not in self._known:
+            self._known[key] = len(self.parent)
+            self.parent.append(parent)
+            self.depth.append(self.depth[parent] + 1)
+            self.name.append(label.split(".")[0])
+        return self._known[key]
+
+    def common(self, a: int, b: int) -> int:
+        """The deepest path that both are under."""
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        return a
+
+    def around(self, path: int) -> list[int]:
+        """The path and all around it, deepest first."""
+        out = [path]
+        while path:
+            path = self.parent[path]
+            out.append(path)
+        return out
+
+    def under(self, path: int) -> list[bool]:
+        """Per path whether it is ``path`` or below it."""
+        out = [False] * len(self.parent)
+        for i, up in enumerate(self.parent):
+            out[i] = i == path or (i > 0 and out[up])
+        return out
+
+
 class _Element:
     __slots__ = ("name", "path", "out", "link", "article", "inline")
 
@@ -102,16 +146,23 @@ class _Element:
         self.link, self.article, self.inline = link, article, inline
 
 
-def text_nodes(page: str) -> Iterator[tuple[tuple, str, bool, bool]]:
+def text_nodes(page: str, paths: Paths) -> Iterator[tuple[int, str, bool, bool]]:
     """(path, raw text, in a link, starts a block) of every text node that is
     not left out, in page order."""
-    stack = [_Element("", (), False, False, False, False)]
+    stack = [_Element("", 0, False, False, False, False)]
+    opened: Counter[str] = Counter()        # elements of the stack by name
     at, fresh = 0, True
 
+    def leave(i: int) -> None:
+        opened.subtract(e.name for e in stack[i:])
+        del stack[i:]
+
     def pop_to(names: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        if not any(opened[n] for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
-                del stack[i:]
+                leave(i)
                 return
             if stack[i].name in stop:
                 return
@@ -142,14 +193,13 @@ def text_nodes(page: str) -> Iterator[tuple[tuple, str, bool, bool]]:
         block = name not in INLINE
         fresh = fresh or block or name == "br"
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[i].name == name:
-                    del stack[i:]
+                    leave(i)
                     break
                 if not block and not stack[i].inline:
                     break
             continue
-        top = stack[-1]
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
             if end is None:
@@ -173,15 +223,16 @@ def text_nodes(page: str) -> Iterator[tuple[tuple, str, bool, bool]]:
         out = top.out or _left_out(name, attrs, top.article)
         path = top.path
         if block:
-            path = (*path, f"{name}.{attrs.get('class', '')}#{re.sub(r'[0-9]+', '0', attrs.get('id', ''))}")
+            path = paths.child(path, f"{name}.{attrs.get('class', '')}#{re.sub(r'[0-9]+', '0', attrs.get('id', ''))}")
+        opened[name] += 1
         stack.append(_Element(name, path, out, top.link or name == "a", top.article or name in ("article", "main"),
                               not block))
 
 
-def content_paths(nodes: list[tuple[tuple, int, int, bool]]) -> set[tuple]:
+def content_paths(nodes: list[tuple[int, int, int, bool]]) -> set[int]:
     """Paths whose smoothed, fused ratio reaches the threshold; a node is
     (path, text length, punctuation, in a link)."""
-    total: dict[tuple, list[float]] = {}
+    total: dict[int, list[float]] = {}
     for path, n, punct, link in nodes:
         t = total.setdefault(path, [0.0, 0.0, 0.0, 0.0])
         t[0] += n
@@ -191,7 +242,7 @@ def content_paths(nodes: list[tuple[tuple, int, int, bool]]) -> set[tuple]:
     ratio = {p: (t[0] / t[1]) * (1 + 10 * t[2] / t[0]) * (1 - t[3] / t[0]) for p, t in total.items()}
     raw = [ratio[path] for path, *_ in nodes]
     kernel = {d: exp(-d * d / (2 * SPREAD * SPREAD)) for d in range(-2, 3)}
-    smooth: dict[tuple, list[float]] = {}
+    smooth: dict[int, list[float]] = {}
     for i, (path, n, _, _) in enumerate(nodes):
         span = [(raw[i + d], k) for d, k in kernel.items() if 0 <= i + d < len(raw)]
         value = sum(v * k for v, k in span) / sum(k for _, k in span)
@@ -203,27 +254,19 @@ def content_paths(nodes: list[tuple[tuple, int, int, bool]]) -> set[tuple]:
     return {p for p, s in score.items() if s >= SHARE * mean}
 
 
-def _name(path: tuple) -> str:
-    return path[-1].split(".")[0] if path else ""
-
-
-def _container(paths: set[tuple]) -> tuple:
+def _container(chosen: set[int], paths: Paths) -> int:
     """The deepest element around all of the paths, or the article around it."""
-    low, high = min(paths), max(paths)
-    n = 0
-    while n < min(len(low), len(high)) and low[n] == high[n]:
-        n += 1
-    best = low[:n]
+    best = reduce(paths.common, chosen)
     # a cell with text of its own is one of many, else it lays out the page
-    while _name(best) in TEXTUAL or _name(best) in ("td", "th") and best in paths:
-        best = best[:-1]
-    for i in range(len(best), 0, -1):
-        if _name(best[:i]) == "article":
-            return best[:i]
+    while paths.name[best] in TEXTUAL or paths.name[best] in ("td", "th") and best in chosen:
+        best = paths.parent[best]
+    for i in paths.around(best):
+        if paths.name[i] == "article":
+            return i
     return best
 
 
-def _link_blocks(nodes: list[tuple[tuple, str, bool, bool, int, int]], chosen: set[tuple]) -> list[bool]:
+def _link_blocks(nodes: list[tuple[int, str, bool, bool, int, int]], chosen: set[int], paths: Paths) -> list[bool]:
     """Whether each node is in a block of links on a path that was not chosen."""
     block, run, b, r, last = [], [], -1, -1, None
     for path, _, _, fresh, n, _ in nodes:
@@ -238,29 +281,32 @@ def _link_blocks(nodes: list[tuple[tuple, str, bool, bool, int, int]], chosen: s
         for k, i in enumerate(at):
             text[k][i] += n
             linked[k][i] += n * link
-    return [path not in chosen and _name(path) not in HEADINGS
+    return [path not in chosen and paths.name[path] not in HEADINGS
             and all(linked[k][i] > LINKS * text[k][i] for k, i in enumerate(at))
             for (path, *_), *at in zip(nodes, block, run)]
 
 
-def _kept(nodes: list[tuple[tuple, str, bool, bool, int, int]], chosen: set[tuple]) -> list[bool]:
+def _kept(nodes: list[tuple[int, str, bool, bool, int, int]], chosen: set[int], paths: Paths) -> list[bool]:
     """Whether the text of each node is returned."""
-    best = _container(chosen)
-    inside = [path[:len(best)] == best for path, *_ in nodes]
+    best = _container(chosen, paths)
+    under = paths.under(best)
+    inside = [under[path] for path, *_ in nodes]
     solid = [i for i, x in enumerate(nodes) if x[4]]
     content = [i for i in solid if nodes[i][0] in chosen]
+    name = lambda i: paths.name[nodes[i][0]]
     first, last = next(i for i in solid if inside[i]), content[-1]
-    if _name(best) != "article" and not any(inside[i] and _name(nodes[i][0]) == "h1" for i in solid):
-        before = [i for i in solid if i < first and _name(nodes[i][0]) in HEADINGS]
-        near = [i for i in before if best[:len(nodes[i][0]) - 1] == nodes[i][0][:-1]]
-        title = near or [i for i in before if _name(nodes[i][0]) == "h1"]
+    if paths.name[best] != "article" and not any(inside[i] and name(i) == "h1" for i in solid):
+        around = set(paths.around(best))
+        before = [i for i in solid if i < first and name(i) in HEADINGS]
+        near = [i for i in before if paths.parent[nodes[i][0]] in around]
+        title = near or [i for i in before if name(i) == "h1"]
         if title:
             first = title[-1]
             at = solid.index(first)
-            while at and _name(nodes[solid[at - 1]][0]) in HEADINGS:
+            while at and name(solid[at - 1]) in HEADINGS:
                 at -= 1
             first = solid[at]
-    links = _link_blocks(nodes, chosen)
+    links = _link_blocks(nodes, chosen, paths)
     return [(inside[i] or first <= i <= last) and not links[i] for i in range(len(nodes))]
 
 
@@ -268,15 +314,15 @@ def main_text(page: str | None) -> str:
     """The article's text, blocks joined by one space."""
     if not page:
         return ""
-    nodes = []
-    for path, raw, link, fresh in text_nodes(page):
+    nodes, paths = [], Paths()
+    for path, raw, link, fresh in text_nodes(page, paths):
         text = htmllib.unescape(raw)
         n = len("".join(text.split()))
         nodes.append((path, text, link, fresh, n, len(_PUNCT.findall(text))))
     solid = [(p, n, punct, link) for p, _, link, _, n, punct in nodes if n]
     if not solid:
         return ""
-    kept = _kept(nodes, content_paths(solid))
+    kept = _kept(nodes, content_paths(solid), paths)
     parts = []
     for (_, text, _, fresh, _, _), inside in zip(nodes, kept):
         if fresh or not inside:

@@ -281,6 +281,15 @@ def test_whole_article_of_usual_layouts(k):
     assert html.main_text(page) == " ".join(plain.split())
 
 
+def test_deep_and_odd_pages_take_linear_time():
+    import time
+    start = time.time()
+    assert html.main_text("<div>" * 50_000 + "deep text, here." + "</section>" * 50_000) == "deep text, here."
+    assert html.main_text("<p " + "x" * 200_000 + ">word, word.</p>") == "word, word."
+    assert html.main_text("<b>" * 50_000 + "bold, text." + "</i>" * 50_000) == "bold, text."
+    assert time.time() - start < 20
+
+
 # -- pipeline ----------------------------------------------------------------------------
 
 def test_pipeline_against_plain_steps(spark, corpus):
