@@ -1,13 +1,18 @@
 """Near-copies among embeddings by randomised-rotation binary codes.
 
 Equal vectors of a label are one class.  A class's unit vector is rotated by a
-random orthogonal matrix and stored as its sign bits with one correction
-factor, the inner product of the vector with its own code.  For a query vector
-``q`` the code's inner product with ``q``, divided by the factor, is an unbiased
+random orthogonal matrix and stored, once, as its sign bits with one correction
+factor, the inner product of the vector with its own code; for its part as a
+query it is stored with QUERY_BITS bits a component.  For a query vector ``q``
+the code's inner product with ``q``, divided by the factor, is an unbiased
 estimate of ``<o, q>`` whose error is bounded, with confidence, by a multiple of
 ``sqrt((1 - f^2) / f^2 / (D - 1))``.  Pairs whose upper bound stays below the
 threshold are dropped; all others are recomputed in double precision.
 
+Only codes travel to the buckets.  A first pass finds the entries of a bucket
+that have a pair left; the vectors of these alone are joined for the exact
+products.
+
 Pairs to estimate come from hash tables of random hyperplanes: ``k`` signs make
 a bucket key, ``k`` growing with the logarithm of the label's size so buckets
 stay small, and as many tables as bring the chance to miss a pair right at the
@@ -73,36 +78,54 @@ def rotation(dim: int) -> np.ndarray:
 
 
 class Codes:
-    """Sign bits and correction factors of rotated unit vectors."""
+    """Sign bits and correction factors of rotated unit vectors, and the
+    vectors as queries: ``QUERY_BITS`` bit planes between ``low`` and
+    ``low + step * (2 ** QUERY_BITS - 1)``."""
 
     def __init__(self, unit: np.ndarray):
-        self.dim = unit.shape[1]
-        self.turned = unit @ rotation(self.dim)
-        pad = -self.dim % 64
-        bits = np.packbits(np.pad(self.turned > 0, ((0, 0), (0, pad))), axis=1, bitorder="little")
-        self.words = np.ascontiguousarray(bits).view(np.uint64)
-        self.ones = np.bitwise_count(self.words).sum(axis=1).astype(np.float64)
-        self.factor = np.abs(self.turned).sum(axis=1) / np.sqrt(self.dim)
-
-    def upper_bounds(self, queries: "Codes") -> np.ndarray:
+        dim = self.dim = unit.shape[1]
+        turned = unit @ rotation(dim)
+        pack = lambda on: np.ascontiguousarray(np.packbits(
+            np.pad(on, ((0, 0), (0, -dim % 64))), axis=1, bitorder="little")).view(np.uint64)
+        self.words = pack(turned > 0)
+        low = turned.min(axis=1)
+        step = np.maximum(turned.max(axis=1) - low, 1e-12) / (2 ** QUERY_BITS - 1)
+        # one random offset per component, the same for all vectors
+        dither = np.random.Generator(np.random.PCG64([SEED, dim, 1])).random(dim)
+        level = np.minimum(np.floor((turned - low[:, None]) / step[:, None] + dither), 2 ** QUERY_BITS - 1).astype(np.uint8)
+        self.planes = np.stack([pack((level >> j) & 1) for j in range(QUERY_BITS)], axis=1)
+        self.numbers = np.stack([np.bitwise_count(self.words).sum(axis=1), np.abs(turned).sum(axis=1) / np.sqrt(dim),
+                                 low, step, level.sum(axis=1, dtype=np.int64)], axis=1).astype(np.float64)
+
+    def to_bytes(self) -> list[bytes]:
+        return [w.tobytes() + p.tobytes() + n.tobytes() for w, p, n in zip(self.words, self.planes, self.numbers)]
+
+    @staticmethod
+    def of_bytes(rows: list[bytes], dim: int) -> Codes:
+        n, width = len(rows), -(-dim // 64)
+        raw = np.frombuffer(b"".join(rows), np.uint64).reshape(n, -1)
+        new = object.__new__(Codes)
+        new.dim = dim
+        new.words, planes, numbers = np.split(raw, [width, width * (1 + QUERY_BITS)], axis=1)
+        new.planes = planes.reshape(n, QUERY_BITS, width)
+        new.numbers = np.ascontiguousarray(numbers).view(np.float64)
+        return new
+
+    def take(self, rows: np.ndarray) -> Codes:
+        new = object.__new__(Codes)
+        new.dim, new.words, new.planes, new.numbers = self.dim, self.words[rows], self.planes[rows], self.numbers[rows]
+        return new
+
+    def upper_bounds(self, queries: Codes) -> np.ndarray:
         """Upper confidence bounds of <o, q> for all codes o (rows) and
         queries q (columns), from popcounts over the queries' bit planes."""
-        q = queries.turned
-        low = q.min(axis=1, keepdims=True)
-        step = np.maximum(q.max(axis=1, keepdims=True) - low, 1e-12) / (2 ** QUERY_BITS - 1)
-        rng = np.random.Generator(np.random.PCG64(SEED))
-        level = np.minimum(np.floor((q - low) / step + rng.random(q.shape)), 2 ** QUERY_BITS - 1).astype(np.uint8)
-        pad = -self.dim % 64
-        dot = np.zeros((len(self.words), len(q)))
+        dot = np.zeros((len(self.words), len(queries.words)))
         for j in range(QUERY_BITS):
-            plane = np.packbits(np.pad((level >> j) & 1, ((0, 0), (0, pad))), axis=1, bitorder="little")
-            plane = np.ascontiguousarray(plane).view(np.uint64)
-            for w in range(plane.shape[1]):
-                dot += np.float64(1 << j) * np.bitwise_count(self.words[:, w, None] & plane[None, :, w])
-        low, step = low.T, step.T
-        total = self.dim * low + step * level.sum(axis=1, dtype=np.int64)[None, :]
-        signed = 2 * (low * self.ones[:, None] + step * dot) - total
-        f = self.factor[:, None]
+            for w in range(self.words.shape[1]):
+                dot += np.float64(1 << j) * np.bitwise_count(self.words[:, w, None] & queries.planes[None, :, j, w])
+        ones, f = self.numbers[:, :1], self.numbers[:, 1:2]
+        low, step, level = queries.numbers[:, 2], queries.numbers[:, 3], queries.numbers[:, 4]
+        signed = 2 * (low * ones + step * dot) - (self.dim * low + step * level)
         estimate = signed / np.sqrt(self.dim) / f
         error = np.sqrt((1 - np.minimum(f * f, 1)) / (f * f) / max(1, self.dim - 1)) + 0.5 * step / f
         return estimate + CONFIDENCE * error
@@ -150,19 +173,22 @@ def _keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns rep, label, dim, vec, n, mult: one row per class with its keys."""
+    """Columns rep, label, dim, vec, n, mult: one row per class with its code
+    and keys."""
     for batch in batches:
         dim, n = (batch.column(i).to_numpy() for i in (2, 4))
         bits = np.array([key_bits(int(x)) for x in n])
         for d, b in sorted({*zip(dim.tolist(), bits.tolist())}):
             rows = np.flatnonzero((dim == d) & (bits == b))
-            keys = _keys(_unit(batch, 3, d, rows), b, n_tables(b))
+            unit = _unit(batch, 3, d, rows)
+            keys = _keys(unit, b, n_tables(b))
             flat = pa.array(keys.ravel())
             cuts = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1])
             take = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
                 [take.column(0), take.column(1), take.column(2), take.column(5), take.column(3),
-                 pa.ListArray.from_arrays(cuts, flat)], names=["rep", "label", "dim", "mult", "vec", "keys"])
+                 pa.array(Codes(unit).to_bytes(), pa.binary()), pa.ListArray.from_arrays(cuts, flat)],
+                names=["rep", "label", "dim", "mult", "vec", "code", "keys"])
 
 
 def _reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -178,30 +204,50 @@ def _reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
+def _pairs_left(at: tuple, block: np.ndarray, keys: np.ndarray, codes: Codes,
+                threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries of one pair of blocks whose bound reaches the
+    threshold and that did not meet in an earlier table."""
+    _, _, table, _, a, z = at
+    left, right = np.flatnonzero(block == a), np.flatnonzero(block == z)
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    i, j = np.nonzero(codes.take(left).upper_bounds(codes.take(right)) >= threshold)
+    i, j = left[i], right[j]
+    if a == z:
+        i, j = i[i < j], j[i < j]
+    new = np.ones(len(i), dtype=bool)
+    for s in range(0, len(i), 1 << 15):
+        p, q = i[s:s + (1 << 15)], j[s:s + (1 << 15)]
+        new[s:s + (1 << 15)] = ~(keys[p, :table] == keys[q, :table]).any(axis=1)
+    return i[new], j[new]
+
+
+def _left(group: list[tuple], threshold: float) -> list[tuple]:
+    """The entries (at..., rep, block) of one pair of blocks that have a pair
+    left; rows are (at, rep, block, keys, code)."""
+    at = group[0][0]
+    block, keys = np.array([r[2] for r in group]), np.array([r[3] for r in group])
+    i, j = _pairs_left(at, block, keys, Codes.of_bytes([r[4] for r in group], at[1]), threshold)
+    return [(*at, group[r][1], group[r][2]) for r in np.union1d(i, j).tolist()]
+
+
 def _solve(group: list[tuple], threshold: float) -> list[tuple]:
     """Link counts (x, n, null) and connections (x, null, y) within one pair of
-    blocks of a bucket."""
-    _, _, table, _, a, z = group[0][0]
+    blocks; rows are (at, rep, block, keys, code, mult, vec)."""
+    at = group[0][0]
     group.sort(key=lambda r: r[1])
     rep = [r[1] for r in group]
-    mult = np.array([r[2] for r in group])
-    block = np.array([r[3] for r in group])
-    keys = np.array([r[4] for r in group])
-    x = np.stack([np.frombuffer(r[5], np.float64) for r in group])
+    block, keys = np.array([r[2] for r in group]), np.array([r[3] for r in group])
+    mult = np.array([r[5] for r in group])
+    x = np.stack([np.frombuffer(r[6], np.float64) for r in group])
     x = x / np.abs(x).max(axis=1, keepdims=True)
     x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-    left, right = np.flatnonzero(block == a), np.flatnonzero(block == z)
-    if not len(left) or not len(right):
-        return []
-    i, j = np.nonzero(Codes(x[left]).upper_bounds(Codes(x[right])) >= threshold)
-    i, j = left[i], right[j]
-    if a == z:
-        i, j = i[i < j], j[i < j]
+    i, j = _pairs_left(at, block, keys, Codes.of_bytes([r[4] for r in group], at[1]), threshold)
     ok = np.zeros(len(i), dtype=bool)
     for s in range(0, len(i), 1 << 15):
         p, q = i[s:s + (1 << 15)], j[s:s + (1 << 15)]
-        met_before = (keys[p, :table] == keys[q, :table]).any(axis=1)
-        ok[s:s + (1 << 15)] = ~met_before & ((x[p] * x[q]).sum(axis=1) >= threshold)
+        ok[s:s + (1 << 15)] = (x[p] * x[q]).sum(axis=1) >= threshold
     i, j = i[ok], j[ok]
     degree = (np.bincount(i, mult[j], minlength=len(x)) + np.bincount(j, mult[i], minlength=len(x))).astype(np.int64)
     root = _reachable(len(x), i, j)
@@ -209,27 +255,31 @@ def _solve(group: list[tuple], threshold: float) -> list[tuple]:
             + [(rep[r], None, rep[root[r]]) for r in np.flatnonzero(root != np.arange(len(x)))])
 
 
-def _blocks(threshold: float):
-    """Rows come block pair by block pair: label, dim, tab, key, a, z, rep,
-    mult, own block, keys, vec."""
+_GROUP = ["label", "dim", "tab", "key", "a", "z"]
+
+
+def _by_blocks(solve, names: list[str], threshold: float):
+    """Rows come block pair by block pair: the columns of _GROUP, then those
+    of an entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def emit(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["x", "n", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
         for batch in batches:
             out = []
             cols = [c.to_pylist() for c in batch.columns]
-            for *at, rep, mult, block, keys, vec in zip(*cols):
-                if held and held[0][0] != tuple(at):
-                    out += _solve(held, threshold)
+            for row in zip(*cols):
+                at = row[:len(_GROUP)]
+                if held and held[0][0] != at:
+                    out += solve(held, threshold)
                     held = []
-                held.append((tuple(at), rep, mult, block, keys, vec))
+                held.append((at, *row[len(_GROUP):]))
             if out:
                 yield emit(out)
-        if held and (out := _solve(held, threshold)):
+        if held and (out := solve(held, threshold)):
             yield emit(out)
 
     return run
@@ -246,7 +296,7 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             .select("rep", "mult", "n"))
     entries = materialise(
         usable.join(ones, F.col("row") == F.col("rep")).select("rep", "label", "dim", "vec", "n", "mult")
-        .mapInArrow(_entries, "rep long, label long, dim long, mult long, vec binary, keys array<long>"))
+        .mapInArrow(_entries, "rep long, label long, dim long, mult long, vec binary, code binary, keys array<long>"))
     slots = entries.select("rep", "label", "dim", F.posexplode("keys").alias("tab", "key"))
     full = (slots.groupBy("label", "dim", "tab", "key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
             .withColumn("_blocks", F.ceil(F.col("_m") / BLOCK)))
@@ -255,12 +305,15 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
              .withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
              .select("label", "dim", "tab", "key", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("z"),
                      "rep", "block"))
-    group = ["label", "dim", "tab", "key", "a", "z"]
+    met = (dealt.join(entries.select("rep", "keys", "code"), "rep").select(*_GROUP, "rep", "block", "keys", "code")
+           .repartition(*_GROUP).sortWithinPartitions(*_GROUP))
+    names = [*_GROUP, "rep", "block"]
+    left = materialise(met.mapInArrow(_by_blocks(_left, names, threshold), ", ".join(f"{c} long" for c in names)))
     found = materialise(
-        dealt.join(entries.select("rep", "mult", "keys", "vec"), "rep")
-        .select(*group, "rep", "mult", "block", "keys", "vec")
-        .repartition(*group).sortWithinPartitions(*group)
-        .mapInArrow(_blocks(threshold), "x long, n long, y long"))
+        left.join(entries.select("rep", "keys", "code", "mult", "vec"), "rep")
+        .select(*_GROUP, "rep", "block", "keys", "code", "mult", "vec")
+        .repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+        .mapInArrow(_by_blocks(_solve, ["x", "n", "y"], threshold), "x long, n long, y long"))
     degree = found.where("n IS NOT NULL").groupBy(F.col("x").alias("rep")).agg(F.sum("n").alias("_deg"))
     roots = connected_components(found.where("y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b")))
     solved = (classes.join(degree, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
