@@ -106,6 +106,23 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT r, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+link AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, way.b FROM reach JOIN way ON way.a = reach.t)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach USING (r) JOIN d o ON o.r = reach.t GROUP BY d.r, d.doc_id, n.n"""
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document, learned outside the held-out fold."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
@@ -129,6 +146,23 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_copies(table(spark, sf_dir, "embeddings"))
 
 
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v
+      WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND list_dot_product(e, e) > 0),
+link AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND a.r < b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT r, r AS t FROM v UNION SELECT reach.r, way.b FROM reach JOIN way ON way.a = reach.t),
+least AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.t GROUP BY 1),
+degree AS (SELECT a AS r, count(*) AS n FROM way GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least USING (r) LEFT JOIN degree USING (r)"""
+
+
 def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, its tail planted."""
     return runs.digests(_docs(spark, sf_dir))
@@ -140,6 +174,27 @@ def op12_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+mark AS (
+  SELECT word.r, p, x, max(dup.i) OVER (PARTITION BY word.r ORDER BY p ROWS UNBOUNDED PRECEDING) + 34 >= p AS gone
+  FROM word LEFT JOIN dup ON dup.r = word.r AND dup.i = word.p),
+kept AS (
+  SELECT r, count(*) AS n_words, count_if(coalesce(gone, false)) AS n_removed,
+         string_agg(x, ' ' ORDER BY p) FILTER (WHERE NOT coalesce(gone, false)) AS t
+  FROM mark GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+
 def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened components of every embedding."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -160,4 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_repeated_windows": op12_repeated_windows,
     "op13_whitened_embeddings": op13_whitened_embeddings,
 }
-ORACLES: dict[str, str] = {"op1_host_quality": OP1_SQL.strip(), "op5_warc": OP5_SQL.strip()}
+ORACLES: dict[str, str] = {
+    "op1_host_quality": OP1_SQL.strip(), "op5_warc": OP5_SQL.strip(), "op6_ngram_jaccard": OP6_SQL.strip(),
+    "op10_embedding_dups": OP10_SQL.strip(), "op12_repeated_windows": OP12_SQL.strip(),
+}
