@@ -51,8 +51,10 @@ FREQUENT = 20_000
 LIST = 1_000_000
 MIN_BITS, BITS = 4, 16          # bits of the bitmap per repeated minimiser
 BITMAP_BYTES = 64 << 20
-BUCKET_BYTES = 24 << 20
-HELD_BYTES = 32 << 20           # packed strings that a task holds back
+BROADCAST_ROWS = 500_000
+MAX_PARTITIONS = 50_000
+BUCKET_BYTES = 12 << 20
+HELD_BYTES = 16 << 20           # packed strings that a task holds back
 OVERLAP = 3.2                   # bytes of packed strings per byte of text
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
@@ -328,19 +330,24 @@ def _ranges(text: np.ndarray, word: np.ndarray, span: int) -> tuple[np.ndarray,
     return text[first], word[first], word[last] + span
 
 
+def _repeated_ranges(table: pa.Table, span: int) -> pa.Table:
+    """(text_key, low, high) of the repeated windows of one bucket."""
+    blobs = [_restored(b.as_py()) for b in table.column("blob")]
+    hashes, size, word, key = (np.concatenate([b[i] for b in blobs]) for i in range(4))
+    del blobs
+    ids = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
+    del hashes
+    first = np.concatenate(([0], np.cumsum(size)))
+    at = repeated_windows(ids, first, span)
+    string = np.searchsorted(first, at, side="right") - 1
+    string, low, high = _ranges(string, at - first[string] + word[string], span)
+    return pa.table({"text_key": pa.array([k.tobytes() for k in key[string]], pa.binary()),
+                     "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+
+
 def _from_buckets(packed: DataFrame, span: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
-        blobs = [_restored(b.as_py()) for b in table.column("blob")]
-        hashes, size, word, key = (np.concatenate([b[i] for b in blobs]) for i in range(4))
-        del blobs
-        ids = np.unique(hashes, return_inverse=True)[1]
-        del hashes
-        first = np.concatenate(([0], np.cumsum(size)))
-        at = repeated_windows(ids, first, span)
-        string = np.searchsorted(first, at, side="right") - 1
-        string, low, high = _ranges(string, at - first[string] + word[string], span)
-        out = pa.table({"text_key": pa.array([k.tobytes() for k in key[string]], pa.binary()),
-                        "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+        out = _repeated_ranges(table, span)
         give_back()
         return out
 
@@ -368,8 +375,10 @@ def _from_frequent(texts: DataFrame, listed, span: int, gram: int) -> DataFrame:
 
     windows = materialise(texts.mapInArrow(scan, "a long, b long, text_key binary, low long")
                           .groupBy("a", "b", "text_key", "low").agg(F.count(F.lit(1)).alias("n")))
-    twice = windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("a", "b")
-    return windows.join(twice, ["a", "b"]).select("text_key", "low", (F.col("low") + span).alias("high"))
+    twice = materialise(windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("a", "b"))
+    # few windows: no window of many documents has to meet them in one task
+    few = twice.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return windows.join(F.broadcast(twice) if few else twice, ["a", "b"]).select("text_key", "low", (F.col("low") + span).alias("high"))
 
 
 def _text_key() -> Column:
@@ -389,7 +398,8 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, frequen
     n_buckets = max(1, int(np.ceil(total * OVERLAP / bucket_bytes)))
     known = minimisers(texts, span, gram, frequent, bitmap_bytes)
     listed = shared(spark, known)
-    ranges = _from_buckets(_packed(texts, listed, n_buckets, span, gram), span)
+    packed = _packed(texts, listed, n_buckets, span, gram).repartition(min(n_buckets, MAX_PARTITIONS), "bucket")
+    ranges = _from_buckets(packed, span)
     if len(known.frequent):
         ranges = ranges.unionByName(_from_frequent(texts, listed, span, gram))
     return ranges.distinct().groupBy("text_key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
