@@ -1,25 +1,35 @@
 """Log-bilinear language model trained by noise-contrastive estimation.
 
 Tokens are the words of a text (A-Z lowered) and one end mark.  The model
-predicts a token's class from the classes of the two tokens before it: the
-context vector is ``C1 r(c1) + C2 r(c2)``, the score of class ``w`` is its inner
-product with ``q(w)`` plus a bias, and the most frequent words are classes of
-their own while all other words share classes by their last byte.  Within a
-class a word has its smoothed share of the class's training tokens, with half a
-token set aside for words never seen; so the log-probabilities of all words,
-seen and unseen together, sum to one.
-
-What the model learns from is counted over every training text:
-
-* tokens per word: one (hash, count) row per word and task, summed by word;
-* class triples: one row per triple and task, summed by triple.
-
-Training is data-parallel over the counted triples.  Each task takes its
-contexts as rows of one matrix and follows the NCE gradient (data against
-``NOISE`` noise words per token, the noise expectation taken over the whole
-class distribution by a matrix product); the driver averages the parameters,
-whose size is fixed.  Afterwards every context's scores are normalised by a
-batched matrix product, once, for all (c1, c2).
+predicts a token in two log-bilinear steps from the two tokens before it: its
+class, then the word within the class.  The context vector of a step is
+``C1 r(w1) + C2 r(w2)``, the score of a class or word is its inner product with
+``q(w)`` plus a bias.
+
+* **Classes.** The end mark and the most frequent words are classes of their
+  own; the next words, the vocabulary, are dealt in equal parts to VOCAB_CLASSES
+  classes; all other words share ENDINGS classes by their last byte.  Classes are
+  predicted from classes.
+* **Words.** Every word of the vocabulary has vectors.  Their number grows with
+  the training words (:func:`vocabulary_size`).  They are predicted from words.
+* **Other words.** Within one of the last classes a word has its smoothed share of
+  the class's training tokens, with half a token set aside for words never seen;
+  so the log-probabilities of all words, seen and unseen together, sum to one.
+
+What the class step learns from is counted over every training text: tokens per
+word (one row per word and task, summed by word) and class triples (one row per
+triple and task, summed by triple).  Each task takes its contexts as rows of one
+matrix and follows the NCE gradient (data against ``NOISE`` noise classes per
+token, the noise expectation taken over the whole class distribution by a matrix
+product); the driver averages the parameters, whose size is fixed.  Afterwards
+every context's scores are normalised by a batched matrix product, once, for all
+(c1, c2).
+
+The word step reads every training text: a task walks through its texts in
+batches of BATCH targets, grouped by class; each group meets noise words drawn
+from the class in one matrix product.  The parameters of all tasks are averaged
+by weight, in two steps, after every pass.  Scores are normalised by a matrix
+product of the contexts and all words of the class.
 
 Scoring needs each word's count.  The ``HOT_WORDS`` most frequent words travel
 as a table of that size; all other words of a text go, once per text, into a
@@ -39,11 +49,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stoich.llm.common import bounded_batches, materialise
+from stoich.llm.common import bounded_batches, materialise, shared
 from stoich.llm.words import Words, text_chunks
 
-CLASSES = 128
-ENDINGS = 32             # classes shared by the words that are none of their own
+CLASSES = 160
+ENDINGS = 32             # classes shared by the words that have no vector
+VOCAB_CLASSES = 32       # classes of the words that have one
 HOT_WORDS = 1 << 19
 DIM = 24
 NOISE = 10.0
@@ -52,20 +63,16 @@ STEPS = 30
 RATE = 0.5
 SEED = 20240229
 END_CLASS = 0
+WORD_DIM = 16
+WORD_NOISE, NOISE_WORDS = 16.0, 64
+WORD_ROUNDS = 2
+WORD_RATE = 0.1
+BATCH = 2_048
+MIN_VOCABULARY, MAX_VOCABULARY = 1 << 10, 1 << 16
+TREE_WIDTH = 64
 
 
-# -- tokens and classes ------------------------------------------------------------
-
-def _classes(words: Words, h: np.ndarray, own: np.ndarray, own_class: np.ndarray) -> np.ndarray:
-    """Class of every word; ``own`` holds the sorted hashes of the words that
-    are classes of their own."""
-    shared = CLASSES - ENDINGS + (words.data[words.end - 1] % ENDINGS if len(h) else np.zeros(0, np.int64))
-    shared = shared.astype(np.int64)
-    if len(own):
-        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-        return np.where(own[at] == h, own_class[at], shared)
-    return shared
-
+# -- tokens -------------------------------------------------------------------------
 
 def _with_ends(cls: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class sequence with an end mark after every text, and the text of each
@@ -125,7 +132,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             .groupBy("h").agg(F.first("ending").alias("ending"), F.sum("c").alias("c")))
 
 
-def _triples(texts: DataFrame, own: np.ndarray, own_class: np.ndarray) -> DataFrame:
+def _triples(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(ctx, w, c): how often class w follows the context c2 * CLASSES + c1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +140,7 @@ def _triples(texts: DataFrame, own: np.ndarray, own_class: np.ndarray) -> DataFr
         for batch in batches:
             for part in text_chunks(batch):
                 words = Words(part.column(0))
-                seq, doc = _with_ends(_classes(words, words.hashes(), own, own_class), words.first)
+                seq, doc = _with_ends(lexicon.find(words, words.hashes())[0], words.first)
                 one, two = _contexts(seq, doc)
                 keys, n = np.unique((two * CLASSES + one) * CLASSES + seq, return_counts=True)
                 table[keys] += n
@@ -240,6 +247,182 @@ def _fit(triples: DataFrame, noise: np.ndarray, rounds: int) -> LogBilinear:
     return model
 
 
+# -- words within a class ---------------------------------------------------------------
+
+def vocabulary_size(n_train: int) -> int:
+    """Words with vectors: the power of two below twice the root of the training
+    tokens, within bounds that keep the vectors' table small."""
+    return int(np.clip(2 << int(np.log2(max(n_train, 1)) / 2), MIN_VOCABULARY, MAX_VOCABULARY))
+
+
+class Lexicon:
+    """The words known by name: sorted hashes with their class and symbol.
+    Symbols number the end mark, the own words, the vocabulary (class by class),
+    and the endings."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, endings: np.ndarray, n_vocabulary: int):
+        n_own = self.n_own = min(len(hashes), CLASSES - ENDINGS - VOCAB_CLASSES - 1)
+        v = self.size = min(n_vocabulary, len(hashes) - n_own)
+        rest = slice(n_own, n_own + v)
+        order = np.lexsort((hashes[rest], endings[rest]))      # words of one ending stay together
+        self.counts = counts[rest][order].astype(np.float64)
+        self.word_class = np.arange(v) * VOCAB_CLASSES // max(v, 1)
+        #: words of class k are first[k]:first[k + 1]
+        self.first = np.searchsorted(self.word_class, np.arange(VOCAB_CLASSES + 1))
+        h = np.concatenate([hashes[:n_own], hashes[rest][order]])
+        cls = np.concatenate([1 + np.arange(n_own), CLASSES - ENDINGS - VOCAB_CLASSES + self.word_class])
+        by_hash = np.argsort(h, kind="stable")
+        self.hashes, self.classes, self.symbols = h[by_hash], cls[by_hash], 1 + by_hash
+        self.n_symbols = 1 + n_own + v + ENDINGS
+        share = np.bincount(self.word_class, self.counts, VOCAB_CLASSES)
+        self.unigram = self.counts / np.maximum(share[self.word_class], 1)
+
+    def find(self, words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, symbol) of every word."""
+        ending = (words.data[words.end - 1] % ENDINGS).astype(np.int64) if len(h) else np.zeros(0, np.int64)
+        cls, symbol = CLASSES - ENDINGS + ending, self.n_symbols - ENDINGS + ending
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[at] == h
+            cls, symbol = np.where(known, self.classes[at], cls), np.where(known, self.symbols[at], symbol)
+        return cls, symbol
+
+    def word(self, symbol: np.ndarray) -> np.ndarray:
+        """Place in the vocabulary, -1 for other symbols."""
+        at = symbol - 1 - self.n_own
+        return np.where((at >= 0) & (at < self.size), at, -1)
+
+
+class WordModel:
+    """Log-bilinear prediction of a word of the vocabulary within its class."""
+
+    NAMES = ("r", "q", "c1", "c2", "b")
+
+    def __init__(self, lexicon: Lexicon, seed: int = SEED):
+        rng = np.random.Generator(np.random.PCG64([seed, 2]))
+        self.lex = lexicon
+        f = np.float32
+        self.r = rng.normal(0, 0.1, (lexicon.n_symbols, WORD_DIM)).astype(f)
+        self.q = np.zeros((lexicon.size, WORD_DIM), f)
+        self.c1, self.c2 = np.eye(WORD_DIM, dtype=f), 0.5 * np.eye(WORD_DIM, dtype=f)
+        self.b = np.log(np.maximum(lexicon.unigram, 1e-12)).astype(f)
+        self.seen = None
+
+    def parameters(self) -> np.ndarray:
+        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+
+    def set(self, flat: np.ndarray) -> None:
+        at = 0
+        for name in self.NAMES:
+            old = getattr(self, name)
+            setattr(self, name, flat[at:at + old.size].reshape(old.shape).astype(np.float32))
+            at += old.size
+
+    def _groups(self, word: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, last word of a class, rows of that class)."""
+        order = np.argsort(word, kind="stable")
+        cut = np.searchsorted(word[order], self.lex.first)
+        for k in range(VOCAB_CLASSES):
+            if cut[k + 1] > cut[k]:
+                yield int(self.lex.first[k]), int(self.lex.first[k + 1]), order[cut[k]:cut[k + 1]]
+
+    def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return self.r[one] @ self.c1 + self.r[two] @ self.c2
+
+    def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, rng: np.random.Generator) -> None:
+        """One AdaGrad step on the NCE objective of a batch of targets."""
+        r1, r2 = self.r[one], self.r[two]
+        h = r1 @ self.c1 + r2 @ self.c2
+        gh, gq, gb = np.zeros_like(h), np.zeros_like(self.q), np.zeros_like(self.b)
+        log_noise = np.log(WORD_NOISE * np.maximum(self.lex.unigram, 1e-12)).astype(np.float32)
+        z = (h * self.q[word]).sum(axis=1) + self.b[word] - log_noise[word]
+        g = 1 / (1 + np.exp(np.clip(z, -30, 30)))
+        gh += g[:, None] * self.q[word]
+        for j in range(WORD_DIM):
+            gq[:, j] += np.bincount(word, g * h[:, j], len(gq)).astype(np.float32)
+        gb += np.bincount(word, g, len(gb)).astype(np.float32)
+        for a, z_, rows in self._groups(word):
+            noise = a + np.searchsorted(np.cumsum(self.lex.unigram[a:z_]), rng.random(NOISE_WORDS))
+            noise = np.minimum(noise, z_ - 1)
+            hk, qn = h[rows], self.q[noise]
+            s = hk @ qn.T + self.b[noise] - log_noise[noise]
+            p = (-WORD_NOISE / NOISE_WORDS) / (1 + np.exp(-np.clip(s, -30, 30)))
+            gh[rows] += p @ qn
+            np.add.at(gq, noise, p.T @ hk)
+            np.add.at(gb, noise, p.sum(axis=0))
+        gr = np.zeros_like(self.r)
+        for where, grad in ((one, gh @ self.c1.T), (two, gh @ self.c2.T)):
+            for j in range(WORD_DIM):
+                gr[:, j] += np.bincount(where, grad[:, j], len(gr)).astype(np.float32)
+        grads = {"r": gr, "q": gq, "c1": r1.T @ gh, "c2": r2.T @ gh, "b": gb}
+        if self.seen is None:
+            self.seen = {n: np.full_like(getattr(self, n), 1e-6) for n in self.NAMES}
+        for n, grad in grads.items():
+            self.seen[n] += grad * grad
+            setattr(self, n, getattr(self, n) + WORD_RATE * grad / np.sqrt(self.seen[n]))
+
+    def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 p(word | class of the word, context) per row."""
+        h, out = self.hidden(one, two), np.zeros(len(word))
+        for a, z, rows in self._groups(word):
+            s = h[rows] @ self.q[a:z].T + self.b[a:z]
+            top = s.max(axis=1)
+            out[rows] = s[np.arange(len(rows)), word[rows] - a] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+        return out / np.log(10)
+
+
+def _targets(words: Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one, two, word): the symbols before every token of the vocabulary."""
+    _, symbol = lexicon.find(words, words.hashes())
+    seq, doc = _with_ends(symbol, words.first)
+    one, two = _contexts(seq, doc)
+    word = lexicon.word(seq)
+    mine = word >= 0
+    return one[mine], two[mine], word[mine]
+
+
+def _fit_words(training: DataFrame, lexicon: Lexicon, rounds: int) -> WordModel:
+    """Parameters after ``rounds`` passes over all training texts."""
+    model = WordModel(lexicon)
+    if not lexicon.size:
+        return model
+    spark = training.sparkSession
+    schema = "part long, n double, p binary"
+
+    def add(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        order = np.lexsort((n,))
+        total = sum(n[i] * np.frombuffer(table.column("p")[int(i)].as_py(), np.float64) for i in order) / n.sum()
+        return pa.table({"part": [0], "n": [float(n.sum())], "p": pa.array([total.tobytes()], pa.binary())})
+
+    for turn in range(rounds):
+        start = shared(spark, model.parameters())
+
+        def run(batches: Iterator[pa.RecordBatch], turn=turn, start=start) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+            own, n, k = WordModel(lexicon), 0, 0
+            own.set(start.value)
+            for batch in batches:
+                for part in text_chunks(batch):
+                    one, two, word = _targets(Words(part.column(0)), lexicon)
+                    for a in range(0, len(word), BATCH):
+                        rng = np.random.Generator(np.random.PCG64([SEED, turn, k]))
+                        own.step(one[a:a + BATCH], two[a:a + BATCH], word[a:a + BATCH], rng)
+                        k += 1
+                    n += len(word)
+            if n:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([TaskContext.get().partitionId() % TREE_WIDTH]), pa.array([float(n)]),
+                     pa.array([own.parameters().astype(np.float64).tobytes()], pa.binary())], names=["part", "n", "p"])
+
+        found = (training.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema)
+                 .groupBy("part").applyInArrow(add, schema).collect())
+        if not found:
+            break
+        model.set(np.frombuffer(found[0]["p"], np.float64))
+    return model
+
+
 # -- scoring --------------------------------------------------------------------------
 
 def _hot_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,7 +442,8 @@ def _hot_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np
     return h[order].view(np.uint64), c[order], e[order]
 
 
-def score(docs: DataFrame, may_learn: Column, hot_words: int = HOT_WORDS, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, may_learn: Column, hot_words: int = HOT_WORDS, rounds: int = ROUNDS,
+          word_rounds: int = WORD_ROUNDS) -> DataFrame:
     """Per row doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -272,34 +456,37 @@ def score(docs: DataFrame, may_learn: Column, hot_words: int = HOT_WORDS, rounds
     n_train = sum(r["c"] for r in per_class) + ends
 
     hot_h, hot_c, hot_e = _hot_words(counts, hot_words)
-    n_own = min(len(hot_h), CLASSES - ENDINGS - 1)
-    by_hash = np.argsort(hot_h[:n_own], kind="stable")
-    own, own_class = hot_h[:n_own][by_hash], 1 + np.arange(n_own)[by_hash]
+    lexicon = Lexicon(hot_h, hot_c, hot_e, vocabulary_size(n_train))
+    n_own, n_known = lexicon.n_own, lexicon.n_own + lexicon.size
 
     # tokens and words per shared class, without the words that left it
     class_c = np.zeros(CLASSES, np.int64)
     class_v = np.zeros(CLASSES, np.int64)
     for r in per_class:
         class_c[r["ending"]], class_v[r["ending"]] = r["c"], r["v"]
-    np.subtract.at(class_c, hot_e[:n_own], hot_c[:n_own])
-    np.subtract.at(class_v, hot_e[:n_own], 1)
+    np.subtract.at(class_c, hot_e[:n_known], hot_c[:n_known])
+    np.subtract.at(class_v, hot_e[:n_known], 1)
     noise = class_c.astype(float)
     noise[END_CLASS] = ends
     noise[1:n_own + 1] = hot_c[:n_own]
+    low = CLASSES - ENDINGS - VOCAB_CLASSES
+    noise[low:low + VOCAB_CLASSES] = np.bincount(lexicon.word_class, lexicon.counts, VOCAB_CLASSES)
     noise = (noise + 0.5) / (noise + 0.5).sum()
 
-    model = _fit(materialise(_triples(training, own, own_class).repartition(8, "ctx").sortWithinPartitions("ctx", "w")),
+    model = _fit(materialise(_triples(training, lexicon).repartition(8, "ctx").sortWithinPartitions("ctx", "w")),
                  noise, rounds if n_train else 0)
+    words = _fit_words(training, lexicon, word_rounds if n_train else 0)
+    words.seen = None
     order = np.argsort(hot_h, kind="stable")
-    shared = spark.sparkContext.broadcast({
-        "h": hot_h[order], "log": np.log10(hot_c[order] + 0.5), "own": own, "own_class": own_class,
+    table = shared(spark, {
+        "h": hot_h[order], "log": np.log10(hot_c[order] + 0.5), "lexicon": lexicon, "words": words,
         "log_p": model.log10_table().astype(np.float32),
         "class_log": np.log10(class_c + 0.5 * (class_v + 1))})
     base_log = float(np.log10(n_train + 0.5 * (vocabulary + 1)))
     end_log = float(np.log10(ends + 0.5))
 
     rows = materialise(texts.withColumn("row", F.monotonically_increasing_id())
-                       .mapInArrow(_scorer(shared, base_log, end_log, int(ends > 0)), _SCORED))
+                       .mapInArrow(_scorer(table, base_log, end_log, int(ends > 0)), _SCORED))
     rare = (rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
             .select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("m"))
             .join(counts.select("h", "c"), "h", "left")
@@ -317,21 +504,26 @@ _SCORED = ("row long, doc_id long, n_tokens long, known long, base double, model
            "rare array<long>, times array<long>")
 
 
-def _scorer(shared, base_log: float, end_log: float, end_known: int):
+def _scorer(table, base_log: float, end_log: float, end_known: int):
     """Per text all that needs no rare word's count; rare words as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
+        t = table.value
         for batch in batches:
             for part in text_chunks(batch):
                 words = Words(part.column(1))
                 h = words.hashes()
                 n_docs = part.num_rows
                 doc = np.repeat(np.arange(n_docs), words.counts())
-                cls = _classes(words, h, t["own"], t["own_class"])
+                cls, symbol = t["lexicon"].find(words, h)
                 seq, owner = _with_ends(cls, words.first)
                 one, two = _contexts(seq, owner)
                 model = np.bincount(owner, t["log_p"][two * CLASSES + one, seq], minlength=n_docs)
+                seq, _ = _with_ends(symbol, words.first)
+                one, two = _contexts(seq, owner)
+                word = t["lexicon"].word(seq)
+                mine = word >= 0
+                model += np.bincount(owner[mine], t["words"].log10(one[mine], two[mine], word[mine]), minlength=n_docs)
                 if len(t["h"]):
                     at = np.minimum(np.searchsorted(t["h"], h), len(t["h"]) - 1)
                     is_hot = t["h"][at] == h

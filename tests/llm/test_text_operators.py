@@ -342,6 +342,41 @@ def test_base_score_and_counts(corpus, awkward):
             assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_word_step_is_normalised_and_learns_from_order():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(1, 1 << 62, 600).astype(np.uint64)
+    counts = np.sort(rng.integers(5, 900, 600))[::-1]
+    lex = lm.Lexicon(hashes, counts, 128 + rng.integers(0, 32, 600), 256)
+    assert lex.size == 256 and lex.n_own == 95 and lex.first[-1] == 256 and (np.diff(lex.first) == 8).all()
+    assert np.allclose(np.bincount(lex.word_class, lex.unigram), 1)
+    model = lm.WordModel(lex)
+    vocab = 1 + lex.n_own + np.arange(256)
+    every = lambda m, one, two: np.stack([m.log10(np.full(256, one), np.full(256, two), np.arange(256))])[0]
+    flat = lm.WordModel(lex)
+    for n in range(30):
+        word = rng.integers(0, 256, 800)            # the word before decides: same place in its class
+        one = vocab[(word + 8 * rng.integers(0, 32, 800)) % 256]
+        model.step(one, vocab[rng.integers(0, 256, 800)], word, np.random.Generator(np.random.PCG64(n)))
+    for one, two in ((0, 0), (3, 200), (300, 1)):
+        p = 10.0 ** every(model, one, two)
+        assert np.allclose(np.bincount(lex.word_class, p), 1, atol=1e-4)
+    word = rng.integers(0, 256, 2000)
+    one, two = vocab[(word + 8 * rng.integers(0, 32, 2000)) % 256], vocab[rng.integers(0, 256, 2000)]
+    assert model.log10(one, two, word).mean() > flat.log10(one, two, word).mean() + 0.05
+    again = lm.WordModel(lex)
+    again.set(model.parameters())
+    assert np.allclose(again.log10(one, two, word), model.log10(one, two, word))
+
+
+def test_vocabulary_grows_and_pays(spark):
+    assert lm.vocabulary_size(0) == 1 << 10 and lm.vocabulary_size(10 ** 8) == 1 << 14 and lm.vocabulary_size(10 ** 14) == 1 << 16
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    learn = ~is_crc_fold(F.col("doc_id"), 1)
+    held = {r: [s.score for s in lm.score(docs, learn, word_rounds=r).where(is_crc_fold(F.col("doc_id"), 1))
+                .orderBy("doc_id").collect()] for r in (0, 2)}
+    assert sum(held[2]) > sum(held[0]) + 0.01 * abs(sum(held[0]))
+
+
 def test_model_is_normalised_and_nce_improves():
     rng = np.random.default_rng(1)
     noise = rng.random(lm.CLASSES) + 0.1
