@@ -11,10 +11,12 @@ global window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,17 +76,25 @@ def encode_lines(lines: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("spl
     """Per line the ids of its tokens as one array (keys..., ids); unknown
     tokens get UNK.  The vocabulary is bounded by its size parameter and
     travels as one dictionary, so tokens never become rows."""
-    words = vocab.select("token", "id").limit(vocab_max_rows + 1).collect()
+    words = vocab.select("token", F.col("id").cast("int")).limit(vocab_max_rows + 1).toArrow().combine_chunks()
     if len(words) > vocab_max_rows:
         raise ValueError(f"the vocabulary has more than {vocab_max_rows} entries")
-    known = lines.sparkSession.sparkContext.broadcast({r["token"]: int(r["id"]) for r in words})
+    known = lines.sparkSession.sparkContext.broadcast(
+        tuple(pa.concat_arrays(words.column(i).chunks or [pa.array([], t)])
+              for i, t in enumerate((pa.string(), pa.int32()))))
+    rows = lines.select(*keys, word_tokens(F.col("text")).alias("_tokens"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(tokens: pd.Series) -> pd.Series:
-        get = known.value.get
-        return pd.Series([[get(t, UNK_ID) for t in row] for row in tokens], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ids = known.value
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            found = ids.take(pc.index_in(lists.flatten(), value_set=tokens)).fill_null(UNK_ID)
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy()))).astype(np.int32)
+            out = pa.ListArray.from_arrays(pa.array(ends), found, mask=lists.is_null() if lists.null_count else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=schema.names)
 
-    return lines.select(*keys, ids(word_tokens(F.col("text"))).alias("ids"))
+    return rows.mapInArrow(run, schema)
 
 
 def encode_tokens(lines: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("split", "doc_id", "line_no")) -> DataFrame:
@@ -104,13 +114,21 @@ def coverage(encoded: DataFrame, by: str = "split") -> DataFrame:
 
 def _advance_table(r: np.ndarray, w: int) -> np.ndarray:
     """For each start residue rho in [0, w): total advance of the running
-    position after the sentences with content lengths ``r`` (in order)."""
-    e = np.arange(w, dtype=np.int64)
-    start = e.copy()
-    for x in r:
-        e = e + int(x)
+    position after the sentences with content lengths ``r`` (in order).
+    Starts whose positions have met stay together, so only distinct positions
+    modulo w are carried on."""
+    start = np.arange(w, dtype=np.int64)
+    e, of = start.copy(), start.copy()      # position of each group, group of each start
+    base = np.zeros(w, np.int64)            # how far each start was ahead of its group
+    for i, x in enumerate(r.tolist()):
+        e = e + x
         e = e + (e % w != 0)
-    return e - start
+        if i % 64 == 63 and len(e) > 1:
+            _, first, same = np.unique(e % w, return_index=True, return_inverse=True)
+            if len(first) < len(e):
+                base += (e - e[first][same])[of]
+                e, of = e[first], same[of]
+    return e[of] + base - start
 
 
 def _compose(first: np.ndarray, second: np.ndarray, w: int) -> np.ndarray:
