@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from stoich.session import cut_lineage
@@ -23,6 +23,12 @@ _PID = "_o_pid"
 _MID = "_o_mid"
 
 
+def _by_slice(group: list[str]) -> WindowSpec:
+    """Slices of a group in order; without a group the table of slices (one
+    row per partition) is one group."""
+    return Window.partitionBy(*group or [F.col(_PID) * 0]).orderBy(_PID)
+
+
 def _tag_sorted(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     tagged = (df.orderBy(*order)
               .withColumn(_PID, F.spark_partition_id())
@@ -39,7 +45,7 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     tagged = _tag_sorted(df, [*(F.col(g) for g in group), *order])
     counts = tagged.groupBy(_PID, *group).agg(F.count(F.lit(1)).alias("_o_cnt"),
                                               F.min(_MID).alias("_o_min"))
-    w = Window.partitionBy(*group).orderBy(_PID) if group else Window.orderBy(_PID)
+    w = _by_slice(group)
     counts = counts.select(
         _PID, *group, "_o_min",
         (F.sum("_o_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("_o_off"),
@@ -71,7 +77,7 @@ def running_max(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     group = list(group)
     tagged = _tag_sorted(df, [*(F.col(g) for g in group), *order])
     slices = tagged.groupBy(_PID, *group).agg(F.max(value).alias("_o_smax"))
-    w = Window.partitionBy(*group).orderBy(_PID) if group else Window.orderBy(_PID)
+    w = _by_slice(group)
     prior = slices.select(_PID, *group, F.max("_o_smax").over(
         w.rowsBetween(Window.unboundedPreceding, -1)).alias("_o_prior"))
     local = Window.partitionBy(_PID, *group).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
