@@ -414,9 +414,11 @@ class _Top:
         self.feature, self.threshold, self.left, self.gain = [-1], [0], [0], [0.0]
         self.value = [np.zeros(k)]
         self.open = {0: (weight, key, 0)}
+        self.grown = False
 
     def add(self, row) -> None:
         """Apply the outcome of a node's histogram."""
+        self.grown = True
         node = int(row.node)
         _, key, depth = self.open.pop(node)
         self.value[node] = np.frombuffer(row.value, np.float64)
@@ -700,7 +702,13 @@ def fit_forest(data: Binned, n_trees: int = 100, seed: int = SEED, n_features: i
     tops, below = _grown(data, data.blocks, roots, view, how, bound)
     if below is None:
         below = data.blocks.sparkSession.createDataFrame([], "tree long, node long, blob binary")
-    return Forest(data.edges, {t: top.tree() for t, top in tops.items()}, cut_lineage(below), data.n_targets)
+    below = cut_lineage(below)
+    # a sample of very few rows may be empty: such a tree says nothing
+    held = {r["tree"] for r in below.select("tree").distinct().collect()}
+    held |= {t for t, top in tops.items() if len(top.feature) > 1 or not top.open and top.grown}
+    if not held:
+        return fit_forest(data, 1, seed, n_features, False, max_depth, min_leaf, bound)
+    return Forest(data.edges, {t: top.tree() for t, top in tops.items() if t in held}, below, data.n_targets)
 
 
 # -- boosting ------------------------------------------------------------------

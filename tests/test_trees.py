@@ -149,3 +149,12 @@ def test_awkward_training_tables(spark):
     for fit in (TR.fit_forest, TR.fit_boosting):
         with pytest.raises(ValueError):
             fit(none)
+
+
+def test_forests_of_very_few_rows(spark):
+    """Trees whose sample is empty do not count."""
+    df = table(spark, [[1.0], [2.0]], [10.0, 12.0])
+    data = TR.binned(df, "features", "y", "id", 1)
+    for n in (1, 2, 30):
+        out = TR.fit_forest(data, n, seed=n).predict(df, "features", "v").collect()
+        assert all(10 <= r.v[0] <= 12 for r in out)
