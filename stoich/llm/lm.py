@@ -64,10 +64,10 @@ RATE = 0.5
 SEED = 20240229
 END_CLASS = 0
 WORD_DIM = 16
-WORD_NOISE, NOISE_WORDS = 16.0, 64
-WORD_ROUNDS = 2
+WORD_NOISE, NOISE_WORDS = 16.0, 32
+WORD_ROUNDS = 1
 WORD_RATE = 0.1
-BATCH = 2_048
+BATCH = 4_096
 MIN_VOCABULARY, MAX_VOCABULARY = 1 << 10, 1 << 16
 TREE_WIDTH = 64
 
@@ -293,6 +293,14 @@ class Lexicon:
         return np.where((at >= 0) & (at < self.size), at, -1)
 
 
+def _row_sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by their place ``at``, below ``n``."""
+    out = np.empty((n, rows.shape[1]), np.float32)
+    for j in range(rows.shape[1]):
+        out[:, j] = np.bincount(at, rows[:, j], n)
+    return out
+
+
 class WordModel:
     """Log-bilinear prediction of a word of the vocabulary within its class."""
 
@@ -306,6 +314,11 @@ class WordModel:
         self.q = np.zeros((lexicon.size, WORD_DIM), f)
         self.c1, self.c2 = np.eye(WORD_DIM, dtype=f), 0.5 * np.eye(WORD_DIM, dtype=f)
         self.b = np.log(np.maximum(lexicon.unigram, 1e-12)).astype(f)
+        self.log_noise = np.log(WORD_NOISE * np.maximum(lexicon.unigram, 1e-12)).astype(f)
+        # unigram shares up to each word of its class
+        whole = np.cumsum(lexicon.unigram)
+        begin = lexicon.first[lexicon.word_class]
+        self.upto = whole - (whole - lexicon.unigram)[begin] if lexicon.size else whole
         self.seen = None
 
     def parameters(self) -> np.ndarray:
@@ -315,7 +328,7 @@ class WordModel:
         at = 0
         for name in self.NAMES:
             old = getattr(self, name)
-            setattr(self, name, flat[at:at + old.size].reshape(old.shape).astype(np.float32))
+            setattr(self, name, flat[at:at + old.size].reshape(old.shape).astype(np.float32).copy())
             at += old.size
 
     def _groups(self, word: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -330,44 +343,48 @@ class WordModel:
         return self.r[one] @ self.c1 + self.r[two] @ self.c2
 
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, rng: np.random.Generator) -> None:
-        """One AdaGrad step on the NCE objective of a batch of targets."""
+        """One AdaGrad step on the NCE objective of a batch of targets; only
+        the vectors that the batch touches move."""
+        n = len(word)
         r1, r2 = self.r[one], self.r[two]
         h = r1 @ self.c1 + r2 @ self.c2
-        gh, gq, gb = np.zeros_like(h), np.zeros_like(self.q), np.zeros_like(self.b)
-        log_noise = np.log(WORD_NOISE * np.maximum(self.lex.unigram, 1e-12)).astype(np.float32)
-        z = (h * self.q[word]).sum(axis=1) + self.b[word] - log_noise[word]
-        g = 1 / (1 + np.exp(np.clip(z, -30, 30)))
-        gh += g[:, None] * self.q[word]
-        for j in range(WORD_DIM):
-            gq[:, j] += np.bincount(word, g * h[:, j], len(gq)).astype(np.float32)
-        gb += np.bincount(word, g, len(gb)).astype(np.float32)
+        z = (h * self.q[word]).sum(axis=1) + self.b[word] - self.log_noise[word]
+        g = (1 / (1 + np.exp(np.clip(z, -30, 30)))).astype(np.float32)
+        gh = g[:, None] * self.q[word]
+        places, grads, biases = [word], [g[:, None] * h], [g]
         for a, z_, rows in self._groups(word):
-            noise = a + np.searchsorted(np.cumsum(self.lex.unigram[a:z_]), rng.random(NOISE_WORDS))
+            noise = a + np.searchsorted(self.upto[a:z_], rng.random(NOISE_WORDS) * self.upto[z_ - 1])
             noise = np.minimum(noise, z_ - 1)
             hk, qn = h[rows], self.q[noise]
-            s = hk @ qn.T + self.b[noise] - log_noise[noise]
-            p = (-WORD_NOISE / NOISE_WORDS) / (1 + np.exp(-np.clip(s, -30, 30)))
+            s = hk @ qn.T + (self.b[noise] - self.log_noise[noise])
+            p = np.float32(-WORD_NOISE / NOISE_WORDS) / (1 + np.exp(-np.clip(s, -30, 30)))
             gh[rows] += p @ qn
-            np.add.at(gq, noise, p.T @ hk)
-            np.add.at(gb, noise, p.sum(axis=0))
-        gr = np.zeros_like(self.r)
-        for where, grad in ((one, gh @ self.c1.T), (two, gh @ self.c2.T)):
-            for j in range(WORD_DIM):
-                gr[:, j] += np.bincount(where, grad[:, j], len(gr)).astype(np.float32)
-        grads = {"r": gr, "q": gq, "c1": r1.T @ gh, "c2": r2.T @ gh, "b": gb}
+            places.append(noise)
+            grads.append(p.T @ hk)
+            biases.append(p.sum(axis=0))
+        moved, at = np.unique(np.concatenate(places), return_inverse=True)
+        self._move("q", _row_sums(at, np.concatenate(grads), len(moved)), moved)
+        self._move("b", np.bincount(at, np.concatenate(biases), len(moved)).astype(np.float32), moved)
+        moved, at = np.unique(np.concatenate([one, two]), return_inverse=True)
+        self._move("r", _row_sums(at, np.concatenate([gh @ self.c1.T, gh @ self.c2.T]), len(moved)), moved)
+        self._move("c1", r1.T @ gh, slice(None))
+        self._move("c2", r2.T @ gh, slice(None))
+
+    def _move(self, name: str, grad: np.ndarray, rows) -> None:
         if self.seen is None:
             self.seen = {n: np.full_like(getattr(self, n), 1e-6) for n in self.NAMES}
-        for n, grad in grads.items():
-            self.seen[n] += grad * grad
-            setattr(self, n, getattr(self, n) + WORD_RATE * grad / np.sqrt(self.seen[n]))
+        self.seen[name][rows] += grad * grad
+        getattr(self, name)[rows] += WORD_RATE * grad / np.sqrt(self.seen[name][rows])
 
     def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 p(word | class of the word, context) per row."""
         h, out = self.hidden(one, two), np.zeros(len(word))
         for a, z, rows in self._groups(word):
-            s = h[rows] @ self.q[a:z].T + self.b[a:z]
-            top = s.max(axis=1)
-            out[rows] = s[np.arange(len(rows)), word[rows] - a] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+            s = h[rows] @ self.q[a:z].T
+            s += self.b[a:z]
+            s -= s.max(axis=1, keepdims=True)
+            own = s[np.arange(len(rows)), word[rows] - a]
+            out[rows] = own - np.log(np.exp(s, out=s).sum(axis=1))
         return out / np.log(10)
 
 
