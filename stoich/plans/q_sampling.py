@@ -11,7 +11,7 @@ from stoich.operators import results as R
 from stoich.operators import sampling as S
 from stoich.operators import scaling as N
 from stoich.plans.catalog import query, with_ctes
-from stoich.plans.q_composition import LABELS_11, SHARES_SQL
+from stoich.plans.q_composition import LABELS_11, SHARES_SQL, nine, nine_of, weighted_matrix
 from stoich.plans.q_results import REC_SQL, WF_SQL, _records, _wf_rounded
 from stoich.sources import fixtures as FX
 from stoich.sources.tables import table
@@ -165,8 +165,20 @@ SELECT wf.sample_id, wf.feature_id,
 FROM wf JOIN q ON wf.feature_id = q.feature_id""")
 def n1_robust_scale(spark, sf_dir):
     """Exact-quantile robust scaling of the weighted features."""
-    wf = _wf_rounded(spark, sf_dir)
-    return N.robust_scale(wf).select("sample_id", "feature_id", _r6(F.col("scaled")).alias("scaled"))
+    weighted = weighted_matrix(spark, sf_dir)
+    if weighted is None or not weighted.dense:
+        return _scaled(N.robust_scale(_wf_rounded(spark, sf_dir)))
+    weighted = weighted.written()
+    ids = weighted.columns["feature_id"].tolist()
+    middle, width = N.robust_fit_arrays(weighted.arrays(finish=nine_of), "sample_id", "features", len(ids))
+    fit = spark.createDataFrame([(int(i), m, w) for i, m, w in zip(ids, middle, width)],
+                                "feature_id long, median double, scale double")
+    wf = weighted.long().select("sample_id", "feature_id", nine(F.col("value")).alias("value"))
+    return _scaled(N.robust_scale(wf, fit=fit))
+
+
+def _scaled(rows):
+    return rows.select("sample_id", "feature_id", _r6(F.col("scaled")).alias("scaled"))
 
 
 @query("n2_standard_scale", WF_SQL + """,
