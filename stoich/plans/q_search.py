@@ -412,9 +412,8 @@ def _walk_points(spark, sf_dir):
 
 
 def _local_samples(spark, sf_dir, per_point=1000):
-    w = CA.local_grid_walk(_walk_points(spark, sf_dir), "sample_id", "comp", LO6, HI6, step=0.01,
-                           per_point=per_point, radius=3)
-    u = w.select("units").distinct()
+    u = CA.local_grid(_walk_points(spark, sf_dir), "sample_id", "comp", LO6, HI6, step=0.01,
+                      per_point=per_point, radius=3)
     return u.select(CA.project_capped_simplex(F.transform("units", lambda x: x / 100.0), LO6, HI6).alias("comp"))
 
 
