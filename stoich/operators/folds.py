@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from stoich.operators.ordering import rank_within
 from stoich.operators.sampling import kfold
-from stoich.session import bounded_broadcast
+from stoich.session import bounded_broadcast, cut_lineage
 
 
 def class_segments(loads: list[int], s: int, m: int) -> tuple[list[tuple], list[int]]:
@@ -53,7 +53,7 @@ def class_segments(loads: list[int], s: int, m: int) -> tuple[list[tuple], list[
 def group_kfold(df: DataFrame, group: str, k: int, id_col: str, seed="gkf", out: str = "fold") -> DataFrame:
     """folds = max(2, min(k, #groups)); when no group repeats the plain
     shuffled k-fold (G3) is used instead."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gs"))
+    sizes = cut_lineage(df.groupBy(group).agg(F.count(F.lit(1)).alias("_gs")))
     hist = sizes.groupBy("_gs").agg(F.count(F.lit(1)).alias("_m")).collect()
     n_groups = sum(r["_m"] for r in hist)
     if not hist or max(r["_gs"] for r in hist) <= 1:
